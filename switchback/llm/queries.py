@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
 from .ngram_join import op5_ngram_jaccard
+from .packing import op7_packing
+from .quality_rules import op10_quality_rules
+from .topk import OP1_SQL, op1_topk
+from .warc import OP3_SQL, op3_warc
 
-QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_packing": op7_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_topk": OP1_SQL, "op3_warc": OP3_SQL}

@@ -16,8 +16,16 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+#: Classes of bytes: words are maximal runs of bytes of one class other than 0.
+VISIBLE = np.ones(256, np.uint8)
+VISIBLE[SPACES] = 0
+LINES = np.ones(256, np.uint8)
+LINES[0x0A] = 0
+#: Letters, digits, underscores and all that is not ASCII in one class, other visible bytes in another.
+PUNCTUATED = np.full(256, 2, np.uint8)
+PUNCTUATED[SPACES] = 0
+PUNCTUATED[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -86,16 +94,16 @@ def text_blocks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[i
         i = j
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, lower: bool = True) -> Words:
-    """The maximal runs of bytes that are not ``between``; ASCII letters in lower case. Words end with their text."""
+def cut_words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = VISIBLE, lower: bool = True) -> Words:
+    """The maximal runs of bytes of one class other than 0; ASCII letters in lower case if asked. Words end with their text."""
     if lower:
         data = LOWER[data]
-    n = len(data)
-    inside = ~between[data]
-    edge = np.zeros(n + 1, bool)
+    kind = classes[data]
+    edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    before = np.concatenate([[False], inside[:-1]]) if n else inside
-    after = np.concatenate([inside[1:], [False]]) if n else inside
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    new = edge[:-1].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    last = edge[1:].copy()
+    last[:-1] |= kind[1:] != kind[:-1]
+    start, end = np.flatnonzero((kind > 0) & new), np.flatnonzero((kind > 0) & last) + 1
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
