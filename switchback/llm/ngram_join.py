@@ -136,6 +136,19 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     return first.union(second)
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs with one document left of each component of jaccard_components(), the one of least doc_id, with all their columns.
+
+    A doc_id that repeats stays once. Texts without words are alone. Rows without doc_id cannot be told apart and stay.
+    """
+    found = jaccard_components(docs, width, percent)
+    kept = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    bare = docs.where("doc_id IS NULL")
+    left = named.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    return left.unionByName(bare)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join over all documents: four-word shingles, similarity 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)

@@ -148,6 +148,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt:
     return judged(rows, cutoffs).select("doc_id", *COUNTS, base_failed().alias("base_failed"), "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def passing(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with all their columns; texts are counted again where they lie, not shuffled."""
+    _, cutoffs = fitted(docs, labels, risk, doubt)
+    rows = docs.select(F.struct("*").alias("row"), stratum().alias("stratum"), counts(F.col("text")).alias("c")).select("row", "stratum", "c.*")
+    return judged(rows, cutoffs).where("kept").select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by cutoffs from all labels."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("n_lines", "n_capitals")

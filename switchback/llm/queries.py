@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .license_scan import op6_license_scan
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import op5_ngram_jaccard
 from .packing import op7_packing
 from .quality_rules import op10_quality_rules
+from .resampling import op4_quality_classifier
+from .tool_links import OP8_SQL, op8_tool_links
 from .topk import OP1_SQL, op1_topk
 from .warc import OP3_SQL, op3_warc
 
@@ -13,9 +17,13 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
+    "op8_tool_links": op8_tool_links,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op1_topk": OP1_SQL, "op3_warc": OP3_SQL}
+ORACLE_SQL = {"op1_topk": OP1_SQL, "op3_warc": OP3_SQL, "op8_tool_links": OP8_SQL, "op9_line_dedup": OP9_SQL}
