@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import small_batches, written
 from .textnp import cut_words, mixed, text_blocks
 
 #: Fragments of the global order end before shingles of these document frequencies.
@@ -65,6 +65,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     member; members that this links to it need not meet one another. A second round meets whatever is not yet in its
     component. So no list of members is ever paired with itself as a whole, and no link that would join components is lost.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.mapInArrow(_sets(width, ""), SETS), "sets")
     classes = rows.where("n > 0").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))

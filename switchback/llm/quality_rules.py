@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 from .textnp import LINES, VISIBLE, cut_words, mixed, text_blocks
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
@@ -132,6 +132,7 @@ def fitted(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float
     The holdout is every labelled document that passes the base rules and has quality 1 in all its labels. Rows without doc_id, or whose label is null, are not in it. A null lang is
     a stratum of its own, named by the empty string.
     """
+    small_batches(docs.sparkSession)
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("stratum"), counts(F.col("text")).alias("c")).select("doc_id", "stratum", "c.*"), "counts")
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).where("quality = 1")
     cutoffs = written(choose_cutoffs(rows.where(~base_failed()).join(good.select("doc_id"), "doc_id"), risk, doubt), "cutoffs")

@@ -76,21 +76,22 @@ class Words:
             return mixed(out, 0x1000), offsets
 
 
-def text_blocks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, most_bytes: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, byte offsets) of runs of rows with at most most_bytes each, or one row; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
     if not n:
         return
     _, offs, data = column.buffers()
-    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + n + 1]
+    offs = np.frombuffer(offs, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + n + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most_bytes, "right")) - 1)
-        yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        j = max(i + 1, int(np.searchsorted(offs, int(offs[i]) + most_bytes, "right")) - 1)
+        yield i, j, data[offs[i] : offs[j]], offs[i : j + 1].astype(np.int64) - int(offs[i])
         i = j
 
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 
 LEVELS = 16
 ROUND = 128
@@ -124,6 +124,7 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
     The index is a table of blocks. Each block of queries meets each block of the index once, by an equi-join on the index's block number
     for which the query blocks are repeated; a pair of blocks yields at most k hits a query (at ties and at the last rank by vec_id).
     """
+    small_batches(vectors.sparkSession)
     rows = quantised(vectors, scale)
     index = written(rows.mapInArrow(_blocks(min(block, 65536), True), INDEX), "index")
     asked = written(rows.where(queries).mapInArrow(_blocks(256, False), INDEX).drop("postings"), "queries")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import shared_dir, small_batches, written
 
 LEAST_SHARED = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -230,6 +230,7 @@ def read_captures(wanted: DataFrame, shards: list[tuple], index: str, archives:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives and an index of pages, then look every page up and read it back. Columns RECORDS, a row for each row of pages."""
     spark = pages.sparkSession
+    small_batches(spark)
     archives, index = shared_dir(spark, "archives"), shared_dir(spark, "index")
     entries = write_archives(pages, archives)
     shards = build_index(entries, index)
