@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import coder, tokenizer_file
+from .shared import small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 
@@ -59,6 +60,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, lin
     two. A sequence_id holds the number of the task and of the sequence in it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     model = tokenizer_file(docs.sparkSession, tokenizer)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -81,7 +83,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, lin
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = c.buffer(text.as_py() or "") + end
+                ids = c.whole(text.as_py() or "") + end
                 group.append((doc_id.as_py(), ids))
                 held += len(ids) // 4
                 if held >= group_tokens:
