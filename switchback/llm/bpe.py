@@ -44,7 +44,7 @@ class Coder:
     the pattern alone. Where ids follow the merges' ranks, as tiktoken has it, that library merges what is in neither.
     """
 
-    def __init__(self, path: str, lexicon: str | None = None, most_known: int = 100_000) -> None:
+    def __init__(self, path: str, lexicon: str | None = None, most_known: int = 300_000) -> None:
         model = json.load(open(path, encoding="utf-8"))
         vocab, letters = model["model"]["vocab"], byte_letters()
         self.start = [vocab[letters[b]] for b in range(256)]
@@ -140,6 +140,17 @@ class Coder:
                 bare.clear()
                 spaced[None] = b""
 
+    def learn(self, texts: list[str]) -> None:
+        """Put all new space-led words of some texts into the table, with one search of the lexicon."""
+        new: set[str] = set()
+        for text in texts:
+            for line in text.split("\n"):
+                new.update(line.split(" ")[1:])
+        words = [w for w in new - self.spaced.keys() if w and not BLANK.match(w)]
+        known = self.lexicon.find([f" {w}".encode() for w in words]) if self.lexicon else [None] * len(words)
+        for w, ids in zip(words, known):
+            self.spaced[w] = self._plain(f" {w}") if ids is None else ids
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.buffer(text), "<u4")
 
@@ -235,7 +246,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, most_words: int = 32768) -> D
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [c.ids(t.as_py() or "") for t in batch.column("text")]
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                c.learn(texts)
+                ids = [c.ids(t) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])

@@ -96,6 +96,8 @@ class Lexicon:
         self.out_first, self.out = take(words + 1, "i", 4), take(ids, "I", 4)
         self.label, self.final = take(arcs, "B", 1), take(states, "B", 1)
         self.states, self.words = states, words
+        first, label = np.asarray(self.first), np.asarray(self.label)
+        self.steps = np.repeat(np.arange(states, dtype=np.int64), np.diff(first)) << 8 | label  # in order, as labels are within their state
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         state, place, first, label = self.root, 0, self.first, self.label
@@ -112,3 +114,26 @@ class Lexicon:
             place += self.skip[lo]
             state = self.target[lo]
         return tuple(self.out[self.out_first[place] : self.out_first[place + 1]]) if self.final[state] else None
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian unsigned 32-bit numbers, or None: all words take their next step at once."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        data, at = np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        target, skip, final = np.asarray(self.target), np.asarray(self.skip), np.asarray(self.final)
+        alive, state, place = np.flatnonzero(sizes), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        found = np.full(len(words), -1, np.int64)
+        k = 0
+        while len(alive) and len(self.steps):
+            want = state[alive] << 8 | data[at[alive] + k]
+            arc = np.minimum(np.searchsorted(self.steps, want), len(self.steps) - 1)
+            ok = self.steps[arc] == want
+            alive, arc, k = alive[ok], arc[ok], k + 1
+            place[alive] += skip[arc]
+            state[alive] = target[arc]
+            ended = sizes[alive] == k
+            done = alive[ended]
+            done = done[final[state[done]] > 0]
+            found[done] = place[done]
+            alive = alive[~ended]
+        out, ends = np.asarray(self.out), np.asarray(self.out_first)
+        return [None if i < 0 else out[ends[i] : ends[i + 1]].tobytes() for i in found.tolist()]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from array import array
 
 import public_tokenizers
 import pytest
@@ -27,6 +28,9 @@ def test_lexicon_holds_exactly_its_words(tmp_path):
     lexicon = Lexicon(str(tmp_path / "x"))
     assert all(lexicon.get(w) == ids for w, ids in words.items())
     assert all((lexicon.get(w) is None) == (w not in words) for w in [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 9))) for _ in range(3000)])
+    asked = [*words, b"", b"zz", *(w + b"a" for w in words), *(w[:-1] for w in words)]
+    assert lexicon.find(asked) == [None if lexicon.get(w) is None else array("I", lexicon.get(w)).tobytes() for w in asked]
+    assert lexicon.find([]) == []
     assert lexicon.states < 1 + sum(map(len, words)) / 4
 
 
