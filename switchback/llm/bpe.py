@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_lexicon
-from .shared import small_batches
+from .shared import small_batches, written
 
 #: Fixed: how byte-level BPE cuts a text before its merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -201,7 +201,11 @@ def tokenizer_file(spark: SparkSession, path: str) -> str:
 
 
 def frequent_words(docs: DataFrame, most: int) -> DataFrame:
-    """(word, n): the most frequent space-led words of all texts, counted over all rows; ties by the word."""
+    """(word, n): the most frequent space-led words of all texts, counted over all rows: at most ``most`` of those seen twice or more.
+
+    Words come by bins of like counts, from the top, as long as whole bins fit; so counts of bins, a few hundred, decide, and no task's candidates
+    reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -219,7 +223,15 @@ def frequent_words(docs: DataFrame, most: int) -> DataFrame:
                     seen.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 16)), "words")
+    least, words = float("inf"), 0
+    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.bin):
+        words += r.words
+        if words > most:
+            break
+        least = r.bin
+    return counted.where(F.col("bin") >= F.lit(least)).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 32768) -> bytes:
