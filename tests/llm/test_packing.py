@@ -57,3 +57,17 @@ def test_null_empty_long_and_repeated(spark):
     check(pack(df, PATH, group_tokens=1000).collect(), {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in rows})
     assert pack(df.limit(0), PATH).collect() == []
     assert pack(df.where("doc_id = 2").union(df.where("doc_id = 2")), PATH).count() == 2
+
+
+def test_sequences_are_rebuilt_from_the_pieces(spark):
+    t = Tokenizer.from_file(PATH)
+    docs = [(i, "word %d and more " % i * (1 + i * 7 % 300)) for i in range(1500)]
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, group_tokens=200_000).collect()
+    sequences, back = defaultdict(dict), defaultdict(dict)
+    for r in rows:
+        assert len(r.ids) == r.length
+        sequences[r.sequence_id][r.offset] = r.ids
+        back[r.doc_id][r.start] = r.ids
+    assert all(sum(map(len, x.values())) in {1 << b for b in range(11)} for x in sequences.values())
+    for i, text in docs:
+        assert [x for s in sorted(back[i]) for x in back[i][s]] == t.encode(text, add_special_tokens=False).ids + [0]
