@@ -15,6 +15,8 @@ from .textnp import cut_words, mixed, text_blocks
 
 #: Fragments of the global order end before shingles of these document frequencies.
 CUTS = (4, 16, 256)
+#: Members of a shingle that meet in one task.
+MEET = 1000
 SETS = "doc_id long, n long, lo long, hi long"
 
 
@@ -48,20 +50,22 @@ def _sets(width: int, keep: str, share: float = 1.0):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, every_link: bool = True) -> DataFrame:
     """Link texts whose sets of distinct word shingles have a Jaccard similarity of at least percent / 100.
 
     docs: doc_id long, text string; other columns are left alone. ASCII letters count in lower case and words end at
     ASCII white space. A text of fewer words than width is one shingle; a text without words has no shingle and no link.
     Returns, for each row of docs, doc_id, n_shingles and component_id, the smallest doc_id reachable by links (itself
-    included), and n_copies, the rows with an equal set. A null text is empty. A row without doc_id is returned; its
+    included), n_copies, the rows with an equal set, and n_links, the other sets, as classes of rows, that its own is linked to. A null text is empty. A row without doc_id is returned; its
     component is that of the rows with an equal set, or null, and it makes no links of its own. Repeated rows are equal sets. An empty table gives no rows.
 
     Rows with equal sets are one class. A link needs percent of either set to lie in other classes too, so classes with
     too many shingles of their own in one fragment (a share of the hash space) go at once. For the rest, the global
     order is (document frequency, hash). It is cut into fragments by frequency. Candidates meet on the rarest shingles
     they share: by size, the smaller set's index prefix and the larger one's probing prefix. Overlaps are counted in
-    each fragment separately and summed per pair. In a first round each prefix shingle's members meet only its purest
+    each fragment separately and summed per pair. All members of a prefix shingle meet, those of a hot one in parts by salt.
+
+    Without every_link, for callers that want components only, there is no n_links. In a first round each prefix shingle's members meet only its purest
     member; members that this links to it need not meet one another. A second round meets whatever is not yet in its
     component. So no list of members is ever paired with itself as a whole, and no link that would join components is lost.
     """
@@ -70,12 +74,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = written(docs.mapInArrow(_sets(width, ""), SETS), "sets")
     classes = rows.where("n > 0").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    labels = components(_links(_candidates(docs, classes, width, percent), percent)).withColumnRenamed("node", "rep")
-    named = written(classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "classes")
+    links = _links(_candidates(docs, classes, width, percent), percent, every_link)
+    labels = components(links).withColumnRenamed("node", "rep")
+    named = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if every_link:
+        ends = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+        named = named.join(ends, "rep", "left")
+    named = written(named, "classes")
+    number = ["n_links"] if every_link else []
     least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
-    of = written(named.join(least, "component").select("lo", "hi", F.col("n").alias("m"), "copies", "component_id"), "classes")
+    of = written(named.join(least, "component").select("lo", "hi", F.col("n").alias("m"), "copies", "component_id", *number), "classes")
     back = (rows.lo == of.lo) & (rows.hi == of.hi) & (rows.n == of.m)
-    return rows.join(of, back, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    return rows.join(of, back, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in number))
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -94,8 +104,8 @@ def _candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
     return written(ordered.where(f"100 * size(shingles) >= {percent} * n").select("rep", "n", (F.col("n") - F.size("shingles")).alias("own"), "shingles"), "ordered")
 
 
-def _links(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that give the same components as all links."""
+def _links(classes: DataFrame, percent: int, every_link: bool) -> DataFrame:
+    """(a, b), once each: every link, or links that give the same components."""
     spark, p = classes.sparkSession, percent
     cuts = ", ".join(map(str, CUTS))
     parts = classes.select("rep", F.expr(f"transform(sequence(0, {len(CUTS)}), f -> transform(filter(shingles, s -> s.df >= get(array(0, {cuts}), f) AND s.df < get(array({cuts}, 9223372036854775807L), f)), s -> s.h))").alias("all"))
@@ -104,7 +114,6 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     index = f"n - (({2 * p} * n + {99 + p}) div {100 + p}) + 1"
     places = classes.select("rep", "n", "own", F.expr(f"transform(slice(shingles, 1, cast(greatest(0, {probe} - own) as int)), (s, i) -> struct(s.h AS h, own + i AS pos, own + i < {index} AS early))").alias("s"))
     places = written(places.select("rep", "n", "own", F.inline("s")), "postings")
-    pivots = written(places.where("early").groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("own", "n", "rep", "pos")).alias("x")).select("h", *(F.col(f"x.{c}").alias(f"p_{c}") for c in ("own", "n", "rep", "pos"))), "pivots")
 
     def may(x: str, y: str) -> str:
         """x is the smaller of the two and meets y at an early place of x; neither length nor place rules the pair out."""
@@ -121,6 +130,19 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
         sums = two.select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("both")).groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
         return written(sums.where(f"100 * both >= {p} * (na + nb - both)").select("a", "b"), "links")
 
+    def meeting(met: DataFrame) -> DataFrame:
+        """The pairs of columns x_ and y_, the one of smaller rep first."""
+        low = F.col("x_rep") < F.col("y_rep")
+        return met.select(F.least("x_rep", "y_rep").alias("a"), F.when(low, F.col("x_n")).otherwise(F.col("y_n")).alias("na"), F.greatest("x_rep", "y_rep").alias("b"), F.when(low, F.col("y_n")).otherwise(F.col("x_n")).alias("nb"))
+
+    if every_link:
+        parts_of = written(places.groupBy("h").agg(F.expr(f"(count(*) + {MEET - 1}) div {MEET}").alias("salts")), "salts")
+        salted = places.join(parts_of, "h")
+        x = salted.where("early").select("h", F.pmod(F.xxhash64("rep"), "salts").alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "early")))
+        y = salted.select("h", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "early")))
+        return linked(meeting(x.join(y, ["h", "salt"]).where(may("x_", "y_"))))
+    pivots = written(places.where("early").groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("own", "n", "rep", "pos")).alias("x")).select("h", *(F.col(f"x.{c}").alias(f"p_{c}") for c in ("own", "n", "rep", "pos"))), "pivots")
+
     star = places.join(pivots, "h").where("rep != p_rep").withColumn("p_early", F.lit(True))
     star = star.where(f"{may('', 'p_')} OR {may('p_', '')}")
     first = linked(star.select(F.least("rep", "p_rep").alias("a"), F.when(F.col("rep") < F.col("p_rep"), F.col("n")).otherwise(F.col("p_n")).alias("na"), F.greatest("rep", "p_rep").alias("b"), F.when(F.col("rep") < F.col("p_rep"), F.col("p_n")).otherwise(F.col("n")).alias("nb")))
@@ -132,8 +154,7 @@ def _links(classes: DataFrame, percent: int) -> DataFrame:
     x = apart.select("h", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "early", "label")))
     y = named.select("h", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "early", "label")))
     rest = x.join(y, "h").where("x_label != y_label").where(f"{may('x_', 'y_')} OR {may('y_', 'x_')}")
-    low = F.col("x_rep") < F.col("y_rep")
-    second = linked(rest.select(F.least("x_rep", "y_rep").alias("a"), F.when(low, F.col("x_n")).otherwise(F.col("y_n")).alias("na"), F.greatest("x_rep", "y_rep").alias("b"), F.when(low, F.col("y_n")).otherwise(F.col("x_n")).alias("nb")))
+    second = linked(meeting(rest))
     return first.union(second)
 
 
@@ -142,7 +163,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     A doc_id that repeats stays once. Texts without words are alone. Rows without doc_id cannot be told apart and stay.
     """
-    found = jaccard_components(docs, width, percent)
+    found = jaccard_components(docs, width, percent, every_link=False)
     kept = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
     named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     bare = docs.where("doc_id IS NULL")
@@ -151,5 +172,5 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join over all documents: four-word shingles, similarity 0.85."""
+    """The join over all documents, with every link: four-word shingles, similarity 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)

@@ -72,3 +72,26 @@ def test_rows_without_id_and_empty_table(spark):
 def test_same_id_with_different_texts(spark):
     rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "p q r s t u")]
     assert run(spark, rows) == brute(rows, 4, 85)
+
+
+def test_every_link_is_counted(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 60):  # near copies of one text, which link to one another or not
+        w = list(rng.choice(rows)[1].split(" "))
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    grams = {i: frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) for i, t in rows for w in [t.split(" ")]}
+    want = {i: sum(100 * len(a & b) >= 85 * len(a | b) for b in set(grams.values()) if a != b) for i, a in grams.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_components(df, 4, 85)
+    assert {r.doc_id: r.n_links for r in got.collect()} == want and max(want.values()) > 5
+    plain = jaccard_components(df, 4, 85, every_link=False)
+    assert sorted(r[:4] for r in got.collect()) == sorted(tuple(r) for r in plain.collect())
+
+
+def test_hot_shingles_are_split(spark, monkeypatch):
+    monkeypatch.setattr("switchback.llm.ngram_join.MEET", 3)
+    test_every_link_is_counted(spark)
