@@ -5,18 +5,20 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import tempfile
 import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_lexicon
@@ -24,8 +26,18 @@ from .shared import small_batches, written
 
 #: Fixed: how byte-level BPE cuts a text before its merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-BLANK = regex.compile(r"\s")
+#: Fixed: what that pattern takes for white space.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space of two characters or more, or at the end of a text.
+RUN = re.compile(rf"{SPACE}{SPACE}+|{SPACE}\Z")
+BLANK = re.compile(SPACE)
+#: Runs from this length on are cut out before another library's pattern sees them, as its depth of search is bounded.
+LONG_RUN = re.compile(SPACE + "{512,}")
 NONE = 1 << 60
+#: A bin of words that does not fit whole is taken by this number of shares.
+SHARES = 4096
+#: Pieces up to this number of bytes are merged many at once.
+SHORT = 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,56 +47,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Coder:
-    """Encodes and decodes texts by a tokenizer file of the byte-level kind, in one process.
+def cut_runs(text: str, run: re.Pattern) -> Iterator[tuple[str, str]]:
+    """(what stands before it, run) for each run of white space, and what is left.
 
-    A text is cut at line feeds, and before each space that a visible character follows; no piece of the BPE's own
-    cutting crosses such a place. Each part's ids are looked up in a table of bounded size, then in the lexicon, and
-    else its pieces are merged. A text in which white space meets white space, or with a special token in it, is cut by
-    the pattern alone. Where ids follow the merges' ranks, as tiktoken has it, that library merges what is in neither.
+    Before a visible character, the last character of a run belongs to what follows, as the BPE's own cutting has it; the rest of the run, or all
+    of a run that ends the text, is one piece.
     """
-
-    def __init__(self, path: str, lexicon: str | None = None, most_known: int = 300_000) -> None:
-        model = json.load(open(path, encoding="utf-8"))
-        vocab, letters = model["model"]["vocab"], byte_letters()
-        self.start = [vocab[letters[b]] for b in range(256)]
-        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        back = {c: b for b, c in letters.items()}
-        self.bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        ranked = all(i == k for k, i in enumerate(sorted(set(self.start)))) and all(x[1] == 256 + x[0] for x in self.pairs.values())
-        ranks = {b: i for i, b in self.bytes.items() if i not in self.special.values()}
-        self.fast = tiktoken.Encoding("own", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens=self.special) if ranked else None
-        self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.most = most_known
-        self.spaced, self.bare = _Table(self, " "), _Table(self, "")
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The ids of one piece: the adjacent pair of least rank is merged, the leftmost first, until none can be."""
-        ids = [self.start[b] for b in piece]
-        if len(ids) > 100:
-            return self._merged_long(ids)
-        get, none = self.pairs.get, (NONE, 0)
-        ranks = [get(p, none) for p in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best is none or best[0] == NONE:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
-        return ids
-
-    def _merged_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap over a linked list, for pieces of any length."""
+    at = 0
+    for m in run.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        yield text[at : m.start()], text[m.start() : end]
+        at = end
+    yield text[at:], ""
+
+
+class Merges:
+    """The merges of a vocabulary: the adjacent pair of least rank is merged, the leftmost first, until none can be."""
+
+    def __init__(self, start: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> None:
+        self.start, self.pairs = start, pairs
+        ranked = sorted((a << 32 | b, rank, to) for (a, b), (rank, to) in pairs.items())
+        self.keys, self.ranks, self.to = (np.array([x[i] for x in ranked], np.int64) for i in range(3))
+        self.result = np.zeros(int(self.ranks.max(initial=0)) + 1, np.int64)
+        self.result[self.ranks] = self.to
+        self.first = np.array(start, np.int64)
+        made: dict[int, int] = {}
+        for rank, to in self.pairs.values():
+            made[to] = min(rank, made.get(to, rank))
+        #: Whether no merge of a token comes before the one that makes it, so that all places of a pair may be merged at once.
+        self.ordered = len(made) == len(pairs) and all(made.get(x, -1) < rank for p, (rank, _) in pairs.items() for x in p)
+
+    def one(self, piece: bytes) -> list[int]:
+        """The ids of one piece, by a heap over a linked list; its cost is n log n."""
+        ids = self._rounds(self.first[np.frombuffer(piece, np.uint8)]) if len(piece) > 4096 else [self.start[b] for b in piece]
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(self.pairs[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.pairs]
@@ -102,54 +97,179 @@ class Coder:
                     heapq.heappush(heap, (self.pairs[ids[x], ids[y]][0], x, ids[x], ids[y]))
         return [x for x, ok in zip(ids, alive) if ok]
 
-    def whole(self, text: str) -> bytes:
-        """As buffer(), by tiktoken alone where it can be used: quicker where most words are rare."""
-        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if self.fast else self.buffer(text)
+    def _rounds(self, ids: np.ndarray, most: int = 64) -> list[int]:
+        """A very long piece after up to ``most`` ranks, all places of a rank at once; enough for a run of one character."""
+        for _ in range(most if self.ordered else 0):
+            rank = self._rank(ids[:-1], ids[1:])
+            best = int(rank.min(initial=NONE))
+            if best == NONE:
+                break
+            at = np.flatnonzero(rank == best)
+            if ids[at[0]] == ids[at[0] + 1]:  # of places that overlap, every other one from the first
+                fresh = np.diff(at, prepend=-2) > 1
+                at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))) % 2 == 0]
+            ids[at] = self.result[best]
+            ids = np.delete(ids, at + 1)
+        return ids.tolist()
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(a.shape, NONE)
+        want = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[at] == want, self.ranks[at], NONE)
+
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit numbers. Short pieces take their next merge all at once."""
+        out: list[bytes] = [b""] * len(pieces)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = np.array(self.one(pieces[i]), "<u4").tobytes()
+        for low, wide in ((0, 8), (8, 16), (16, SHORT)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= wide))
+            if len(rows):
+                self._merge_rows([pieces[i] for i in rows.tolist()], sizes[rows], wide, rows, out)
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], sizes: np.ndarray, wide: int, rows: np.ndarray, out: list[bytes]) -> None:
+        ids = np.full((len(pieces), wide), -1, np.int64)
+        ids[np.arange(wide) < sizes[:, None]] = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.full((len(pieces), wide), NONE)
+        rank[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])  # -1 is in no pair
+        column = np.arange(wide)
+        while len(rows):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(rows)), at]
+            done = best == NONE
+            if done.any():
+                for i, x in zip(rows[done].tolist(), ids[done]):
+                    out[i] = x[x >= 0].astype("<u4").tobytes()
+                rows, ids, rank, at, best = (x[~done] for x in (rows, ids, rank, at, best))
+                if not len(rows):
+                    return
+            n = np.arange(len(rows))
+            ids[n, at] = self.result[best]
+            left = np.minimum(column + (column > at[:, None]), wide - 1)  # all behind the place moves up by one
+            ids = np.take_along_axis(ids, left, 1)
+            ids[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(column + (column >= at[:, None]), wide - 1), 1)
+            rank[:, -1] = NONE
+            rank[n, at] = self._rank(ids[n, at], ids[n, np.minimum(at + 1, wide - 1)])
+            ahead = np.maximum(at - 1, 0)
+            rank[n, ahead] = np.where(at > 0, self._rank(ids[n, ahead], ids[n, at]), rank[n, ahead])
+
 
-    def _plain(self, text: str) -> bytes:
-        if self.fast:
-            return array("I", self.fast.encode_ordinary(text)).tobytes()
-        return np.array([i for piece in PIECES.findall(text) for i in self.merged(piece.encode())], "<u4").tobytes()
+class Coder:
+    """Encodes and decodes texts by a tokenizer file of the byte-level kind, in one process.
+
+    A text is cut at special tokens, at white space of two characters or more, at line feeds, and before each space that a visible character
+    follows; no piece of the BPE's own cutting crosses such a place. Each part's ids are looked up in a table of bounded size, then in the lexicon; else
+    its pieces are looked up there, and what is in neither is merged. So texts of any lengths and any white space take the same way.
+    """
+
+    def __init__(self, path: str, lexicon: str | None = None, most_known: int = 300_000) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        vocab, letters = model["model"]["vocab"], byte_letters()
+        start = [vocab[letters[b]] for b in range(256)]
+        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, pair in enumerate(model["model"]["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self.merges = Merges(start, pairs)
+        back = {c: b for b, c in letters.items()}
+        self.bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.ranked = all(i == k for k, i in enumerate(sorted(set(start)))) and all(x[1] == 256 + x[0] for x in pairs.values())
+        self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.most = most_known
+        #: Ids of words with a space before them, of words without, and of runs of white space.
+        self.spaced, self.bare, self.runs = _Table(self, " "), _Table(self, ""), _Table(self, "")
+
+    @cached_property
+    def fast(self) -> tiktoken.Encoding | None:
+        """Where ids follow the merges' ranks, as tiktoken has it, a coder of that library, for callers to whom tokens are a means only."""
+        ranks = {b: i for i, b in self.bytes.items() if i not in self.special.values()}
+        return tiktoken.Encoding("own", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens=self.special) if self.ranked else None
+
+    def whole(self, text: str) -> bytes:
+        """As buffer(), by tiktoken where it can be used; long runs of white space are cut out and merged here."""
+        if not self.fast:
+            return self.buffer(text)
+        if not LONG_RUN.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        out = []
+        for part, special in self._special_parts(text):
+            for before, run in cut_runs(part, LONG_RUN):
+                out += [array("I", self.fast.encode_ordinary(before)).tobytes(), self.runs[run]]
+            out.append(special)
+        return b"".join(out)
+
+    def _special_parts(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """(text before it, its id) of each special token in a text, and what is left."""
+        at = 0
+        for m in self.cut_special.finditer(text) if self.cut_special else ():
+            yield text[at : m.start()], np.array([self.special[m[0]]], "<u4").tobytes()
+            at = m.end()
+        yield text[at:], b""
+
+    def _segments(self, text: str) -> Iterator[tuple[str, str, bytes]]:
+        """(text with single white space only, run of white space, id of a special token) in turn."""
+        for part, special in self._special_parts(text):
+            for before, run in cut_runs(part, RUN):
+                yield before, run, b"" if run else special
 
     def buffer(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if self.cut_special and self.cut_special.search(text):
-            out, at = [], 0
-            for m in self.cut_special.finditer(text):
-                out += [self._plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
-                at = m.end()
-            return b"".join([*out, self._plain(text[at:])])
-        spaced, bare, parts = self.spaced, self.bare, []
+        spaced, bare, runs, parts = self.spaced, self.bare, self.runs, []
         line_feed = bare["\n"]
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(line_feed)
-            parts.append(bare[words[0]])
-            words[0] = None
-            parts += map(spaced.__getitem__, words)
-        del parts[0]
-        try:
-            return b"".join(parts)
-        except TypeError:  # a part begins with white space, or is empty
-            return self._plain(text)
-        finally:
-            if len(spaced) + len(bare) > self.most:
-                spaced.clear()
-                bare.clear()
-                spaced[None] = b""
+        for segment, run, special in self._segments(text):
+            lines = segment.split("\n")
+            for k, line in enumerate(lines):
+                if k:
+                    parts.append(line_feed)
+                first, *words = line.split(" ")
+                parts.append(bare[first])
+                parts += map(spaced.__getitem__, words)
+            parts += [runs[run], special]
+        return b"".join(parts)
 
     def learn(self, texts: list[str]) -> None:
-        """Put all new space-led words of some texts into the table, with one search of the lexicon."""
-        new: set[str] = set()
+        """Put all new words of some texts into the tables, with one search of the lexicon and one merging."""
+        if len(self.spaced) + len(self.bare) + len(self.runs) > self.most:
+            for table in (self.spaced, self.bare, self.runs):
+                table.clear()
+        spaced: set[str] = set()
+        bare: set[str] = set()
         for text in texts:
-            for line in text.split("\n"):
-                new.update(line.split(" ")[1:])
-        words = [w for w in new - self.spaced.keys() if w and not BLANK.match(w)]
-        known = self.lexicon.find([f" {w}".encode() for w in words]) if self.lexicon else [None] * len(words)
-        for w, ids in zip(words, known):
-            self.spaced[w] = self._plain(f" {w}") if ids is None else ids
+            for segment, _, _ in self._segments(text):
+                for line in segment.split("\n"):
+                    first, *words = line.split(" ")
+                    bare.add(first)
+                    spaced.update(words)
+        for table, words in ((self.spaced, spaced), (self.bare, bare)):
+            words = [w for w in words if w and w not in table]
+            table.update(zip(words, self.encode_words([table.lead + w for w in words])))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: from the lexicon, else of its pieces from there, else by merging."""
+        found = self._known([w.encode() for w in words])
+        rest = [i for i, x in enumerate(found) if x is None]
+        cut = {i: PIECES.findall(words[i]) for i in rest}
+        new = list({p for pieces in cut.values() for p in pieces})
+        coded = [p.encode() for p in new]
+        ids = self._known(coded)
+        missing = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(missing, self.merges.many([coded[k] for k in missing])):
+            ids[k] = x
+        table = dict(zip(new, ids))
+        for i, pieces in cut.items():
+            found[i] = b"".join(map(table.__getitem__, pieces))
+        return found
+
+    def _known(self, words: list[bytes]) -> list[bytes | None]:
+        return self.lexicon.find(words) if self.lexicon else [None] * len(words)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.buffer(text), "<u4")
@@ -159,19 +279,13 @@ class Coder:
 
 
 class _Table(dict):
-    """The ids of parts of a line, each with the given lead; None for a part that its surroundings may change."""
+    """The ids of parts of a line, each with the given lead."""
 
     def __init__(self, coder: Coder, lead: str) -> None:
         self.coder, self.lead = coder, lead
-        if lead:
-            self[None] = b""
-
-    def __missing__(self, part: str) -> bytes | None:
-        if part != "\n" and (not part or BLANK.match(part)):
-            return None
-        word = self.lead + part
-        ids = self.coder.lexicon.get(word.encode()) if self.coder.lexicon else None
-        self[part] = out = np.array(ids, "<u4").tobytes() if ids else self.coder._plain(word)
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = out = self.coder.encode_words([self.lead + part])[0] if part else b""
         return out
 
 
@@ -200,18 +314,18 @@ def tokenizer_file(spark: SparkSession, path: str) -> str:
         return brought(spark, f.read(), "tokenizer.json")
 
 
-def frequent_words(docs: DataFrame, most: int) -> DataFrame:
-    """(word, n): the most frequent space-led words of all texts, counted over all rows: at most ``most`` of those seen twice or more.
+def frequent_words(docs: DataFrame, most: int, longest: int = 64) -> DataFrame:
+    """(word, n): the most frequent space-led words of all texts, counted over all rows: at most ``most`` of those seen twice or more, of ``longest`` characters or fewer.
 
-    Words come by bins of like counts, from the top, as long as whole bins fit; so counts of bins, a few hundred, decide, and no task's candidates
-    reach the driver.
+    Words come by bins of like counts, from the top, as long as whole bins fit; of the first bin that does not, by shares of a hash as long as
+    those fit. So counts of bins, a few hundred and then SHARES, decide, and no task's candidates reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def out():
-            kept = [(w, n) for w, n in seen.items() if w and not BLANK.match(w)]
+            kept = [(w, n) for w, n in seen.items() if w and len(w) <= longest and not BLANK.match(w)]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
         for batch in batches:
@@ -225,19 +339,31 @@ def frequent_words(docs: DataFrame, most: int) -> DataFrame:
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 16)), "words")
-    least, words = float("inf"), 0
-    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.bin):
-        words += r.words
-        if words > most:
-            break
-        least = r.bin
-    return counted.where(F.col("bin") >= F.lit(least)).select("word", "n")
+
+    def fitting(df: DataFrame, by: Column, room: int) -> tuple[int, int]:
+        """(least, words): the least value of by such that the rows from it on are no more than room, and their number."""
+        words, least = 0, 1 << 62
+        for r in sorted(df.groupBy(by.alias("by")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.by):
+            if words + r.words > room:
+                break
+            words, least = words + r.words, r.by
+        return least, words
+
+    least, words = fitting(counted, F.col("bin"), most)
+    next_bin = counted.where(F.col("bin") < F.lit(least)).agg(F.max("bin")).first()[0]
+    share = F.pmod(F.xxhash64("word"), F.lit(SHARES))
+    chosen = F.col("bin") >= F.lit(least)
+    if next_bin is not None:
+        least_share, _ = fitting(counted.where(F.col("bin") == next_bin), share, most - words)
+        chosen = chosen | (F.col("bin") == next_bin) & (share >= F.lit(least_share))
+    return counted.where(chosen).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 32768) -> bytes:
-    """The lexicon of the most frequent words of docs; most bounds what reaches the driver."""
-    own = Coder(tokenizer)
-    return compile_lexicon((w := f" {r.word}".encode(), tuple(np.frombuffer(own._plain(w.decode()), "<u4").tolist())) for r in frequent_words(docs, most).collect())
+    """The lexicon of the most frequent words of docs; most, and the longest word that is taken, bound what reaches the driver."""
+    words = [f" {r.word}" for r in frequent_words(docs, most).toLocalIterator()]
+    ids = Coder(tokenizer).encode_words(words)
+    return compile_lexicon((w.encode(), tuple(np.frombuffer(x, "<u4").tolist())) for w, x in zip(words, ids))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, most_words: int = 32768) -> DataFrame:
@@ -245,8 +371,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, most_words: int = 32768) -> D
 
     docs: doc_id, text; other columns are left alone. Returns, for each row, doc_id, ids array<int> and decoded string. A null text is
     empty and has no ids. The strings of special tokens in a text become special tokens. Repeated rows are returned as
-    often as they come; a row without doc_id keeps a null doc_id. The lexicon holds the most_words most frequent words of
-    all rows (none for an empty table); it changes the time taken, never the ids.
+    often as they come; a row without doc_id keeps a null doc_id. A text may be of any length, and so may its words and its runs of white space. The lexicon
+    holds the most_words most frequent words of all rows (none for an empty table); it changes the time taken, never the ids.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from switchback.llm.bpe import Coder, build_lexicon, encode_decode, op2_bpe
+from switchback.llm.bpe import Coder, build_lexicon, encode_decode, frequent_words, op2_bpe
 from switchback.llm.lexicon import Lexicon, compile_lexicon
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,3 +86,51 @@ def test_query_matches_the_library(spark, reference):
     for r in docs:
         ids = reference.encode(r.text or "", add_special_tokens=False).ids
         assert got[r.doc_id] == (len(ids), sha(",".join(map(str, ids))), sha(reference.decode(ids, skip_special_tokens=False)))
+
+
+RUNS = [" " * 1_000_000, " " * 5_000_000, "\t" * 1_000_000, "\n" * 1_000_001 + "x", " \n" * 500_000 + "end", "a" + " " * 700_001 + "<|endoftext|>" + " " * 9 + "b", "one\n\n  two\r\n\r\n three  four \n"]
+
+
+def test_long_runs_of_white_space_through_spark(spark, reference):
+    want = [reference.encode(t, add_special_tokens=False).ids for t in RUNS]
+    df = spark.createDataFrame(list(enumerate(RUNS)), "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.decoded) for r in encode_decode(df, PATH).collect()}
+    assert all(got[i] == (ids, RUNS[i]) for i, ids in enumerate(want))
+
+
+def test_random_white_space_matches_by_all_ways(reference):
+    rng, c = random.Random(8), Coder(PATH)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "　", "\x85", "\x1c", "word", "Word,", "12", "é", "'s", "<|endoftext|>", " " * 600, "\n" * 700, "#!"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        want = reference.encode(text, add_special_tokens=False).ids
+        assert c.ids(text).tolist() == want and array("I", c.whole(text)).tolist() == want, repr(text)
+
+
+def test_merging_many_pieces_is_merging_each(reference):
+    rng, merges = random.Random(4), Coder(PATH).merges
+    pieces = [bytes(rng.choice(b"aeinrst \xc3\xa9") for _ in range(rng.randrange(1, 90))) for _ in range(2000)]
+    assert [array("I", x).tolist() for x in merges.many(pieces)] == [merges.one(p) for p in pieces]
+    long = bytes(rng.choice(b"abab ab") for _ in range(9000))
+    whole = merges.one(long)
+    merges.ordered = False  # no rounds: the heap alone
+    assert whole == merges.one(long)
+
+
+def test_lexicon_serves_texts_with_blank_lines_and_runs(tmp_path, reference, monkeypatch):
+    words = [" the", " quick", " end"]
+    (tmp_path / "x").write_bytes(compile_lexicon((w.encode(), tuple(reference.encode(w).ids)) for w in words))
+    c, merged = Coder(PATH, str(tmp_path / "x")), []
+    many = c.merges.many
+    monkeypatch.setattr(c.merges, "many", lambda pieces: merged.extend(pieces) or many(pieces))
+    text = "x the quick the\n\nz the  quick \n\n\n the end\tend the, \n"
+    c.learn([text])
+    assert c.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert not {w.encode() for w in words} & set(merged) and b"," in merged  # only what the lexicon lacks is merged
+
+
+def test_words_are_chosen_within_a_bin(spark):
+    docs = spark.createDataFrame([(" ".join(["x", *(f"w{i}" for i in range(500))]),)] * 2 + [("x top top top " + "y" * 500 + " ",)], "text string")
+    got = {r.word: r.n for r in frequent_words(docs, 400).collect()}
+    assert 300 < len(got) <= 400 and got["top"] == 3 and max(map(len, got)) <= 64
+    assert frequent_words(docs, 501).count() == 501 and frequent_words(docs, 0).count() == 0

@@ -71,3 +71,10 @@ def test_sequences_are_rebuilt_from_the_pieces(spark):
     assert all(sum(map(len, x.values())) in {1 << b for b in range(11)} for x in sequences.values())
     for i, text in docs:
         assert [x for s in sorted(back[i]) for x in back[i][s]] == t.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_long_runs_of_white_space(spark):
+    t = Tokenizer.from_file(PATH)
+    texts = [" " * 1_000_000, "a" + "\t" * 1_000_000 + "b", "x" + " " * 600_001 + "<|endoftext|>", "\n" * 5_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(pack(df, PATH).collect(), {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)})
