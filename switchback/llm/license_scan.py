@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,17 @@ def word_count(words: Column) -> Column:
     return F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
 
 
-def _literal(rows: list[tuple], kinds: str) -> Column:
-    """The rows as an array of structs."""
-    names = [x.split() for x in kinds.split(", ")]
-    return F.array(*(F.struct(*(F.lit(x).cast(k).alias(n) for x, (n, k) in zip(r, names))) for r in rows))
+def _let(value: Column, body) -> Column:
+    """body of a value that is evaluated once; a column's expression would be put in wherever a lambda names it, and evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(w: Column, pattern: Column) -> Column:
+    """The text cut before each place of a rule: words in the piece, and words of the match that it begins with (0 without), which may reach into the next ones."""
+    ahead = F.concat(F.lit("(?=("), pattern, F.lit(r"(?= |\z)))"))
+    cuts = F.split(w, ahead, F.lit(-1))
+    both = F.struct(cuts.alias("cuts"), F.regexp_extract_all(w, ahead, F.lit(1)).alias("found"))
+    return _let(both, lambda b: F.transform(b.cuts, lambda c, i: F.struct(word_count(c).alias("words"), F.coalesce(word_count(F.get(b.found, i - F.size(b.cuts) + F.size(b.found))), F.lit(0)).alias("n"))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -37,34 +46,31 @@ def scan(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are left alone. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections
     (array of start, n_words, label, priority). Word counts and places are in words from 0.
 
-    The rules whose keyword stands in the text are searched over its words. A place is suppressed by a place that contains it and has a lower
-    priority number, or the same and is longer, or else comes earlier among the rules; base phrases have priority 0 and stay. labels holds all labels left, and
-    base_labels those of base phrases, both sorted; score is the greatest sureness among places left, 0 if there is none. Null and
-    empty texts have no words; repeated rows are scanned alike; a null doc_id stays null; an empty table gives no rows.
+    The rules whose keyword stands in the text are searched over its words, each from every place, so places of one rule may overlap. A place is suppressed by a
+    place that contains it and has a lower priority number, or the same and is longer, or else comes earlier among the rules; base phrases have priority 0 and
+    stay. labels holds all labels left, licenses' and those of other notices (copyright, license-file, proprietary and the like), and base_labels those of base
+    phrases, both sorted; score is the greatest sureness among places left, 0 if there is none. Null and empty texts have no words; repeated
+    rows are scanned alike; a null doc_id stays null; an empty table gives no rows.
     """
-    all_rules = [(i, *r) for i, r in enumerate(rules())]
-    listed = _literal(all_rules, "rule int, priority int, label string, keyword string, pattern string")
-    keywords = F.array(*(F.lit(k) for k in dict.fromkeys(r[3] for r in all_rules)))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced_words(F.col("text").cast("string")).alias("w"))
-    d = d.withColumn("gates", F.filter(keywords, lambda k: F.contains("w", k)))
-
-    def pieces(r: Column) -> Column:
-        """The text cut before each place of a rule: words in the piece, and words of the match that it begins with."""
-        end = F.lit("(?= |$)")
-        match = F.concat(F.lit("^"), r.pattern, end)
-        cut = F.split(F.col("w"), F.concat(F.lit("(?="), r.pattern, end, F.lit(")")), F.lit(-1))
-        return F.transform(cut, lambda p: F.struct(word_count(p).alias("words"), word_count(F.call_function("regexp_extract", p, match, F.lit(0))).alias("n")))
-
-    searched = F.transform(F.filter(listed, lambda r: F.array_contains("gates", r.keyword)), lambda r: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), pieces(r).alias("pieces")))
-    found = F.when(F.size("gates") > 0, F.filter(searched, lambda s: (F.size(s.pieces) > 1) | (F.get(s.pieces, 0).n > 0)))
-    narrow = written(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_count(F.col("w")).cast("long").alias("n_words"), found.alias("found")), "found")
+    all_rules = [{"rule": i, **dict(zip(("priority", "label", "keyword", "pattern"), r))} for i, r in enumerate(rules())]
+    listed = F.from_json(F.lit(json.dumps(all_rules)), "array<struct<rule: int, priority: int, label: string, keyword: string, pattern: string>>")
+    keywords = F.from_json(F.lit(json.dumps(list(dict.fromkeys(r["keyword"] for r in all_rules)))), "array<string>")
+
+    def found(w: Column) -> Column:
+        gated = lambda g: F.transform(F.filter(listed, lambda r: F.array_contains(g, r.keyword)), lambda r: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), _pieces(w, r.pattern).alias("pieces")))
+        hits = lambda g: F.filter(gated(g), lambda s: F.exists(s.pieces, lambda p: p.n > 0))
+        gates = _let(F.filter(keywords, lambda k: F.contains(w, k)), lambda g: F.when(F.size(g) > 0, hits(g)))
+        return F.struct(word_count(w).cast("long").alias("n_words"), gates.alias("found"))
+
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _let(spaced_words(F.col("text").cast("string")), found).alias("f"))
+    narrow = written(d.select("row", "doc_id", "f.*"), "found")
 
     none = narrow.where("coalesce(size(found), 0) <= 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), *(F.lit(None).cast("long").alias(c) for c in ("first_word", "last_word")), *(F.lit("").alias(c) for c in ("base_labels", "labels")), F.lit(0.0).alias("score"), F.array().cast("array<struct<start: long, n_words: long, label: string, priority: int>>").alias("detections"))
     some = narrow.where("size(found) > 0").repartition("row").select("row", "doc_id", "n_words", F.inline("found"))
     places = some.select("row", "doc_id", "n_words", "rule", "priority", "label", F.posexplode("pieces").alias("at", "piece"))
     before = Window.partitionBy("row", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     places = places.withColumn("start", F.coalesce(F.sum("piece.words").over(before), F.lit(0)).cast("long"))
-    places = places.where("at > 0 OR piece.n > 0").withColumn("stop", F.col("start") + F.greatest("piece.n", F.lit(1)))
+    places = places.where("piece.n > 0").withColumn("stop", F.col("start") + F.col("piece.n"))
     earlier = Window.partitionBy("row").orderBy("start", F.desc("stop"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
     for p in range(LEAST + 1):
         places = places.withColumn(f"reach{p}", F.max(F.when(F.col("priority") <= p, F.col("stop"))).over(earlier))

@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from switchback.llm.ngram_join import jaccard_components
+from switchback.llm.ngram_join import jaccard_components, one_of_each, op5_ngram_jaccard
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -92,6 +92,33 @@ def test_every_link_is_counted(spark):
     assert sorted(r[:4] for r in got.collect()) == sorted(tuple(r) for r in plain.collect())
 
 
-def test_hot_shingles_are_split(spark, monkeypatch):
+def test_hot_shingles_and_components_are_split(spark, monkeypatch):
     monkeypatch.setattr("switchback.llm.ngram_join.MEET", 3)
+    monkeypatch.setattr("switchback.llm.ngram_join.BLOCK", 4)
     test_every_link_is_counted(spark)
+    test_random_texts_with_copies_match_brute_force(spark)
+
+
+def test_many_short_texts_that_share_one_phrase(spark):
+    rows = [(i, f"all rights reserved by the holder of this w{i % 9000} and w{i * 7 % 9001}") for i in range(20_000)]
+    rows += [(30_000 + i, "all rights reserved by the holder of this" + f" v{i // 2}" * (i % 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_components(df, 4, 85).collect()}
+    assert {got[i] for i in range(30_000, 30_600, 2)} == {(30_000, 0)} and len(got) == 20_600
+    assert all(got[i] == (i, 0) for i in range(9001))
+
+
+def test_one_of_each_keeps_different_texts_and_any_columns(spark):
+    names = ["kept_id", "row", "id", "lo", "hi", "n", "rep", "component", "h"]
+    near = [f"w{i}" for i in range(60)]
+    rows = [(7, "one text of five words"), (7, "another text with six words here"), (7, "one text of five words"), (8, "ONE text of five words"), (9, " ".join(near)), (10, " ".join([*near[:-1], "x"])), (None, "one text of five words"), (None, "lone words without an id stand"), (11, None), (11, ""), (12, " \n")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(7, "one text of five words"), (7, "another text with six words here"), (9, " ".join(near)), (None, "lone words without an id stand"), (11, None), (11, ""), (12, " \n")], key=str)
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(tuple(r)[:3] for r in op5_ngram_jaccard(spark, sf).collect()) == brute(rows, 4, 85)
