@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .license_rules import BASE, LEAST, rules
-from .shared import written
+from .shared import let, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed: what stands between words.
@@ -27,17 +27,12 @@ def word_count(words: Column) -> Column:
     return F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is evaluated once; a column's expression would be put in wherever a lambda names it, and evaluated for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _pieces(w: Column, pattern: Column) -> Column:
     """The text cut before each place of a rule: words in the piece, and words of the match that it begins with (0 without), which may reach into the next ones."""
     ahead = F.concat(F.lit("(?=("), pattern, F.lit(r"(?= |\z)))"))
     cuts = F.split(w, ahead, F.lit(-1))
     both = F.struct(cuts.alias("cuts"), F.regexp_extract_all(w, ahead, F.lit(1)).alias("found"))
-    return _let(both, lambda b: F.transform(b.cuts, lambda c, i: F.struct(word_count(c).alias("words"), F.coalesce(word_count(F.get(b.found, i - F.size(b.cuts) + F.size(b.found))), F.lit(0)).alias("n"))))
+    return let(both, lambda b: F.transform(b.cuts, lambda c, i: F.struct(word_count(c).alias("words"), F.coalesce(word_count(F.get(b.found, i - F.size(b.cuts) + F.size(b.found))), F.lit(0)).alias("n"))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -59,10 +54,10 @@ def scan(docs: DataFrame) -> DataFrame:
     def found(w: Column) -> Column:
         gated = lambda g: F.transform(F.filter(listed, lambda r: F.array_contains(g, r.keyword)), lambda r: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), _pieces(w, r.pattern).alias("pieces")))
         hits = lambda g: F.filter(gated(g), lambda s: F.exists(s.pieces, lambda p: p.n > 0))
-        gates = _let(F.filter(keywords, lambda k: F.contains(w, k)), lambda g: F.when(F.size(g) > 0, hits(g)))
+        gates = let(F.filter(keywords, lambda k: F.contains(w, k)), lambda g: F.when(F.size(g) > 0, hits(g)))
         return F.struct(word_count(w).cast("long").alias("n_words"), gates.alias("found"))
 
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _let(spaced_words(F.col("text").cast("string")), found).alias("f"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), let(spaced_words(F.col("text").cast("string")), found).alias("f"))
     narrow = written(d.select("row", "doc_id", "f.*"), "found")
 
     none = narrow.where("coalesce(size(found), 0) <= 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), *(F.lit(None).cast("long").alias(c) for c in ("first_word", "last_word")), *(F.lit("").alias(c) for c in ("base_labels", "labels")), F.lit(0.0).alias("score"), F.array().cast("array<struct<start: long, n_words: long, label: string, priority: int>>").alias("detections"))
