@@ -34,6 +34,11 @@ def lon_pad(lat: Column, metres: float = 35.0) -> Column:
     return metres / (RIDE_DEG_M * F.cos(F.radians(lat)))
 
 
+def offset(lon: Column, lat: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """(lon, lat) of a point dx metres east and dy metres north."""
+    return lon + F.degrees(dx / (EARTH_M * F.cos(F.radians(lat)))), lat + F.degrees(dy / EARTH_M)
+
+
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size)
 

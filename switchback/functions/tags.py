@@ -32,7 +32,7 @@ def is_tunnel(tags: Column) -> Column:
 
 
 def off_ground(tags: Column) -> Column:
-    return is_tunnel(tags) | F.coalesce(tag(tags, "bridge") != "no", F.lit(False)) | F.coalesce(tag(tags, "layer").rlike(r"^-?\d+$") & (tag(tags, "layer") != "0"), F.lit(False))
+    return is_tunnel(tags) | F.coalesce(tag(tags, "bridge") != "no", F.lit(False)) | F.coalesce(tag(tags, "layer").rlike(LAYER) & (tag(tags, "layer") != "0"), F.lit(False))
 
 
 def is_narrow(tags: Column) -> Column:
@@ -45,14 +45,20 @@ def urban(tags: Column) -> Column:
 
 
 def road_key(tags: Column) -> Column:
-    """The first reference without spaces in upper case, else the name, else null."""
+    """The first reference without spaces in upper case, or the name of a road without reference; null where that is empty."""
     ref = F.upper(F.replace(F.split_part(tag(tags, "ref"), F.lit(";"), F.lit(1)), F.lit(" "), F.lit("")))
-    return F.coalesce(F.nullif(ref, F.lit("")), tag(tags, "name"))
+    return F.when(tag(tags, "ref").isNotNull(), F.nullif(ref, F.lit(""))).otherwise(tag(tags, "name"))
+
+
+# How conditional access tags say that a road is closed, whole layers, and the wind chill's terms.
+CLOSED = r"(?i)(?:no|private)\s*@\s*\(?([^);]+)\)?"
+LAYER = r"^-?\d+$"
+CHILL_LIMIT, CHILL = 15, (13.12, 0.6215, -11.37, 0.3965)
 
 
 def closure(tags: Column) -> Column:
     """The condition of the first conditional access rule that closes the road, else seasonal, else null."""
-    rules = [F.nullif(F.trim(F.regexp_extract(tag(tags, f"{k}:conditional"), r"(?i)(?:no|private)\s*@\s*\(?([^);]+)\)?", 1)), F.lit("")) for k in ACCESS_KEYS]
+    rules = [F.nullif(F.trim(F.regexp_extract(tag(tags, f"{k}:conditional"), CLOSED, 1)), F.lit("")) for k in ACCESS_KEYS]
     seasonal = F.when(F.coalesce(tag(tags, "winter_road") == "no", F.lit(False)) | F.coalesce(tag(tags, "seasonal") == "yes", F.lit(False)), "seasonal")
     return F.coalesce(*rules, seasonal)
 
@@ -67,8 +73,8 @@ def subtitle(heading: Column, name: Column, share: Column, ref: Column) -> Colum
 
 def feels_like(celsius: Column, kmh: float = 80.0) -> Column:
     """Wind chill at riding speed, never above the air; null above 15 degrees."""
-    v = kmh**0.16
-    return F.when(celsius <= 15, F.least(celsius, 13.12 + 0.6215 * celsius - 11.37 * v + 0.3965 * celsius * v))
+    (base, per_degree, per_wind, both), wind = CHILL, kmh**0.16
+    return F.when(celsius <= CHILL_LIMIT, F.least(celsius, base + per_wind * wind + celsius * (per_degree + both * wind)))
 
 
 # Weather codes and their words.

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import cell
+
+#: Degrees of the cells in which roads meet the boxes of areas.
+BOX_CELL = 0.5
+
 
 def latest(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """One row a key: the last by order, at the place (ord) of the first. Partial maxima go before the shuffle."""
@@ -28,12 +33,15 @@ def collect_roads(tile_roads: DataFrame, areas: DataFrame, area_roads: DataFrame
 
     tile_roads: road_id, ord, name, lon, lat (of the middle vertex); areas: area_ord, complete, box; area_roads: area_ord and the same columns. A complete area hides
     tile roads, and roads of earlier areas, whose middle lies strictly inside. Of what is left, a complete area's road replaces an earlier one; a partial area's only
-    adds. The areas are a rider's own scans and so few; the road side is never copied.
+    adds. Boxes are repeated for the cells that they touch, so a road meets only those of its own cell.
     """
-    full = F.broadcast(areas.where("complete").select("box", F.col("area_ord").alias("by_ord")))
-    tiles = tile_roads.join(full, inside("box", "lon", "lat"), "left_anti").select("road_id", "name", F.lit(-1).alias("area_ord"), "ord", F.lit(True).alias("complete"))
-    ours = area_roads.join(F.broadcast(areas.select("area_ord", "complete")), "area_ord")
-    ours = ours.join(full, inside("box", "lon", "lat") & (F.col("by_ord") > F.col("area_ord")), "left_anti").select("road_id", "name", "area_ord", "ord", "complete")
+    span = lambda lo, hi: F.explode(F.sequence(cell(F.col(f"box.{lo}"), BOX_CELL), cell(F.col(f"box.{hi}"), BOX_CELL)))
+    full = areas.where("complete").select("box", F.col("area_ord").alias("by_ord")).withColumn("cell_x", span("w", "e")).withColumn("cell_y", span("s", "n"))
+    placed = lambda df: df.withColumns({"x": cell(F.col("lon"), BOX_CELL), "y": cell(F.col("lat"), BOX_CELL)})
+    under = (F.col("x") == F.col("cell_x")) & (F.col("y") == F.col("cell_y")) & inside("box", "lon", "lat")
+    tiles = placed(tile_roads).join(full, under, "left_anti").select("road_id", "name", F.lit(-1).alias("area_ord"), "ord", F.lit(True).alias("complete"))
+    ours = area_roads.join(areas.select("area_ord", "complete"), "area_ord")
+    ours = placed(ours).join(full, under & (F.col("by_ord") > F.col("area_ord")), "left_anti").select("road_id", "name", "area_ord", "ord", "complete")
     # the last complete one wins, else the first partial one
     place = F.struct("complete", F.when(F.col("complete"), F.col("area_ord")).otherwise(-F.col("area_ord")).alias("rank"), F.when(F.col("complete"), F.col("ord")).otherwise(-F.col("ord")).alias("back"), "area_ord", "name")
     return tiles.unionByName(ours).groupBy("road_id").agg(F.max(place).alias("x")).select("road_id", "x.area_ord", "x.name")
@@ -63,11 +71,20 @@ def retained(meta: DataFrame, version: int, now_ms: int, most: int = 160, days:
 
 
 def without_near_namesakes(stops: DataFrame) -> DataFrame:
-    """stops (ord, name, lon, lat) without those that follow one of the same name close by, kept or not."""
-    a = stops.alias("a")
-    b = stops.select(F.col("name").alias("name_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), F.col("ord").alias("ord_b"))
-    near = (F.col("name") == F.col("name_b")) & (F.col("ord_b") < F.col("ord")) & (F.abs(F.col("lat") - F.col("lat_b")) < 0.001) & (F.abs(F.col("lon") - F.col("lon_b")) < 0.0013)
-    return a.join(b, near, "left_anti")
+    """stops (ord, name, lon, lat) without those that follow one of the same name close by, kept or not. Namesakes meet by cells, so a chain's name is no hot key."""
+    sizes = {"x": ("lon", 0.0013), "y": ("lat", 0.001)}
+    a = stops.withColumns({n: cell(F.col(c), size) for n, (c, size) in sizes.items()})
+    b = stops.where("name IS NOT NULL").select(*(F.col(c).alias(f"{c}_b") for c in ("name", "lon", "lat", "ord")))
+    for n, (c, size) in sizes.items():
+        at = cell(F.col(f"{c}_b"), size)
+        b = b.withColumn(f"{n}_b", F.explode(F.sequence(at - 1, at + 1)))
+    near = (F.col("name") == F.col("name_b")) & (F.col("x") == F.col("x_b")) & (F.col("y") == F.col("y_b")) & (F.col("ord_b") < F.col("ord")) & (F.abs(F.col("lat") - F.col("lat_b")) < 0.001) & (F.abs(F.col("lon") - F.col("lon_b")) < 0.0013)
+    return a.join(b, near, "left_anti").drop("x", "y")
+
+
+def distinct_passes(passes: DataFrame) -> DataFrame:
+    """passes (ord, lon, lat, ...): the first at each place."""
+    return first_of(passes, ["lon", "lat"])
 
 
 def tile_key(lon: Column, lat: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RIDE_DEG_M, cell, planar_m
+from ..functions.geo import EARTH_M, RIDE_DEG_M, cell, lon_pad, planar_m
 
+EARTH_DEG_M = math.radians(1) * EARTH_M
 PLACE_RADIUS = {"city": 1800, "town": 800, "village": 350}
 
 
@@ -18,12 +21,13 @@ def grid_join(points: DataFrame, places: DataFrame, size: float, reach_x: Column
     """points (lon, lat, ...) with the places (p_lon, p_lat, ...) in cells within reach, and metres, from each point; the exact limit is the caller's.
 
     The places, of which there are fewer, are repeated for the cells they can be seen from; points are not copied. Spark broadcasts the
-    places where they are small; else it splits hot cells, as this is a plain equi-join.
+    places where they are small; else it splits hot cells, as this is a plain equi-join. Where both sides have an area, only equal ones meet.
     """
     x = F.explode(F.sequence(-F.lit(reach_x) if isinstance(reach_x, int) else -reach_x, F.lit(reach_x) if isinstance(reach_x, int) else reach_x))
     seen = cells(places, size, "p_").withColumn("dx", x).withColumn("dy", F.explode(F.sequence(F.lit(-reach_y), F.lit(reach_y))))
     seen = seen.select(*places.columns, (F.col("cell_x") + F.col("dx")).alias("cell_x"), (F.col("cell_y") + F.col("dy")).alias("cell_y"))
-    near = cells(points, size).join(seen, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
+    area = ["area"] if "area" in points.columns and "area" in places.columns else []
+    near = cells(points, size).join(seen, ["cell_x", "cell_y", *area]).drop("cell_x", "cell_y")
     return near.withColumn("metres", planar_m(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat")))
 
 
@@ -33,16 +37,27 @@ def near_places(points: DataFrame, places: DataFrame) -> DataFrame:
     return grid_join(points, places, 0.02).where(F.col("metres") < radius).select("point_id").distinct()
 
 
+def near_points(points: DataFrame, places: DataFrame, most_m: float, size: float = 0.02) -> DataFrame:
+    """(point_id): points within most_m of any of places (p_lon, p_lat)."""
+    return grid_join(points, places, size).where(F.col("metres") < most_m).select("point_id").distinct()
+
+
+def spread(lat: str, most_m: float, size: float, deg_m: float) -> Column:
+    """How many cells of so many degrees most_m spans from west to east, a cell further from the equator than lat."""
+    return F.ceil(most_m / (deg_m * F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + max(size, most_m / deg_m))))) / size).cast("long")
+
+
 def nearest_place(points: DataFrame, places: DataFrame, most_m: float = 6000.0, size: float = 0.1) -> DataFrame:
-    """(point_id, place_id, metres): the nearest place within most_m, the later on ties. size in degrees must span most_m."""
+    """(point_id, place_id, metres), and area where both sides have it: the nearest place within most_m at any latitude, the later on ties. size in degrees must span most_m from south to north."""
     best = F.max(F.struct((-F.col("metres")).alias("m"), "place_id"))
-    near = grid_join(points, places, size).where(F.col("metres") <= most_m)
-    return near.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.place_id", (-F.col("b.m")).alias("metres"))
+    area = ["area"] if "area" in points.columns and "area" in places.columns else []
+    near = grid_join(points, places, size, reach_x=spread("p_lat", most_m, size, EARTH_DEG_M)).where(F.col("metres") <= most_m)
+    return near.groupBy("point_id", *area).agg(best.alias("b")).select("point_id", *area, "b.place_id", (-F.col("b.m")).alias("metres"))
 
 
 def highest_pass(vertices: DataFrame, passes: DataFrame, most_m: float = 80.0) -> DataFrame:
     """(road, pass_id, ele): of passes within most_m of a road's vertices the highest in whole metres, the first on ties. vertices: road, lon, lat; passes: pass_id, p_lon, p_lat, ele."""
-    near = grid_join(vertices, passes, 0.02).where(F.col("metres") < most_m)
+    near = grid_join(vertices, passes, 0.02).where(planar_m(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat")) < most_m)
     best = F.max(F.struct(F.floor(F.col("ele") + 0.5).alias("e"), (-F.col("pass_id")).alias("back")))
     return near.groupBy("road").agg(best.alias("b")).select("road", (-F.col("b.back")).alias("pass_id"), F.col("b.e").alias("ele"))
 
@@ -57,12 +72,26 @@ def road_samples(coords: DataFrame, every_m: float = 50.0) -> DataFrame:
     return s.select("road", at("lon").alias("lon"), at("lat").alias("lat"), F.concat_ws(":", "i", "t").alias("sample"))
 
 
+def near_ride_boxes(roads: DataFrame, track: DataFrame, most_m: float = 35.0) -> DataFrame:
+    """roads (road, bb: w, s, e, n) whose box, with most_m around it, meets that of some ride of track (ride, p_lon, p_lat); boxes meet by cells of half a degree."""
+    boxes = track.groupBy("ride").agg(F.min("p_lon").alias("w"), F.min("p_lat").alias("s"), F.max("p_lon").alias("e"), F.max("p_lat").alias("n"))
+    pad = F.lit(most_m / RIDE_DEG_M)
+    wide = lon_pad(F.least(F.lit(89.0), F.greatest(F.abs("bb.s"), F.abs("bb.n"))), most_m)
+
+    def covered(df: DataFrame, w: Column, s: Column, e: Column, n: Column) -> DataFrame:
+        return df.withColumn("cell_x", F.explode(F.sequence(cell(w, 0.5), cell(e, 0.5)))).withColumn("cell_y", F.explode(F.sequence(cell(s, 0.5), cell(n, 0.5))))
+
+    left = covered(roads.select("road", "bb", (F.col("bb.w") - wide).alias("w0"), (F.col("bb.s") - pad).alias("s0"), (F.col("bb.e") + wide).alias("e0"), (F.col("bb.n") + pad).alias("n0")), F.col("w0"), F.col("s0"), F.col("e0"), F.col("n0"))
+    right = covered(boxes, F.col("w"), F.col("s"), F.col("e"), F.col("n"))
+    met = left.join(right, ["cell_x", "cell_y"]).where("w <= e0 AND e >= w0 AND s <= n0 AND n >= s0").select("road").distinct()
+    return roads.join(met, "road", "left_semi")
+
+
 def ridden_roads(coords: DataFrame, track: DataFrame, most_m: float = 35.0, share: float = 0.6, size: float = 0.001) -> DataFrame:
     """(road, hits, samples, ridden): whether at least a share of a road's samples lie within most_m of a recorded track point (p_lon, p_lat)."""
     samples = road_samples(coords)
-    spread = F.ceil(most_m / (RIDE_DEG_M * F.cos(F.radians(F.least(F.lit(89.0), F.abs("p_lat") + 1)))) / size).cast("long")
     points = track.select("p_lon", "p_lat").distinct()
-    near = grid_join(samples, points, size, reach_x=spread, reach_y=1)
+    near = grid_join(samples, points, size, reach_x=spread("p_lat", most_m, size, RIDE_DEG_M), reach_y=1)
     hit = near.where(planar_m(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"), RIDE_DEG_M) <= most_m).select("road", "sample").distinct().withColumn("hit", F.lit(1))
     sums = samples.join(hit, ["road", "sample"], "left").groupBy("road").agg(F.count("hit").alias("hits"), F.count("*").alias("samples"))
     return sums.withColumn("ridden", F.col("hits") / F.col("samples") >= share)

@@ -10,25 +10,34 @@ from ..functions.scoring import BIT_KM, GOOD_KM_CAP, NUMBERED, SCORE_REF, SLICE_
 COUNTS = ["c1", "c2", "c3", "c4"]
 
 
-def slice_values(slices: DataFrame, taste: float = 0.5) -> DataFrame:
-    """slices (road, i, c1..c4, h, r, v and p in 0..1, u in 0..1, x, ele, lat) with bend, hairpins, high (alpine), scenery and nb."""
-    s = slices.withColumns({"bend": slice_bends([F.col(c) for c in COUNTS], F.col("u"), taste), "hairpins": F.col("h") * F.when(F.col("u") > 0.5, 0.3).otherwise(1.0), "high": alpine(F.col("ele"), F.col("lat"))})
+def slice_values(slices: DataFrame, taste: float | None = 0.5, by: tuple[str, ...] = ("road",)) -> DataFrame:
+    """slices (road, i, c1..c4, h, r, v and p in 0..1, u in 0..1, x, ele, lat) with bend, hairpins, high (alpine), scenery and nb. Without a taste, slices have the weights w1..w4."""
+    weights = [F.col(f"w{k}") for k in range(1, 5)] if taste is None else taste_weights(taste)[0]
+    s = slices.withColumns({"bend": slice_bends([F.col(c) for c in COUNTS], F.col("u"), weights), "hairpins": F.col("h") * F.when(F.col("u") > 0.5, 0.3).otherwise(1.0), "high": alpine(F.col("ele"), F.col("lat"))})
     s = s.withColumn("scenery", slice_scenery(F.col("v"), F.col("p"), F.col("x"), F.col("high")))
-    return s.withColumn("nb", F.count("*").over(Window.partitionBy("road")))
+    return s.withColumn("nb", F.count("*").over(Window.partitionBy(*by)))
 
 
-def densities(values: DataFrame) -> DataFrame:
+def densities(values: DataFrame, by: tuple[str, ...] = ("road",)) -> DataFrame:
     """Adds dens: bends and scenery a km, a mean of five slices, fewer at the ends."""
-    near = Window.partitionBy("road").orderBy("i").rowsBetween(-2, 2)
+    near = Window.partitionBy(*by).orderBy("i").rowsBetween(-2, 2)
     return values.withColumn("dens", F.avg(F.col("bend") * (1 + 0.5 * F.col("scenery")) / SLICE_KM).over(near))
 
 
-def stretches(values: DataFrame, most: int, taste: float = 0.5, mix: Mix = Mix()) -> DataFrame:
-    """Adds fun and its parts for the stretch of up to ``most`` slices that starts at each slice, where it ends within the road; else fun is null."""
-    w = Window.partitionBy("road").orderBy("i").rowsBetween(0, most - 1)
-    _, bonus = taste_weights(taste)
-    width = F.least("nb", F.lit(most))
-    v = values.withColumns({"bends": F.sum("bend").over(w), "pins": F.sum("hairpins").over(w), "views": F.sum("scenery").over(w), "turns": F.sum("r").over(w), "relief": F.max("ele").over(w) - F.min("ele").over(w), "built": F.avg("u").over(w), "width": width})
+def stretches(values: DataFrame, most: int, taste: float | None = 0.5, mix: Mix = Mix(), by: tuple[str, ...] = ("road",)) -> DataFrame:
+    """Adds fun and its parts for the stretch of up to ``most`` slices that starts at each slice, where it ends within the road; else fun is null.
+
+    Sums over a stretch are differences of running sums of what is never negative, so a slice is added once however long stretches are; only the relief takes a frame. Without a
+    taste, values have the hairpin bonus as a column. values with dens get mean_dens too.
+    """
+    w = Window.partitionBy(*by).orderBy("i")
+    so_far, frame = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, most - 1)
+    bonus = F.col("bonus") if taste is None else taste_weights(taste)[1]
+    of = {"bends": "bend", "pins": "hairpins", "views": "scenery", "turns": "r", "built": "u"} | ({"mean_dens": "dens"} if "dens" in values.columns else {})
+    v = values.withColumns({"width": F.least("nb", F.lit(most)), **{f"run_{n}": F.sum(F.col(c).cast("double")).over(so_far) for n, c in of.items()}})
+    v = v.withColumns({"relief": F.max("ele").over(frame) - F.min("ele").over(frame), **{f"end_{n}": F.coalesce(F.lead(f"run_{n}", most - 1).over(w), F.max(f"run_{n}").over(Window.partitionBy(*by))) for n in of}})
+    v = v.withColumns({n: F.col(f"end_{n}") - F.col(f"run_{n}") + F.col(c) for n, c in of.items()})
+    v = v.withColumns({n: F.col(n) / F.col("width") for n in ("built", "mean_dens") if n in of}).drop(*(f"{x}_{n}" for n in of for x in ("run", "end")))
     climb, rolling = terrain_parts(F.col("relief"), F.col("turns"), F.col("width") * SLICE_KM)
     v = v.withColumns({"rolling": rolling > climb, "terrain": 1 + mix.terrain * 0.5 * F.greatest(climb, rolling), "scene": 1 + mix.scenery * 0.5 * F.col("views") / F.col("width"), "pinned": 1 + mix.hairpins * (hairpin_factor(F.col("pins"), bonus) - 1)})
     fun = F.round(F.col("bends") * (F.col("terrain") + F.col("scene") + F.col("pinned") - 2), 9)
@@ -42,8 +51,6 @@ def score_roads(slices: DataFrame, taste: float = 0.5, mix: Mix = Mix()) -> Data
     """
     most = round(WINDOW_KM / SLICE_KM)
     v = stretches(densities(slice_values(slices, taste)), most, taste, mix)
-    w = Window.partitionBy("road").orderBy("i").rowsBetween(0, most - 1)
-    v = v.withColumn("mean_dens", F.avg("dens").over(w))
     best = F.max(F.when(F.col("fun").isNotNull(), F.struct("fun", (-F.col("i")).alias("back"), "mean_dens", "bends", "terrain", "scene", "pinned", "rolling", "width")))
     v = v.withColumn("best", best.over(Window.partitionBy("road")))
     share = lambda c: F.count_if(c) * SLICE_KM
@@ -94,27 +101,27 @@ def top_roads(scores: DataFrame, most: int, by: str = "score", order: str = "roa
 def learn_taste(slices: DataFrame, ratings: DataFrame) -> DataFrame:
     """The setting of 11 tastes and 27 mixes that ranks most liked roads above disliked ones; no row with fewer than two of either.
 
-    ratings: road, rating (1 or -1), a rider's own and so few. Each pair of a liked and a disliked road is compared within a setting through ranks of all its
+    ratings: road, rating (1 or -1). Each pair of a liked and a disliked road is compared within a setting through ranks of all its
     scores, so no pairs are made: a liked road beats the disliked ones of lower linear score. Ties go to the setting nearest the defaults, then to the first.
+    Tastes are a column, and windows are of a road at a taste; the mixes, 27 of which share a taste's windows, are folded into each road's best stretches.
     """
-    rated = slices.join(ratings.select("road", "rating"), "road")
+    most, by = round(WINDOW_KM / SLICE_KM), ("road", "taste")
     mixes = [Mix(t, s, h) for t in (0.5, 1.0, 1.5) for s in (0.5, 1.0, 1.5) for h in (0.5, 1.0, 1.5)]
-    most, parts = round(WINDOW_KM / SLICE_KM), []
+    tastes = []
     for k in range(11):
-        taste = k / 10
-        v = stretches(densities(slice_values(rated, taste)), most, taste)
-        v = v.withColumn("mean_dens", F.avg("dens").over(Window.partitionBy("road").orderBy("i").rowsBetween(0, most - 1)))
-        settings = F.array(*(F.struct(F.lit(27 * k + j).alias("ord"), F.lit(taste).alias("taste"), F.lit(m.terrain).alias("m_terrain"), F.lit(m.scenery).alias("m_scenery"), F.lit(m.hairpins).alias("m_hairpins"), F.lit(taste_scale(taste, m)).alias("scale")) for j, m in enumerate(mixes)))
-        fun = F.round(F.col("bends") * (1 + F.col("m_terrain") * (F.col("terrain") - 1) + F.col("m_scenery") * (F.col("scene") - 1) + F.col("m_hairpins") * (F.col("pinned") - 1)), 9)
-        per = v.groupBy("road", "rating").agg(F.collect_list(F.when(F.col("fun").isNotNull(), F.struct("i", "bends", "terrain", "scene", "pinned", "mean_dens", "width"))).alias("w"), F.collect_list(F.round("dens", 9)).alias("all_dens"))
-        each = per.withColumn("setting", F.explode(settings)).select("road", "rating", "setting.*", "w", "all_dens").withColumn("stretch", F.explode("w")).select("road", "rating", "ord", "taste", "m_terrain", "m_scenery", "m_hairpins", "scale", "all_dens", "stretch.*").withColumn("fun", fun)
-        best = each.groupBy("road", "rating", "ord", "taste", "m_terrain", "m_scenery", "m_hairpins", "scale").agg(F.max(F.struct("fun", (-F.col("i")).alias("back"), "mean_dens", "width")).alias("b"), F.first("all_dens").alias("all_dens"))
-        good = F.size(F.filter("all_dens", lambda d: d >= F.round(0.5 * F.col("b.mean_dens"), 9))) * SLICE_KM
-        linear = F.round(100 * F.col("b.fun") / (F.col("b.width") * SLICE_KM) * WINDOW_KM * F.sqrt(F.least(good, F.lit(GOOD_KM_CAP)) / WINDOW_KM) / (SCORE_REF * F.col("scale")), 9)
-        parts.append(best.select("road", "rating", "ord", "taste", "m_terrain", "m_scenery", "m_hairpins", linear.alias("linear")))
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.union(p)
+        weights, bonus = taste_weights(k / 10)
+        tastes.append(F.struct(F.lit(k / 10).alias("taste"), *(F.lit(x).alias(f"w{j + 1}") for j, x in enumerate(weights)), F.lit(bonus).alias("bonus")))
+    rated = slices.join(ratings.select("road", "rating"), "road").withColumn("t", F.explode(F.array(*tastes))).select("*", "t.*").drop("t")
+    v = stretches(densities(slice_values(rated, None, by), by), most, None, Mix(), by).withColumn("dens", F.round("dens", 9))
+    fun = lambda m: F.round(F.col("bends") * (1 + m.terrain * (F.col("terrain") - 1) + m.scenery * (F.col("scene") - 1) + m.hairpins * (F.col("pinned") - 1)), 9)
+    best = [F.max(F.when(F.col("fun").isNotNull(), F.struct(fun(m).alias("fun"), (-F.col("i")).alias("back"), "mean_dens", "width"))).alias(f"b{j}") for j, m in enumerate(mixes)]
+    per = v.groupBy("road", "rating", "taste").agg(F.collect_list("dens").alias("all_dens"), *best)
+    scales = F.array(*(F.lit(taste_scale(k / 10, m)) for k in range(11) for m in mixes))
+    each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(m.terrain).alias("m_terrain"), F.lit(m.scenery).alias("m_scenery"), F.lit(m.hairpins).alias("m_hairpins"), F.col(f"b{j}").alias("b")) for j, m in enumerate(mixes))))
+    e = per.select("road", "rating", "taste", "all_dens", each.alias("e")).select("road", "rating", "taste", "all_dens", "e.*").withColumn("ord", (F.round(F.col("taste") * 10) * 27 + F.col("j")).cast("int"))
+    good = F.size(F.filter("all_dens", lambda d: d >= F.round(0.5 * F.col("b.mean_dens"), 9))) * SLICE_KM
+    linear = F.round(100 * F.col("b.fun") / (F.col("b.width") * SLICE_KM) * WINDOW_KM * F.sqrt(F.least(good, F.lit(GOOD_KM_CAP)) / WINDOW_KM) / (SCORE_REF * F.get(scales, F.col("ord"))), 9)
+    scores = e.select("road", "rating", "ord", "taste", "m_terrain", "m_scenery", "m_hairpins", linear.alias("linear"))
     below = Window.partitionBy("ord").orderBy("linear").rangeBetween(Window.unboundedPreceding, 0)
     level = Window.partitionBy("ord", "linear")
     no = F.when(F.col("rating") < 0, 1).otherwise(0)

@@ -36,14 +36,7 @@ def decode_png(data: bytes) -> np.ndarray:
         elif row[0] == 1:
             line = np.cumsum(line.reshape(-1, bpp), axis=0).ravel()
         elif row[0] in (3, 4):
-            for x in range(len(line)):
-                a, b, c = (line[x - bpp], above[x], above[x - bpp]) if x >= bpp else (0, above[x], 0)
-                if row[0] == 3:
-                    guess = (a + b) >> 1
-                else:
-                    p = a + b - c
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[x] = (line[x] + guess) & 255
+            line = unfiltered(row[0], line.reshape(-1, bpp), above.reshape(-1, bpp)).ravel()
         else:
             raise ValueError("unknown filter")
         out[y + 1] = line & 255
@@ -60,6 +53,20 @@ def decode_png(data: bytes) -> np.ndarray:
     return full
 
 
+def unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A line of pixels of the average (3) or Paeth (4) filter, all channels of a pixel at once: each needs its left neighbour."""
+    left, corner, out = np.zeros_like(line[0]), np.zeros_like(line[0]), np.empty_like(line)
+    for x, (raw, up) in enumerate(zip(line, above)):
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            near = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))  # distances of left, above and corner; the first of equals counts
+            guess = np.choose(near.argmin(axis=0), (left, up, corner))
+        left, corner = (raw + guess) & 255, up
+        out[x] = left
+    return out
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def tile_metres(content: pa.Array) -> pa.Array:
     """The cells of a terrain tile in metres, row by row."""

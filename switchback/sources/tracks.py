@@ -10,12 +10,15 @@ GPX = f"struct<metadata: struct<name: string>, trk: array<struct<name: string, t
 
 
 def parse_gpx(files: DataFrame, least_m: float = 20.0) -> DataFrame:
-    """(file, name, points) of GPX texts (file, content): track then route points, the first and each at least least_m from the last kept, to five decimals.
+    """(file, name, points) of GPX texts (file, content): track and route points, whichever kind the text has first, the first and each at least least_m from the last kept, to five decimals.
 
     A file with fewer than two finite points, or that is no XML, has points null. The name is the track's, the file's metadata's, the route's, or the file's own.
     """
     g = files.withColumn("g", F.from_xml(F.col("content"), GPX, {"mode": "PERMISSIVE"}))
-    flat = F.concat(F.coalesce(F.flatten(F.transform(F.flatten(F.transform("g.trk", lambda t: F.coalesce(t.trkseg, F.array()))), lambda s: F.coalesce(s.trkpt, F.array()))), F.array()), F.coalesce(F.flatten(F.transform("g.rte", lambda r: F.coalesce(r.rtept, F.array()))), F.array()))
+    tracks = F.coalesce(F.flatten(F.transform(F.flatten(F.transform("g.trk", lambda t: F.coalesce(t.trkseg, F.array()))), lambda s: F.coalesce(s.trkpt, F.array()))), F.array())
+    routes = F.coalesce(F.flatten(F.transform("g.rte", lambda r: F.coalesce(r.rtept, F.array()))), F.array())
+    route_at, track_at = F.locate("<rtept", F.col("content")), F.locate("<trkpt", F.col("content"))
+    flat = F.when((route_at > 0) & (route_at < track_at), F.concat(routes, tracks)).otherwise(F.concat(tracks, routes))
     points = F.filter(F.transform(flat, lambda p: F.struct(p._lon.try_cast("double").alias("lon"), p._lat.try_cast("double").alias("lat"))), lambda p: p.lon.isNotNull() & p.lat.isNotNull() & ~F.isnan(p.lon) & ~F.isnan(p.lat) & (F.abs(p.lon) < float("inf")) & (F.abs(p.lat) < float("inf")))
     name = F.coalesce(F.nullif(F.get("g.trk", F.lit(0)).getField("name"), F.lit("")), F.nullif(F.col("g.metadata.name"), F.lit("")), F.nullif(F.get("g.rte", F.lit(0)).getField("name"), F.lit("")), F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"(?i)\.gpx$", ""))
     return g.select("file", name.alias("name"), F.when(F.size(points) >= 2, thinned(points, least_m)).alias("points"))
@@ -39,7 +42,8 @@ def escaped(text: Column) -> Column:
 
 def to_gpx(name: Column, points: Column) -> Column:
     """A track of points (lon, lat, ele) as GPX text."""
-    one = lambda p: F.concat(F.lit('<trkpt lat="'), p.lat.cast("string"), F.lit('" lon="'), p.lon.cast("string"), F.lit('"><ele>'), p.ele.cast("string"), F.lit("</ele></trkpt>"))
+    number = lambda x: F.call_function("format_number", x.cast("double"), F.lit("0.##########"))
+    one = lambda p: F.concat(F.lit('<trkpt lat="'), number(p.lat), F.lit('" lon="'), number(p.lon), F.lit('"><ele>'), number(p.ele), F.lit("</ele></trkpt>"))
     return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><trk><name>'), escaped(name), F.lit("</name><trkseg>"), F.array_join(F.transform(points, one), ""), F.lit("</trkseg></trk></gpx>"))
 
 

@@ -5,13 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[str] = []
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``, or else the context's own checkpoint folder. Where neither is set, a local session (as in tests) gets a temporary
+    one; on a cluster that is an error, as executors do not see one another's folders."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not base:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(base)
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir (where that is unset, as in tests, a temporary folder), read again: this cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet to the shared folder and read it again.
+
+    This cuts the lineage, survives lost executors, and gives later joins a plain scan on this side, so that
+    adaptive execution can split skewed partitions of the other side.
+    """
+    path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A place in the order of the paths given out, for drop_since()."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, place: int) -> None:
+    """Delete what has been written under paths given out since then, once no DataFrame that is still to be read needs it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _made[place:]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _made[place:]
