@@ -165,3 +165,20 @@ def rules() -> list[tuple[int, str, str, str]]:
         out += [(p, label, f" {keyword}", f" {lead}{name}") for p, lead in WAYS]
         out.append((1, label, " spdx license identifier", f" spdx license identifier {identifier}"))
     return out
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern that matches the longest of these words at a place, as a tree of their letters: where a letter fits no branch, the search goes on."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [letter + pattern(child) for letter, child in sorted(node.items()) if letter]
+        body = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})" if branches else ""
+        return f"(?:{body})?" if "" in node and body else body
+
+    return pattern(tree)

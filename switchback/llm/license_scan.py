@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .license_rules import BASE, LEAST, rules
+from .license_rules import BASE, LEAST, any_of, rules
 from .shared import let, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,12 +49,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     all_rules = [{"rule": i, **dict(zip(("priority", "label", "keyword", "pattern"), r))} for i, r in enumerate(rules())]
     listed = F.from_json(F.lit(json.dumps(all_rules)), "array<struct<rule: int, priority: int, label: string, keyword: string, pattern: string>>")
-    keywords = F.from_json(F.lit(json.dumps(list(dict.fromkeys(r["keyword"] for r in all_rules)))), "array<string>")
+    listed_keywords = list(dict.fromkeys(r["keyword"] for r in all_rules))
+    keywords = F.from_json(F.lit(json.dumps(listed_keywords)), "array<string>")
+    seen = F.lit(f"(?=({any_of(listed_keywords)}))")
 
     def found(w: Column) -> Column:
         gated = lambda g: F.transform(F.filter(listed, lambda r: F.array_contains(g, r.keyword)), lambda r: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), _pieces(w, r.pattern).alias("pieces")))
         hits = lambda g: F.filter(gated(g), lambda s: F.exists(s.pieces, lambda p: p.n > 0))
-        gates = let(F.filter(keywords, lambda k: F.contains(w, k)), lambda g: F.when(F.size(g) > 0, hits(g)))
+        # one search for the longest keyword at each place; those that begin it stand there too
+        gates = let(F.array_distinct(F.regexp_extract_all(w, seen, F.lit(1))), lambda f: F.when(F.size(f) > 0, let(F.filter(keywords, lambda k: F.exists(f, lambda x: F.startswith(x, k))), hits)))
         return F.struct(word_count(w).cast("long").alias("n_words"), gates.alias("found"))
 
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), let(spaced_words(F.col("text").cast("string")), found).alias("f"))

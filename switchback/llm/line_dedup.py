@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import let, written
 
 #: Boilerplate lines up to this number are broadcast (about 2 MB of hashes and hosts); beyond it the hosts are joined by a shuffle.
 MOST_BROADCAST = 50_000
@@ -49,8 +49,10 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.
     found = boilerplate(named, ratio, least_pages)
     lists = found.groupBy("host").agg(F.collect_list("line").alias("drop"))
     joined = named.join(F.broadcast(lists) if found.count() <= MOST_BROADCAST else written(lists, "lists").hint("merge"), "host", "left")
-    keep = lambda x: ~has_text(x) | F.coalesce(~F.array_contains("drop", F.xxhash64(x)), F.lit(True))
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", keep))
+    # which of the page's lines are dropped, by one set operation; then each line is sought among those few
+    gone = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), F.col("drop"))
+    kept = let(gone, lambda g: F.when(F.size(g) > 0, F.filter("lines", lambda x: ~has_text(x) | ~F.array_contains(g, F.xxhash64(x)))).otherwise(F.col("lines")))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept)
     split = joined.withColumn("lines", lines_of(F.col("text"))).withColumn("kept", kept)
     out = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return split.select(*out, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))

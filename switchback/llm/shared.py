@@ -1,21 +1,14 @@
-"""Tables written to the folder that all executors share, and a join for hot keys."""
+"""What the operators share: written tables, the size of Arrow batches, and values evaluated once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+from ..storage import stored as written
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["let", "shared_dir", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -25,17 +18,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    This cuts the lineage, survives lost executors, and gives later joins a plain scan on this side, so that
-    adaptive execution can split skewed partitions of the other side.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body of a value that is evaluated once; a column's expression would be put in wherever a lambda names it, and evaluated for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -16,7 +16,7 @@ LEVELS = 16
 ROUND = 128
 #: Beyond this, sums of products in doubles might not be exact, and every vector of the block is scored.
 EXACT = 1 << 22
-INDEX = "block long, dims int, ids binary, rows binary, vectors binary, postings binary"
+INDEX = "block long, dims int, width int, ids binary, nulls binary, rows binary, vectors binary, postings binary"
 INDEX_COLUMNS = [x.split()[0] for x in INDEX.split(", ")]
 HITS = "query_row long, query_id long, vec_id long, score long"
 
@@ -32,7 +32,8 @@ def _blocks(most: int, index: bool):
     """A function for mapInArrow: rows of quantised() to blocks of at most ``most`` of them, with impact-ordered postings if index is set.
 
     The postings of a dimension list the block's vectors by value; LEVELS segments of equal length follow one another,
-    and a segment's least and greatest values are its quantised impact. A missing trailing component is 0; a null vec_id is stored as the largest long.
+    and a segment's least and greatest values are its quantised impact. A missing trailing component is 0; nulls marks null ids. Vectors are kept in
+    integers of as many bytes (width) as their largest component needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,10 +46,12 @@ def _blocks(most: int, index: bool):
             x = np.zeros((len(held), dims), np.int64)
             for i, (_, _, v) in enumerate(held):
                 x[i, : len(v)] = v
-            ids = np.array([np.iinfo(np.int64).max if i is None else i for _, i, _ in held], np.int64)
+            ids, nulls = np.array([i or 0 for _, i, _ in held], np.int64), np.array([i is None for _, i, _ in held])
+            most_value = max(int(x.max(initial=0)), -1 - int(x.min(initial=0)))
+            width = 2 if most_value < 1 << 15 else 4 if most_value < 1 << 31 else 8
             posts = np.argsort(x.T, axis=1, kind="stable").astype(np.uint16).tobytes() if index else b""
             number += 1
-            return pa.RecordBatch.from_pydict({"block": pa.array([number - 1], pa.int64()), "dims": pa.array([dims], pa.int32()), "ids": [ids.tobytes()], "rows": [np.array([r for r, _, _ in held], np.int64).tobytes()], "vectors": [x.tobytes()], "postings": [posts]})
+            return pa.RecordBatch.from_pydict({"block": pa.array([number - 1], pa.int64()), "dims": pa.array([dims], pa.int32()), "width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "nulls": [nulls.tobytes()], "rows": [np.array([r for r, _, _ in held], np.int64).tobytes()], "vectors": [x.astype(f"i{width}").tobytes()], "postings": [posts]})
 
         for batch in batches:
             for r in zip(batch.column("row").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist()):
@@ -140,19 +143,18 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
                 numbers = {c: np.frombuffer(r[c], np.int64) for c in ("ids", "rows", "q_ids", "q_rows")}
                 n, m, dims, q_dims = len(numbers["ids"]), len(numbers["q_ids"]), r["dims"], r["q_dims"]
                 if opened[0] != r["rows"][:8]:  # rows are unique, so the first one names the block
-                    x = np.frombuffer(r["vectors"], np.int64).reshape(n, dims)
+                    x = np.frombuffer(r["vectors"], f"i{r['width']}").astype(np.int64).reshape(n, dims)
                     opened = (r["rows"][:8], _Segments(x, np.frombuffer(r["postings"], np.uint16).reshape(dims, n)))
                 segments, places = opened[1], {row: i for i, row in enumerate(numbers["rows"].tolist())}
                 asks = np.zeros((m, max(dims, q_dims)), np.int64)
-                asks[:, :q_dims] = np.frombuffer(r["q_vectors"], np.int64).reshape(m, q_dims)
+                asks[:, :q_dims] = np.frombuffer(r["q_vectors"], f"i{r['q_width']}").reshape(m, q_dims)
                 hits = []
-                for row, query_id, q in zip(numbers["q_rows"].tolist(), numbers["q_ids"].tolist(), asks[:, :dims]):
+                nulls, q_nulls = (np.frombuffer(r[c], bool) for c in ("nulls", "q_nulls"))
+                for row, query_id, no_id, q in zip(numbers["q_rows"].tolist(), numbers["q_ids"].tolist(), q_nulls.tolist(), asks[:, :dims]):
                     at = segments.top(q, k, places.get(row, -1))
                     scores = segments.x[at] @ q
-                    best = np.lexsort((numbers["rows"][at], numbers["ids"][at], -scores))[:k]
-                    hits += [(row, query_id, i, s) for i, s in zip(numbers["ids"][at[best]].tolist(), scores[best].tolist())]
-                none = lambda i: None if i == np.iinfo(np.int64).max else i
-                hits = [(row, none(q), none(i), s) for row, q, i, s in hits]
+                    best = at[np.lexsort((numbers["rows"][at], numbers["ids"][at], nulls[at], -scores))[:k]]
+                    hits += [(row, None if no_id else query_id, None if none else i, s) for i, none, s in zip(numbers["ids"][best].tolist(), nulls[best].tolist(), (segments.x[best] @ q).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*hits) if hits else ((),) * 4)], ["query_row", "query_id", "vec_id", "score"])
 
     hits = index.join(asked, "part").drop("part").mapInArrow(run, HITS)

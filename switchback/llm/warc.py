@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import shared_dir, small_batches, written
 
 LEAST_SHARED = 100
+#: Compressed bytes that one task reads back.
+TASK_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRIES = "key string, page_id long, file string, offset long, length long"
 SHARDS = "shard int, file string, first_key string, first_id long, blocks int, entries long"
@@ -86,8 +88,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), safe_url(F.col("url").cast("string")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "key": url_key(F.col("url"))})
-    first = p.where(F.length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "payloads")
+    large = written(p.where(F.length("payload") >= LEAST_SHARED).select("digest", "page_id", "url"), "digests")
+    first = written(large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n"), "payloads")
+    urls = large.join(first, "digest").where("page_id = first_id").groupBy("digest").agg(F.min("url").alias("first_url"))
+    first = written(first.join(urls, "digest"), "payloads")
     p = p.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +122,11 @@ def _order(key: str, page_id: int | None) -> tuple:
     return (key, page_id is not None, page_id or 0)
 
 
-def build_index(entries: DataFrame, folder: str, block_entries: int = 3000) -> list[tuple]:
+def build_index(entries: DataFrame, folder: str, block_entries: int = 3000, shard_entries: int = 500_000) -> list[tuple]:
     """Sort the entries by (key, page_id) into shards, each a file of compressed blocks with a sparse directory of its own.
 
     A shard's directory holds the first entry, offset and length of each block. Returns (first entry's order, file) of each
-    shard in order: as many rows as there are shuffle partitions at most.
+    shard in order: a row for each shard_entries of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +157,8 @@ def build_index(entries: DataFrame, folder: str, block_entries: int = 3000) -> l
                 f.write(zlib.compress(json.dumps(blocks).encode(), 6))
             yield _batch([(shard, name, blocks[0][0], blocks[0][1], len(blocks), entries)], SHARDS)
 
-    parts = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    shards = entries.count() // shard_entries + 1
+    parts = entries.repartitionByRange(shards, "key", "page_id").sortWithinPartitions("key", "page_id")
     return [(_order(r.first_key, r.first_id), r.file) for r in written(parts.mapInArrow(run, SHARDS), "shards").orderBy("shard").collect()]
 
 
@@ -197,11 +202,12 @@ class _Index:
         return found
 
 
-def read_captures(wanted: DataFrame, shards: list[tuple], index: str, archives: str, reads: int = 512) -> DataFrame:
+def read_captures(wanted: DataFrame, shards: list[tuple], index: str, archives: str, reads: int = 512, tasks: int | None = None) -> DataFrame:
     """The records of the wanted (key, page_id) pairs, looked up in the index and read by range from the archives.
 
     Repeated pairs count once; a pair that the index lacks gives no row. Rows have the columns RECORDS; a revisit's payload is null, the
-    other columns are those of the full payload. A record whose payload does not have its digest stops the read.
+    other columns are those of the full payload. A record whose payload does not have its digest stops the read. Ranges of keys are dealt to
+    ``tasks`` tasks, the session's parallelism if not given: what they read is payloads, of which the pairs' own size says nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +230,7 @@ def read_captures(wanted: DataFrame, shards: list[tuple], index: str, archives:
                     f.close()
                 yield _batch(rows, RECORDS)
 
-    return wanted.select("key", F.col("page_id").cast("long").alias("page_id")).distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, RECORDS)
+    return wanted.select("key", F.col("page_id").cast("long").alias("page_id")).distinct().repartitionByRange(tasks or wanted.sparkSession.sparkContext.defaultParallelism, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -234,7 +240,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     archives, index = shared_dir(spark, "archives"), shared_dir(spark, "index")
     entries = write_archives(pages, archives)
     shards = build_index(entries, index)
-    return read_captures(pages.select(url_key(safe_url(F.col("url").cast("string"))).alias("key"), "page_id"), shards, index, archives)
+    stored = entries.agg(F.sum("length")).first()[0] or 0
+    wanted = pages.select(url_key(safe_url(F.col("url").cast("string"))).alias("key"), "page_id")
+    return read_captures(wanted, shards, index, archives, tasks=max(spark.sparkContext.defaultParallelism, stored // TASK_BYTES))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 
-from switchback.llm.quality_rules import COUNTS, _count, choose_cutoffs, quality_rules, tail
+from switchback.llm.quality_rules import COUNTS, _count, choose_cutoffs, op10_quality_rules, quality_rules, tail
 
 
 def brute(text):
@@ -56,3 +57,52 @@ def test_rows_of_all_kinds(spark):
     assert quality_rules(docs, labels).count() == 3005
     assert quality_rules(docs.limit(0), labels).collect() == []
     assert quality_rules(docs.where("doc_id >= 3000"), labels.limit(0)).where("kept").count() == 3
+
+
+def cutoffs_brute(good, risk, doubt):
+    """{(stratum, rule): cutoff} by the definition: every cutoff in turn, its rejections counted anew, the tail in whole fractions."""
+    value = {
+        "symbols": lambda c: c[2] / max(c[1], 1), "capitals": lambda c: c[6] / max(c[1], 1), "dup_lines": lambda c: c[4] / max(c[3], 1), "repeats": lambda c: c[5] / max(c[0], 1), "long_words": lambda c: c[1] / max(c[0], 1) / 100,
+    }
+    strata, out = {s for s, _ in good}, {}
+    p = Fraction(risk) / len(value)
+    for s in strata:
+        rows = [c for t, c in good if t == s]
+        for rule, f in value.items():
+            values = [f(c) for c in rows]
+            for i in range(81):
+                cut = 2.0 ** (-i / 8)
+                k = sum(v > cut for v in values)
+                chance = sum(comb(len(rows), j) * p**j * (1 - p) ** (len(rows) - j) for j in range(k + 1)) if k <= p * len(rows) else 1
+                if chance > Fraction(doubt) / (len(strata) * len(value)):
+                    break
+                out[s, rule] = cut
+    return out, value
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = ([r.asDict() for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()] for t in ("documents", "labels"))
+    held(spark, docs, labels, {r.doc_id: r for r in op10_quality_rules(spark, sf).collect()}, 0.02, 0.05)
+    many = [{"doc_id": 10_000 * k + d["doc_id"], "text": d["text"], "lang": "en" if k % 2 else "de"} for k in range(12) for d in docs]
+    tags = [{"doc_id": 10_000 * k + r["doc_id"], "quality": r["quality"]} for k in range(12) for r in labels]
+    got = quality_rules(spark.createDataFrame(many, "doc_id long, text string, lang string"), spark.createDataFrame(tags, "doc_id long, quality int"), 0.2, 0.05)
+    assert held(spark, many, tags, {r.doc_id: r for r in got.collect()}, 0.2, 0.05) > 20
+
+
+def held(spark, docs, labels, got, risk, doubt):
+    """Every row against its counts and the verdict by cutoffs_brute(); how many rules alone reject."""
+    counts = {d["doc_id"]: brute(d["text"]) for d in docs}
+    failed = {i: c[0] < 50 or 100 * c[5] > 50 * c[0] for i, c in counts.items()}
+    bad = {r["doc_id"] for r in labels if r["quality"] != 1}
+    good = {r["doc_id"] for r in labels} - bad
+    lang = {d["doc_id"]: d["lang"] or "" for d in docs}
+    cut, value = cutoffs_brute([(lang[i], counts[i]) for i in counts if i in good and not failed[i]], str(risk), str(doubt))
+    alone = 0
+    for i, c in counts.items():
+        rules = sum(f(c) > cut.get((lang[i], rule), float("inf")) for rule, f in value.items())
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == (c[0], c[1], c[2], c[4], c[5])
+        assert got[i].base_failed == failed[i] and got[i].kept == (not failed[i] and not rules), i
+        alone += not failed[i] and rules > 0
+    assert len(got) == len(counts)
+    return alone

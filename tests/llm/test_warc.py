@@ -45,3 +45,12 @@ def test_index_blocks_and_lookups(spark):
     for info in files.get_file_info(fs.FileSelector(base)):  # the archives can be read whole, too
         data = gzip.decompress(files.open_input_file(info.path).read())
         assert data.startswith(b"WARC/1.1\r\n") and parse_record(data)["record_type"] == "response"
+
+
+def test_hot_payloads_and_a_long_page(spark):
+    rows = [(i, f"http://h{i % 11}.example.org/{i}", BIG if i % 3 == 0 else f"{BIG}{i % 40}" if i % 3 == 1 else f"short {i % 5}") for i in range(3000)]
+    rows += [(9000, "http://long.example.org/", "é<p>\n" * 2_000_000), (9001, "http://long.example.org/", "é<p>\n" * 2_000_000)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, payload string").repartition(5)
+    back = round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r) for r in back.collect()), key=str) == expected(rows)
+    assert back.rdd.getNumPartitions() >= 8  # read by many tasks
