@@ -93,7 +93,7 @@ def owners(vertices: DataFrame, places: DataFrame) -> DataFrame:
     return found.select("road", "d", "q.*", F.coalesce("at.way", "end.v.way").alias("way"))
 
 
-def candidates(samples: DataFrame, most: int | None = None) -> DataFrame:
+def candidates(samples: DataFrame, most: int | None = None, least_m: float = LEAST_M, least_curvy_km: float = LEAST_CURVY_KM, least_density: float = LEAST_DENSITY) -> DataFrame:
     """(road, chain, area, a, b, length, km1..km4, curvy): curvy sections of samples (road, k, cls) that are long, curvy and dense enough, by area the ``most`` curviest.
 
     km are those of samples before the last; ties go to the earlier chain and section. road is the section's own key from here on.
@@ -102,7 +102,7 @@ def candidates(samples: DataFrame, most: int | None = None) -> DataFrame:
     km = {f"km{c}": F.count_if(F.col("cls") == c) * (sampling.STEP_M / 1000) for c in range(1, 5)}
     s = cut.groupBy("road", "a", "b").agg(*(v.alias(n) for n, v in km.items())).withColumn("length", (F.col("b") - F.col("a")) * sampling.STEP_M)
     s = s.withColumn("curvy", sum((F.col(f"km{c}") * BALANCED[c - 1] for c in range(1, 5)), F.lit(0.0)))
-    s = s.where((F.col("length") >= LEAST_M) & (F.col("curvy") >= LEAST_CURVY_KM) & (F.col("curvy") / (F.col("length") / 1000) >= LEAST_DENSITY)).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1)))
+    s = s.where((F.col("length") >= least_m) & (F.col("curvy") >= least_curvy_km) & (F.col("curvy") / (F.col("length") / 1000) >= least_density)).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1)))
     if most is not None:
         place = F.row_number().over(Window.partitionBy("area").orderBy(F.desc(F.round("curvy", 9)), "road", "a"))
         s = s.withColumn("place", place).where(F.col("place") <= most).drop("place")
@@ -233,7 +233,7 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     s = stored(s, "sections")
 
     middles = stored(centres(s), "centres")
-    pass_points = passes.select(F.lit("").alias("road"), F.col("pass_id").alias("k"), F.lit("pass").alias("what"), F.lit(0).alias("j"), "lon", "lat")
+    pass_points = passes.select(F.col("area").alias("road"), F.col("pass_id").alias("k"), F.lit("pass").alias("what"), F.lit(0).alias("j"), "lon", "lat")
     points = s.select("road", "k", F.lit("road").alias("what"), F.lit(0).alias("j"), "lon", "lat").unionByName(surroundings(middles)).unionByName(pass_points)
     heights = stored(elevation(points, terrain), "heights")
     raw = s.select("road", "k", "off").join(heights.where("what = 'road'").select("road", "k", "ele"), ["road", "k"])
@@ -261,9 +261,9 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     at_ends = ends.select(F.col("road"), F.explode(F.array(*(F.struct(F.lit(e).alias("end"), f"p{e}.lon", f"p{e}.lat") for e in (0, 1)))).alias("p")).select("road", F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), "p.*", F.struct("road", "p.end").alias("point_id"))
     near = spatial.nearest_place(at_ends, place_tags, TOWN_M).join(place_tags.select("place_id", "area", "name"), ["place_id", "area"]).select("point_id.*", "name")
     towns = near.groupBy("road").agg(F.max(F.when(F.col("end") == 0, F.col("name"))).alias("town0"), F.max(F.when(F.col("end") == 1, F.col("name"))).alias("town1"))
-    tops = passes.join(heights.where("what = 'pass'").select(F.col("k").alias("pass_id"), F.col("ele").alias("ground")), "pass_id").select("area", "pass_id", F.col("name").alias("pass_name"), F.coalesce(pass_metres(F.col("ele")), "ground").alias("ele"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    tops = passes.join(heights.where("what = 'pass'").select(F.col("road").alias("area"), F.col("k").alias("pass_id"), F.col("ele").alias("ground")), ["area", "pass_id"]).select("area", "pass_id", F.col("name").alias("pass_name"), F.coalesce(pass_metres(F.col("ele")), "ground").alias("ele"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     corners = outline.select("road", F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), "lon", "lat")
-    top = spatial.highest_pass(corners, tops, PASS_M).join(tops.drop("ele"), "pass_id").select("road", F.struct(F.col("pass_name").alias("name"), F.col("ele").cast("long").alias("ele"), F.round("p_lon", 5).alias("lon"), F.round("p_lat", 5).alias("lat")).alias("pass"))
+    top = spatial.highest_pass(corners, tops, PASS_M).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1))).join(tops.drop("ele"), ["area", "pass_id"]).select("road", F.struct(F.col("pass_name").alias("name"), F.col("ele").cast("long").alias("ele"), F.round("p_lon", 5).alias("lon"), F.round("p_lat", 5).alias("lat")).alias("pass"))
 
     heads = profile.groupBy("road").agg(js_round(F.min("ele")).cast("long").alias("ele_min"), js_round(F.max("ele")).cast("long").alias("ele_max"))
     r = cand.join(slices, "road").join(coords, "road").join(climb, "road").join(heads, "road").join(pins.groupBy("road").agg(F.count("*").alias("hairpins")), "road", "left")

@@ -142,12 +142,12 @@ def turning(spark, sf_dir):
 @query(
     f"""WITH {SAMPLES}, l AS (SELECT road, max(k) AS n FROM p GROUP BY road), q AS (SELECT road, n, unnest(range(0, ((n * 10 - 1) // 7 + 1)::BIGINT)) AS k FROM l WHERE n > 0)
 SELECT q.road, q.k, round(a.x + (b.x - a.x) * (q.k * 7 - a.k * 10) / 10, 4) AS x, round(a.y + (b.y - a.y) * (q.k * 7 - a.k * 10) / 10, 4) AS y
-FROM q JOIN p a ON a.road = q.road AND a.k = (q.k * 7) // 10 JOIN p b ON b.road = q.road AND b.k = a.k + 1 WHERE (q.k * 7) % 10 <> 0"""
+FROM q JOIN p a ON a.road = q.road AND a.k = (q.k * 7) // 10 JOIN p b ON b.road = q.road AND b.k = a.k + 1"""
 )
 def resampled(spark, sf_dir):
-    """Every seven metres along ten-metre segments; samples on vertices are left out, where a last bit decides the segment."""
+    """Every seven metres along ten-metre segments, on vertices and between."""
     s = sampling.resample(view(spark, sf_dir, PATH).withColumnRenamed("k", "i"), step=7.0)
-    return rounded(s.where("k * 7 % 10 != 0").select("road", "k", "x", "y"), 4)
+    return rounded(s.select("road", "k", "x", "y"), 4)
 
 
 @query(
@@ -211,30 +211,40 @@ def ground_fill(spark, sf_dir):
 DIST_SQL = f"{span('(b.lon - a.lon) * cos(radians(a.lat))', 'b.lat - a.lat')} * radians(1) * 6371008.8::DOUBLE"
 
 
+#: Every point has a place beside it.
+PLACES_SQL = "pl AS (SELECT point_id, lon + 0.004 AS lon, lat + 0.003 AS lat, kind FROM q)"
+
+
 def places_of(points: DataFrame) -> DataFrame:
-    return points.where("point_id % 4 = 0").select(F.col("point_id").alias("place_id"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), "kind")
+    return points.select(F.col("point_id").alias("place_id"), (F.col("lon") + 0.004).alias("p_lon"), (F.col("lat") + 0.003).alias("p_lat"), "kind")
 
 
-@query(f"WITH q AS ({POINTS}) SELECT DISTINCT a.point_id FROM q a JOIN q b ON b.point_id % 4 = 0 AND a.point_id <> b.point_id WHERE {DIST_SQL} < CASE b.kind WHEN 'city' THEN 1800 WHEN 'town' THEN 800 ELSE 350 END OR (b.point_id = a.point_id)")
+@query(f"WITH q AS ({POINTS}), {PLACES_SQL} SELECT DISTINCT a.point_id FROM q a JOIN pl b ON true WHERE {DIST_SQL} < CASE b.kind WHEN 'city' THEN 1800 WHEN 'town' THEN 800 ELSE 350 END")
 def near_places(spark, sf_dir):
-    """Points in the surroundings of a place other than themselves."""
+    """Points in the surroundings of a place."""
     p = view(spark, sf_dir, POINTS)
-    radius = F.coalesce(*(F.when(F.col("p_kind") == k, float(r)) for k, r in spatial.PLACE_RADIUS.items()))
-    near = spatial.grid_join(p, places_of(p).withColumnRenamed("kind", "p_kind"), 0.03).where((F.col("metres") < radius) & (F.col("point_id") != F.col("place_id")))
-    return near.select("point_id").distinct()
+    return spatial.near_places(p.drop("kind"), places_of(p))
 
 
-@query(f"WITH q AS ({POINTS}), d AS (SELECT a.point_id, b.point_id AS place_id, {DIST_SQL} AS metres FROM q a JOIN q b ON b.point_id % 4 = 0) SELECT point_id, place_id, round(metres, 4) AS metres FROM d WHERE metres <= 6000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY metres, place_id DESC) = 1")
+@query(
+    f"""WITH q AS ({POINTS}), {PLACES_SQL}, d AS (SELECT a.point_id, b.point_id AS place_id, {DIST_SQL} AS metres FROM q a JOIN pl b ON true)
+SELECT point_id, place_id, round(metres, 4) AS metres FROM d WHERE metres <= 6000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY metres, place_id DESC) = 1"""
+)
 def nearest_place(spark, sf_dir):
     p = view(spark, sf_dir, POINTS)
     return rounded(spatial.nearest_place(p, places_of(p)), 4)
 
 
-@query(f"WITH q AS ({POINTS}), d AS (SELECT a.label AS road, b.point_id AS pass_id, floor(b.point_id % 7 * 300 + 0.6)::BIGINT AS ele FROM q a JOIN q b ON b.point_id % 4 = 0 AND a.point_id % 4 <> 0 WHERE {DIST_SQL} < 900) SELECT road, pass_id, ele FROM d QUALIFY row_number() OVER (PARTITION BY road ORDER BY ele DESC, pass_id) = 1")
+@query(
+    f"""WITH q AS ({POINTS}), {PLACES_SQL}, d AS (
+  SELECT a.label AS road, b.point_id AS pass_id, floor(b.point_id % 7 * 300 + 0.6)::BIGINT AS ele FROM q a JOIN pl b ON true
+  WHERE {span('(b.lon - a.lon) * cos(radians(b.lat))', 'b.lat - a.lat')} * radians(1) * 6371008.8::DOUBLE < 500)
+SELECT road, pass_id, ele FROM d QUALIFY row_number() OVER (PARTITION BY road ORDER BY ele DESC, pass_id) = 1"""
+)
 def highest_pass(spark, sf_dir):
     p = view(spark, sf_dir, POINTS)
     passes = places_of(p).select(F.col("place_id").alias("pass_id"), "p_lon", "p_lat", (F.col("place_id") % 7 * 300 + 0.1).alias("ele"))
-    return rounded(spatial.highest_pass(p.where("point_id % 4 != 0").select(F.col("label").alias("road"), "lon", "lat"), passes, 900.0))
+    return rounded(spatial.highest_pass(p.select(F.col("label").alias("road"), "lon", "lat"), passes, 500.0))
 
 
 COORDS = "SELECT label AS road, row_number() OVER (PARTITION BY label ORDER BY lon, point_id) - 1 AS i, lon / 20 AS lon, lat / 20 + 40 AS lat FROM q"
@@ -369,11 +379,11 @@ def map_geometry(spark, sf_dir):
     return rounded(p.select("point_id", geo.pixel_x(lon).alias("px"), geo.pixel_y(lat).alias("py"), geo.haversine_m(lon, lat, seven, north).alias("metres"), geo.bearing_deg(lon, lat, seven, north).alias("bearing")), 4)
 
 
-@query("""WITH RECURSIVE t AS (SELECT o_orderkey AS id, concat_ws(',', (o_orderkey % 90)::VARCHAR, '46.5', '7.25', (o_custkey % 80)::VARCHAR) AS s FROM orders WHERE o_orderkey <= 4000),
+@query("""WITH RECURSIVE t AS (SELECT o_orderkey AS id, concat_ws(',', (o_orderkey % 90)::VARCHAR, '46.5', '7.25', (o_custkey % 80)::VARCHAR) AS s FROM orders),
 f(id, s, i, h) AS (SELECT id, s, 0, 2166136261::BIGINT FROM t UNION ALL SELECT id, s, i + 1, (xor(h, ord(s[i + 1])::BIGINT) * 16777619) & 4294967295 FROM f WHERE i < length(s))
 SELECT id, h AS hash FROM f WHERE i = length(s)""")
 def road_ids(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey <= 4000")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rid = scoring.road_id((F.col("o_orderkey") % 90).cast("double"), F.lit(46.5), F.lit(7.25), (F.col("o_custkey") % 80).cast("double"))
     return o.select(F.col("o_orderkey").alias("id"), F.conv(F.substring(rid, 2, 20), 36, 10).cast("long").alias("hash"))
 
@@ -433,6 +443,4 @@ def learned_taste(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     roads = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     mine = sets.first_of(labels.select((F.col("doc_id") % roads + 1).alias("road"), F.col("doc_id").alias("ord"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("rating")), ["road"])
-    # a rider's ratings: ten of either kind
-    rated = mine.where("rating = 1").orderBy("road").limit(10).unionByName(mine.where("rating = -1").orderBy("road").limit(10))
-    return stretches.learn_taste(view(spark, sf_dir, SLICES), rated)
+    return stretches.learn_taste(view(spark, sf_dir, SLICES), mine)

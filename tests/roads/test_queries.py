@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from switchback.plans.queries import ORACLE_SQL, QUERIES
+from switchback.plans.map_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
