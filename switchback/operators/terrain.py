@@ -11,7 +11,7 @@ from ..functions.geo import pixel_x, pixel_y
 def elevation(points: DataFrame, terrain: DataFrame) -> DataFrame:
     """points (lon, lat, ...) with ele: between the four cells around each, of terrain tiles (x, y, metres: 256 rows of 256 cells). A tile that is not there is an error.
 
-    Each distinct cell that is needed is read once: cells are joined, not tiles, so no row carries a tile.
+    Each tile gives the distinct cells that are needed of it, at most all it has, and only those meet the points.
     """
     keys = [c for c in points.columns if c not in ("lon", "lat")]
     p = points.withColumns({"px": pixel_x(F.col("lon")), "py": pixel_y(F.col("lat"))})
@@ -19,8 +19,9 @@ def elevation(points: DataFrame, terrain: DataFrame) -> DataFrame:
     corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("cx"), (F.col("y0") + dy).alias("cy"), ((F.col("fx") if dx else 1 - F.col("fx")) * (F.col("fy") if dy else 1 - F.col("fy"))).alias("weight"))
     four = p.withColumn("c", F.explode(F.array(*(corner(dx, dy) for dx in (0, 1) for dy in (0, 1))))).select(*points.columns, "c.*")
     four = four.withColumns({"x": F.shiftright("cx", 8).cast("int"), "y": F.shiftright("cy", 8).cast("int"), "cell": (F.col("cy").bitwiseAND(255) * 256 + F.col("cx").bitwiseAND(255)).cast("int")}).drop("cx", "cy")
-    tiles = terrain.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "metres").join(four.select("x", "y").distinct(), ["x", "y"], "left_semi")
-    cells = tiles.select("x", "y", F.posexplode("metres").alias("cell", "z"))
-    z = F.when(F.col("z").isNull(), F.raise_error(F.concat_ws("/", F.lit("no terrain tile"), "x", "y")).cast("float")).otherwise(F.col("z"))
-    met = four.join(cells, ["x", "y", "cell"], "left").withColumn("part", z.cast("double") * F.col("weight"))
+    needed = four.groupBy("x", "y").agg(F.collect_set("cell").alias("cells"))
+    tiles = needed.join(terrain.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "metres"), ["x", "y"], "left")
+    metres = F.coalesce("metres", F.raise_error(F.concat_ws("/", F.lit("no terrain tile"), "x", "y")).cast("array<float>"))
+    cells = tiles.withColumn("metres", metres).select("x", "y", F.explode(F.transform("cells", lambda c: F.struct(c.alias("cell"), F.get("metres", c).alias("z")))).alias("c")).select("x", "y", "c.*")
+    met = four.join(cells, ["x", "y", "cell"]).withColumn("part", F.col("z").cast("double") * F.col("weight"))
     return met.groupBy(*keys, "lon", "lat").agg(F.sum("part").alias("ele"))

@@ -227,6 +227,27 @@ def slice_heights(spark, sf_dir):
     return rounded(build.slice_elevation(c), 4)
 
 
+@query()
+def built_roads(spark, sf_dir):
+    """From elements to ranked roads: a way for each supplier, turning by its line items, on hills made by a rule."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = spark.sql(
+        """SELECT l_suppkey AS id, i, sum(12 * cos(radians(turn))) OVER w AS x, sum(12 * sin(radians(turn))) OVER w AS y FROM (
+  SELECT l_suppkey, row_number() OVER o - 1 AS i, sum((l_partkey * 7919 + l_orderkey * 31) % 41 - 20 + 12 * sign(sin(l_suppkey + l_linenumber))) OVER o AS turn FROM {l}
+  WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) s WINDOW w AS (PARTITION BY l_suppkey ORDER BY i)""",
+        l=l,
+    )
+    lon, lat = 7 + F.col("id") % 10 * 0.02 + F.col("x") / 77_000, 46 + F.floor(F.col("id") / 10) % 10 * 0.02 + F.col("y") / 111_000
+    points = line.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", lat.alias("lat"), lon.alias("lon")))).alias("l"))
+    tags = F.create_map(F.lit("name"), F.concat(F.lit("Road "), "id"), F.lit("ref"), F.concat(F.lit("D "), F.col("id") % 7))
+    none = F.lit(None).cast("double")
+    elements = points.select(F.lit("a").alias("area"), F.col("id").alias("ord"), F.lit("way").alias("type"), "id", F.transform("l", lambda e: F.col("id") * 100_000 + e.i).alias("nodes"), F.transform("l", lambda e: e.dropFields("i")).alias("geometry"), none.alias("lat"), none.alias("lon"), tags.alias("tags"))
+    tile = spark.range(2120, 2145).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(1435), F.lit(1465))).alias("y"))
+    hills = F.expr("transform(sequence(0, 65535), c -> cast(900 + 300 * sin((x * 256 + c % 256) / 40) + 250 * cos((y * 256 + c div 256) / 55) AS float))")
+    found = build.find_roads(elements, tile.withColumn("metres", hills), 200)
+    return rounded(found.select("place", "name", "len", "score", "hairpins", "climb", F.size("slices").alias("slices")))
+
+
 # ---------------------------------------------------------------- distances
 
 @query(f"WITH q AS ({POINTS}) SELECT DISTINCT a.point_id FROM q a JOIN (SELECT lon + 0.002 AS lon, lat AS lat FROM q) b ON true WHERE {DIST_SQL} < 200")

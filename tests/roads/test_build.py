@@ -92,11 +92,11 @@ def test_a_mountain_of_one_road(spark, terrain):
     assert r.climb > r.descent and r.coords[0].lat < r.coords[-1].lat and r.coords[0].ele < r.coords[-1].ele
     assert r.warn.toll and r.warn.closed == "Nov-May" and abs(r.warn.narrow - 37) <= 2 and r.warn.tunnel == 0
     assert abs(sum(r.bends) - r.len / 1000) < 0.6 and r.bends[2] > 0.8 * sum(r.bends)  # a radius of 50 m is class 3, gentler where the sides change
-    assert r.hairpins >= 40 and 0 < r.score <= 100
+    assert r.hairpins == 0 and 0 < r.score <= 100  # at a radius of 50 m, 120 m turn by no more than 138 degrees
     n = len(r.slices)
-    assert n == math.ceil(r.len / 200) and sum(s.c3 for s in r.slices) > 17 * n
+    assert n == math.ceil(r.len / 200) and abs(sum(s.c3 for s in r.slices) - 100 * r.bends[2]) <= 1
     assert sum(s.u for s in r.slices) == pytest.approx(200, abs=8)  # the urban way, of 2 km
-    assert sum(s.x for s in r.slices) >= 1 and all(s.p == 9 for s in r.slices[:-1])
+    assert sum(s.x for s in r.slices) >= 1 and sum(s.p == 9 for s in r.slices) > n / 3  # where the road runs along the slope
     assert r.id.startswith("r") and r.ele_min < r.ele_max
     for c in r.coords:
         assert abs(c.ele - ground(c.lon, c.lat)) < 45  # smoothed over the wiggles
