@@ -204,13 +204,16 @@ def slice_elevation(coords: DataFrame) -> DataFrame:
     return s.select("road", "i", (F.col("e0") + (F.col("ele") - F.col("e0")) * t).alias("ele")).unionByName(flat)
 
 
-def scored(roads: DataFrame, taste: float = 0.5, mix: stretches.Mix = stretches.Mix()) -> DataFrame:
-    """stretches.score_roads() of roads as find_roads() describes them: coords (lon, lat, ele) and slices (c1..c4, h, r, v, p, u, x), in order."""
+def road_slices(roads: DataFrame) -> DataFrame:
+    """The slices that stretches' functions take, of roads as find_roads() describes them: road, coords (lon, lat, ele) and slices (c1..c4, h, r, v, p, u, x), in order."""
     coords = roads.select("road", F.size("slices").alias("nb"), F.posexplode("coords").alias("j", "p")).select("road", "nb", "j", "p.*")
-    ele = slice_elevation(coords)
     s = roads.select("road", F.get("coords", F.lit(0)).lat.alias("lat"), F.posexplode("slices").alias("i", "s")).select("road", "lat", F.col("i").cast("long").alias("i"), "s.*")
-    s = s.withColumns({"v": F.col("v") / 9, "p": F.col("p") / 9, "u": F.col("u") / PER_SLICE}).join(ele, ["road", "i"])
-    return stretches.score_roads(s, taste, mix)
+    return s.withColumns({"v": F.col("v") / 9, "p": F.col("p") / 9, "u": F.col("u") / PER_SLICE}).join(slice_elevation(coords), ["road", "i"])
+
+
+def scored(roads: DataFrame, taste: float = 0.5, mix: stretches.Mix = stretches.Mix()) -> DataFrame:
+    """stretches.score_roads() of roads as find_roads() describes them."""
+    return stretches.score_roads(road_slices(roads), taste, mix)
 
 
 def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell
-from . import sets
+from . import build, sets, stretches
 
 # Fixed values.
 LEAST_SCORE, ROADS_A_TILE, BITS_KEPT = 15, 250, 300
@@ -104,6 +104,14 @@ def top_bits(entries: DataFrame, most: int = BITS_KEPT) -> DataFrame:
     return entries.orderBy(F.desc("bit_score"), F.desc("score"), "tile", "pos").limit(most)
 
 
+def rebuilt_bits(roads: DataFrame, taste: float = 0.5, most: int = BITS_KEPT) -> DataFrame:
+    """The list of best bits of roads as tiles hold them (area, pos, id, name, road_text, ref, pass, warn, coords, slices, ...), scored anew."""
+    keyed = roads.withColumn("road", F.concat_ws("/", "area", "id"))
+    facts = keyed.select("road", F.col("pass.name").alias("pass_name"), F.lit(True).alias("has_ref"), "ref", "name", "road_text", F.col("warn.narrow").alias("narrow"))
+    bits = stretches.best_bits(build.road_slices(keyed), facts, taste).select(F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), F.split_part("road", F.lit("/"), F.lit(2)).alias("id"), "bit_score", "from_m", "to_m")
+    return top_bits(bit_entries(roads, bits), most)
+
+
 def tile_of_ids(index: DataFrame) -> DataFrame:
     """(id, tile) of an index (tile_ord, tile, ids: comma-joined); of an id in two tiles, the later."""
     ids = index.select("tile_ord", "tile", F.explode(F.split("ids", ",")).alias("id"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, texts
 from ..operators import build, listing, sampling, sets, spatial, tiles, views
 from ..operators.terrain import elevation
-from ..sources.elements import tile_index
+from ..sources.elements import requested, tile_index
 from .adapters import AREAS, PATH, POINTS, WAYS, view
 from .queries import CLASSES_SQL, DIST_SQL, ORACLE_SQL, QUERIES, query, rounded, span
 
@@ -372,6 +372,22 @@ def id_tiles(spark, sf_dir):
     return tiles.tile_of_ids(tile_index(s).select(F.col("tile").alias("tile_ord"), F.concat(F.lit("t"), "tile").alias("tile"), "ids"))
 
 
+@query(
+    f"""WITH q AS ({POINTS}), e AS (SELECT point_id AS id, lon, lat, point_id % 2 AS way, CASE point_id % 7 WHEN 0 THEN 'primary' WHEN 1 THEN 'track' WHEN 2 THEN 'trunk' WHEN 3 THEN 'unclassified' END AS highway, CASE point_id % 5 WHEN 0 THEN 'city' WHEN 1 THEN 'hamlet' END AS place, point_id % 11 = 0 AS view FROM q)
+SELECT id FROM e WHERE CASE WHEN way = 1 THEN highway IN ('primary', 'trunk', 'unclassified') AND (lat BETWEEN 45.95::DOUBLE AND 46.05::DOUBLE AND lon BETWEEN 6.9::DOUBLE AND 7.1::DOUBLE OR lat + 0.1::DOUBLE BETWEEN 45.95::DOUBLE AND 46.05::DOUBLE AND lon BETWEEN 6.9::DOUBLE AND 7.1::DOUBLE)
+  ELSE lat BETWEEN 45.95::DOUBLE AND 46.05::DOUBLE AND lon BETWEEN 6.9::DOUBLE AND 7.1::DOUBLE AND (place = 'city' OR view) END"""
+)
+def requested_elements(spark, sf_dir):
+    """Elements that a request for a box holds."""
+    p = view(spark, sf_dir, POINTS)
+    way = F.col("point_id") % 2 == 1
+    line = F.array(F.struct("lat", "lon"), F.struct((F.col("lat") + 0.1).alias("lat"), "lon"))
+    tags = {"highway": F.when(way, F.get(F.array(*map(F.lit, ("primary", "track", "trunk", "unclassified"))), (F.col("point_id") % 7).cast("int"))), "place": F.when(F.col("point_id") % 5 == 0, "city").when(F.col("point_id") % 5 == 1, "hamlet"), "tourism": F.when(F.col("point_id") % 11 == 0, "viewpoint")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in tags.items()))
+    e = p.select(F.col("point_id").alias("id"), F.when(way, "way").otherwise("node").alias("type"), F.when(way, line).alias("geometry"), F.when(~way, F.col("lat")).alias("lat"), F.when(~way, F.col("lon")).alias("lon"), F.map_from_entries(F.filter(pairs, lambda x: x.v.isNotNull())).alias("tags"))
+    return requested(e, 45.95, 6.9, 46.05, 7.1).select("id")
+
+
 # ---------------------------------------------------------------- the list
 
 ROADS = """SELECT c_custkey AS ord, 'r' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS road_text, 'n' || c_nationkey AS "from", CASE WHEN c_custkey % 4 = 0 THEN 'Town' END AS "to", CASE WHEN c_custkey % 5 = 0 THEN 'Col ' || c_custkey END AS pass_name,

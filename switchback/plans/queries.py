@@ -346,22 +346,42 @@ def halo_tiles(spark, sf_dir):
 GPX_SQL = f"WITH q AS ({POINTS}), o AS (SELECT label, point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, row_number() OVER (PARTITION BY label ORDER BY point_id) AS n FROM q)"
 
 
-@query(f"{GPX_SQL} SELECT 'Ride <' || label || '> & co' AS name, count(*)::BIGINT AS points, round(sum(round(lon, 5)), 4) AS lons, 'ride_' || label || '_co.gpx' AS file FROM o GROUP BY label")
+@query(f"{GPX_SQL} SELECT 'Ride <' || label || '> & co' AS name, count(*)::BIGINT AS points, round(sum(round(lon, 5)), 4) AS lons, round(sum(round(lat, 5) * n), 3) AS lats, 'ride_' || label || '_co.gpx' AS file FROM o GROUP BY label")
 def gpx_round_trip(spark, sf_dir):
     """Points written as GPX tracks and parsed again; all are far apart, so none is thinned."""
     p = view(spark, sf_dir, POINTS).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))), lambda x: F.struct(x.lon.alias("lon"), x.lat.alias("lat"), F.lit(500.0).alias("ele"))).alias("points"))
     name = F.concat(F.lit("Ride <"), F.col("label"), F.lit("> & co"))
     files = p.select(F.concat(F.lit("/in/"), tracks.gpx_file_name(name)).alias("file"), tracks.to_gpx(name, F.col("points")).alias("content"))
-    got = tracks.parse_gpx(files, 0.0)
-    return rounded(got.select("name", F.size("points").alias("points"), F.aggregate("points", F.lit(0.0), lambda a, x: a + x.lon).alias("lons"), F.regexp_replace("file", "^.*/", "").alias("file")), 4)
+    got = tracks.parse_gpx(files, 20.0)
+    sums = F.aggregate("points", F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(1).alias("n")), lambda a, x: F.struct((a.lon + x.lon).alias("lon"), (a.lat + x.lat * a.n).alias("lat"), (a.n + 1).alias("n")))
+    got = got.select("name", F.size("points").cast("long").alias("points"), sums.alias("s"), F.regexp_replace("file", "^.*/", "").alias("file"))
+    return got.select("name", "points", F.round("s.lon", 4).alias("lons"), F.round("s.lat", 3).alias("lats"), "file")
 
 
-@query(f"{GPX_SQL} SELECT label::BIGINT AS road, len(list(lon)) AS points, (avg(lon) * 0)::BIGINT AS zero FROM o GROUP BY label")
+@query(f"{GPX_SQL} SELECT label::BIGINT AS road, count(*)::BIGINT AS points, 50::BIGINT AS score, round(sum(lon), 4) AS lons, round(sum(lat * n), 3) AS lats FROM o GROUP BY label")
 def geojson_lines(spark, sf_dir):
-    p = view(spark, sf_dir, POINTS).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("point_id", "lon", "lat"))).alias("points"))
+    """Roads as GeoJSON lines, read back: all coordinates, in their order."""
+    p = view(spark, sf_dir, POINTS).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))).alias("points"))
     j = p.select(tracks.line_feature(F.col("label"), F.lit(50), F.col("points")).alias("j"))
     back = j.withColumn("f", F.from_json("j", "type string, properties struct<id: long, score: int>, geometry struct<type: string, coordinates: array<array<double>>>"))
-    return back.select(F.col("f.properties.id").alias("road"), F.size("f.geometry.coordinates").cast("long").alias("points"), F.when(F.col("f.geometry.type") == "LineString", 0).otherwise(1).cast("long").alias("zero"))
+    c = back.where("f.type = 'Feature' AND f.geometry.type = 'LineString'").select("f.properties.*", F.posexplode("f.geometry.coordinates").alias("n", "c"))
+    return c.groupBy(F.col("id").alias("road")).agg(F.count("*").alias("points"), F.max("score").cast("long").alias("score"), F.round(F.sum(F.get("c", F.lit(0))), 4).alias("lons"), F.round(F.sum(F.get("c", F.lit(1)) * (F.col("n") + 1)), 3).alias("lats"))
+
+
+@query(
+    """SELECT p_partkey AS id, '{"type":"Feature","properties":{"label":"' || p_name || CASE WHEN p_size % 3 = 0 THEN '\\n' || p_size || ' m' ELSE '' END || '"},"geometry":{"type":"Point","coordinates":[7.5,46.25]}}' AS pass,
+'{"type":"Feature","properties":{"icon":"coffee","i":' || p_size || ',"label":"Café' || CASE WHEN p_size % 2 = 0 THEN ': ' || p_brand ELSE '' END || '"},"geometry":{"type":"Point","coordinates":[7.5,46.25]}}' AS stop,
+'{"type":"Feature","properties":{"c":' || p_size % 5 || '},"geometry":{"type":"LineString","coordinates":[[7.5,46.25],[7.75,46.5]]}}' AS run FROM part"""
+)
+def geojson_points(spark, sf_dir):
+    """Passes, stops and runs of bends as GeoJSON text."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    lon, lat = F.lit(7.5), F.lit(46.25)
+    line = F.array(F.struct(lon.alias("lon"), lat.alias("lat")), F.struct(F.lit(7.75).alias("lon"), F.lit(46.5).alias("lat")))
+    return p.select(
+        F.col("p_partkey").alias("id"), tracks.pass_feature(F.col("p_name"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")), lon, lat).alias("pass"),
+        tracks.stop_feature(F.col("p_size"), F.lit("coffee"), F.lit("Café"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), lon, lat).alias("stop"), tracks.run_feature(F.col("p_size") % 5, line).alias("run"),
+    )
 
 
 @query("SELECT p_partkey AS id, round(greatest((p_partkey % 256 * 256 + p_size * 4 + (p_partkey * 3 % 256) / 256 - 32768)::FLOAT, 0)::DOUBLE, 4) AS metres, round((p_size * 0.3 + 2 * p_size * 0.7) * 0.75 + (3 * p_size * 0.3 + 5 * p_size * 0.7) * 0.25, 6)::DOUBLE AS between FROM part")

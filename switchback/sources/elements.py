@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import rideable, tag
 
+# The classes of ways and kinds of places that are asked for.
+HIGHWAYS = ("trunk", "primary", "secondary", "tertiary", "unclassified")
+PLACES = ("city", "town", "village")
 ELEMENT = "type string, id long, nodes array<long>, geometry array<struct<lat: double, lon: double>>, lat double, lon double, tags map<string, string>"
 
 
@@ -20,6 +23,23 @@ def read_elements(spark: SparkSession, path: str, tiles: list[str] | None = None
     return df
 
 
+def requested(elements: DataFrame, s: float, w: float, n: float, e: float) -> DataFrame:
+    """What a request for a box (four decimals, edges counting) holds: ways of HIGHWAYS with a vertex in it, passes, viewpoints and PLACES in it."""
+    s, w, n, e = (round(x, 4) for x in (s, w, n, e))
+    inside = lambda p: p.lat.between(s, n) & p.lon.between(w, e)
+    t = lambda k: F.try_element_at("tags", F.lit(k))
+    way = (F.col("type") == "way") & t("highway").isin(*HIGHWAYS) & F.exists("geometry", inside)
+    node = (F.col("type") == "node") & F.col("lat").between(s, n) & F.col("lon").between(w, e) & (F.coalesce(t("mountain_pass") == "yes", F.lit(False)) | F.coalesce(t("tourism") == "viewpoint", F.lit(False)) | F.coalesce(t("place").isin(*PLACES), F.lit(False)))
+    return elements.where(F.coalesce(way, F.lit(False)) | F.coalesce(node, F.lit(False)))
+
+
+def write_elements(elements: DataFrame, path: str) -> None:
+    """The elements of cells (tile, ord, and ELEMENT's columns) as Parquet by tile; of equal types and ids of a tile, the last."""
+    rest = [c for c in elements.columns if c not in ("tile", "ord", "type", "id", "tags")]
+    last = elements.groupBy("tile", "type", "id").agg(F.max(F.struct("ord", *rest, F.map_entries("tags").alias("t"))).alias("x"))
+    last.select("tile", "x.ord", "type", "id", *(f"x.{c}" for c in rest), F.map_from_entries("x.t").alias("tags")).write.mode("overwrite").partitionBy("tile").parquet(path)
+
+
 def classified(elements: DataFrame) -> DataFrame:
     """elements with kind: way (two nodes or more, a geometry, rideable), pass, place, viewpoint, or null."""
     way = F.col("type") == "way"

@@ -51,7 +51,34 @@ def gpx_file_name(name: Column) -> Column:
     return F.concat(F.lower(F.regexp_replace(name, r"[^\w\-]+", "_")), F.lit(".gpx"))
 
 
+def _feature(kind: str, coordinates: Column, **properties: Column) -> Column:
+    """A GeoJSON feature; null properties are left out."""
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*(v.alias(n) for n, v in properties.items())).alias("properties"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+
+
+def _pairs(points: Column) -> Column:
+    return F.transform(points, lambda p: F.array(p.lon, p.lat))
+
+
 def line_feature(road: Column, score: Column, points: Column) -> Column:
-    """A GeoJSON line with its id and score."""
-    coordinates = F.transform(points, lambda p: F.array(p.lon, p.lat))
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(road.alias("id"), score.alias("score")).alias("properties"), F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+    """A road's line with its id and score."""
+    return _feature("LineString", _pairs(points), id=road, score=score)
+
+
+def run_feature(cls: Column, points: Column) -> Column:
+    """A run of bends of one class."""
+    return _feature("LineString", _pairs(points), c=cls)
+
+
+def ride_feature(name: Column, points: Column) -> Column:
+    return _feature("LineString", _pairs(points), name=name)
+
+
+def pass_feature(name: Column, ele: Column, lon: Column, lat: Column) -> Column:
+    """A pass with its label, the elevation in a line of its own where there is one."""
+    return _feature("Point", F.array(lon, lat), label=F.concat(name, F.coalesce(F.concat(F.lit("\n"), ele.cast("string"), F.lit(" m")), F.lit(""))))
+
+
+def stop_feature(place: Column, icon: Column, kind: Column, name: Column, lon: Column, lat: Column) -> Column:
+    """A stop with its icon, its place in the list, and its kind and name as a label."""
+    return _feature("Point", F.array(lon, lat), icon=icon, i=place, label=F.concat_ws(": ", kind, name))

@@ -1,9 +1,13 @@
+import itertools
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from switchback import storage
-from switchback.operators import listing, sets, spatial
-from switchback.sources import keyed, tracks
+from switchback.operators import chains, listing, sets, spatial, tiles
+from switchback.sources import elements, keyed, tracks
 
 
 def test_keyed_tables(spark, tmp_path):
@@ -90,3 +94,48 @@ def test_tables_of_a_session_can_be_dropped(spark):
     storage.drop_since(spark, place)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_greedy_pairs_match_plain_loops(spark):
+    rng = random.Random(3)
+    ways = []
+    for i in range(120):
+        a, b = rng.randrange(25), rng.randrange(25)
+        turn = [rng.uniform(0, 2 * math.pi) for _ in range(2)]
+        ways.append((i, [a, *([rng.randrange(100, 130)] if i % 3 else []), b], rng.choice(["A", "B", None]), *(f(t) for t in turn for f in (math.cos, math.sin))))
+    ends = {}
+    for w, nodes, *_ in ways:
+        if nodes[0] != nodes[-1]:
+            ends.setdefault(nodes[0], []).append((w, True))
+            ends.setdefault(nodes[-1], []).append((w, False))
+    inner = {n for _, nodes, *_ in ways for n in nodes[1:-1]}
+    want = set()
+    for node, es in ends.items():
+        if len(es) == 2 and node not in inner and es[0][0] != es[1][0]:
+            want.add(frozenset(es))
+            continue
+        for key in {ways[w][2] for w, _ in es} - {None}:
+            free = sorted((e for e in es if ways[e[0]][2] == key), key=lambda e: (e[0], e[1]))
+            at = lambda e: ways[e[0]][3:5] if e[1] else ways[e[0]][5:7]
+            while True:
+                options = [(sum(p * q for p, q in zip(at(u), at(v))), u, v) for u, v in itertools.combinations(free, 2) if u[0] != v[0]]
+                if not options:
+                    break
+                _, u, v = min(options, key=lambda o: o[0])
+                want.add(frozenset((u, v)))
+                free = [e for e in free if e not in (u, v)]
+    df = spark.createDataFrame(ways, "way long, nodes array<long>, key string, dx0 double, dy0 double, dx1 double, dy1 double")
+    got = [frozenset(((r.a, r.a_start), (r.b, r.b_start))) for r in chains.pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 40
+
+
+def test_written_elements_and_rebuilt_bits(spark, tmp_path):
+    e = spark.createDataFrame([("46_7", 0, "node", 1, 46.1, {"a": "1"}), ("46_7", 5, "node", 1, 46.2, {"a": "2"}), ("46_8", 1, "node", 1, 46.3, None)], "tile string, ord long, type string, id long, lat double, tags map<string, string>")
+    elements.write_elements(e, str(tmp_path / "e"))
+    assert sorted((r.tile, r.lat, r.tags) for r in spark.read.parquet(str(tmp_path / "e")).collect()) == [("46_7", 46.2, {"a": "2"}), ("46_8", 46.3, None)]
+    slice_ = (20, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+    coords = [(7.0, 46.0, 500.0), (7.08, 46.0, 1000.0)]
+    roads = [("46_7", i + 1, f"r{i}", "Road", None, ref, None, None, 6000, 0, 1000, None, (0,), coords, [slice_] * n, 34) for i, (ref, n) in enumerate((("D 17", 30), (None, 30), ("D 18", 24)))]
+    schema = "area string, pos long, id string, name string, road_text string, ref string, `from` string, `to` string, len long, hairpins int, ele_max int, pass struct<name: string>, warn struct<narrow: int>, coords array<struct<lon: double, lat: double, ele: double>>, slices array<struct<c1: int, c2: int, c3: int, c4: int, h: int, r: int, v: int, p: int, u: int, x: int>>, score int"
+    got = tiles.rebuilt_bits(spark.createDataFrame(roads, schema)).collect()
+    assert [(r.id, r.bit_score, r.bb.e) for r in got] == [("r0", 53, 7.08)]
