@@ -73,13 +73,15 @@ def canonical_text(text: Column) -> Column:
         gaps, tokens = F.split(part, number, F.lit(-1)), F.regexp_extract_all(part, F.lit(f"({number})"), F.lit(1))
         return let(tokens, lambda t: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(_number(F.get(t, i)), F.lit("")))), ""))
 
-    # what no valid JSON text holds stands for escaped backslashes and quotes, so that every other quote begins or ends a string
-    marked = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
-    for x in escapes:
-        marked = F.replace(marked, F.lit(x), F.lit(x.lower()))
-    parts = F.transform(F.split(marked, '"', -1), lambda p, i: F.when((i % 2 == 0) & p.rlike("[0-9]"), rewritten(p)).otherwise(p))
-    whole = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-    return F.when(text.rlike(r"[0-9][.eE]|[0-9]{22}|-0|\\u00[01][A-F]"), whole).otherwise(text)
+    def whole(t: Column) -> Column:
+        # what no valid JSON text holds stands for escaped backslashes and quotes, so that every other quote begins or ends a string
+        marked = F.replace(F.replace(t, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+        for x in escapes:
+            marked = F.replace(marked, F.lit(x), F.lit(x.lower()))
+        parts = F.transform(F.split(marked, '"', -1), lambda p, i: F.when((i % 2 == 0) & p.rlike("[0-9]"), rewritten(p)).otherwise(p))
+        return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+    return let(text, lambda t: F.when(t.rlike(r"[0-9][.eE]|[0-9]{22}|-0|\\u00[01][A-F]"), whole(t)).otherwise(t))
 
 
 def _kind(v: str) -> str:
@@ -143,7 +145,7 @@ def argument_errors(calls: DataFrame, tools: dict[str, dict]) -> DataFrame:
     )
 
     def opened(level: DataFrame) -> DataFrame:
-        met = level.withColumn("kind", F.expr(_kind("v"))).withColumn("plain", canonical_text(F.to_json("v")))
+        met = level.withColumn("kind", F.expr(_kind("v"))).withColumn("plain", F.when(F.col("options").isNotNull(), canonical_text(F.to_json("v"))))
         return met.withColumns({"fields": F.expr("CASE WHEN kind = 'object' THEN cast(v AS map<string, variant>) END"), "elements": F.expr("CASE WHEN kind = 'array' THEN cast(v AS array<variant>) END")})
 
     top = calls.select("row", F.col("name").alias("tool"), F.lit("").alias("path"), F.lit("").alias("at"), F.try_parse_json("arguments").alias("v"))
