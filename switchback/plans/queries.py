@@ -177,14 +177,31 @@ def climbs(spark, sf_dir):
     return rounded(sampling.climbs(view(spark, sf_dir, PATH)))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS road, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n, value AS ele FROM events),
+p AS (SELECT a.road, a.k, a.n, list_sort(list(b.ele))[6] AS m FROM e a CROSS JOIN range(-5, 6) r(d) JOIN e b ON b.road = a.road AND b.k = greatest(0, least(a.n - 1, a.k + d)) WHERE a.n >= 25 GROUP BY ALL),
+f(road, k, v) AS (SELECT road, k, m FROM p WHERE k = 0 UNION ALL SELECT p.road, p.k, least(greatest(p.m, f.v - 2.2::DOUBLE), f.v + 2.2::DOUBLE) FROM f JOIN p ON p.road = f.road AND p.k = f.k + 1),
+g(road, k, v) AS (SELECT road, k, m FROM p WHERE k = n - 1 UNION ALL SELECT p.road, p.k, least(greatest(p.m, g.v - 2.2::DOUBLE), g.v + 2.2::DOUBLE) FROM g JOIN p ON p.road = g.road AND p.k = g.k - 1),
+h AS (SELECT f.road, f.k, (f.v + g.v) / 2 AS v FROM f JOIN g USING (road, k)),
+z AS (SELECT p.road, p.k, avg(h.v) AS ele FROM p CROSS JOIN range(-12, 13) r(d) JOIN h ON h.road = p.road AND h.k = greatest(0, least(p.n - 1, p.k + d)) GROUP BY p.road, p.k)
+SELECT road, k, round(ele, 6) AS ele FROM z UNION ALL SELECT road, k, round(ele, 6) FROM e WHERE n < 25"""
+)
 def smooth_elevation(spark, sf_dir):
     return rounded(sampling.smooth_elevation(view(spark, sf_dir, PATH)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, a AS (SELECT a.road, a.k, atan2(b.y - a.y, b.x - a.x) AS h FROM p a JOIN p b ON b.road = a.road AND b.k = a.k + 1),
+d AS (SELECT a.road, b.k, b.h - a.h AS d FROM a JOIN a b ON a.road = b.road AND b.k = a.k + 1),
+t AS (SELECT a.road, a.k, coalesce(sum(d.d - 2 * pi() * floor((d.d + pi()) / (2 * pi()))), 0) AS turned FROM a LEFT JOIN d ON d.road = a.road AND d.k <= a.k GROUP BY a.road, a.k),
+x AS (SELECT a.road, a.k AS i, min(b.k) AS e FROM t a JOIN t b ON b.road = a.road AND b.k BETWEEN a.k + 1 AND a.k + 12 AND abs(b.turned - a.turned) >= radians(149.5) GROUP BY a.road, a.k),
+g(road, i, e) AS (SELECT road, min(i), arg_min(e, i) FROM x GROUP BY road UNION ALL
+  SELECT road, i, e FROM (SELECT x.road, x.i, x.e, row_number() OVER (PARTITION BY x.road ORDER BY x.i) AS n FROM g JOIN x ON x.road = g.road AND x.i >= g.e) WHERE n = 1)
+SELECT road, (i + e) // 2 AS at FROM g"""
+)
 def hairpins(spark, sf_dir):
-    return sampling.hairpins(sampling.turning(view(spark, sf_dir, PATH)))
+    """Hairpins of half a degree less than usual, as the paths turn by whole degrees."""
+    return sampling.hairpins(sampling.turning(view(spark, sf_dir, PATH)), degrees=149.5)
 
 
 @query()
@@ -192,7 +209,17 @@ def simplified_lines(spark, sf_dir):
     return sampling.simplified(view(spark, sf_dir, PATH))
 
 
-@query()
+@query(
+    f"""WITH {CLASSES_SQL}, l AS (SELECT road, max(k) AS top FROM c GROUP BY road),
+s1 AS (SELECT road, k, cls, cls > 0 AND NOT (cls = 1 AND coalesce(lag(cls) OVER w, 0) = 0 AND coalesce(lead(cls) OVER w, 0) = 0) AS b FROM c WINDOW w AS (PARTITION BY road ORDER BY k)),
+s2 AS (SELECT a.road, a.k, a.cls, a.b, (SELECT max(z.k) FROM s1 z WHERE z.road = a.road AND z.k < a.k AND z.b) AS lo, (SELECT min(z.k) FROM s1 z WHERE z.road = a.road AND z.k > a.k AND z.b) AS hi FROM s1 a),
+s3 AS (SELECT road, k, cls, b OR coalesce(hi - lo - 1 < 3, false) AS b FROM s2),
+v AS (SELECT a.road, a.k, a.b, count(*) FILTER (z.b AND z.cls = 1) AS n1, count(*) FILTER (z.b AND z.cls = 2) AS n2, count(*) FILTER (z.b AND z.cls = 3) AS n3, count(*) FILTER (z.b AND z.cls = 4) AS n4
+  FROM s3 a JOIN s3 z ON z.road = a.road AND z.k BETWEEN a.k - 3 AND a.k + 3 GROUP BY ALL),
+r AS (SELECT road, k, CASE WHEN NOT b THEN 0 WHEN greatest(n1, n2, n3, n4) = 0 THEN 1 WHEN n4 = greatest(n1, n2, n3, n4) THEN 4 WHEN n3 = greatest(n1, n2, n3) THEN 3 WHEN n2 = greatest(n1, n2) THEN 2 ELSE 1 END AS cls FROM v),
+u AS (SELECT *, k - row_number() OVER (PARTITION BY road, cls ORDER BY k) AS g FROM r)
+SELECT road, min(k) AS a, max(k) AS b, cls::BIGINT AS cls FROM u GROUP BY road, cls, g"""
+)
 def bend_runs(spark, sf_dir):
     return rounded(sampling.bend_runs(sampling.steady_bends(sampling.bend_classes(view(spark, sf_dir, PATH)))))
 
