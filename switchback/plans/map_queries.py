@@ -515,14 +515,14 @@ def _at(x: str) -> str:
     f"""WITH e AS ({EVENT_LINE}), n AS (SELECT road, max(k) * 10.0::DOUBLE AS total FROM e GROUP BY road HAVING max(k) > 0),
 g AS (SELECT road, total, greatest(2, floor(total / greatest(200, least(1000, total / 60)) + 0.5))::BIGINT AS n FROM n), q AS (SELECT road, band, total * band / n AS from_m, total * (band + 1) / n AS to_m, greatest(0, total * (band - 1) / n) AS lo, least(total, total * (band + 2) / n) AS hi FROM g, range(0, 70) r(band) WHERE band < n),
 v AS (SELECT road, band, from_m, to_m, ({_at('q.hi')} - {_at('q.lo')}) / (hi - lo) AS grade FROM q)
-SELECT road, band, round(from_m, 6) AS from_m, round(to_m, 6) AS to_m, round(grade, 6) AS grade, 1 + (abs(grade) >= 0.04)::INT + (abs(grade) >= 0.07)::INT + (abs(grade) >= 0.1)::INT::BIGINT AS colour FROM v"""
+SELECT road, band, round(from_m, 9) AS from_m, round(to_m, 9) AS to_m, round(grade, 9) AS grade, 1 + (abs(grade) >= 0.04)::INT + (abs(grade) >= 0.07)::INT + (abs(grade) >= 0.1)::INT::BIGINT AS colour FROM v"""
 )
 def grade_bands(spark, sf_dir):
     """A profile's bands with their grades and colours."""
     e = spark.sql(EVENT_LINE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     line = e.select("road", (F.col("k") * 10.0).alias("x"), F.col("value").alias("ele"))
     many = line.groupBy("road").agg(F.count("*").alias("n")).where("n > 1").select("road")
-    return rounded(views.profile_bands(line.join(many, "road")))
+    return rounded(views.profile_bands(line.join(many, "road")), 9)
 
 
 @query(
