@@ -9,13 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import coder, tokenizer_file
 from .shared import small_batches
 
-PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
+PIECES = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost double"
 
 
 def assign(lengths: list[int], most: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int]], list[int], list[float]]:
@@ -52,7 +52,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, lin
 
     docs: doc_id, text; other columns are left alone. A document is the ids of its text, then end_id; a null or empty text is end_id alone, and a
     repeated row is a document of its own. Returns a row for each piece of a document: doc_id (null where the row has none), start and length
-    within the document, its ids, their CRC-32 (see ids_crc32), the document's tokens, and the
+    within the document, its ids, their CRC-32 as little-endian unsigned 32-bit numbers, the document's tokens, and the
     sequence, the offset in it, and the sequence's length and estimated cost. An empty table gives no rows.
 
     Nothing is shuffled: each task encodes its rows and packs them in groups of about group_tokens tokens, which bounds
@@ -76,7 +76,8 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, lin
             filled, rows = [0] * len(sizes), []
             for d, s, n, to in pieces:
                 doc_id, ids = group[d]
-                rows.append((doc_id, s, n, np.frombuffer(ids, "<i4", n, 4 * s), len(ids) // 4, number + to, filled[to], sizes[to], costs[to]))
+                piece = memoryview(ids)[4 * s : 4 * (s + n)]
+                rows.append((doc_id, s, n, np.frombuffer(piece, "<i4"), zlib.crc32(piece), len(ids) // 4, number + to, filled[to], sizes[to], costs[to]))
                 filled[to] += n
             number += len(sizes)
             for k in range(0, len(rows), 1000):
@@ -96,25 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, lin
         if group:
             yield from packed()
 
-    return with_digest(docs.mapInArrow(run, PIECES))
-
-
-def ids_crc32(ids: Column) -> Column:
-    """The CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-
-    @F.arrow_udf("long")
-    def crc(column: pa.Array) -> pa.Array:
-        flat, ends = memoryview(column.values.to_numpy().astype("<u4").tobytes()), column.offsets.to_numpy()
-        return pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
-
-    return crc(ids)
-
-
-def with_digest(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids_crc32 after ids."""
-    names = pieces.columns
-    at = names.index("ids") + 1
-    return pieces.select(*names[:at], ids_crc32(F.col("ids")).alias("ids_crc32"), *names[at:])
+    return docs.mapInArrow(run, PIECES)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
