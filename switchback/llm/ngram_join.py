@@ -255,3 +255,20 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join over all documents, with every link counted: four-word shingles, similarity 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS rep, count(*) AS n_copies, len(g) AS n, g FROM s WHERE len(g) > 0 GROUP BY g),
+u AS MATERIALIZED (SELECT rep, n, unnest(g) AS h FROM c),
+l AS MATERIALIZED (
+  SELECT x.rep AS a, y.rep AS b FROM u x JOIN u y ON x.h = y.h AND x.rep <> y.rep GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r(rep, seen) AS (SELECT rep, rep FROM c UNION SELECT r.rep, l.b FROM r JOIN l ON l.a = r.seen),
+k AS (SELECT rep, min(seen) AS component_id FROM r GROUP BY rep),
+d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies, coalesce(d.n_links, 0)::BIGINT AS n_links
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN k ON k.rep = c.rep LEFT JOIN d ON d.a = c.rep"""

@@ -159,3 +159,35 @@ def passing(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by cutoffs from all labels."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("n_lines", "n_capitals")
+
+
+#: The counts from lists of words, windows and lines; the binomial tail from log-gamma.
+OP10_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+again AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice CROSS JOIN range(3) r(d) GROUP BY doc_id),
+c AS MATERIALIZED (
+  SELECT t.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals
+  FROM t LEFT JOIN again USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+v AS MATERIALIZED (
+  SELECT doc_id, stratum, base_failed, unnest(['symbols', 'capitals', 'dup_lines', 'repeats', 'long_words']) AS rule, unnest([n_symbols / greatest(word_chars, 1), n_capitals / greatest(word_chars, 1),
+    n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1) / 100]) AS value FROM b),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
+h AS (SELECT v.stratum, rule, CASE WHEN value <= 0 THEN 81 WHEN value > 1 THEN 0 ELSE least(81, floor(-log2(value) * 8) + 1) END AS passed FROM v JOIN good USING (doc_id) WHERE NOT base_failed),
+m AS (SELECT 0.05::DOUBLE / (5 * count(DISTINCT stratum)) AS level FROM h),
+q AS (SELECT stratum, rule, i, count(*) AS n, count(*) FILTER (passed <= i) AS k FROM h CROSS JOIN range(81) s(i) GROUP BY ALL),
+z AS (
+  SELECT stratum, rule, i, any_value(n) AS n, any_value(q.k) AS k, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.004::DOUBLE) + (n - j) * ln(0.996::DOUBLE))) AS tail
+  FROM q JOIN range(100000) s(j) ON j <= q.k AND q.k <= 0.004 * n GROUP BY stratum, rule, i),
+e AS (SELECT q.stratum, q.rule, coalesce(min(q.i) FILTER (coalesce(z.tail > m.level, true)), 81) - 1 AS chosen FROM q CROSS JOIN m LEFT JOIN z USING (stratum, rule, i) GROUP BY ALL),
+f AS (SELECT v.doc_id FROM v JOIN e ON e.stratum = v.stratum AND e.rule = v.rule AND e.chosen >= 0 AND v.value > 2 ** (-e.chosen / 8) GROUP BY v.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.doc_id IS NULL AS kept, coalesce(x.rules, '') AS failed_rules
+FROM b LEFT JOIN f USING (doc_id) LEFT JOIN (
+  SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY list_position(['symbols', 'capitals', 'dup_lines', 'repeats', 'long_words'], v.rule)) AS rules
+  FROM v JOIN e ON e.stratum = v.stratum AND e.rule = v.rule AND e.chosen >= 0 AND v.value > 2 ** (-e.chosen / 8) GROUP BY v.doc_id) x USING (doc_id)"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from .bpe import op2_bpe
 from .license_scan import op6_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
-from .ngram_join import op5_ngram_jaccard
+from .ngram_join import OP5_SQL, op5_ngram_jaccard
 from .packing import op7_packing
-from .quality_rules import op10_quality_rules
+from .quality_rules import OP10_SQL, op10_quality_rules
 from .resampling import op4_quality_classifier
 from .tool_links import OP8_SQL, op8_tool_links
 from .topk import OP1_SQL, op1_topk
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op1_topk": OP1_SQL, "op3_warc": OP3_SQL, "op8_tool_links": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_topk": OP1_SQL, "op3_warc": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_tool_links": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
