@@ -204,7 +204,15 @@ def hairpins(spark, sf_dir):
     return sampling.hairpins(sampling.turning(view(spark, sf_dir, PATH)), degrees=149.5)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SAMPLES}, v AS MATERIALIZED (SELECT * FROM p),
+s(road, lo, hi) AS (SELECT road, min(k), max(k) FROM v GROUP BY road UNION ALL
+  SELECT road, unnest([lo, k]), unnest([k, hi]) FROM (
+    SELECT s.road, s.lo, s.hi, v.k, abs((b.x - a.x) * (v.y - a.y) - (b.y - a.y) * (v.x - a.x)) / nullif({span('b.x - a.x', 'b.y - a.y')}, 0) AS off
+    FROM s JOIN v a ON a.road = s.road AND a.k = s.lo JOIN v b ON b.road = s.road AND b.k = s.hi JOIN v ON v.road = s.road AND v.k > s.lo AND v.k < s.hi
+    QUALIFY row_number() OVER (PARTITION BY s.road, s.lo, s.hi ORDER BY off DESC NULLS LAST, v.k) = 1) WHERE off > 2)
+SELECT road, lo AS at FROM s UNION SELECT road, hi FROM s"""
+)
 def simplified_lines(spark, sf_dir):
     return sampling.simplified(view(spark, sf_dir, PATH))
 
