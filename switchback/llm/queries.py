@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .codes import op13_vector_codes
 from .license_scan import op6_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import OP5_SQL, op5_ngram_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_tool_links": op8_tool_links,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {"op1_topk": OP1_SQL, "op3_warc": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_tool_links": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
