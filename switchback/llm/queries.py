@@ -12,6 +12,7 @@ from .quality_rules import OP10_SQL, op10_quality_rules
 from .resampling import op4_quality_classifier
 from .tool_links import OP8_SQL, op8_tool_links
 from .topk import OP1_SQL, op1_topk
+from .turns import op12_conversation_repair
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_tool_links": op8_tool_links,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 
