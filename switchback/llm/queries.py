@@ -9,6 +9,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import OP5_SQL, op5_ngram_jaccard
 from .packing import op7_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .repeats import op11_suffix_dedup
 from .resampling import op4_quality_classifier
 from .tool_links import OP8_SQL, op8_tool_links
 from .topk import OP1_SQL, op1_topk
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_tool_links": op8_tool_links,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
