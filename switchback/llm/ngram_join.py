@@ -24,20 +24,21 @@ SETS = "doc_id long, n long, lo long, hi long"
 
 
 def _sets(width: int, keep: str, share: float = 1.0):
-    """A function for mapInArrow: (doc_id, text) to the size and hash of each text's shingle set, and some or all of it."""
+    """A function for mapInArrow: (doc_id, text) to the size of each text's shingle set, two hashes of it that come from independent hashes of its words, and some or all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = int(share * 2**63)
         for batch in batches:
             ids = batch.column("doc_id")
             for i, j, data, offsets in text_blocks(batch.column("text")):
-                h, at = cut_words(data, offsets).shingles(width)
+                words = cut_words(data, offsets)
+                (h, at), (other, _) = words.shingles(width), words.shingles(width, 1)
                 n, lo, hi, parts, sizes = [], [], [], [], []
                 for k in range(j - i):
-                    u = np.unique(h[at[k] : at[k + 1]])
+                    u, where = np.unique(h[at[k] : at[k + 1]], return_index=True)
                     n.append(len(u))
                     lo.append(int(mixed(u, 11).sum(dtype=np.uint64)))
-                    hi.append(int(mixed(u, 12).sum(dtype=np.uint64)))
+                    hi.append(int(mixed(other[at[k] : at[k + 1]][where], 12).sum(dtype=np.uint64)))
                     if keep:
                         u = (u >> np.uint64(1)).astype(np.int64) if share == 1 else (u[: np.searchsorted(u, np.uint64(2 * top))] >> np.uint64(1)).astype(np.int64)
                         parts.append(u)

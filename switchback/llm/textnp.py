@@ -1,7 +1,7 @@
 """Whole Arrow string columns cut into words, and hashes of words and shingles, with numpy only.
 
-A word or shingle is known by a 64-bit hash. Two different shingles of one pair of texts get the same hash with a
-chance of about 2**-64, which is left out of account.
+A word or shingle is known by a 64-bit hash, nonlinear in blocks of eight bytes. Two different shingles of one pair of texts get the same hash with a
+chance of about 2**-64, which is left out of account; equal sets are confirmed by hashes of a second seed.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Masks of a block's first n bytes.
+TAILS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 #: Classes of bytes: words are maximal runs of bytes of one class other than 0.
@@ -49,19 +49,29 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # of text i: words first[i] to first[i + 1]
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from prefix sums of a polynomial."""
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word: its blocks of eight bytes, each mixed with its number and then summed, mixed again with the length.
+
+        Both steps are nonlinear, unlike a polynomial, whose collisions can be written down. Hashes of two seeds are independent.
+        """
+        if not len(self.start):
+            return np.zeros(0, U64)
+        size = self.end - self.start
+        blocks = (size + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)]).tobytes()
+        found = np.ndarray(len(self.data), "<u8", padded, 0, (1,))[np.repeat(self.start, blocks) + 8 * place]
+        last = first + blocks - 1
+        found[last] &= TAILS[size - 8 * (blocks - 1)]
+        keys = mixed(np.arange(1, int(blocks.max()) + 1, dtype=U64), 2 * seed + 1)
+        sums = np.add.reduceat(mixed(found ^ keys[place]), first)
         with np.errstate(over="ignore"):
-            n = len(self.data)
-            powers = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n, BASE, U64)]))
-            sums = np.concatenate([[U64(0)], np.cumsum((self.data.astype(U64) + U64(1)) * powers[:n], dtype=U64)])
-            back = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(n, BASE_INVERSE, U64)]))
-            h = (sums[self.end] - sums[self.start]) * back[self.start]
-            return mixed(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
-
-    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+            return mixed(sums + size.astype(U64) * U64(0xD6E8FEB86659FD93), seed)
+
+    def shingles(self, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, offsets by text) of all word shingles; a text with fewer words than width, but some, has one of all its words."""
-        h, first = self.hashes(), self.first
+        h, first = self.hashes(seed), self.first
         counts = np.diff(first)
         sizes = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
