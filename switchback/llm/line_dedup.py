@@ -33,11 +33,11 @@ def boilerplate(docs: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     return written(counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line"), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, least_pages: int = 10) -> DataFrame:
+def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, least_pages: int = 10, counts: bool = True) -> DataFrame:
     """Drop the lines that stand on more than a share ``ratio`` of their host's pages.
 
     docs: text string, a host column, and any others. Returns every row of docs with all its columns, text without its boilerplate lines, and
-    n_lines and n_dropped (replacing columns of these names). A line is all between two line feeds; it is known by a 64-bit
+    n_lines and n_dropped (replacing columns of these names; without counts, there are none, and all columns but text keep their values). A line is all between two line feeds; it is known by a 64-bit
     hash within its host, and lines of white space alone are never dropped. A null text stays null, with no lines; a null host is a host of its own,
     distinct from the empty one; repeated rows are pages of their own. A host with fewer than least_pages pages loses nothing, as a ratio says
     little there. Ties do not arise: a line at exactly the ratio stays. An empty table gives no rows.
@@ -54,7 +54,9 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.
     kept = let(gone, lambda g: F.when(F.size(g) > 0, F.filter("lines", lambda x: ~has_text(x) | ~F.array_contains(g, F.xxhash64(x)))).otherwise(F.col("lines")))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept)
     split = joined.withColumn("lines", lines_of(F.col("text"))).withColumn("kept", kept)
-    out = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    if not counts:
+        return split.select(*out)
     return split.select(*out, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
