@@ -35,7 +35,7 @@ def line_dedup(spark, docs, sf_dir):
 
     A null text stays null, an empty one empty; a null source is a source of its own; repeated rows are pages of their own.
     """
-    return without_boilerplate(docs).select(*docs.columns)
+    return without_boilerplate(docs, counts=False)
 
 
 def ngram_jaccard(spark, docs, sf_dir):
