@@ -22,7 +22,7 @@ from .textnp import U64, mixed, text_blocks
 
 WIDTH, SEED = 50, 16
 #: Starts of strings that are worked on at a time; bytes of a pack of documents, if it has more than one; bytes of text for a bucket.
-BLOCK, PACK, BUCKET = 1 << 17, 1 << 23, 1 << 25
+BLOCK, PACK, BUCKET = 1 << 17, 1 << 23, 1 << 24
 #: Packs that are searched for hot triggers, and the share of a pack's documents that makes a trigger hot (and no fewer than eight).
 PROBES, HOT = 8, 0.01
 LOW = U64((1 << 32) - 1)
@@ -30,9 +30,9 @@ PACKS = "pack long, size long, ids binary, known binary, ends binary, texts bina
 
 
 def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
-    """The eight bytes from each place on as one number; places near the end see zeros."""
+    """The eight bytes from each place on as one number, a view; places near the end see zeros."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
-    return np.ndarray(len(data), f"{order}u8", padded, 0, (1,)).astype(U64)
+    return np.ndarray(len(data), f"{order}u8", padded, 0, (1,))
 
 
 def _spelt(words: np.ndarray, start: np.ndarray | None, size: np.ndarray | int) -> np.ndarray:
@@ -87,7 +87,7 @@ class Pack:
 
     def _block(self, at: int) -> tuple:
         data = self.data[at : at + BLOCK + WIDTH - 1]
-        words, n = _words(data), len(data) - SEED + 1
+        words, n = _words(data).astype(U64), len(data) - SEED + 1
         with np.errstate(over="ignore"):
             each = mixed(words)
             seeds = mixed(each[:n] * U64(0x9E3779B97F4A7C15) + each[SEED - 8 : n + SEED - 8] * U64(0xC2B2AE3D27D4EB4F))
@@ -165,12 +165,15 @@ class Pack:
     def removed(self, repeated: np.ndarray) -> np.ndarray:
         """Of each byte, whether a string that an earlier document has covers it; ``repeated`` says so of the strings that were asked()."""
         earlier = self.earlier[self.of] | (self.ids[self.doc] > self.least[self.of])
-        steps = np.bincount(self.start[earlier], minlength=len(self.data) + 1) - np.bincount((self.start + self.count + WIDTH - 1)[earlier], minlength=len(self.data) + 1)
+        steps = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(steps, self.start[earlier], 1)
+        np.add.at(steps, (self.start + self.count + WIDTH - 1)[earlier], -1)
         ask = ~earlier & self.shared[self.of]
         start, string = _ranges(self.start[ask], self.count[ask]), _ranges(self.strings_at[self.of[ask]], self.count[ask])
         start = start[repeated[self.string_of[string]] | self.here[string]]
-        steps += np.bincount(start, minlength=len(steps)) - np.bincount(start + WIDTH, minlength=len(steps))
-        return np.cumsum(steps)[:-1] > 0
+        np.add.at(steps, start, 1)
+        np.add.at(steps, start + WIDTH, -1)
+        return np.cumsum(steps, dtype=np.int32)[:-1] > 0
 
     @cached_property
     def begins(self) -> np.ndarray:
@@ -235,7 +238,7 @@ def _dictionary(hot: np.ndarray):
 def suffix_order(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): the strings of WIDTH bytes from each start on in the order of their bytes, and where it comes to another string."""
     words = _words(data, ">")
-    keys = [words[start + at] for at in (WIDTH - 8, 40, 32, 24, 16, 8, 0)]
+    keys = [words[start + at].astype(U64) for at in (WIDTH - 8, 40, 32, 24, 16, 8, 0)]
     order = np.lexsort(keys)
     return order, _new(*(k[order] for k in keys))
 
@@ -312,7 +315,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             pack = opened(row)
-            start, count, first, bucket = pack.asked(buckets)
+            start, count, first, bucket = pack.asked(4 * buckets)
             edges = np.flatnonzero(_new(bucket)) if len(bucket) else []
             for a, b in zip(edges, [*edges[1:], len(bucket)]):
                 texts = pack.data[_ranges(start[a:b], count[a:b] + WIDTH - 1)].tobytes()
@@ -325,12 +328,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             pack = opened(row)
-            pack.asked(buckets)
+            pack.asked(4 * buckets)
             flags = [np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: x["n"]].astype(bool) for x in row["known_strings"] or []]
             gone = pack.removed(np.concatenate(flags) if flags else np.zeros(0, bool))
-            outside = np.flatnonzero(~gone)
-            left = np.searchsorted(outside, np.concatenate([[0], pack.ends]))
-            kept = pack.data[outside]
             for a in range(0, len(pack.ids), 500):
                 part = range(a, min(a + 500, len(pack.ids)))
                 spans = []
@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     [
                         pa.array([int(pack.ids[d]) if pack.known[d] else None for d in part], pa.int64()),
                         pa.array([int(pack.ends[d] - pack.begins[d]) for d in part], pa.int64()),
-                        pa.array([kept[left[d] : left[d + 1]].tobytes() for d in part], pa.binary()),
+                        pa.array([pack.data[pack.begins[d] : pack.ends[d]][~gone[pack.begins[d] : pack.ends[d]]].tobytes() for d in part], pa.binary()),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
                     ],
                     ["doc_id", "n_bytes", "kept", "spans"],
