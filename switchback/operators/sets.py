@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell
+from ..storage import stored
+from .quadtree import uncovered
 
 #: Degrees of the cells in which roads meet the boxes of areas.
 BOX_CELL = 0.5
@@ -47,6 +49,37 @@ def collect_roads(tile_roads: DataFrame, areas: DataFrame, area_roads: DataFrame
     return tiles.unionByName(ours).groupBy("road_id").agg(F.max(place).alias("x")).select("road_id", "x.area_ord", "x.name")
 
 
+def merge_scans(scans: DataFrame, roads: DataFrame, passes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(areas, roads, passes) that are saved after all scans came in, one after another by ord.
+
+    scans: ord (each once), key, missing, box (s, w, n, e); roads: ord, road_id (once a scan), pos, and others; passes: ord, lon, lat, pos, and others. A scan replaces the area of its
+    key. One with nothing missing also removes the areas that its box covers; one with something missing, or null, keeps what its key's area had, and of a road or pass that both
+    have, the known one. Areas: key, ord, missing, box of its last scan. Roads and passes: key, their columns without ord, rank and pos; an area's are in order of rank (the
+    last scan that has them, latest first) and pos. Scans that no road belongs to, and tables without rows, are fine.
+
+    No scan is folded after another: a scan is gone if a complete one after it, and before the next of its key, covers it, which is a join of boxes; a key's scans that
+    build on one another are a run in order of ord, and a road's text is that of the first in the run.
+    """
+    own = Window.partitionBy("key").orderBy("ord")
+    flat = scans.select("ord", "key", "missing", *(F.col(f"box.{c}").alias(c) for c in "swne")).withColumn("next", F.lead("ord").over(own))
+    full = flat.where("missing = 0").select(F.col("ord").alias("r_ord"), *(F.col(c).alias(f"r_{c}") for c in "swne"))
+    left = uncovered(flat, full, "r_ord > ord AND (next IS NULL OR r_ord < next)").select(F.col("ord").alias("left_ord"))
+    lived = flat.join(left, flat.ord == left.left_ord, "left").withColumn("alive", F.col("left_ord").isNotNull()).drop("left_ord")
+    starts = F.coalesce(F.col("missing") == 0, F.lit(False)) | ~F.coalesce(F.lag("alive").over(own), F.lit(False))
+    runs = lived.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(own))
+    last = runs.where("next IS NULL AND alive").select("key", F.col("run").alias("last_run"), F.col("ord").alias("area_ord"))
+    members = stored(runs.join(last, "key").where("run = last_run").select("key", "ord", "missing", F.struct("s", "w", "n", "e").alias("box"), "area_ord"), "scans")
+
+    def folded(found: DataFrame, keys: list[str]) -> DataFrame:
+        rest = [c for c in found.columns if c not in ("ord", "pos", *keys)]
+        known = found.join(members.select("ord", "key"), "ord")
+        one = known.groupBy("key", *keys).agg(F.min_by(F.struct(F.lit(0), *rest), "ord").alias("x"), F.max(F.struct("ord", -F.col("pos"))).alias("place"))
+        return one.select("key", *keys, *(f"x.{c}" for c in rest), (-F.col("place.ord")).alias("rank"), (-F.col("place")["col2"]).alias("pos"))
+
+    areas = members.where("ord = area_ord").select("key", "ord", "missing", "box")
+    return areas, folded(roads, ["road_id"]), folded(passes, ["lon", "lat"])
+
+
 def merge_areas(areas: DataFrame, area_roads: DataFrame, incoming: dict, roads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(areas, area_roads) after a scan comes in. areas: key, area_ord, missing, box; area_roads: key, road_id, ord, name.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, RIDE_DEG_M, cell, lon_pad, planar_m
+from .quadtree import overlapping
 
 EARTH_DEG_M = math.radians(1) * EARTH_M
 PLACE_RADIUS = {"city": 1800, "town": 800, "village": 350}
@@ -73,18 +74,13 @@ def road_samples(coords: DataFrame, every_m: float = 50.0) -> DataFrame:
 
 
 def near_ride_boxes(roads: DataFrame, track: DataFrame, most_m: float = 35.0) -> DataFrame:
-    """roads (road, bb: w, s, e, n) whose box, with most_m around it, meets that of some ride of track (ride, p_lon, p_lat); boxes meet by cells of half a degree."""
-    boxes = track.groupBy("ride").agg(F.min("p_lon").alias("w"), F.min("p_lat").alias("s"), F.max("p_lon").alias("e"), F.max("p_lat").alias("n"))
+    """roads (road, bb: w, s, e, n) whose box, with most_m around it, meets that of some ride of track (ride, p_lon, p_lat). Boxes meet by the cells of a quadtree, so that a ride across a
+    continent makes no more rows than one around the block."""
+    boxes = track.groupBy("ride").agg(F.min("p_lon").alias("r_w"), F.min("p_lat").alias("r_s"), F.max("p_lon").alias("r_e"), F.max("p_lat").alias("r_n"))
     pad = F.lit(most_m / RIDE_DEG_M)
     wide = lon_pad(F.least(F.lit(89.0), F.greatest(F.abs("bb.s"), F.abs("bb.n"))), most_m)
-
-    def covered(df: DataFrame, w: Column, s: Column, e: Column, n: Column) -> DataFrame:
-        return df.withColumn("cell_x", F.explode(F.sequence(cell(w, 0.5), cell(e, 0.5)))).withColumn("cell_y", F.explode(F.sequence(cell(s, 0.5), cell(n, 0.5))))
-
-    left = covered(roads.select("road", "bb", (F.col("bb.w") - wide).alias("w0"), (F.col("bb.s") - pad).alias("s0"), (F.col("bb.e") + wide).alias("e0"), (F.col("bb.n") + pad).alias("n0")), F.col("w0"), F.col("s0"), F.col("e0"), F.col("n0"))
-    right = covered(boxes, F.col("w"), F.col("s"), F.col("e"), F.col("n"))
-    met = left.join(right, ["cell_x", "cell_y"]).where("w <= e0 AND e >= w0 AND s <= n0 AND n >= s0").select("road").distinct()
-    return roads.join(met, "road", "left_semi")
+    left = roads.select("road", (F.col("bb.w") - wide).alias("w"), (F.col("bb.s") - pad).alias("s"), (F.col("bb.e") + wide).alias("e"), (F.col("bb.n") + pad).alias("n"))
+    return roads.join(overlapping(left, boxes).select("road"), "road", "left_semi")
 
 
 def ridden_roads(coords: DataFrame, track: DataFrame, most_m: float = 35.0, share: float = 0.6, size: float = 0.001) -> DataFrame:

@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import pixel_x, pixel_y
+from ..sources.terrain import read_terrain
+
+
+def four_cells(points: DataFrame) -> DataFrame:
+    """points (lon, lat, ...) once for each of the four terrain cells around them: x, y (the tile), cell, weight."""
+    p = points.withColumns({"px": pixel_x(F.col("lon")), "py": pixel_y(F.col("lat"))})
+    p = p.withColumns({"x0": F.floor("px"), "y0": F.floor("py")}).withColumns({"fx": F.col("px") - F.col("x0"), "fy": F.col("py") - F.col("y0")})
+    share = lambda c, far: F.col(c) if far else 1 - F.col(c)
+    corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("cx"), (F.col("y0") + dy).alias("cy"), (share("fx", dx) * share("fy", dy)).alias("weight"))
+    four = p.withColumn("c", F.explode(F.array(*(corner(dx, dy) for dx in (0, 1) for dy in (0, 1))))).select(*points.columns, "c.*")
+    cell = F.col("cy").bitwiseAND(255) * 256 + F.col("cx").bitwiseAND(255)
+    return four.withColumns({"x": F.shiftright("cx", 8).cast("int"), "y": F.shiftright("cy", 8).cast("int"), "cell": cell.cast("int")}).drop("cx", "cy")
+
+
+def needed_tiles(points: DataFrame) -> DataFrame:
+    """(x, y) of the terrain tiles that elevation() needs for points (lon, lat), each once."""
+    return four_cells(points.select("lon", "lat")).select("x", "y").distinct()
+
+
+def elevation_of(points: DataFrame, path: str) -> DataFrame:
+    """elevation() from a folder of PNG tiles, of which those that the points need are opened."""
+    return elevation(points, read_terrain(points.sparkSession, path, needed_tiles(points)))
 
 
 def elevation(points: DataFrame, terrain: DataFrame) -> DataFrame:
@@ -14,11 +36,7 @@ def elevation(points: DataFrame, terrain: DataFrame) -> DataFrame:
     Each tile gives the distinct cells that are needed of it, at most all it has, and only those meet the points.
     """
     keys = [c for c in points.columns if c not in ("lon", "lat")]
-    p = points.withColumns({"px": pixel_x(F.col("lon")), "py": pixel_y(F.col("lat"))})
-    p = p.withColumns({"x0": F.floor("px"), "y0": F.floor("py")}).withColumns({"fx": F.col("px") - F.col("x0"), "fy": F.col("py") - F.col("y0")})
-    corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("cx"), (F.col("y0") + dy).alias("cy"), ((F.col("fx") if dx else 1 - F.col("fx")) * (F.col("fy") if dy else 1 - F.col("fy"))).alias("weight"))
-    four = p.withColumn("c", F.explode(F.array(*(corner(dx, dy) for dx in (0, 1) for dy in (0, 1))))).select(*points.columns, "c.*")
-    four = four.withColumns({"x": F.shiftright("cx", 8).cast("int"), "y": F.shiftright("cy", 8).cast("int"), "cell": (F.col("cy").bitwiseAND(255) * 256 + F.col("cx").bitwiseAND(255)).cast("int")}).drop("cx", "cy")
+    four = four_cells(points)
     needed = four.groupBy("x", "y").agg(F.collect_set("cell").alias("cells"))
     tiles = needed.join(terrain.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "metres"), ["x", "y"], "left")
     metres = F.coalesce("metres", F.raise_error(F.concat_ws("/", F.lit("no terrain tile"), "x", "y")).cast("array<float>"))

@@ -35,7 +35,16 @@ FROM {part}"""
 AREAS = """
 SELECT n_nationkey AS area_ord, n_regionkey % 2 = 0 AS complete, 45.6 + n_nationkey % 5 * 0.1 AS s, 6.6 + n_nationkey % 4 * 0.1 AS w, 45.75 + n_nationkey % 5 * 0.1 AS n, 6.85 + n_nationkey % 4 * 0.1 AS e FROM {nation}"""
 
-TABLES = ("lineitem", "events", "embeddings", "orders", "part", "nation")
+SCANS = """
+SELECT c_custkey AS ord, 'k' || c_custkey * 7 % 40 AS key, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 3 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS missing,
+  45 + c_custkey * 13 % 17 * 0.11 - c_nationkey * 0.02 AS s, 6 + c_custkey * 29 % 19 * 0.13 - c_nationkey * 0.03 AS w, 45 + c_custkey * 13 % 17 * 0.11 + c_nationkey * 0.02 AS n, 6 + c_custkey * 29 % 19 * 0.13 + c_nationkey * 0.03 AS e
+FROM {customer}"""
+
+SCAN_ROADS = """
+SELECT ord, road_id, name, pos FROM (SELECT o_custkey AS ord, o_orderkey * 13 % 997 AS road_id, o_orderpriority || o_orderkey AS name, o_orderkey AS pos,
+  row_number() OVER (PARTITION BY o_custkey, o_orderkey * 13 % 997 ORDER BY o_orderkey) AS k FROM {orders}) r WHERE k = 1"""
+
+TABLES = ("customer", "lineitem", "events", "embeddings", "orders", "part", "nation")
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, texts
 from ..operators import build, listing, sampling, sets, spatial, tiles, views
 from ..operators.terrain import elevation
+from ..sources import regions
 from ..sources.elements import requested, tile_index
-from .adapters import AREAS, PATH, POINTS, WAYS, view
+from ..storage import shared_dir
+from .adapters import AREAS, PATH, POINTS, SCAN_ROADS, SCANS, WAYS, view
 from .queries import CLASSES_SQL, DIST_SQL, ORACLE_SQL, QUERIES, query, rounded, span
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -191,7 +193,6 @@ SELECT road, count(*)::BIGINT AS vertices, round(sum(gap), 2) AS metres, sum(way
 )
 def chain_lines(spark, sf_dir):
     """The lines of chains: ways turned where they are entered at their end, joined at shared vertices, without doubled points."""
-    from pyspark.sql import Window
 
     w = _order_ways(spark, sf_dir)
     chain = w.withColumn("pos", F.row_number().over(Window.partitionBy("road").orderBy("way")) - 1).drop("geometry")
@@ -263,7 +264,6 @@ SELECT road, point_id FROM f QUALIFY row_number() OVER (PARTITION BY road ORDER
 )
 def stops_near(spark, sf_dir):
     """Up to eighty places to stop within 200 metres of some 120 vertices of each road."""
-    from pyspark.sql import Window
 
     p = view(spark, sf_dir, POINTS).withColumn("road", F.col("label") % 3)
     w = Window.partitionBy("road")
@@ -379,14 +379,16 @@ SELECT id FROM e WHERE CASE WHEN way = 1 THEN highway IN ('primary', 'trunk', 'u
 )
 def requested_elements(spark, sf_dir):
     """Elements that a request for a box holds."""
+    return requested(_point_elements(spark, sf_dir), 45.95, 6.9, 46.05, 7.1).select("id")
+
+
+def _point_elements(spark, sf_dir):
     p = view(spark, sf_dir, POINTS)
     way = F.col("point_id") % 2 == 1
     line = F.array(F.struct("lat", "lon"), F.struct((F.col("lat") + 0.1).alias("lat"), "lon"))
     tags = {"highway": F.when(way, F.get(F.array(*map(F.lit, ("primary", "track", "trunk", "unclassified"))), (F.col("point_id") % 7).cast("int"))), "place": F.when(F.col("point_id") % 5 == 0, "city").when(F.col("point_id") % 5 == 1, "hamlet"), "tourism": F.when(F.col("point_id") % 11 == 0, "viewpoint")}
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in tags.items()))
-    e = p.select(F.col("point_id").alias("id"), F.when(way, "way").otherwise("node").alias("type"), F.when(way, line).alias("geometry"), F.when(~way, F.col("lat")).alias("lat"), F.when(~way, F.col("lon")).alias("lon"), F.map_from_entries(F.filter(pairs, lambda x: x.v.isNotNull())).alias("tags"))
-    return requested(e, 45.95, 6.9, 46.05, 7.1).select("id")
-
+    return p.select(F.col("point_id").alias("id"), F.when(way, "way").otherwise("node").alias("type"), F.when(way, line).alias("geometry"), F.when(~way, F.col("lat")).alias("lat"), F.when(~way, F.col("lon")).alias("lon"), F.map_from_entries(F.filter(pairs, lambda x: x.v.isNotNull())).alias("tags"))
 
 # ---------------------------------------------------------------- the list
 
@@ -543,7 +545,6 @@ SELECT road::BIGINT AS road, point_id, (k * 100)::DOUBLE AS x, row_number() OVER
 )
 def stops_along(spark, sf_dir):
     """The first twelve stops along each road."""
-    from pyspark.sql import Window
 
     p = view(spark, sf_dir, POINTS)
     line = p.select(F.col("label").alias("road"), (F.row_number().over(Window.partitionBy("label").orderBy("point_id")) - 1).alias("k"), "lon", "lat").withColumn("x", F.col("k") * 100.0)
@@ -635,3 +636,53 @@ def merged_areas(spark, sf_dir):
     incoming = {"key": "a7", "area_ord": 99, "missing": 0, "box": (45.55, 6.55, 45.95, 7.0)}
     areas, roads = sets.merge_areas(a, p.select("key", "road_id", "ord", F.col("kind").alias("name")), incoming, p.where("label = 3").select("road_id", "ord", F.col("kind").alias("name")))
     return areas.select("key").join(roads.groupBy("key").agg(F.count("*").alias("roads")), "key", "left").select("key", F.coalesce("roads", F.lit(0)).cast("long").alias("roads"))
+
+
+#: Scans that are gone before the next of their key, runs that build on one another, and the members of each key's last run.
+RUNS_SQL = f"""sc AS MATERIALIZED (SELECT *, lead(ord) OVER (PARTITION BY key ORDER BY ord) AS nx FROM ({SCANS})),
+gone AS (SELECT DISTINCT p.ord FROM sc p JOIN sc c ON c.missing = 0 AND c.ord > p.ord AND (p.nx IS NULL OR c.ord < p.nx) AND c.s <= p.s + 1e-6 AND c.w <= p.w + 1e-6 AND c.n >= p.n - 1e-6 AND c.e >= p.e - 1e-6),
+f AS (SELECT *, ord IN (SELECT ord FROM gone) AS out FROM sc), st AS (SELECT *, CASE WHEN missing = 0 OR lag(out) OVER k IS NULL OR lag(out) OVER k THEN ord END AS own FROM f WINDOW k AS (PARTITION BY key ORDER BY ord)),
+ru AS (SELECT *, max(own) OVER (PARTITION BY key ORDER BY ord) AS base FROM st), fin AS (SELECT key, ord AS area, base AS from_ord FROM ru WHERE nx IS NULL AND NOT out),
+mem AS (SELECT ru.key, ru.ord, fin.area FROM ru JOIN fin ON ru.key = fin.key AND ru.ord >= fin.from_ord)"""
+
+
+def _scans(spark, sf_dir):
+    scans = view(spark, sf_dir, SCANS).select("ord", "key", "missing", F.struct(*(F.col(c).cast("double").alias(c) for c in ("s", "w", "n", "e"))).alias("box"))
+    roads = view(spark, sf_dir, SCAN_ROADS)
+    passes = roads.select("ord", (F.col("road_id") % 50 / 10).alias("lon"), (F.col("road_id") % 7 / 10).alias("lat"), "pos", "name")
+    return sets.merge_scans(scans, roads, sets.first_of(passes, ["ord", "lon", "lat"], "pos"))
+
+
+@query(
+    f"""WITH {RUNS_SQL}, r AS (SELECT mem.key, mem.area, s.* FROM ({SCAN_ROADS}) s JOIN mem ON mem.ord = s.ord),
+t AS (SELECT key, area, road_id, arg_min(name, ord) AS name, max(ord) AS late, arg_max(pos, ord) AS pos FROM r GROUP BY key, area, road_id)
+SELECT key, road_id, name, row_number() OVER (PARTITION BY key ORDER BY late DESC, pos) AS place FROM t"""
+)
+def merged_scans(spark, sf_dir):
+    """Roads of the areas that are left after all scans came in, in the areas' order."""
+    _, roads, _ = _scans(spark, sf_dir)
+    return roads.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rank", "pos"))).select("key", "road_id", "name", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    f"""WITH {RUNS_SQL}, p AS (SELECT mem.key, s.road_id % 50 AS a, s.road_id % 7 AS b, s.ord, s.pos, s.name FROM ({SCAN_ROADS}) s JOIN mem ON mem.ord = s.ord),
+t AS (SELECT key, a, b, arg_min(name, (ord, pos)) AS name FROM p GROUP BY key, a, b)
+SELECT fin.key, fin.area AS ord, count(t.key) AS passes, coalesce(max(t.name), '') AS last_name FROM fin LEFT JOIN t ON t.key = fin.key GROUP BY fin.key, fin.area"""
+)
+def merged_passes(spark, sf_dir):
+    """The areas that are left, with how many passes they have, and the last of these by name."""
+    areas, _, passes = _scans(spark, sf_dir)
+    counted = passes.groupBy("key").agg(F.count("*").alias("passes"), F.max("name").alias("last_name"))
+    return areas.join(counted, "key", "left").select("key", F.col("ord").cast("long").alias("ord"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("last_name", F.lit("")).alias("last_name"))
+
+
+@query(
+    f"""WITH q AS ({POINTS}), e AS (SELECT point_id, lon, lat, point_id % 2 = 1 AS way, ['primary', 'track', 'trunk', 'unclassified'][point_id % 7 + 1] AS highway FROM q)
+SELECT point_id AS id FROM e WHERE CASE WHEN way THEN highway IN ('primary', 'trunk', 'unclassified') AND lon BETWEEN 6.85 AND 7.05 AND (lat BETWEEN 45.9 AND 46.02 OR lat + 0.1::DOUBLE BETWEEN 45.9 AND 46.02)
+  ELSE lon BETWEEN 6.85 AND 7.05 AND lat BETWEEN 45.9 AND 46.02 AND (point_id % 5 = 0 OR point_id % 11 = 0) END"""
+)
+def region_files(spark, sf_dir):
+    """Elements of a box, from files laid out along a curve through space, of which those that the box meets are opened."""
+    path = shared_dir(spark, "region")
+    regions.lay_out(_point_elements(spark, sf_dir), path, 16)
+    return regions.read_region(spark, path, 45.9, 6.85, 46.02, 7.05).select("id")

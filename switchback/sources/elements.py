@@ -41,10 +41,11 @@ def write_elements(elements: DataFrame, path: str) -> None:
 
 
 def classified(elements: DataFrame) -> DataFrame:
-    """elements with kind: way (two nodes or more, a geometry, rideable), pass, place, viewpoint, or null."""
+    """elements with kind: way (two nodes or more, a geometry, rideable), pass, place (with a name), viewpoint, or null. A key that is there counts, whatever its value."""
+    has = lambda k: F.coalesce(F.map_contains_key("tags", k), F.lit(False))
     way = F.col("type") == "way"
     good = (F.size("nodes") >= 2) & F.col("geometry").isNotNull() & rideable(F.coalesce("tags", F.create_map().cast("map<string, string>")))
-    kind = F.when(way, F.when(good, "way")).when(tag(F.col("tags"), "mountain_pass").isNotNull(), "pass").when(tag(F.col("tags"), "place").isNotNull() & tag(F.col("tags"), "name").isNotNull(), "place").when(tag(F.col("tags"), "tourism") == "viewpoint", "viewpoint")
+    kind = F.when(way, F.when(good, "way")).when(has("mountain_pass"), "pass").when(has("place") & tag(F.col("tags"), "name").isNotNull(), "place").when(tag(F.col("tags"), "tourism") == "viewpoint", "viewpoint")
     return elements.withColumn("kind", kind)
 
 

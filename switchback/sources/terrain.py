@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tiles that are named one by one where only some are needed.
+MOST_TILES = 20_000
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
@@ -77,10 +79,32 @@ def tile_metres(content: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.float32()))
 
 
-def read_terrain(spark: SparkSession, path: str) -> DataFrame:
-    """(z, x, y, metres) of PNG files named .../z/x/y.png."""
+def tile_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, z, x, y) of the PNG files named .../z/x/y.png; none is opened."""
     part = lambda k: F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.png$", k).cast("int")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path).select(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), tile_metres("content").alias("metres"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
+    return listed.select("path", part(1).alias("z"), part(2).alias("x"), part(3).alias("y"))
+
+
+def read_terrain(spark: SparkSession, path: str, needed: DataFrame | None = None) -> DataFrame:
+    """(z, x, y, metres) of PNG files named .../z/x/y.png; with needed (x, y; rows may repeat), of those tiles alone.
+
+    Up to MOST_TILES needed files are named one by one, and no other is opened. Beyond that, all are read, and the needed ones decoded: the join comes before the decoder.
+    A needed tile without a file has no row.
+    """
+    files = tile_files(spark, path)
+    content = lambda df: df.select("z", "x", "y", tile_metres("content").alias("metres"))
+    all_of = lambda *paths: spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(list(paths))
+    named = lambda df: df.select("content", *(F.regexp_extract("path", r"(\d+)/(\d+)/(\d+)\.png$", k).cast("int").alias(c) for k, c in enumerate("zxy", 1)))
+    if needed is None:
+        return content(named(all_of(path)))
+    keys = needed.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+    paths = [r.path for r in files.join(keys, ["x", "y"], "left_semi").select("path").limit(MOST_TILES + 1).collect()]
+    if not paths:
+        return content(named(all_of(path)).limit(0))
+    if len(paths) <= MOST_TILES:
+        return content(named(all_of(*paths)))
+    return content(named(all_of(path)).join(keys, ["x", "y"], "left_semi"))
 
 
 def sea_level(metres: Column) -> Column:
