@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,34 +101,92 @@ def top_roads(scores: DataFrame, most: int, by: str = "score", order: str = "roa
     return scores.orderBy(F.desc(by), order).limit(most)
 
 
+#: Settings that a taste is chosen from: 11 tastes, with each of 27 mixes.
+SETTINGS = [(k / 10, Mix(t, s, h)) for k in range(11) for t in (0.5, 1.0, 1.5) for s in (0.5, 1.0, 1.5) for h in (0.5, 1.0, 1.5)]
+#: Starts of stretches that are held against all settings at a time.
+STARTS = 2048
+
+
+def class_stretches(slices: DataFrame) -> DataFrame:
+    """What scores at all tastes need of each slice, worked out once a road: road, i, d1..d4 (densities by class of bend), and for the stretch of up to 15 km that starts there, width,
+    s1..s4 (bends by class), m1..m4 (mean densities by class), terrain, scene and pins, the gains of a plain mix at a hairpin bonus of 1; s1 is null where the stretch would leave the road.
+
+    Bends and densities are sums of their classes times a taste's weights, so no window depends on a setting.
+    """
+    most, w = round(WINDOW_KM / SLICE_KM), Window.partitionBy("road").orderBy("i")
+    so_far, frame, near = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, most - 1), w.rowsBetween(-2, 2)
+    v = slice_values(slices)
+    one = lambda k: slice_bends([F.col(c) if c == f"c{k}" else F.lit(0) for c in COUNTS], F.col("u"), [1.0] * 4)
+    v = v.withColumns({f"b{k}": one(k) for k in range(1, 5)}).withColumn("width", F.least("nb", F.lit(most)))
+    v = v.withColumns({f"d{k}": F.avg(F.col(f"b{k}") * (1 + 0.5 * F.col("scenery")) / SLICE_KM).over(near) for k in range(1, 5)})
+    of = {f"s{k}": f"b{k}" for k in range(1, 5)} | {f"m{k}": f"d{k}" for k in range(1, 5)} | {"pins": "hairpins", "views": "scenery", "turns": "r"}
+    v = v.withColumns({"relief": F.max("ele").over(frame) - F.min("ele").over(frame), **{f"run_{n}": F.sum(F.col(c).cast("double")).over(so_far) for n, c in of.items()}})
+    # the last row's sums stand for ends beyond it, so one lead is enough
+    ends = F.struct(*(F.col(f"run_{n}").alias(n) for n in of))
+    v = v.withColumn("end", F.coalesce(F.lead(ends, most - 1).over(w), F.last(ends).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    v = v.withColumns({n: F.col("end")[n] - F.col(f"run_{n}") + F.col(c) for n, c in of.items()})
+    climb, rolling = terrain_parts(F.col("relief"), F.col("turns"), F.col("width") * SLICE_KM)
+    fits = F.col("i") + F.col("width") <= F.col("nb")
+    means = [(F.col(f"m{k}") / F.col("width")).alias(f"m{k}") for k in range(1, 5)]
+    gains = [(0.5 * F.greatest(climb, rolling)).alias("terrain"), (0.5 * F.col("views") / F.col("width")).alias("scene"), (hairpin_factor(F.col("pins"), 1.0) - 1).alias("pins")]
+    return v.select("road", "i", "width", *(f"d{k}" for k in range(1, 5)), F.when(fits, F.col("s1")).alias("s1"), "s2", "s3", "s4", *means, *gains)
+
+
+def setting_scores(slices: DataFrame, settings: list[tuple[float, Mix]]) -> DataFrame:
+    """(road, linear array<double>): each road's linear score at every setting (taste, mix), in their order.
+
+    A road's stretches meet all settings as a product of matrices, STARTS at a time; the first of equal stretches counts, and values are compared to nine decimals.
+    """
+    weights = np.array([taste_weights(t)[0] for t, _ in settings]).T
+    mixes = np.array([[m.terrain, m.scenery, m.hairpins * taste_weights(t)[1]] for t, m in settings]).T
+    scales = np.array([taste_scale(t, m) for t, m in settings])
+    classes = lambda table, name: np.stack([table.column(f"{name}{k}").to_numpy() for k in range(1, 5)], axis=1)
+
+    def score(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        starts = table.filter(pc.is_valid(table.column("s1")))
+        best, at = np.full(len(settings), -np.inf), np.zeros(len(settings), np.int64)
+        for a in range(0, len(starts), STARTS):
+            some = starts.slice(a, STARTS)
+            gains = np.stack([some.column(c).to_numpy() for c in ("terrain", "scene", "pins")], axis=1)
+            fun = np.round((classes(some, "s") @ weights) * (1 + gains @ mixes), 9)
+            first = fun.argmax(axis=0)
+            top = fun[first, np.arange(len(settings))]
+            at, best = np.where(top > best, first + a, at), np.maximum(best, top)
+        means, width = classes(starts, "m")[at], starts.column("width").to_numpy()[at]
+        least = np.round(0.5 * (means * weights.T).sum(axis=1), 9)
+        good = np.zeros(len(settings))
+        for a in range(0, len(table), STARTS):
+            good += (np.round(classes(table.slice(a, STARTS), "d") @ weights, 9) >= least).sum(axis=0)
+        linear = 100 * best / (width * SLICE_KM) * WINDOW_KM * np.sqrt(np.minimum(good * SLICE_KM, GOOD_KM_CAP) / WINDOW_KM) / (SCORE_REF * scales)
+        return pa.table({"road": table.column("road")[:1], "linear": [np.round(linear, 9)]})
+
+    kind = slices.schema["road"].dataType.simpleString()
+    return class_stretches(slices).groupBy("road").applyInArrow(score, f"road {kind}, linear array<double>")
+
+
+def agreement(scores: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(ord, agree, yays, nays) of each setting: in how many pairs of a liked and a disliked road the liked one's linear score is greater.
+
+    scores: road, linear (an array, a value a setting); ratings: road, rating (above 0 or below). No pairs are made: along a setting's scores in order, each liked road
+    counts the disliked ones of lower score.
+    """
+    e = scores.join(ratings.select("road", "rating"), "road").select("rating", F.posexplode("linear").alias("ord", "linear"))
+    no, yes = F.when(F.col("rating") < 0, 1).otherwise(0), F.when(F.col("rating") > 0, 1).otherwise(0)
+    level = e.groupBy("ord", "linear").agg(F.sum(no).alias("no"), F.sum(yes).alias("yes"))
+    below = Window.partitionBy("ord").orderBy("linear").rowsBetween(Window.unboundedPreceding, -1)
+    return level.withColumn("below", F.coalesce(F.sum("no").over(below), F.lit(0))).groupBy("ord").agg(F.sum(F.col("yes") * F.col("below")).alias("agree"), F.sum("yes").alias("yays"), F.sum("no").alias("nays"))
+
+
 def learn_taste(slices: DataFrame, ratings: DataFrame) -> DataFrame:
     """The setting of 11 tastes and 27 mixes that ranks most liked roads above disliked ones; no row with fewer than two of either.
 
-    ratings: road, rating (1 or -1). Each pair of a liked and a disliked road is compared within a setting through ranks of all its
-    scores, so no pairs are made: a liked road beats the disliked ones of lower linear score. Ties go to the setting nearest the defaults, then to the first.
-    Tastes are a column, and windows are of a road at a taste; the mixes, 27 of which share a taste's windows, are folded into each road's best stretches.
+    ratings: road, rating (1 or -1). Ties go to the setting nearest the defaults, then to the first. Returns taste, terrain, scenery, hairpins, agree, pairs, yays, nays.
     """
-    most, by = round(WINDOW_KM / SLICE_KM), ("road", "taste")
-    mixes = [Mix(t, s, h) for t in (0.5, 1.0, 1.5) for s in (0.5, 1.0, 1.5) for h in (0.5, 1.0, 1.5)]
-    tastes = []
-    for k in range(11):
-        weights, bonus = taste_weights(k / 10)
-        tastes.append(F.struct(F.lit(k / 10).alias("taste"), *(F.lit(x).alias(f"w{j + 1}") for j, x in enumerate(weights)), F.lit(bonus).alias("bonus")))
-    rated = slices.join(ratings.select("road", "rating"), "road").withColumn("t", F.explode(F.array(*tastes))).select("*", "t.*").drop("t")
-    v = stretches(densities(slice_values(rated, None, by), by), most, None, Mix(), by).withColumn("dens", F.round("dens", 9))
-    fun = lambda m: F.round(F.col("bends") * (1 + m.terrain * (F.col("terrain") - 1) + m.scenery * (F.col("scene") - 1) + m.hairpins * (F.col("pinned") - 1)), 9)
-    best = [F.max(F.when(F.col("fun").isNotNull(), F.struct(fun(m).alias("fun"), (-F.col("i")).alias("back"), "mean_dens", "width"))).alias(f"b{j}") for j, m in enumerate(mixes)]
-    per = v.groupBy("road", "rating", "taste").agg(F.collect_list("dens").alias("all_dens"), *best)
-    scales = F.array(*(F.lit(taste_scale(k / 10, m)) for k in range(11) for m in mixes))
-    each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(m.terrain).alias("m_terrain"), F.lit(m.scenery).alias("m_scenery"), F.lit(m.hairpins).alias("m_hairpins"), F.col(f"b{j}").alias("b")) for j, m in enumerate(mixes))))
-    e = per.select("road", "rating", "taste", "all_dens", each.alias("e")).select("road", "rating", "taste", "all_dens", "e.*").withColumn("ord", (F.round(F.col("taste") * 10) * 27 + F.col("j")).cast("int"))
-    good = F.size(F.filter("all_dens", lambda d: d >= F.round(0.5 * F.col("b.mean_dens"), 9))) * SLICE_KM
-    linear = F.round(100 * F.col("b.fun") / (F.col("b.width") * SLICE_KM) * WINDOW_KM * F.sqrt(F.least(good, F.lit(GOOD_KM_CAP)) / WINDOW_KM) / (SCORE_REF * F.get(scales, F.col("ord"))), 9)
-    scores = e.select("road", "rating", "ord", "taste", "m_terrain", "m_scenery", "m_hairpins", linear.alias("linear"))
-    below = Window.partitionBy("ord").orderBy("linear").rangeBetween(Window.unboundedPreceding, 0)
-    level = Window.partitionBy("ord", "linear")
-    no = F.when(F.col("rating") < 0, 1).otherwise(0)
-    ranked = scores.withColumn("beaten", F.sum(no).over(below) - F.sum(no).over(level))
-    sums = ranked.groupBy("ord", "taste", "m_terrain", "m_scenery", "m_hairpins").agg(F.sum(F.when(F.col("rating") > 0, F.col("beaten")).otherwise(0)).alias("agree"), F.count_if(F.col("rating") > 0).alias("yays"), F.count_if(F.col("rating") < 0).alias("nays")).where("yays >= 2 AND nays >= 2")
-    drift = F.abs(F.col("taste") - 0.5) + F.abs(F.col("m_terrain") - 1) + F.abs(F.col("m_scenery") - 1) + F.abs(F.col("m_hairpins") - 1)
-    return sums.withColumn("key", F.round(F.col("agree") - 0.01 * drift, 9)).orderBy(F.desc("key"), "ord").limit(1).select("taste", F.col("m_terrain").alias("terrain"), F.col("m_scenery").alias("scenery"), F.col("m_hairpins").alias("hairpins"), "agree", (F.col("yays") * F.col("nays")).alias("pairs"), "yays", "nays")
+    rated = slices.join(ratings.select("road"), "road", "left_semi")
+    sums = agreement(setting_scores(rated, SETTINGS), ratings).where("yays >= 2 AND nays >= 2")
+    named = [F.struct(F.lit(t).alias("taste"), F.lit(m.terrain).alias("terrain"), F.lit(m.scenery).alias("scenery"), F.lit(m.hairpins).alias("hairpins")) for t, m in SETTINGS]
+    s = sums.withColumn("s", F.get(F.array(*named), F.col("ord"))).select("*", "s.*")
+    drift = F.abs(F.col("taste") - 0.5) + sum((F.abs(F.col(c) - 1) for c in ("terrain", "scenery", "hairpins")), F.lit(0.0))
+    best = s.withColumn("key", F.round(F.col("agree") - 0.01 * drift, 9)).orderBy(F.desc("key"), "ord").limit(1)
+    return best.select("taste", "terrain", "scenery", "hairpins", "agree", (F.col("yays") * F.col("nays")).alias("pairs"), "yays", "nays")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scoring, tags
 from ..operators import chains, sampling, sets, spatial, stretches
 from ..sources import elements, terrain, tracks
+from ..storage import stored
 from . import adapters
 from .adapters import AREAS, PATH, POINTS, SLICES, TAGS, WAYS, check_sql, view
 
@@ -492,10 +493,46 @@ def road_titles(spark, sf_dir):
     return r.select("road", F.round("share", 6).alias("share"), "title", tags.subtitle(F.col("title"), F.col("name"), F.col("share"), F.col("ref")).alias("sub"))
 
 
-@query()
-def learned_taste(spark, sf_dir):
-    """The taste that a rider's ratings show: likes and dislikes from labels, on the roads of their ids."""
+#: A few settings: taste, its weights and hairpin bonus as the fixed knots give them, and a mix.
+SOME_SETTINGS = [(0.0, scoring.Mix()), (0.25, scoring.Mix(1.5, 1.0, 0.5)), (0.5, scoring.Mix()), (0.8, scoring.Mix(0.5, 1.5, 1.0)), (1.0, scoring.Mix(1.0, 0.5, 1.5))]
+SOME_SQL = """g(ord, w1, w2, w3, w4, bonus, mt, ms, mh) AS (VALUES (0, 1.6, 1.4, 1.0, 0.6, 0.0, 1.0, 1.0, 1.0), (1, 1.3, 1.35, 1.3, 1.3, 0.5, 1.5, 1.0, 0.5), (2, 1.0, 1.3, 1.6, 2.0, 1.0, 1.0, 1.0, 1.0),
+  (3, 0.76, 1.12, 1.66, 2.24, 1.6, 0.5, 1.5, 1.0), (4, 0.6, 1.0, 1.7, 2.4, 2.0, 1.0, 0.5, 1.5)),
+gd AS (SELECT ord::BIGINT AS ord, w1::DOUBLE AS w1, w2::DOUBLE AS w2, w3::DOUBLE AS w3, w4::DOUBLE AS w4, bonus::DOUBLE AS bonus, mt::DOUBLE AS mt, ms::DOUBLE AS ms, mh::DOUBLE AS mh FROM g),
+typ AS (SELECT *, (3 * w1 + 3 * w2 + 2.5::DOUBLE * w3 + 1.5::DOUBLE * w4) * (1 + mt * 0.35::DOUBLE + ms * 0.3::DOUBLE + mh * bonus * 0.5::DOUBLE) / ((3 + 3.9::DOUBLE + 4 + 3) * 2.15::DOUBLE) AS scale FROM gd)"""
+LIKES_SQL = """lab AS (SELECT doc_id % (SELECT count(*) FROM supplier) + 1 AS road, arg_min(CASE WHEN quality = 1 THEN 1 ELSE -1 END, doc_id) AS rating FROM labels GROUP BY 1)"""
+
+
+def _likes(spark, sf_dir) -> DataFrame:
+    """A rider's likes and dislikes, from labels, on the roads of their ids."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     roads = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
-    mine = sets.first_of(labels.select((F.col("doc_id") % roads + 1).alias("road"), F.col("doc_id").alias("ord"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("rating")), ["road"])
-    return stretches.learn_taste(view(spark, sf_dir, SLICES), mine)
+    return sets.first_of(labels.select((F.col("doc_id") % roads + 1).alias("road"), F.col("doc_id").alias("ord"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("rating")), ["road"]).select("road", "rating")
+
+
+@query(
+    f"""WITH {S_VALUES}, {SOME_SQL}, {LIKES_SQL}, vt AS (SELECT v0.road, v0.i, v0.nb, typ.ord, (c1 * 0.01::DOUBLE * w1 + c2 * 0.01::DOUBLE * w2 + c3 * 0.01::DOUBLE * w3 + c4 * 0.01::DOUBLE * w4) * (1 - 0.7::DOUBLE * u) AS b, pins, scen, r, ele
+  FROM v0 JOIN lab ON lab.road = v0.road CROSS JOIN typ),
+de AS (SELECT *, avg(b * (1 + 0.5::DOUBLE * scen) / 0.2::DOUBLE) OVER (PARTITION BY road, ord ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS dens FROM vt),
+fr AS (SELECT road, i, nb, ord, least(nb, 75) AS w, sum(b) OVER f AS bends, sum(pins) OVER f AS pins, sum(scen) OVER f AS views, sum(r) OVER f AS turns, max(ele) OVER f - min(ele) OVER f AS relief, avg(dens) OVER f AS mean FROM de
+  WINDOW f AS (PARTITION BY road, ord ORDER BY i ROWS BETWEEN CURRENT ROW AND 74 FOLLOWING)),
+fu AS (SELECT fr.*, typ.scale, round(bends * (1 + mt * 0.5::DOUBLE * greatest(least(relief, 1500) / 1500, least(1, turns / (w * 0.2::DOUBLE) / 1.5::DOUBLE) * 0.6::DOUBLE) + ms * 0.5::DOUBLE * views / w
+    + mh * bonus * CASE WHEN least(pins, 60) <= 20 THEN least(pins, 60) / 40 ELSE 0.5::DOUBLE * sqrt(least(pins, 60) / 20) END), 9) AS fun FROM fr JOIN typ ON typ.ord = fr.ord WHERE i + w <= nb),
+be AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY road, ord ORDER BY fun DESC, i) = 1),
+go AS (SELECT be.road, be.ord, count(*) FILTER (round(de.dens, 9) >= round(0.5::DOUBLE * be.mean, 9)) * 0.2::DOUBLE AS km FROM be JOIN de ON de.road = be.road AND de.ord = be.ord GROUP BY be.road, be.ord),
+li AS (SELECT be.road, be.ord, round(100 * be.fun / (be.w * 0.2::DOUBLE) * 15 * sqrt(least(go.km, 30) / 15) / (32.2::DOUBLE * be.scale), 6) AS linear FROM be JOIN go ON go.road = be.road AND go.ord = be.ord)
+"""
+    + """SELECT a.ord, count(*) FILTER (x.rating > 0 AND y.rating < 0 AND a.linear > b.linear) AS agree, round(max(a.linear), 4) AS best FROM li a JOIN lab x ON x.road = a.road JOIN li b ON b.ord = a.ord JOIN lab y ON y.road = b.road GROUP BY a.ord"""
+)
+def taste_agreement(spark, sf_dir):
+    """Of some settings, in how many pairs a liked road scores more than a disliked one, and the best score."""
+    likes = _likes(spark, sf_dir)
+    slices = view(spark, sf_dir, SLICES).join(likes.select("road"), "road", "left_semi")
+    scores = stored(stretches.setting_scores(slices, SOME_SETTINGS).select("road", F.transform("linear", lambda x: F.round(x, 6)).alias("linear")), "scores")
+    best = scores.select(F.posexplode("linear").alias("ord", "x")).groupBy("ord").agg(F.round(F.max("x"), 4).alias("best"))
+    return stretches.agreement(scores, likes).join(best, "ord").select(F.col("ord").cast("long").alias("ord"), "agree", "best")
+
+
+@query()
+def learned_taste(spark, sf_dir):
+    """The taste that a rider's ratings show."""
+    return stretches.learn_taste(view(spark, sf_dir, SLICES), _likes(spark, sf_dir))
