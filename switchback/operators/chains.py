@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +28,24 @@ def pairs(ways: DataFrame) -> DataFrame:
     rest = ends.join(simple, "node", "left_anti").join(ways.select("way", "key", "dx0", "dy0", "dx1", "dy1"), "way").where("key IS NOT NULL")
     rest = rest.select("node", "key", "way", "at_start", F.when(F.col("at_start"), F.col("dx0")).otherwise(F.col("dx1")).alias("dx"), F.when(F.col("at_start"), F.col("dy0")).otherwise(F.col("dy1")).alias("dy"))
 
-    def straightest(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = pdf.sort_values(["way", "at_start"]).to_dict("records"), []
-        while len(free) > 1:
-            options = [(-(u["dx"] * v["dx"] + u["dy"] * v["dy"]), -i, -j) for i, u in enumerate(free) for j, v in enumerate(free) if i < j and u["way"] != v["way"]]
-            if not options:
-                break
-            _, i, j = max(options)
-            u, v = free[-i], free[-j]
-            out.append((u["way"], u["at_start"], v["way"], v["at_start"]))
-            free = [x for k, x in enumerate(free) if k not in (-i, -j)]
-        return pd.DataFrame(out, columns=["a", "a_start", "b", "b_start"])
+    return two.unionByName(straightest(rest))
 
-    kind = ways.schema["way"].dataType.simpleString()
-    return two.unionByName(rest.groupBy("node", "key").applyInPandas(straightest, f"a {kind}, a_start boolean, b {kind}, b_start boolean"))
+
+def straightest(ends: DataFrame) -> DataFrame:
+    """(a, a_start, b, b_start): ends (node, key, way, at_start, dx, dy, the direction outwards) paired at each node and key, the straightest pair of free ends first, and the first of
+    equals in order of ways. A way is not paired with itself; an end that is left over stays alone.
+
+    All pairs of a node and key stand in one order, and are taken in it while both ends are free. As a road's node has a handful of ends, that is one fold over a short list.
+    """
+    listed = ends.groupBy("node", "key").agg(F.array_sort(F.collect_list(F.struct("way", "at_start", "dx", "dy"))).alias("e"))
+    pair = lambda u, v: F.struct((u.dx * v.dx + u.dy * v.dy).alias("bent"), F.struct(u.way, u.at_start).alias("a"), F.struct(v.way, v.at_start).alias("b"))
+    after = lambda u: F.filter("e", lambda v: v.way > u.way)
+    pairs_of = F.array_sort(F.flatten(F.transform("e", lambda u: F.transform(after(u), lambda v: pair(u, v)))))
+    met = lambda t, p: (t.a == p.a) | (t.a == p.b) | (t.b == p.a) | (t.b == p.b)
+    step = lambda taken, p: F.when(F.exists(taken, lambda t: met(t, p)), taken).otherwise(F.concat(taken, F.array(p)))
+    with_pairs = listed.where(F.size("e") > 1).select(pairs_of.alias("p"))
+    taken = with_pairs.select(F.explode(F.aggregate("p", F.slice("p", 1, 0), step)).alias("t"))
+    return taken.select(F.col("t.a.way").alias("a"), F.col("t.a.at_start").alias("a_start"), F.col("t.b.way").alias("b"), F.col("t.b.at_start").alias("b_start"))
 
 
 def chained(ways: DataFrame, links: DataFrame) -> DataFrame:

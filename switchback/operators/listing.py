@@ -39,6 +39,39 @@ def matching_roads(roads: DataFrame, query: str = "", show: str = "all", marks:
     return shown(roads, show, marks).where(found_in(query, [F.col(c) for c in ("name", "road_text", "from", "to", "pass_name")]))
 
 
+#: Letters of the longest pieces in the index of texts.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: range) -> Column:
+    """The distinct pieces of a text in lower case, of so many letters each."""
+    low = F.lower(text)
+    starts = lambda k: F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - k + 1)).otherwise(F.array().cast("array<int>"))
+    pieces = lambda k: F.transform(starts(k), lambda i: F.substring(low, i, F.lit(k)))
+    return F.array_distinct(F.flatten(F.array(*map(pieces, sizes))))
+
+
+def text_index(roads: DataFrame, fields: tuple[str, ...] = ("name", "road_text", "from", "to", "pass_name")) -> DataFrame:
+    """(gram, id) of roads (id, and texts): every piece of one to three letters of their texts, once a road. To be kept with the tiles, sorted or partitioned by gram; a null text has none."""
+    pieces = F.flatten(F.array(*(F.coalesce(_grams(F.col(f), range(1, GRAM + 1)), F.array().cast("array<string>")) for f in fields)))
+    return roads.select("id", F.explode(F.array_distinct(pieces)).alias("gram")).select("gram", "id")
+
+
+def indexed_roads(roads: DataFrame, index: DataFrame, query: str, fields: tuple[str, ...] = ("name", "road_text", "from", "to", "pass_name")) -> DataFrame:
+    """The roads (id, and the fields of text_index()) in whose texts the words stand, as found_in() says, from the index: only roads that have all pieces of the words are looked at.
+
+    The words' pieces are literals, so that the scan of the index reads their rows alone; a road is a candidate if it has as many of them as there are. Words of up to three
+    letters are pieces themselves, and need no look.
+    """
+    words = query.strip().lower()
+    if not words:
+        return roads
+    size = min(GRAM, len(words))
+    wanted = sorted({words[i : i + size] for i in range(len(words) - size + 1)})
+    has = index.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+    return roads.join(has, "id", "left_semi").where(found_in(query, [F.col(c) for c in fields]))
+
+
 def bit_stubs(entries: DataFrame, loaded: DataFrame, query: str = "", show: str = "all", marks: DataFrame | None = None) -> DataFrame:
     """Entries of the best bits whose roads (loaded: id) are not loaded, as far as a mode shows them (none by rides) and the words stand in their texts but the pass's."""
     left = entries.join(loaded.select("id"), "id", "left_anti")

@@ -24,6 +24,11 @@ SELECT vec_id AS point_id, 7 + CAST({e}(embedding, 1) AS DOUBLE) / 4 AS lon, 46
 WAYS = """
 SELECT o_orderkey AS way, o_orderkey * 31 % 20011 AS n0, (o_orderkey * 31 + 1 + o_custkey % 3) % 20011 AS n1 FROM {orders}"""
 
+#: Ways whose ends meet at nodes of some four to twelve, with names and directions of small whole numbers, which multiply exactly.
+JUNCTIONS = """
+SELECT o_orderkey AS way, CAST(floor(o_orderkey / 16) AS BIGINT) AS n0, CAST(floor(o_orderkey / 16) AS BIGINT) + 1 + o_custkey % 2 AS n1, CASE WHEN o_custkey % 11 <> 0 THEN 'road ' || o_custkey % 3 END AS key,
+  o_orderkey % 7 - 3 AS dx0, o_custkey % 7 - 3 AS dy0, o_custkey % 5 - 2 AS dx1, o_orderkey % 9 - 4 AS dy1 FROM {orders}"""
+
 TAGS = """
 SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'gravel' WHEN 1 THEN 'asphalt' END AS surface, CASE p_partkey % 17 WHEN 0 THEN 'roundabout' END AS junction,
   CASE p_partkey % 7 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' WHEN 2 THEN 'private; delivery' WHEN 3 THEN 'no;yes' WHEN 4 THEN '' END AS motorcycle, CASE p_size % 3 WHEN 0 THEN 'private' END AS access,

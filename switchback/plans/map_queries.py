@@ -10,7 +10,8 @@ from ..operators import build, listing, sampling, sets, spatial, tiles, views
 from ..operators.terrain import elevation
 from ..sources import regions
 from ..sources.elements import requested, tile_index
-from ..storage import shared_dir
+from ..storage import shared_dir, stored
+from ..streaming import tiles as followed
 from .adapters import AREAS, PATH, POINTS, SCAN_ROADS, SCANS, WAYS, view
 from .queries import CLASSES_SQL, DIST_SQL, ORACLE_SQL, QUERIES, query, rounded, span
 
@@ -365,6 +366,24 @@ def tile_bits(spark, sf_dir):
     return rounded(top.select("id", "tile", "bb.w", "bb.n", "pass_name", "score", "bit_score"))
 
 
+@query(
+    """WITH b AS (SELECT o_orderkey // 1000 % 60 AS t, o_custkey % 5 AS v, o_orderkey AS id, o_custkey * 31 % 101 AS score, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 17 % 97 END AS bit FROM orders),
+k AS (SELECT t, max(v) AS v FROM b GROUP BY t), c AS (SELECT b.* FROM b JOIN k ON k.t = b.t AND k.v = b.v),
+m AS (SELECT * FROM c WHERE bit IS NOT NULL ORDER BY bit DESC, score DESC, 'q' || t, id LIMIT 300)
+SELECT 'q' || c.t AS tile, max(c.v)::BIGINT AS version, count(*) AS roads, md5(string_agg('r' || c.id, ',' ORDER BY c.id)) AS ids, (SELECT count(*) FROM m WHERE m.t = c.t) AS bits FROM c GROUP BY c.t"""
+)
+def followed_tiles(spark, sf_dir):
+    """The index and best bits of tiles after five versions of many of them have come in, in batches out of order."""
+    path = shared_dir(spark, "tiles")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "concat('q', cast(floor(o_orderkey / 1000) AS bigint) % 60) AS tile", "o_custkey % 5 AS version", "o_orderkey AS pos", "concat('r', o_orderkey) AS id", "o_custkey * 31 % 101 AS score", "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 17 % 97 END AS bit_score"
+    )
+    for versions in ((1, 3), (0, 2), (4,)):
+        followed.apply_changes(o.where(F.col("version").isin(*versions)), path)
+    bits = followed.bits_of(spark, path).groupBy(F.col("tile").cast("string").alias("tile")).agg(F.count("*").alias("bits"))
+    return followed.index_of(spark, path).join(bits, "tile", "left").select("tile", "version", "roads", F.md5("ids").alias("ids"), F.coalesce("bits", F.lit(0)).alias("bits"))
+
+
 @query("SELECT (s_suppkey % 700)::VARCHAR AS id, arg_max('t' || s_nationkey, s_nationkey) AS tile FROM supplier GROUP BY s_suppkey % 700")
 def id_tiles(spark, sf_dir):
     """Which tile holds each id of an index."""
@@ -417,6 +436,24 @@ LIST_SQL = " UNION ALL ".join(
 )
 
 
+#: Words of one letter to twenty, some of them in no text.
+WORDS = ("0", "a", "co", "auto", "col 1", "mobile", "town", "n1", "customer#0000000", "customer#000000011", "household", "zz", "col 15", "000000000000000001", "omer#00000000012")
+
+
+@query(
+    f"""WITH r AS ({ROADS}), q(word) AS (VALUES {", ".join(f"('{x}')" for x in WORDS)})
+SELECT word, id FROM q JOIN r ON contains(lower(coalesce(name, '')), word) OR contains(lower(coalesce(road_text, '')), word) OR contains(lower(coalesce("from", '')), word) OR contains(lower(coalesce("to", '')), word) OR contains(lower(coalesce(pass_name, '')), word)"""
+)
+def searched_roads(spark, sf_dir):
+    """Roads in whose texts words stand, by the index of their pieces."""
+    roads, out = _roads(spark, sf_dir), None
+    index = stored(listing.text_index(roads), "grams")
+    for word in WORDS:
+        one = listing.indexed_roads(roads, index, word).select(F.lit(word).alias("word"), "id")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query(f"WITH r AS ({ROADS}), k AS ({MARKS}) {LIST_SQL}")
 def listed_roads(spark, sf_dir):
     """A list by every sort key, with every mode and words."""

@@ -12,7 +12,7 @@ from ..operators import chains, sampling, sets, spatial, stretches
 from ..sources import elements, terrain, tracks
 from ..storage import stored
 from . import adapters
-from .adapters import AREAS, PATH, POINTS, SLICES, TAGS, WAYS, check_sql, view
+from .adapters import AREAS, JUNCTIONS, PATH, POINTS, SLICES, TAGS, WAYS, check_sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,7 +209,7 @@ def hairpins(spark, sf_dir):
     f"""WITH RECURSIVE {SAMPLES}, v AS MATERIALIZED (SELECT * FROM p),
 s(road, lo, hi) AS (SELECT road, min(k), max(k) FROM v GROUP BY road UNION ALL
   SELECT road, unnest([lo, k]), unnest([k, hi]) FROM (
-    SELECT s.road, s.lo, s.hi, v.k, abs((b.x - a.x) * (v.y - a.y) - (b.y - a.y) * (v.x - a.x)) / nullif({span('b.x - a.x', 'b.y - a.y')}, 0) AS off
+    SELECT s.road, s.lo, s.hi, v.k, round(abs((b.x - a.x) * (v.y - a.y) - (b.y - a.y) * (v.x - a.x)) / nullif({span('b.x - a.x', 'b.y - a.y')}, 0), 6) AS off
     FROM s JOIN v a ON a.road = s.road AND a.k = s.lo JOIN v b ON b.road = s.road AND b.k = s.hi JOIN v ON v.road = s.road AND v.k > s.lo AND v.k < s.hi
     QUALIFY row_number() OVER (PARTITION BY s.road, s.lo, s.hi ORDER BY off DESC NULLS LAST, v.k) = 1) WHERE off > 2)
 SELECT road, lo AS at FROM s UNION SELECT road, hi FROM s"""
@@ -357,6 +357,25 @@ g AS (SELECT node FROM e GROUP BY node HAVING count(*) = 2 AND count(DISTINCT wa
 pr AS (SELECT x.way AS a, x.s AS a_start, y.way AS b, y.s AS b_start FROM e x JOIN e y ON x.node = y.node AND x.way < y.way WHERE x.node IN (SELECT node FROM g))"""
 
 
+@query(
+    f"""WITH RECURSIVE w AS ({JUNCTIONS}), e AS (SELECT way, n0 AS node, true AS s, key, dx0 AS dx, dy0 AS dy FROM w UNION ALL SELECT way, n1, false, key, dx1, dy1 FROM w),
+z AS (SELECT node FROM e GROUP BY node HAVING count(*) = 2 AND count(DISTINCT way) = 2),
+c AS MATERIALIZED (SELECT x.node, x.key, x.way AS a, x.s AS a_start, y.way AS b, y.s AS b_start, row_number() OVER (PARTITION BY x.node, x.key ORDER BY x.dx * y.dx + x.dy * y.dy, x.way, x.s, y.way, y.s) AS n
+  FROM e x JOIN e y ON x.node = y.node AND x.key = y.key AND x.way < y.way WHERE x.node NOT IN (SELECT node FROM z)),
+g(node, key, a, a_start, b, b_start, used) AS (
+  SELECT node, key, a, a_start, b, b_start, [a * 2 + a_start::INT, b * 2 + b_start::INT] FROM c WHERE n = 1
+  UNION ALL SELECT node, key, a, a_start, b, b_start, used FROM (
+    SELECT c.node, c.key, c.a, c.a_start, c.b, c.b_start, list_concat(g.used, [c.a * 2 + c.a_start::INT, c.b * 2 + c.b_start::INT]) AS used, row_number() OVER (PARTITION BY c.node, c.key ORDER BY c.n) AS k
+    FROM g JOIN c ON c.node = g.node AND c.key = g.key AND NOT list_contains(g.used, c.a * 2 + c.a_start::INT) AND NOT list_contains(g.used, c.b * 2 + c.b_start::INT)) WHERE k = 1)
+SELECT a, a_start, b, b_start FROM g
+UNION ALL SELECT x.way, x.s, y.way, y.s FROM e x JOIN e y ON x.node = y.node AND x.way < y.way WHERE x.node IN (SELECT node FROM z)"""
+)
+def junction_pairs(spark, sf_dir):
+    """Ways that go on into one another at junctions of many ends, by name and the straightest first."""
+    ways = view(spark, sf_dir, JUNCTIONS).select("way", F.array("n0", "n1").alias("nodes"), "key", *(F.col(c).cast("double").alias(c) for c in ("dx0", "dy0", "dx1", "dy1")))
+    return chains.pairs(ways)
+
+
 @query(f"WITH {PAIRS_SQL} SELECT * FROM pr")
 def way_pairs(spark, sf_dir):
     return chains.pairs(_ways(spark, sf_dir))
