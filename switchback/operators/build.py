@@ -56,6 +56,20 @@ def road_passes(elements: DataFrame, ways: DataFrame) -> DataFrame:
     return p.join(nodes, "node", "left_semi").drop("node")
 
 
+def passes_within(passes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(area, ord, name, ele, lon, lat) of road_passes() within the box (area, s, w, n, e) of their area, edges counting: whole metres or null, places to five decimals."""
+    inside = passes.join(boxes, "area").where("lat BETWEEN s AND n AND lon BETWEEN w AND e")
+    return inside.select("area", F.col("pass_id").alias("ord"), "name", whole_metres(F.col("ele")).alias("ele"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+
+
+def find_areas(elements: DataFrame, terrain: DataFrame, boxes: DataFrame, most: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(roads, passes) of areas: find_roads(), and passes_within() their boxes (area, s, w, n, e). An area without roads has no passes either."""
+    roads = find_roads(elements, terrain, most)
+    found = stored(classified(elements).where("kind IN ('way', 'pass')"), "elements")
+    passes = road_passes(found, road_ways(found))
+    return roads, passes_within(passes, boxes).join(roads.select("area").distinct(), "area", "left_semi")
+
+
 def pass_metres(text: Column) -> Column:
     """The elevation in a tag: its first word, with a comma or a point; null where that does not begin with a number."""
     first = F.replace(F.split_part(text, F.lit(" "), F.lit(1)), F.lit(","), F.lit("."))

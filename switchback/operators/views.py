@@ -104,12 +104,25 @@ def profile_points(line: DataFrame, n: int = 120) -> DataFrame:
     return interpolate(line, total.select("road", "i", (F.col("total") * F.col("i") / (n - 1)).alias("x")), ["ele"])
 
 
+#: Vertices of a piece of a line, whose box stands for them until it is clear that one of them may be nearest.
+PIECE = 64
+
+
 def nearest_metres(line: DataFrame, points: DataFrame, every: int = 4) -> DataFrame:
     """points (road, point_id, p_lon, p_lat) with x: the metres along of the nearest of every fourth vertex, by squared degrees, the first of equals.
 
-    Each point meets its own road's vertices only.
+    A point first meets the boxes of its road's pieces; only pieces that may be nearer than the farthest corner of the best one open, so it meets few vertices but the nearest.
     """
-    met = line.where(F.col("k") % every == 0).join(points, "road")
+    some = line.where(F.col("k") % every == 0).withColumn("piece", F.floor(F.col("k") / (every * PIECE)))
+    boxes = some.groupBy("road", "piece").agg(*(f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    reach = lambda c: F.greatest(F.abs(F.col(f"p_{c}") - F.col(f"{c}_lo")), F.abs(F.col(f"p_{c}") - F.col(f"{c}_hi")))
+    off = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}_lo") - F.col(f"p_{c}"), F.col(f"p_{c}") - F.col(f"{c}_hi"))
+    farthest = F.pow(reach("lon"), 2) + F.pow(reach("lat"), 2)
+    least = F.pow(off("lon"), 2) + F.pow(off("lat"), 2)
+    near = points.join(boxes, "road").withColumns({"farthest": farthest, "least": least})
+    best = F.min("farthest").over(Window.partitionBy("road", "point_id"))
+    opened = near.withColumn("best", best).where(F.col("least") <= F.col("best") * (1 + 1e-9)).select("road", "piece", "point_id", "p_lon", "p_lat")
+    met = opened.join(some, ["road", "piece"])
     q = F.pow(F.col("lon") - F.col("p_lon"), 2) + F.pow(F.col("lat") - F.col("p_lat"), 2)
     return met.groupBy("road", "point_id").agg(F.min(F.struct(q.alias("q"), "k", "x")).alias("b")).select("road", "point_id", "b.x")
 
@@ -146,3 +159,32 @@ def span_in_view(a: Column, b: Column, length: Column, total: Column, reversed_:
     """(from_m, to_m) of a stretch of the stored road, in the order of the view."""
     p, q = to_view(a, length, total, reversed_), to_view(b, length, total, reversed_)
     return F.struct(F.least(p, q).alias("from_m"), F.greatest(p, q).alias("to_m"))
+
+
+def classed(line: DataFrame, samples: DataFrame, step: float = 10.0) -> DataFrame:
+    """line (road, k, x, ...) with cls, that of the sample (road, i from 0, cls; a step apart) nearest along it, the last beyond the end."""
+    last = samples.groupBy("road").agg(F.max("i").alias("last"))
+    at = line.join(last, "road").withColumn("i", F.greatest(F.lit(0), F.least("last", js_round(F.col("x") / step))).cast("long"))
+    return at.join(samples.select("road", F.col("i").cast("long").alias("i"), "cls"), ["road", "i"]).drop("i", "last")
+
+
+def bend_lines(line: DataFrame) -> DataFrame:
+    """(road, run, cls, points array<struct<lon, lat>>): a line (road, k, lon, lat, cls) cut where its class changes; the vertex of a change ends one run and begins the next.
+
+    A step between vertices has the class of the one that it leaves, so a last vertex of another class makes no run, and a line of one vertex has none.
+    """
+    w = Window.partitionBy("road").orderBy("k")
+    s = line.withColumns({"to": F.lead(F.struct("k", "lon", "lat")).over(w)}).where("to IS NOT NULL")
+    s = s.withColumn("run", F.sum(F.when(F.col("cls") == F.lag("cls").over(w), 0).otherwise(1)).over(w))
+    runs = s.groupBy("road", "run").agg(F.first("cls").alias("cls"), F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))).alias("p"), F.max("to").alias("end"))
+    return runs.select("road", "run", "cls", F.transform(F.concat("p", F.array("end")), lambda v: F.struct(v.lon.alias("lon"), v.lat.alias("lat"))).alias("points"))
+
+
+def stretch_lines(line: DataFrame, parts: DataFrame) -> DataFrame:
+    """parts (road, from_m, to_m; none of a road twice) with points array<struct<lon, lat>>: the line (road, x, lon, lat) from one to the other, both between its vertices, with the vertices that lie within."""
+    ends = parts.select("road", "from_m", "to_m", F.explode(F.array("from_m", "to_m")).alias("x")).withColumn("x", F.col("x").cast("double"))
+    cut = interpolate(line, ends, ["lon", "lat"])
+    within = line.join(parts, "road").where("x > from_m AND x < to_m").select("road", "from_m", "to_m", "x", "lon", "lat")
+    place = F.struct("x", (F.col("x") != F.col("from_m")).alias("later"), "lon", "lat")
+    both = cut.withColumn("p", place).unionByName(within.withColumn("p", place)).groupBy("road", "from_m", "to_m").agg(F.array_sort(F.collect_list("p")).alias("l"))
+    return both.select("road", "from_m", "to_m", F.transform("l", lambda p: F.struct(p.lon.alias("lon"), p.lat.alias("lat"))).alias("points"))

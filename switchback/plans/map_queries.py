@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, texts
 from ..operators import build, listing, sampling, sets, spatial, tiles, views
 from ..operators.terrain import elevation
-from ..sources import regions
+from ..sources import regions, tracks
 from ..sources.elements import requested, tile_index
 from ..storage import shared_dir, stored
 from ..streaming import tiles as followed
@@ -564,6 +564,71 @@ def grade_bands(spark, sf_dir):
     return rounded(views.profile_bands(line.join(many, "road")), 9)
 
 
+@query(
+    f"""WITH e AS ({EVENT_LINE}), n AS (SELECT road, max(k) * 10.0::DOUBLE AS total FROM e GROUP BY road), q AS (SELECT road, total, m * 37.0::DOUBLE AS d, greatest(0, m * 37 - 150)::DOUBLE AS lo, least(total, m * 37 + 150)::DOUBLE AS hi FROM n, range(0, 25) r(m) WHERE m * 37 <= total)
+SELECT road, d AS x, round(CASE WHEN hi > lo THEN ({_at('q.hi')} - {_at('q.lo')}) / (hi - lo) ELSE 0 END, 9) AS grade FROM q"""
+)
+def grades(spark, sf_dir):
+    """The grade at places along each profile, over 150 m either way."""
+    e = spark.sql(EVENT_LINE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    line = e.select("road", (F.col("k") * 10.0).alias("x"), F.col("value").alias("ele"))
+    places = line.groupBy("road").agg(F.max("x").alias("total")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(24)))).where("m * 37 <= total").select("road", (F.col("m") * 37.0).alias("x"))
+    return rounded(views.grades(line, places), 9)
+
+
+@query(
+    f"""WITH {CLASSES_SQL}, v AS (SELECT *, lead(k) OVER w AS nk, row_number() OVER w - 1 AS i FROM c WINDOW w AS (PARTITION BY road ORDER BY k)), t AS (SELECT *, k - row_number() OVER (PARTITION BY road, cls ORDER BY k) AS g FROM v WHERE nk IS NOT NULL)
+SELECT road, cls::BIGINT AS cls, min(k) AS a, max(nk) AS b, count(*) + 1 AS points FROM t GROUP BY road, cls, g"""
+)
+def bend_lines(spark, sf_dir):
+    """The lines of a road's bends, class by class, joined where they meet. A vertex' number stands for its place."""
+    line = sampling.bend_classes(view(spark, sf_dir, PATH)).select("road", "k", F.col("k").cast("double").alias("lon"), F.lit(0.0).alias("lat"), "cls")
+    p = F.col("points.lon")
+    return views.bend_lines(line).select("road", F.col("cls").cast("long").alias("cls"), F.array_min(p).cast("long").alias("a"), F.array_max(p).cast("long").alias("b"), F.size(p).cast("long").alias("points"))
+
+
+@query(
+    f"""WITH e AS ({EVENT_LINE}), h AS (SELECT road, max(k) * 10.0::DOUBLE AS total, unnest([15.0, 40.0, 33.0])::DOUBLE AS a, unnest([30.0, 47.0, 1000.0])::DOUBLE AS b FROM e GROUP BY road), q AS (SELECT *, least(total, a) AS lo, least(total, b) AS hi FROM h)
+SELECT road, a AS from_m, b AS to_m, round({_at('q.lo')}, 6) AS first, round({_at('q.hi')}, 6) AS last, 2 + (SELECT count(*) FROM e WHERE e.road = q.road AND e.k * 10 > q.a AND e.k * 10 < q.b) AS points FROM q"""
+)
+def stretch_lines(spark, sf_dir):
+    """Stretches of each line, with ends between its vertices; values stand for its longitudes."""
+    e = spark.sql(EVENT_LINE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    line = e.select("road", (F.col("k") * 10.0).alias("x"), F.col("value").alias("lon"), F.lit(46.0).alias("lat"))
+    parts = e.select("road").distinct().select("road", F.inline(F.array(*(F.struct(F.lit(a).alias("from_m"), F.lit(b).alias("to_m")) for a, b in ((15.0, 30.0), (40.0, 47.0), (33.0, 1000.0))))))
+    p = F.col("points")
+    got = views.stretch_lines(line, parts)
+    return got.select("road", "from_m", "to_m", F.round(F.get(p, F.lit(0)).lon, 6).alias("first"), F.round(F.element_at(p, -1).lon, 6).alias("last"), F.size(p).cast("long").alias("points"))
+
+
+@query(
+    """SELECT '/in/f' || s_suppkey || CASE s_suppkey % 6 WHEN 4 THEN '.txt' WHEN 5 THEN '.GPX' ELSE '.gpx' END AS file, 'f' || s_suppkey || CASE s_suppkey % 6 WHEN 1 THEN '.gpx has no track points' WHEN 2 THEN '.gpx isn''t a valid GPX file' WHEN 3 THEN '.gpx has no track points' ELSE '.txt isn''t a .gpx file' END AS error
+FROM supplier WHERE s_suppkey % 6 IN (1, 2, 3, 4)"""
+)
+def import_errors(spark, sf_dir):
+    """What is wrong with files that do not import: other endings, broken XML, too few points, places that are no numbers."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 6).alias("c"))
+    point = lambda lon: f'<trkpt lat="46" lon="{lon}"></trkpt>'
+    inside = F.when(F.col("c") == 1, point(7)).when(F.col("c") == 3, point("x") * 3).otherwise(point(7) + point(8))
+    text = F.concat(F.lit('<?xml version="1.0"?><gpx version="1.1"><trk><name>n</name><trkseg>'), inside, F.when(F.col("c") == 2, "</trkseg>").otherwise("</trkseg></trk></gpx>"))
+    ending = F.when(F.col("c") == 4, ".txt").when(F.col("c") == 5, ".GPX").otherwise(".gpx")
+    return tracks.import_errors(s.select(F.concat(F.lit("/in/f"), "s_suppkey", ending).alias("file"), text.alias("content")))
+
+
+@query(
+    f"""WITH w AS ({WAYS}), n AS (SELECT n0 AS node FROM w UNION SELECT n1 FROM w), p AS (SELECT *, {PASS_TEXT} AS ele, 45 + p_partkey % 31 / 10.0::DOUBLE AS lat, 6 + p_partkey % 37 / 10.0::DOUBLE AS lon FROM part)
+SELECT p_partkey AS ord, p_name AS name, CASE p_size % 6 WHEN 0 THEN 1 WHEN 1 THEN 1234 WHEN 3 THEN p_partkey END::BIGINT AS ele, round(lon, 5) AS lon, round(lat, 5) AS lat
+FROM p WHERE p_size % 4 <> 0 AND p_partkey * 7 % 20011 IN (SELECT node FROM n) AND lat BETWEEN 45.5 AND 47.3 AND lon BETWEEN 6.4 AND 8.8"""
+)
+def area_passes(spark, sf_dir):
+    """The passes of an area's box: a build's second result."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS ord", "p_partkey * 7 % 20011 AS id", "45 + p_partkey % 31 / 10D AS lat", "6 + p_partkey % 37 / 10D AS lon", "CASE WHEN p_size % 4 != 0 THEN p_name END AS name", f"{PASS_TEXT} AS ele")
+    ways = view(spark, sf_dir, WAYS).select(F.transform(F.array("n0", "n1"), lambda n: F.concat_ws("/", F.lit("a"), n.cast("string"))).alias("nodes"))
+    boxes = spark.createDataFrame([("a", 45.5, 6.4, 47.3, 8.8)], "area string, s double, w double, n double, e double")
+    found = build.road_passes(_nodes(p, {"mountain_pass": "yes", "name": F.col("name"), "ele": F.col("ele")}), ways)
+    return build.passes_within(found, boxes).drop("area")
+
+
 @query(
     f"""WITH e AS ({EVENT_LINE}), q AS (SELECT road, max(k) * 10.0::DOUBLE AS total, i FROM e, range(0, 120) r(i) GROUP BY road, i), p AS (SELECT road, i, total * i / 119 AS x, total FROM q),
 z AS (SELECT road, i, x, floor(round(x / 10, 9)) AS k FROM p)

@@ -24,6 +24,17 @@ def parse_gpx(files: DataFrame, least_m: float = 20.0) -> DataFrame:
     return g.select("file", name.alias("name"), F.when(F.size(points) >= 2, thinned(points, least_m)).alias("points"))
 
 
+def import_errors(files: DataFrame) -> DataFrame:
+    """(file, error) of files (file, content) that give no ride: no GPX by their ending, no XML, or fewer than two points. The others import all the same."""
+    name = F.regexp_replace("file", "^.*/", "")
+    ending = name.rlike(r"(?i)\.gpx$")
+    read = parse_gpx(files.where(ending)).select("file", "points")
+    whole = F.from_xml(F.col("content"), "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    broken = F.col("content").isNull() | whole["_corrupt"].isNotNull()
+    why = F.when(~ending, F.concat(name, F.lit(" isn't a .gpx file"))).when(broken, F.concat(name, F.lit(" isn't a valid GPX file"))).when(F.col("points").isNull(), F.concat(name, F.lit(" has no track points")))
+    return files.join(read, "file", "left").select("file", why.alias("error")).where("error IS NOT NULL")
+
+
 def thinned(points: Column, least_m: float) -> Column:
     """The first point, and each at least least_m from the last one kept."""
     from ..functions.geo import RIDE_DEG_M, planar_m
@@ -74,6 +85,11 @@ def ride_feature(name: Column, points: Column) -> Column:
     return _feature("LineString", _pairs(points), name=name)
 
 
+def hot_feature(points: Column) -> Column:
+    """A stretch of a road that is worth most, without properties."""
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), _pairs(points).alias("coordinates")).alias("geometry")))
+
+
 def pass_feature(name: Column, ele: Column, lon: Column, lat: Column) -> Column:
     """A pass with its label, the elevation in a line of its own where there is one."""
     return _feature("Point", F.array(lon, lat), label=F.concat(name, F.coalesce(F.concat(F.lit("\n"), ele.cast("string"), F.lit(" m")), F.lit(""))))
