@@ -9,7 +9,6 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -30,10 +29,11 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: White space of two characters or more, or at the end of a text.
 RUN = re.compile(rf"{SPACE}{SPACE}+|{SPACE}\Z")
-BLANK = re.compile(SPACE)
 #: Runs from this length on are cut out before another library's pattern sees them, as its depth of search is bounded.
 LONG_RUN = re.compile(SPACE + "{512,}")
 NONE = 1 << 60
+#: Bytes that a known word takes besides its letters and ids; words are forgotten when all take more than a coder may know.
+ENTRY = 200
 #: A bin of words that does not fit whole is taken by this number of shares.
 SHARES = 4096
 #: Pieces up to this number of bytes are merged many at once.
@@ -167,7 +167,7 @@ class Coder:
     its pieces are looked up there, and what is in neither is merged. So texts of any lengths and any white space take the same way.
     """
 
-    def __init__(self, path: str, lexicon: str | None = None, most_known: int = 300_000) -> None:
+    def __init__(self, path: str, lexicon: str | None = None, most_known: int = 64 << 20) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         vocab, letters = model["model"]["vocab"], byte_letters()
@@ -183,7 +183,7 @@ class Coder:
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.ranked = all(i == k for k, i in enumerate(sorted(set(start)))) and all(x[1] == 256 + x[0] for x in pairs.values())
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.most = most_known
+        self.most, self.held = most_known, 0
         #: Ids of words with a space before them, of words without, and of runs of white space.
         self.spaced, self.bare, self.runs = _Table(self, " "), _Table(self, ""), _Table(self, "")
 
@@ -237,9 +237,10 @@ class Coder:
 
     def learn(self, texts: list[str]) -> None:
         """Put all new words of some texts into the tables, with one search of the lexicon and one merging."""
-        if len(self.spaced) + len(self.bare) + len(self.runs) > self.most:
+        if self.held > self.most:
             for table in (self.spaced, self.bare, self.runs):
                 table.clear()
+            self.held = 0
         spaced: set[str] = set()
         bare: set[str] = set()
         for text in texts:
@@ -250,7 +251,9 @@ class Coder:
                     spaced.update(words)
         for table, words in ((self.spaced, spaced), (self.bare, bare)):
             words = [w for w in words if w and w not in table]
-            table.update(zip(words, self.encode_words([table.lead + w for w in words])))
+            ids = self.encode_words([table.lead + w for w in words])
+            self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
+            table.update(zip(words, ids))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word: from the lexicon, else of its pieces from there, else by merging."""
@@ -286,6 +289,7 @@ class _Table(dict):
 
     def __missing__(self, part: str) -> bytes:
         self[part] = out = self.coder.encode_words([self.lead + part])[0] if part else b""
+        self.coder.held += len(part) + len(out) + ENTRY
         return out
 
 
@@ -321,23 +325,9 @@ def frequent_words(docs: DataFrame, most: int, longest: int = 64) -> DataFrame:
     those fit. So counts of bins, a few hundred and then SHARES, decide, and no task's candidates reach the driver.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-
-        def out():
-            kept = [(w, n) for w, n in seen.items() if w and len(w) <= longest and not BLANK.match(w)]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                for line in (text.as_py() or "").split("\n"):
-                    seen.update(line.split(" ")[1:])
-                if len(seen) > 300_000:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.slice(F.split(line, " "), 2, 1 << 30))
+    words = F.filter(F.flatten(lines), lambda w: F.length(w).between(1, longest))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & ~F.col("word").rlike("^" + SPACE))
     counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 16)), "words")
 
     def fitting(df: DataFrame, by: Column, room: int) -> tuple[int, int]:
