@@ -63,3 +63,22 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
     assert twice.count() == 5
     kept = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
     assert sorted(str(r.doc_id) for r in kept.select(F.col("doc_id")).collect()) == ["1", "3", "4", "None"]
+
+
+def test_columns_of_any_name_and_a_very_long_text_pass_all_stages(spark, tmp_path):
+    names = ["n_lines", "n_dropped", "kept", "row", "stratum", "lo", "hi", "n", "id", "no_id", "s", "host", "lines", "drop", "label", "toxic", "key", "hit", "fold"]
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    long = "\n".join(f"Line {i} tells of {i * 7} things, and of {i * i} more that nobody had seen before." for i in range(70_000))
+    assert len(long) > 5_000_000
+    docs = base.unionByName(spark.createDataFrame([(9_000_001, long, "en", "long", len(long))], base.schema))
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in names))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows = docs.select("doc_id", *names).collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in names), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in rows}
