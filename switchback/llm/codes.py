@@ -184,3 +184,25 @@ def compressed(vectors: DataFrame, **options) -> DataFrame:
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors: 4 parts, 256 entries, 4 rounds."""
     return compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _sql(rounds: int) -> str:
+    """The query in SQL: a table of assignments and one of codebooks a round."""
+    text = """
+WITH k AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (d - 1) // w AS p, (d - 1) % w AS j, floor(1024 * embedding[d]::DOUBLE)::BIGINT AS v FROM (SELECT *, len(embedding) // 4 AS w, unnest(range(1, len(embedding) + 1)) AS d FROM k)),
+c0 AS MATERIALIZED (SELECT e, p, j, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 256) f ON f.vec_id = x.vec_id)"""
+    for r in range(rounds + 1):
+        text += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, (q, e)) AS e, min(q) AS q FROM (
+  SELECT x.vec_id, x.p, c.e, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS q FROM x JOIN c{r} c ON c.p = x.p AND c.j = x.j GROUP BY x.vec_id, x.p, c.e) GROUP BY vec_id, p)"""
+        if r < rounds:
+            text += f""",
+n{r} AS (SELECT a.e, x.p, x.j, floor(sum(x.v) / count(*))::BIGINT AS v FROM x JOIN a{r} a ON a.vec_id = x.vec_id AND a.p = x.p GROUP BY a.e, x.p, x.j),
+c{r + 1} AS MATERIALIZED (SELECT c.e, c.p, c.j, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN n{r} n ON n.e = c.e AND n.p = c.p AND n.j = c.j)"""
+    return f"""{text},
+o AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(q)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT o.vec_id, o.code, o.error, (sum(o.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) FROM c{rounds}) AS codebooks_sha256 FROM o JOIN k ON k.vec_id = o.vec_id"""
+
+
+OP13_SQL = _sql(4)

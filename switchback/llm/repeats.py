@@ -355,3 +355,16 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.col("n_bytes") - F.length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM h WHERE doc_id IS NOT NULL)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT DISTINCT w.doc_id, w.p FROM w JOIN f ON f.s = w.s AND f.first < w.doc_id),
+r AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM g)),
+u AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS at FROM u),
+t AS (SELECT k.doc_id, string_agg(substr(h.h, 2 * k.at + 1, 2 * (k.a - k.at)), '' ORDER BY k.a) AS kept, max(k.b) AS last, sum(k.b - k.a) AS gone, count(*) AS spans FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT h.doc_id, (len(h.h) // 2)::BIGINT AS n_bytes, coalesce(t.gone, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h.h ELSE t.kept || substr(h.h, 2 * t.last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN t ON t.doc_id = h.doc_id"""

@@ -289,3 +289,36 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = turns.select("conv_id").distinct().unionByName(repair.summary(), allowMissingColumns=True).unionByName(digests(repair.turns()), allowMissingColumns=True)
     found = every.groupBy("conv_id").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in numbers), F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.max("repaired_sha256").alias("sha"))
     return found.select("conv_id", *numbers, "audit", F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS f FROM conversations, tab),
+h AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM m WHERE f <> 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM h),
+d AS MATERIALIZED (SELECT *, role[1] AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY c ORDER BY n) AS pi FROM o),
+fit AS MATERIALIZED (SELECT * FROM (VALUES ('', 'u', 'user', 'a', 'assistant'), ('s', 'u', 'user', 'a', 'assistant'), ('u', 'a', 'assistant', 'u', 'user'), ('a', 'u', 'user', 'a', 'assistant')) v(q, q1, r1, q2, r2)),
+s(c, n, q, cost, audit, l) AS (
+  SELECT DISTINCT c, 0::BIGINT, '', 0::BIGINT, '', []::VARCHAR[] FROM d
+  UNION ALL
+  SELECT c, n, q, cost, audit, l FROM (SELECT *, row_number() OVER (PARTITION BY c, q ORDER BY cost, audit) AS best FROM (
+    SELECT z.c, z.n, z.e.q AS q, z.cost + z.e.p AS cost, z.audit || z.e.a AS audit, list_concat(z.l, z.e.l) AS l FROM (
+      SELECT s.c, d.n, s.cost, s.audit, s.l, unnest([
+        {'ok': true, 'q': s.q, 'p': 4, 'a': 'D', 'l': []::VARCHAR[]},
+        {'ok': d.i = fit.q1 OR s.q = '' AND d.i = 's', 'q': d.i, 'p': 0 + w.w, 'a': 'K', 'l': [d.role || ':' || d.text]},
+        {'ok': d.i = fit.q2, 'q': d.i, 'p': 3 + w.w, 'a': 'IK', 'l': [fit.r1 || ':', d.role || ':' || d.text]},
+        {'ok': true, 'q': fit.q1, 'p': 3 + w.w, 'a': 'R', 'l': [fit.r1 || ':' || d.text]},
+        {'ok': true, 'q': fit.q2, 'p': 6 + w.w, 'a': 'IR', 'l': [fit.r1 || ':', fit.r2 || ':' || d.text]}]) AS e, d.fault
+      FROM s JOIN d ON d.c = s.c AND d.n = s.n + 1 JOIN fit ON fit.q = s.q, LATERAL (SELECT CASE WHEN d.fault = 'truncated' THEN 3 ELSE 0 END AS w) w) z
+    WHERE z.e.ok AND (z.e.a = 'D' OR z.fault NOT IN ('blank', 'duplicate')))) WHERE best = 1),
+e AS (SELECT c, max(n) AS n FROM d GROUP BY c),
+fin AS (SELECT c, arg_min({'cost': cost, 'audit': audit, 'l': l}, {'cost': cost, 'audit': audit}) AS x FROM (
+  SELECT s.c, s.cost + CASE s.q WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END AS cost, s.audit || CASE s.q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit, list_concat(s.l, CASE s.q WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE []::VARCHAR[] END) AS l
+  FROM s JOIN e ON e.c = s.c AND e.n = s.n) GROUP BY c),
+g AS (SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (n > 1 AND pi || i NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY c)
+SELECT v.conv_id, coalesce(g.gaps, 0)::BIGINT AS gaps, coalesce(g.blank, 0) AS blank, coalesce(g.duplicate, 0) AS duplicate, coalesce(g.truncated, 0) AS truncated, coalesce(g.illegal, 0) AS illegal, coalesce(fin.x.cost, 0)::BIGINT AS cost, coalesce(fin.x.audit, '') AS audit,
+  sha256(coalesce(array_to_string(fin.x.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN fin ON fin.c = g.c"""
