@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -142,8 +143,10 @@ class Merges:
             best = rank[np.arange(len(rows)), at]
             done = best == NONE
             if done.any():
-                for i, x in zip(rows[done].tolist(), ids[done]):
-                    out[i] = x[x >= 0].astype("<u4").tobytes()
+                left = ids[done] >= 0
+                flat, ends = ids[done][left].astype("<u4").tobytes(), np.cumsum(left.sum(axis=1) * 4).tolist()
+                for i, a, b in zip(rows[done].tolist(), [0, *ends], ends):
+                    out[i] = flat[a:b]
                 rows, ids, rank, at, best = (x[~done] for x in (rows, ids, rank, at, best))
                 if not len(rows):
                     return
@@ -220,46 +223,55 @@ class Coder:
             for before, run in cut_runs(part, RUN):
                 yield before, run, b"" if run else special
 
+    def _cut(self, text: str) -> list[tuple[list[list[str]], str, bytes]]:
+        """(lines cut at spaces, run of white space, id of a special token) in turn."""
+        return [([line.split(" ") for line in segment.split("\n")], run, special) for segment, run, special in self._segments(text)]
+
     def buffer(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        """The ids of a whole text as little-endian unsigned 32-bit numbers."""
+        return self._joined(self._cut(text))
+
+    def _joined(self, cut: list[tuple[list[list[str]], str, bytes]]) -> bytes:
         spaced, bare, runs, parts = self.spaced, self.bare, self.runs, []
         line_feed = bare["\n"]
-        for segment, run, special in self._segments(text):
-            lines = segment.split("\n")
-            for k, line in enumerate(lines):
+        for lines, run, special in cut:
+            for k, (first, *words) in enumerate(lines):
                 if k:
                     parts.append(line_feed)
-                first, *words = line.split(" ")
                 parts.append(bare[first])
                 parts += map(spaced.__getitem__, words)
             parts += [runs[run], special]
         return b"".join(parts)
 
-    def learn(self, texts: list[str]) -> None:
-        """Put all new words of some texts into the tables, with one search of the lexicon and one merging."""
+    def buffers(self, texts: list[str]) -> list[bytes]:
+        """buffer() of each text: all new words go into the tables first, with one search of the lexicon and one merging. Texts are cut once."""
         if self.held > self.most:
             for table in (self.spaced, self.bare, self.runs):
                 table.clear()
             self.held = 0
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for text in texts:
-            for segment, _, _ in self._segments(text):
-                for line in segment.split("\n"):
-                    first, *words = line.split(" ")
-                    bare.add(first)
-                    spaced.update(words)
+        cuts, spaced, bare = [self._cut(text) for text in texts], set(), set()
+        for cut in cuts:
+            for lines, _, _ in cut:
+                for line in lines:
+                    bare.add(line[0])
+                    spaced.update(line[1:])
         for table, words in ((self.spaced, spaced), (self.bare, bare)):
             words = [w for w in words if w and w not in table]
             ids = self.encode_words([table.lead + w for w in words])
             self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
             table.update(zip(words, ids))
+        return list(map(self._joined, cuts))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word: from the lexicon, else of its pieces from there, else by merging."""
         found = self._known([w.encode() for w in words])
         rest = [i for i, x in enumerate(found) if x is None]
-        cut = {i: PIECES.findall(words[i]) for i in rest}
+        # a space and letters are one piece, as a look at them tells sooner than the pattern
+        one = [i for i in rest if (words[i][1:] if words[i][0] == " " else words[i]).isalpha()]
+        missing = self.merges.many([words[i].encode() for i in one])
+        for i, x in zip(one, missing):
+            found[i] = x
+        cut = {i: PIECES.findall(words[i]) for i in rest if found[i] is None}
         new = list({p for pieces in cut.values() for p in pieces})
         coded = [p.encode() for p in new]
         ids = self._known(coded)
@@ -325,9 +337,27 @@ def frequent_words(docs: DataFrame, most: int, longest: int = 64) -> DataFrame:
     those fit. So counts of bins, a few hundred and then SHARES, decide, and no task's candidates reach the driver.
     """
 
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.slice(F.split(line, " "), 2, 1 << 30))
-    words = F.filter(F.flatten(lines), lambda w: F.length(w).between(1, longest))
-    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & ~F.col("word").rlike("^" + SPACE))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    words = line.split(" ")[1:]
+                    if max(map(len, words), default=0) > longest:  # nothing longer is held
+                        words = [w for w in words if len(w) <= longest]
+                    seen.update(words)
+                if len(seen) > 300_000:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = counted.where((F.col("n") > 1) & (F.length("word") > 0) & ~F.col("word").rlike("^" + SPACE))
     counted = written(counted.withColumn("bin", F.floor(F.log2("n") * 16)), "words")
 
     def fitting(df: DataFrame, by: Column, room: int) -> tuple[int, int]:
@@ -375,8 +405,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, most_words: int = 32768) -> D
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                c.learn(texts)
-                ids = [c.ids(t) for t in texts]
+                ids = [np.frombuffer(x, "<u4") for x in c.buffers(texts)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])

@@ -124,7 +124,7 @@ def test_lexicon_serves_texts_with_blank_lines_and_runs(tmp_path, reference, mon
     many = c.merges.many
     monkeypatch.setattr(c.merges, "many", lambda pieces: merged.extend(pieces) or many(pieces))
     text = "x the quick the\n\nz the  quick \n\n\n the end\tend the, \n"
-    c.learn([text])
+    c.buffers([text])
     assert c.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
     assert not {w.encode() for w in words} & set(merged) and b"," in merged  # only what the lexicon lacks is merged
 
