@@ -11,7 +11,7 @@ from switchback.llm.ngram_join import one_of_each
 from switchback.llm.packing import pack
 from switchback.llm.quality_rules import passing
 from switchback.llm.resampling import sampled
-from switchback.storage import drop_since, mark, shared_dir
+from switchback.storage import delete, kept
 
 
 def quality_classifier(spark, docs, sf_dir):
@@ -60,11 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages in turn. What a stage wrote besides its result is deleted when the result is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in turn. What a stage wrote besides its result is deleted when the result is written, and then the result of the stage before."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path, place = shared_dir(spark, name), mark()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_since(spark, place)
-        docs = spark.read.parquet(path)
+        docs = kept(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            delete(spark, before)
+        before = docs.inputFiles()[0].rsplit("/", 1)[0] if docs.inputFiles() else None
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -78,7 +78,10 @@ def feels_like(celsius: Column, kmh: float = 80.0) -> Column:
 
 
 # Weather codes and their words.
-WEATHER = {"Clear": (0,), "Partly cloudy": (1, 2), "Overcast": (3,), "Fog": (45, 48), "Drizzle": (51, 53, 55, 56, 57), "Rain": (61, 63, 65, 66, 67), "Snow": (71, 73, 75, 77), "Showers": (80, 81, 82), "Snow showers": (85, 86), "Thunderstorms": (95, 96, 99)}
+WEATHER = {
+    "Clear": (0,), "Partly cloudy": (1, 2), "Overcast": (3,), "Fog": (45, 48), "Drizzle": (51, 53, 55, 56, 57), "Rain": (61, 63, 65, 66, 67),
+    "Snow": (71, 73, 75, 77), "Showers": (80, 81, 82), "Snow showers": (85, 86), "Thunderstorms": (95, 96, 99)
+}
 
 
 def weather_of(code: Column) -> Column:

@@ -44,15 +44,25 @@ def road_ways(elements: DataFrame) -> DataFrame:
     )
     key = lambda x: F.concat_ws("/", "area", x)
     w = classified(elements).where("kind = 'way'")
-    w = w.select("area", key(F.lpad(F.col("ord").cast("string"), 12, "0")).alias("way"), "id", F.transform("nodes", lambda n: key(n.cast("string"))).alias("nodes"), "geometry", tags.road_key(t).alias("key"), end_direction(F.col("geometry"), True).alias("s"), end_direction(F.col("geometry"), False).alias("e"), facts.alias("facts"))
-    return w.select("area", "way", "id", "nodes", "geometry", "key", F.col("s.dx").alias("dx0"), F.col("s.dy").alias("dy0"), F.col("e.dx").alias("dx1"), F.col("e.dy").alias("dy1"), "facts")
+    w = w.select(
+        "area", key(F.lpad(F.col("ord").cast("string"), 12, "0")).alias("way"), "id",
+        F.transform("nodes", lambda n: key(n.cast("string"))).alias("nodes"), "geometry", tags.road_key(t).alias("key"),
+        end_direction(F.col("geometry"), True).alias("s"), end_direction(F.col("geometry"), False).alias("e"), facts.alias("facts")
+    )
+    return w.select(
+        "area", "way", "id", "nodes", "geometry", "key", F.col("s.dx").alias("dx0"), F.col("s.dy").alias("dy0"), F.col("e.dx").alias("dx1"),
+        F.col("e.dy").alias("dy1"), "facts"
+    )
 
 
 def road_passes(elements: DataFrame, ways: DataFrame) -> DataFrame:
     """(area, pass_id, name, ele, lon, lat) of named passes that are a node of some way (nodes: area/id); pass_id is the element's ord, ele its tag."""
     named = classified(elements).where("kind = 'pass'").withColumn("name", tags.tag(F.col("tags"), "name")).where("name IS NOT NULL")
     nodes = ways.select(F.explode("nodes").alias("node")).distinct()
-    p = named.select("area", F.col("ord").alias("pass_id"), "name", tags.tag(F.col("tags"), "ele").alias("ele"), "lon", "lat", F.concat_ws("/", "area", F.col("id").cast("string")).alias("node"))
+    p = named.select(
+        "area", F.col("ord").alias("pass_id"), "name", tags.tag(F.col("tags"), "ele").alias("ele"), "lon", "lat",
+        F.concat_ws("/", "area", F.col("id").cast("string")).alias("node")
+    )
     return p.join(nodes, "node", "left_semi").drop("node")
 
 
@@ -89,7 +99,10 @@ def chain_vertices(chain: DataFrame, ways: DataFrame) -> DataFrame:
     line = F.when(F.col("reversed"), F.reverse("geometry")).otherwise(F.col("geometry"))
     v = chain.join(ways.select("way", "geometry"), "way").select("road", "pos", "way", F.posexplode(line).alias("j", "p")).where("pos = 0 OR j > 0")
     w, whole = Window.partitionBy("road").orderBy("i"), Window.partitionBy("road")
-    v = v.select("road", "way", "p.lon", "p.lat", (F.row_number().over(Window.partitionBy("road").orderBy("pos", "j")) - 1).alias("i"), F.avg("p.lat").over(whole).alias("lat0"), F.count("*").over(whole).alias("n")).where("n >= 3")
+    v = v.select(
+        "road", "way", "p.lon", "p.lat", (F.row_number().over(Window.partitionBy("road").orderBy("pos", "j")) - 1).alias("i"),
+        F.avg("p.lat").over(whole).alias("lat0"), F.count("*").over(whole).alias("n")
+    ).where("n >= 3")
     v = v.withColumn("cos0", F.cos(F.radians("lat0"))).withColumns({"x": F.radians("lon") * EARTH_M * F.col("cos0"), "y": F.radians("lat") * EARTH_M})
     gap = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
     kept = v.withColumn("gap", gap).where("gap IS NULL OR gap > 0.01").select("road", "i", "way", "lon", "lat", "x", "y", "cos0")
@@ -116,7 +129,9 @@ def candidates(samples: DataFrame, most: int | None = None, least_m: float = LEA
     km = {f"km{c}": F.count_if(F.col("cls") == c) * (sampling.STEP_M / 1000) for c in range(1, 5)}
     s = cut.groupBy("road", "a", "b").agg(*(v.alias(n) for n, v in km.items())).withColumn("length", (F.col("b") - F.col("a")) * sampling.STEP_M)
     s = s.withColumn("curvy", sum((F.col(f"km{c}") * BALANCED[c - 1] for c in range(1, 5)), F.lit(0.0)))
-    s = s.where((F.col("length") >= least_m) & (F.col("curvy") >= least_curvy_km) & (F.col("curvy") / (F.col("length") / 1000) >= least_density)).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1)))
+    s = s.where(
+        (F.col("length") >= least_m) & (F.col("curvy") >= least_curvy_km) & (F.col("curvy") / (F.col("length") / 1000) >= least_density)
+    ).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1)))
     if most is not None:
         place = F.row_number().over(Window.partitionBy("area").orderBy(F.desc(F.round("curvy", 9)), "road", "a"))
         s = s.withColumn("place", place).where(F.col("place") <= most).drop("place")
@@ -169,7 +184,9 @@ def views(middles: DataFrame, profile: DataFrame, around: DataFrame) -> DataFram
     """(road, i, v, p), 0 to 9: how open the ground falls away on the rings, and how deep at the sides, from smoothed elevation (road, k, ele) and the points' own (road, k, what, ele)."""
     own = middles.select("road", "i", "k").join(profile.select("road", "k", F.col("ele").alias("own")), ["road", "k"])
     s = around.join(own, ["road", "k"]).groupBy("road", "i", "own").agg(
-        F.avg(F.when(F.col("what") == "ring", F.when(F.col("ele") <= F.col("own") - OPEN_BELOW_M, 1.0).otherwise(0.0))).alias("open"), F.min(F.when(F.col("what") == "side", F.col("ele"))).alias("low")
+        F.avg(
+            F.when(F.col("what") == "ring", F.when(F.col("ele") <= F.col("own") - OPEN_BELOW_M, 1.0).otherwise(0.0))
+        ).alias("open"), F.min(F.when(F.col("what") == "side", F.col("ele"))).alias("low")
     )
     v = F.least(F.lit(9.0), F.col("open") / FULL_VIEW * 9)
     p = F.greatest(F.lit(0.0), F.least(F.lit(9.0), (F.col("own") - F.col("low") - DROP_FROM_M) / DROP_SPAN_M * 9))
@@ -186,7 +203,10 @@ def weighted_mode(parts: DataFrame, value: str) -> DataFrame:
 def warnings(parts: DataFrame) -> DataFrame:
     """(road, narrow, tunnel, toll, closed) of parts (road, j, metres, length, narrow, tunnel, toll, closed): shares of the length in whole percent, any toll, and the first closure."""
     share = lambda c: js_round(100 * F.sum(F.when(F.col(c), F.col("metres")).otherwise(0.0)) / F.first("length")).cast("long")
-    return parts.groupBy("road").agg(share("narrow").alias("narrow"), share("tunnel").alias("tunnel"), F.bool_or("toll").alias("toll"), F.min(F.when(F.col("closed").isNotNull(), F.struct("j", "closed"))).alias("c")).select("road", "narrow", "tunnel", "toll", "c.closed")
+    return parts.groupBy("road").agg(
+        share("narrow").alias("narrow"), share("tunnel").alias("tunnel"), F.bool_or("toll").alias("toll"),
+        F.min(F.when(F.col("closed").isNotNull(), F.struct("j", "closed"))).alias("c")
+    ).select("road", "narrow", "tunnel", "toll", "c.closed")
 
 
 def uphill(roads: DataFrame) -> DataFrame:
@@ -194,7 +214,10 @@ def uphill(roads: DataFrame) -> DataFrame:
     down = F.col("descent") > F.col("climb")
     swap = lambda a, b: F.when(down, F.col(b)).otherwise(F.col(a)).alias(a)
     back = lambda c: F.when(down, F.reverse(c)).otherwise(F.col(c)).alias(c)
-    new = {"coords": back("coords"), "slices": back("slices"), "town0": swap("town0", "town1"), "town1": swap("town1", "town0"), "climb": swap("climb", "descent"), "descent": swap("descent", "climb")}
+    new = {
+        "coords": back("coords"), "slices": back("slices"), "town0": swap("town0", "town1"), "town1": swap("town1", "town0"),
+        "climb": swap("climb", "descent"), "descent": swap("descent", "climb")
+    }
     return roads.select(*(new.get(c, F.col(c)) for c in roads.columns), down.alias("turned"))
 
 
@@ -210,11 +233,17 @@ def slice_elevation(coords: DataFrame) -> DataFrame:
     w = Window.partitionBy("road").orderBy("j")
     gap = F.coalesce(planar_m(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")), F.lit(0.0))
     c = coords.withColumn("gap", gap).withColumn("d", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    c = c.withColumns({"d0": F.lag("d").over(w), "e0": F.lag("ele").over(w), "unit": F.max("d").over(Window.partitionBy("road")) / F.col("nb"), "last": F.lead("j").over(w).isNull()})
+    c = c.withColumns(
+        {"d0": F.lag("d").over(w), "e0": F.lag("ele").over(w), "unit": F.max("d").over(Window.partitionBy("road")) / F.col("nb"), "last": F.lead("j").over(w).isNull()}
+    )
     first, after = F.ceil(F.col("d0") / F.col("unit") - 0.5), F.ceil(F.col("d") / F.col("unit") - 0.5) - 1
-    s = c.where("d0 IS NOT NULL AND unit > 0").withColumns({"i0": first, "i1": F.when(F.col("last"), F.col("nb") - 1).otherwise(after)}).where("i1 >= i0").withColumn("i", F.explode(F.sequence("i0", "i1")))
+    s = c.where("d0 IS NOT NULL AND unit > 0").withColumns(
+        {"i0": first, "i1": F.when(F.col("last"), F.col("nb") - 1).otherwise(after)}
+    ).where("i1 >= i0").withColumn("i", F.explode(F.sequence("i0", "i1")))
     t = F.coalesce(F.try_divide((F.col("i") + 0.5) * F.col("unit") - F.col("d0"), F.col("d") - F.col("d0")), F.lit(1.0))
-    flat = c.where("d0 IS NULL AND unit = 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))).select("road", F.col("i").cast("long").alias("i"), F.col("ele").cast("double").alias("ele"))
+    flat = c.where("d0 IS NULL AND unit = 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1))).select(
+        "road", F.col("i").cast("long").alias("i"), F.col("ele").cast("double").alias("ele")
+    )
     return s.select("road", "i", (F.col("e0") + (F.col("ele") - F.col("e0")) * t).alias("ele")).unionByName(flat)
 
 
@@ -246,7 +275,10 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     planes = vertices.groupBy("road").agg(F.first("cos0").alias("cos0"))
     owned = vertices.select(F.col("road").alias("chain"), F.col("i").alias("owner"), "way").join(ways.select("way", "facts.off", "facts.urban"), "way").drop("way")
     cut = samples.withColumnRenamed("road", "chain").join(cand.select("chain", "road", "a", "b"), "chain").where("k BETWEEN a AND b").join(planes.withColumnRenamed("road", "chain"), "chain").join(owned, ["chain", "owner"])
-    s = cut.select("road", (F.col("k") - F.col("a")).alias("k"), (F.col("b") - F.col("a") + 1).alias("n"), "x", "y", F.degrees(F.col("x") / (EARTH_M * F.col("cos0"))).alias("lon"), F.degrees(F.col("y") / EARTH_M).alias("lat"), "cls", "off", "urban")
+    s = cut.select(
+        "road", (F.col("k") - F.col("a")).alias("k"), (F.col("b") - F.col("a") + 1).alias("n"), "x", "y",
+        F.degrees(F.col("x") / (EARTH_M * F.col("cos0"))).alias("lon"), F.degrees(F.col("y") / EARTH_M).alias("lat"), "cls", "off", "urban"
+    )
     s = stored(s, "sections")
 
     middles = stored(centres(s), "centres")
@@ -258,29 +290,47 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     climb = sampling.climbs(profile)
     pins = stored(sampling.hairpins(sampling.turning(s)), "hairpins")
     counts = slice_counts(s, pins, sampling.crests_and_dips(profile))
-    place_tags = found.where("kind = 'place'").select("area", F.col("ord").alias("place_id"), tags.tag(F.col("tags"), "name").alias("name"), tags.tag(F.col("tags"), "place").alias("kind"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    place_tags = found.where("kind = 'place'").select(
+        "area", F.col("ord").alias("place_id"), tags.tag(F.col("tags"), "name").alias("name"), tags.tag(F.col("tags"), "place").alias("kind"),
+        F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")
+    )
     at_centres = middles.withColumns({"point_id": F.struct("road", "i"), "area": F.split_part("road", F.lit("/"), F.lit(1))})
     in_place = spatial.near_places(at_centres, place_tags).select("point_id.*", F.lit(True).alias("in_place"))
     lookouts = found.where("kind = 'viewpoint'").select("area", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     seen = spatial.near_points(at_centres, lookouts, VIEWPOINT_M).select("point_id.*", F.lit(1).alias("x"))
     table = counts.join(views(middles, profile, heights), ["road", "i"], "left").join(in_place, ["road", "i"], "left").join(seen, ["road", "i"], "left")
     whole = lambda c: F.greatest(F.lit(0), F.least(F.lit(35), js_round(c))).cast("int")
-    fields = {f"c{c}": F.col(f"c{c}") for c in range(1, 5)} | {"h": F.col("h"), "r": F.col("r"), "v": F.coalesce("v", F.lit(0.0)), "p": F.coalesce("p", F.lit(0.0)), "u": F.when(F.col("in_place"), PER_SLICE).otherwise(F.col("u")), "x": F.coalesce("x", F.lit(0))}
-    slices = table.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("i", *(whole(v).alias(n) for n, v in fields.items())))).alias("l")).select("road", F.transform("l", lambda e: e.dropFields("i")).alias("slices"))
+    fields = {f"c{c}": F.col(f"c{c}") for c in range(1, 5)} | {
+        "h": F.col("h"), "r": F.col("r"), "v": F.coalesce("v", F.lit(0.0)), "p": F.coalesce("p", F.lit(0.0)),
+        "u": F.when(F.col("in_place"), PER_SLICE).otherwise(F.col("u")), "x": F.coalesce("x", F.lit(0))
+    }
+    slices = table.groupBy("road").agg(
+        F.array_sort(F.collect_list(F.struct("i", *(whole(v).alias(n) for n, v in fields.items())))).alias("l")
+    ).select("road", F.transform("l", lambda e: e.dropFields("i")).alias("slices"))
 
     outline = stored(_outline(cand, vertices), "outline")
     parts = stored(_parts(outline, cand, vertices, ways), "parts")
     name, ref = weighted_mode(parts, "name"), weighted_mode(parts, "ref")
     line = _with_elevation(outline, cand, profile)
-    coords = line.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("d", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), js_round(F.col("ele")).cast("double").alias("ele")))).alias("l"))
+    coords = line.groupBy("road").agg(
+        F.array_sort(F.collect_list(F.struct("d", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), js_round(F.col("ele")).cast("double").alias("ele")))).alias("l")
+    )
     coords = coords.select("road", F.transform("l", lambda p: p.dropFields("d")).alias("coords"))
     ends = stored(outline.groupBy("road").agg(F.min(F.struct("d", "lon", "lat")).alias("p0"), F.max(F.struct("d", "lon", "lat")).alias("p1")), "ends")
-    at_ends = ends.select(F.col("road"), F.explode(F.array(*(F.struct(F.lit(e).alias("end"), f"p{e}.lon", f"p{e}.lat") for e in (0, 1)))).alias("p")).select("road", F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), "p.*", F.struct("road", "p.end").alias("point_id"))
+    at_ends = ends.select(
+        F.col("road"), F.explode(F.array(*(F.struct(F.lit(e).alias("end"), f"p{e}.lon", f"p{e}.lat") for e in (0, 1)))).alias("p")
+    ).select("road", F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), "p.*", F.struct("road", "p.end").alias("point_id"))
     near = spatial.nearest_place(at_ends, place_tags, TOWN_M).join(place_tags.select("place_id", "area", "name"), ["place_id", "area"]).select("point_id.*", "name")
     towns = near.groupBy("road").agg(F.max(F.when(F.col("end") == 0, F.col("name"))).alias("town0"), F.max(F.when(F.col("end") == 1, F.col("name"))).alias("town1"))
-    tops = passes.join(heights.where("what = 'pass'").select(F.col("road").alias("area"), F.col("k").alias("pass_id"), F.col("ele").alias("ground")), ["area", "pass_id"]).select("area", "pass_id", F.col("name").alias("pass_name"), F.coalesce(pass_metres(F.col("ele")), "ground").alias("ele"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    tops = passes.join(heights.where("what = 'pass'").select(F.col("road").alias("area"), F.col("k").alias("pass_id"), F.col("ele").alias("ground")), ["area", "pass_id"]).select(
+        "area", "pass_id", F.col("name").alias("pass_name"), F.coalesce(pass_metres(F.col("ele")), "ground").alias("ele"),
+        F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")
+    )
     corners = outline.select("road", F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), "lon", "lat")
-    top = spatial.highest_pass(corners, tops, PASS_M).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1))).join(tops.drop("ele"), ["area", "pass_id"]).select("road", F.struct(F.col("pass_name").alias("name"), F.col("ele").cast("long").alias("ele"), F.round("p_lon", 5).alias("lon"), F.round("p_lat", 5).alias("lat")).alias("pass"))
+    top = spatial.highest_pass(corners, tops, PASS_M).withColumn("area", F.split_part("road", F.lit("/"), F.lit(1))).join(tops.drop("ele"), ["area", "pass_id"]).select(
+        "road",
+        F.struct(F.col("pass_name").alias("name"), F.col("ele").cast("long").alias("ele"), F.round("p_lon", 5).alias("lon"), F.round("p_lat", 5).alias("lat")).alias("pass")
+    )
 
     heads = profile.groupBy("road").agg(js_round(F.min("ele")).cast("long").alias("ele_min"), js_round(F.max("ele")).cast("long").alias("ele_max"))
     r = cand.join(slices, "road").join(coords, "road").join(climb, "road").join(heads, "road").join(pins.groupBy("road").agg(F.count("*").alias("hairpins")), "road", "left")
@@ -289,8 +339,12 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     r = uphill(r).withColumn("title", tags.title(F.col("pass.name"), F.col("name"), F.col("share"), F.col("ref")))
     end = lambda at, c: F.element_at("coords", at)[c]
     described = stored(r.select(
-        "area", F.concat_ws("/", "area", road_id(end(1, "lon"), end(1, "lat"), end(-1, "lon"), end(-1, "lat"))).alias("road"), road_id(end(1, "lon"), end(1, "lat"), end(-1, "lon"), end(-1, "lat")).alias("id"), F.col("road").alias("section"), "curvy",
-        F.col("title").alias("name"), F.nullif(tags.subtitle(F.col("title"), F.col("name"), F.col("share"), F.col("ref")), F.lit("")).alias("road_text"), "ref", F.col("town0").alias("from"), F.when(~F.col("town1").eqNullSafe(F.col("town0")), F.col("town1")).alias("to"),
+        "area", F.concat_ws(
+            "/", "area", road_id(end(1, "lon"), end(1, "lat"), end(-1, "lon"), end(-1, "lat"))
+        ).alias("road"), road_id(end(1, "lon"), end(1, "lat"), end(-1, "lon"), end(-1, "lat")).alias("id"), F.col("road").alias("section"), "curvy",
+        F.col("title").alias("name"), F.nullif(
+            tags.subtitle(F.col("title"), F.col("name"), F.col("share"), F.col("ref")), F.lit("")
+        ).alias("road_text"), "ref", F.col("town0").alias("from"), F.when(~F.col("town1").eqNullSafe(F.col("town0")), F.col("town1")).alias("to"),
         js_round(F.col("length")).cast("long").alias("len"), F.array(*(F.round(f"km{c}", 2) for c in range(1, 5))).alias("bends"), F.coalesce("hairpins", F.lit(0)).alias("hairpins"), js_round(F.col("climb")).cast("long").alias("climb"), js_round(F.col("descent")).cast("long").alias("descent"),
         "ele_min", "ele_max", F.round(F.col("grade") * 100, 1).alias("max_grade"), "pass", F.struct("narrow", "tunnel", "toll", "closed").alias("warn"), "coords", "slices",
     ), "roads")
@@ -307,7 +361,11 @@ def _outline(cand: DataFrame, vertices: DataFrame) -> DataFrame:
     met = seg.join(c, "chain")
     inside = met.where("d > d0 AND d < d1").select("road", "chain", "d", "lon", "lat", "cos0")
     at = lambda c, end: F.col(f"{c}p") + (F.col(c) - F.col(f"{c}p")) * (F.col(end) - F.col("dp")) / (F.col("d") - F.col("dp"))
-    ends = [met.where(f"dp IS NOT NULL AND dp <= {e} AND ({e} < d)").select("road", "chain", F.col(e).alias("d"), at("lon", e).alias("lon"), at("lat", e).alias("lat"), "cos0") for e in ("d0", "d1")]
+    ends = [
+        met.where(f"dp IS NOT NULL AND dp <= {e} AND ({e} < d)").select(
+            "road", "chain", F.col(e).alias("d"), at("lon", e).alias("lon"), at("lat", e).alias("lat"), "cos0"
+        ) for e in ("d0", "d1")
+    ]
     out = inside.unionByName(ends[0]).unionByName(ends[1])
     out = out.withColumns({"k": F.row_number().over(Window.partitionBy("road").orderBy("d")) - 1, "x": F.radians("lon") * EARTH_M * F.col("cos0"), "y": F.radians("lat") * EARTH_M})
     out = stored(out, "outline")

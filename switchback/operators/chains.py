@@ -11,7 +11,15 @@ from ..storage import stored
 def way_ends(ways: DataFrame) -> DataFrame:
     """(node, way, at_start) of the ends of ways (way, nodes), closed ways left out."""
     ends = ways.where(F.element_at("nodes", 1) != F.element_at("nodes", -1))
-    return ends.select("way", F.explode(F.array(F.struct(F.element_at("nodes", 1).alias("node"), F.lit(True).alias("at_start")), F.struct(F.element_at("nodes", -1).alias("node"), F.lit(False).alias("at_start")))).alias("e")).select("e.node", "way", "e.at_start")
+    return ends.select(
+        "way",
+        F.explode(
+            F.array(
+                F.struct(F.element_at("nodes", 1).alias("node"), F.lit(True).alias("at_start")),
+                F.struct(F.element_at("nodes", -1).alias("node"), F.lit(False).alias("at_start"))
+            )
+        ).alias("e")
+    ).select("e.node", "way", "e.at_start")
 
 
 def pairs(ways: DataFrame) -> DataFrame:
@@ -26,7 +34,10 @@ def pairs(ways: DataFrame) -> DataFrame:
     two = ends.join(simple, "node").groupBy("node").agg(F.min(F.struct("way", "at_start")).alias("a"), F.max(F.struct("way", "at_start")).alias("b"))
     two = two.select(F.col("a.way").alias("a"), F.col("a.at_start").alias("a_start"), F.col("b.way").alias("b"), F.col("b.at_start").alias("b_start"))
     rest = ends.join(simple, "node", "left_anti").join(ways.select("way", "key", "dx0", "dy0", "dx1", "dy1"), "way").where("key IS NOT NULL")
-    rest = rest.select("node", "key", "way", "at_start", F.when(F.col("at_start"), F.col("dx0")).otherwise(F.col("dx1")).alias("dx"), F.when(F.col("at_start"), F.col("dy0")).otherwise(F.col("dy1")).alias("dy"))
+    rest = rest.select(
+        "node", "key", "way", "at_start", F.when(F.col("at_start"), F.col("dx0")).otherwise(F.col("dx1")).alias("dx"),
+        F.when(F.col("at_start"), F.col("dy0")).otherwise(F.col("dy1")).alias("dy")
+    )
 
     return two.unionByName(straightest(rest))
 
@@ -58,11 +69,23 @@ def chained(ways: DataFrame, links: DataFrame) -> DataFrame:
     # leaving a way by one side leads into the next by a side, to be left by its other
     after = both.select(F.col("a").alias("way"), F.col("a_start").alias("side"), F.col("b").alias("to"), (~F.col("b_start")).alias("to_side"))
     sides = ways.select("way", F.explode(F.array(F.lit(True), F.lit(False))).alias("side"))
-    p = sides.join(after, ["way", "side"], "left").select("way", "side", F.coalesce("to", "way").alias("to"), F.coalesce("to_side", "side").alias("to_side"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.least("way", F.coalesce("to", "way")).alias("least"))
+    p = sides.join(after, ["way", "side"], "left").select(
+        "way", "side", F.coalesce("to", "way").alias("to"), F.coalesce("to_side", "side").alias("to_side"),
+        F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.least("way", F.coalesce("to", "way")).alias("least")
+    )
     p, span, n = stored(p, "pointers"), 1, ways.count()
     while True:
-        q = p.select(F.col("way").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("to2"), F.col("to_side").alias("side2"), F.col("steps").alias("more"), F.col("least").alias("least2"))
-        p = stored(p.join(q, ["to", "to_side"]).select("way", "side", F.col("to2").alias("to"), F.col("side2").alias("to_side"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "least2").alias("least"), (F.col("more") > 0).alias("moved")), "pointers")
+        q = p.select(
+            F.col("way").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("to2"), F.col("to_side").alias("side2"),
+            F.col("steps").alias("more"), F.col("least").alias("least2")
+        )
+        p = stored(
+            p.join(q, ["to", "to_side"]).select(
+                "way", "side", F.col("to2").alias("to"), F.col("side2").alias("to_side"), (F.col("steps") + F.col("more")).alias("steps"),
+                F.least("least", "least2").alias("least"), (F.col("more") > 0).alias("moved")
+            ),
+            "pointers"
+        )
         span *= 2
         if p.where("moved").isEmpty() or span > 2 * n:
             break
@@ -72,7 +95,9 @@ def chained(ways: DataFrame, links: DataFrame) -> DataFrame:
     still = p.where("NOT moved")
     road = still.groupBy("way").agg(F.min("least").alias("road"))
     root = still.join(road, "way").where("way = road AND side").select("road", F.col("to").alias("root"), F.col("to_side").alias("root_side"))
-    open_ = still.join(road, "way").join(root, "road").where("to = root AND to_side = root_side").select("way", "road", F.col("steps").alias("pos"), (~F.col("side")).alias("reversed"))
+    open_ = still.join(road, "way").join(root, "road").where("to = root AND to_side = root_side").select(
+        "way", "road", F.col("steps").alias("pos"), (~F.col("side")).alias("reversed")
+    )
     rings = stored(rings, "rings")
     if rings.isEmpty():
         return open_

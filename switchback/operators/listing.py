@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +16,18 @@ SHOWN = 300
 PLACE_KINDS = ("city", "town", "village", "municipality", "suburb", "hamlet")
 OTHER_PLACE, NO_PLACE = 8, 9
 # Kinds of stops, their icons and labels.
-STOPS = {"cafe": ("coffee", "Café"), "restaurant": ("fork-knife", "Restaurant"), "fast_food": ("hamburger", "Snack"), "ice_cream": ("ice-cream", "Ice cream"), "biergarten": ("beer-stein", "Beer garden"), "pub": ("beer-stein", "Pub"), "fuel": ("gas-pump", "Fuel"), "alpine_hut": ("house-line", "Mountain hut")}
+STOPS = {
+    "cafe": ("coffee", "Café"), "restaurant": ("fork-knife", "Restaurant"), "fast_food": ("hamburger", "Snack"),
+    "ice_cream": ("ice-cream", "Ice cream"), "biergarten": ("beer-stein", "Beer garden"), "pub": ("beer-stein", "Pub"), "fuel": ("gas-pump", "Fuel"),
+    "alpine_hut": ("house-line", "Mountain hut")
+}
 
 
 def found_in(query: str, fields: list[Column]) -> Column:
     """Whether any field holds the words, whatever their case; without words, true."""
     q = query.strip().lower()
-    return F.coalesce(F.greatest(*(F.coalesce(F.contains(F.lower(f), F.lit(q)), F.lit(False)) for f in fields)), F.lit(False)) if q else F.lit(True)
+    holds = [F.coalesce(F.contains(F.lower(f), F.lit(q)), F.lit(False)) for f in fields]
+    return functools.reduce(operator.or_, holds, F.lit(False)) if q else F.lit(True)
 
 
 def shown(roads: DataFrame, show: str, marks: DataFrame | None = None) -> DataFrame:
@@ -80,7 +88,10 @@ def bit_stubs(entries: DataFrame, loaded: DataFrame, query: str = "", show: str
     return shown(left, show, marks).where(found_in(query, [F.col(c) for c in ("name", "road_text", "from", "to")]))
 
 
-def road_list(roads: DataFrame, sort: str = "score", query: str = "", show: str = "all", marks: DataFrame | None = None, entries: DataFrame | None = None, view: tuple[float, float, float, float] | None = None, most: int = SHOWN) -> DataFrame:
+def road_list(
+    roads: DataFrame, sort: str = "score", query: str = "", show: str = "all", marks: DataFrame | None = None, entries: DataFrame | None = None,
+    view: tuple[float, float, float, float] | None = None, most: int = SHOWN
+) -> DataFrame:
     """The first roads by a sort key, greatest first, nulls as 0, ties in order (ord); by "bit", those with a bit and then stubs of the others. view: s, w, n, e, which bb has to meet."""
     if sort not in SORTS:
         raise ValueError(f"sort is one of {', '.join(SORTS)}")
@@ -119,7 +130,9 @@ def passes_in(passes: DataFrame, s: float, w: float, n: float, e: float) -> Data
 def top_feature(features: DataFrame, by: list[str]) -> DataFrame:
     """Of features (ord, score, ...) under each pointer, that of highest score, the first of equals."""
     rest = [c for c in features.columns if c not in (*by, "score", "ord")]
-    return features.groupBy(*by).agg(F.max(F.struct("score", (-F.col("ord")).alias("back"), *rest)).alias("x")).select(*by, "x.score", (-F.col("x.back")).alias("ord"), *(f"x.{c}" for c in rest))
+    return features.groupBy(*by).agg(F.max(F.struct("score", (-F.col("ord")).alias("back"), *rest)).alias("x")).select(
+        *by, "x.score", (-F.col("x.back")).alias("ord"), *(f"x.{c}" for c in rest)
+    )
 
 
 def best_place(candidates: DataFrame) -> DataFrame:

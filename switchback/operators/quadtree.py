@@ -90,7 +90,10 @@ def uncovered(left: DataFrame, right: DataFrame, condition: str = "true", slack:
     x, y = _unit((F.col("w") + F.col("e")) / 2, (F.col("s") + F.col("n")) / 2)
     levels = F.array(*(_key(F.lit(k), F.floor(x * (1 << k)), F.floor(y * (1 << k))) for k in range(LEVELS + 1)))
     middles = stored(left.withColumn("row_", F.monotonically_increasing_id()), "boxes")  # written, so that its numbers stay
-    to = in_cells(right.select(*right.columns, *(F.expr(f"{v} {sign} {slack}D").alias(f"wide_{v}") for v, sign in (("r_w", "-"), ("r_s", "-"), ("r_e", "+"), ("r_n", "+")))), "wide_r_w", "wide_r_s", "wide_r_e", "wide_r_n", side, up=False)
+    to = in_cells(
+        right.select(*right.columns, *(F.expr(f"{v} {sign} {slack}D").alias(f"wide_{v}") for v, sign in (("r_w", "-"), ("r_s", "-"), ("r_e", "+"), ("r_n", "+")))),
+        "wide_r_w", "wide_r_s", "wide_r_e", "wide_r_n", side, up=False
+    )
     inside = F.expr(f"r_s <= s + {slack}D AND r_w <= w + {slack}D AND r_n >= n - {slack}D AND r_e >= e - {slack}D AND ({condition})")
     found = middles.withColumn("at", F.explode(levels)).join(to, (F.col("at") == F.col("cell")) & inside, "left_semi").select("row_").distinct()
     return middles.join(found, "row_", "left_anti").select(*left.columns)

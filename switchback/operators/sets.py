@@ -45,7 +45,10 @@ def collect_roads(tile_roads: DataFrame, areas: DataFrame, area_roads: DataFrame
     ours = area_roads.join(areas.select("area_ord", "complete"), "area_ord")
     ours = placed(ours).join(full, under & (F.col("by_ord") > F.col("area_ord")), "left_anti").select("road_id", "name", "area_ord", "ord", "complete")
     # the last complete one wins, else the first partial one
-    place = F.struct("complete", F.when(F.col("complete"), F.col("area_ord")).otherwise(-F.col("area_ord")).alias("rank"), F.when(F.col("complete"), F.col("ord")).otherwise(-F.col("ord")).alias("back"), "area_ord", "name")
+    place = F.struct(
+        "complete", F.when(F.col("complete"), F.col("area_ord")).otherwise(-F.col("area_ord")).alias("rank"),
+        F.when(F.col("complete"), F.col("ord")).otherwise(-F.col("ord")).alias("back"), "area_ord", "name"
+    )
     return tiles.unionByName(ours).groupBy("road_id").agg(F.max(place).alias("x")).select("road_id", "x.area_ord", "x.name")
 
 
@@ -90,9 +93,16 @@ def merge_areas(areas: DataFrame, area_roads: DataFrame, incoming: dict, roads:
     s, w, n, e = incoming["box"]
     covered = F.expr(f"box.s >= {s} - 1e-6 AND box.w >= {w} - 1e-6 AND box.n <= {n} + 1e-6 AND box.e <= {e} + 1e-6") if complete else F.lit(False)
     left = areas.where((F.col("key") != incoming["key"]) & ~covered)
-    new = areas.sparkSession.range(1).select(F.lit(incoming["key"]).alias("key"), F.lit(incoming["area_ord"]).cast(areas.schema["area_ord"].dataType).alias("area_ord"), F.lit(incoming["missing"]).cast(areas.schema["missing"].dataType).alias("missing"), F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("swne", (s, w, n, e)))).alias("box"))
+    new = areas.sparkSession.range(1).select(
+        F.lit(incoming["key"]).alias("key"), F.lit(incoming["area_ord"]).cast(areas.schema["area_ord"].dataType).alias("area_ord"),
+        F.lit(incoming["missing"]).cast(areas.schema["missing"].dataType).alias("missing"),
+        F.struct(*(F.lit(float(v)).alias(c) for c, v in zip("swne", (s, w, n, e)))).alias("box")
+    )
     known = area_roads.where(F.col("key") == incoming["key"]).drop("key")
-    merged = roads if complete else latest(roads.withColumn("known", F.lit(0)).unionByName(known.withColumn("known", F.lit(1))).withColumn("rank", F.struct("known", "ord")), ["road_id"], "rank").drop("rank", "known")
+    merged = roads if complete else latest(
+        roads.withColumn("known", F.lit(0)).unionByName(known.withColumn("known", F.lit(1))).withColumn("rank", F.struct("known", "ord")),
+        ["road_id"], "rank"
+    ).drop("rank", "known")
     merged = merged.withColumn("key", F.lit(incoming["key"]))
     return left.unionByName(new), area_roads.join(left.select("key"), "key", "left_semi").unionByName(merged.select(*area_roads.columns))
 

@@ -16,7 +16,12 @@ COUNTS = ["c1", "c2", "c3", "c4"]
 def slice_values(slices: DataFrame, taste: float | None = 0.5, by: tuple[str, ...] = ("road",)) -> DataFrame:
     """slices (road, i, c1..c4, h, r, v and p in 0..1, u in 0..1, x, ele, lat) with bend, hairpins, high (alpine), scenery and nb. Without a taste, slices have the weights w1..w4."""
     weights = [F.col(f"w{k}") for k in range(1, 5)] if taste is None else taste_weights(taste)[0]
-    s = slices.withColumns({"bend": slice_bends([F.col(c) for c in COUNTS], F.col("u"), weights), "hairpins": F.col("h") * F.when(F.col("u") > 0.5, 0.3).otherwise(1.0), "high": alpine(F.col("ele"), F.col("lat"))})
+    s = slices.withColumns(
+        {
+            "bend": slice_bends([F.col(c) for c in COUNTS], F.col("u"), weights),
+            "hairpins": F.col("h") * F.when(F.col("u") > 0.5, 0.3).otherwise(1.0), "high": alpine(F.col("ele"), F.col("lat"))
+        }
+    )
     s = s.withColumn("scenery", slice_scenery(F.col("v"), F.col("p"), F.col("x"), F.col("high")))
     return s.withColumn("nb", F.count("*").over(Window.partitionBy(*by)))
 
@@ -38,11 +43,19 @@ def stretches(values: DataFrame, most: int, taste: float | None = 0.5, mix: Mix
     bonus = F.col("bonus") if taste is None else taste_weights(taste)[1]
     of = {"bends": "bend", "pins": "hairpins", "views": "scenery", "turns": "r", "built": "u"} | ({"mean_dens": "dens"} if "dens" in values.columns else {})
     v = values.withColumns({"width": F.least("nb", F.lit(most)), **{f"run_{n}": F.sum(F.col(c).cast("double")).over(so_far) for n, c in of.items()}})
-    v = v.withColumns({"relief": F.max("ele").over(frame) - F.min("ele").over(frame), **{f"end_{n}": F.coalesce(F.lead(f"run_{n}", most - 1).over(w), F.max(f"run_{n}").over(Window.partitionBy(*by))) for n in of}})
-    v = v.withColumns({n: F.col(f"end_{n}") - F.col(f"run_{n}") + F.col(c) for n, c in of.items()})
-    v = v.withColumns({n: F.col(n) / F.col("width") for n in ("built", "mean_dens") if n in of}).drop(*(f"{x}_{n}" for n in of for x in ("run", "end")))
+    # the last row's sums stand for ends beyond it
+    ends = F.struct(*(F.col(f"run_{n}").alias(n) for n in of))
+    end = F.coalesce(F.lead(ends, most - 1).over(w), F.last(ends).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    v = v.withColumns({"relief": F.max("ele").over(frame) - F.min("ele").over(frame), "end": end})
+    v = v.withColumns({n: F.col("end")[n] - F.col(f"run_{n}") + F.col(c) for n, c in of.items()})
+    v = v.withColumns({n: F.col(n) / F.col("width") for n in ("built", "mean_dens") if n in of}).drop("end", *(f"run_{n}" for n in of))
     climb, rolling = terrain_parts(F.col("relief"), F.col("turns"), F.col("width") * SLICE_KM)
-    v = v.withColumns({"rolling": rolling > climb, "terrain": 1 + mix.terrain * 0.5 * F.greatest(climb, rolling), "scene": 1 + mix.scenery * 0.5 * F.col("views") / F.col("width"), "pinned": 1 + mix.hairpins * (hairpin_factor(F.col("pins"), bonus) - 1)})
+    v = v.withColumns(
+        {
+            "rolling": rolling > climb, "terrain": 1 + mix.terrain * 0.5 * F.greatest(climb, rolling),
+            "scene": 1 + mix.scenery * 0.5 * F.col("views") / F.col("width"), "pinned": 1 + mix.hairpins * (hairpin_factor(F.col("pins"), bonus) - 1)
+        }
+    )
     fun = F.round(F.col("bends") * (F.col("terrain") + F.col("scene") + F.col("pinned") - 2), 9)
     return v.withColumn("fun", F.when(F.col("i") + F.col("width") <= F.col("nb"), fun))
 
@@ -77,8 +90,12 @@ def best_bits(slices: DataFrame, roads: DataFrame, taste: float = 0.5, mix: Mix
     """
     most = round(BIT_KM / SLICE_KM)
     numbered = lambda c: F.coalesce(F.col(c).rlike(NUMBERED), F.lit(False))
-    proper = roads.where(F.col("pass_name").isNotNull() | F.when(F.col("has_ref"), numbered("ref")).otherwise(numbered("name") | numbered("road_text"))).where(F.coalesce("narrow", F.lit(0)) < 20).select("road")
-    v = stretches(slice_values(slices.join(proper, "road", "left_semi"), taste), most, taste, mix).where((F.col("nb") >= most) & F.col("fun").isNotNull() & (F.round("built", 9) <= 0.2))
+    proper = roads.where(
+        F.col("pass_name").isNotNull() | F.when(F.col("has_ref"), numbered("ref")).otherwise(numbered("name") | numbered("road_text"))
+    ).where(F.coalesce("narrow", F.lit(0)) < 20).select("road")
+    v = stretches(
+        slice_values(slices.join(proper, "road", "left_semi"), taste), most, taste, mix
+    ).where((F.col("nb") >= most) & F.col("fun").isNotNull() & (F.round("built", 9) <= 0.2))
     best = v.groupBy("road").agg(F.max(F.struct("fun", (-F.col("i")).alias("back"))).alias("b"))
     value = 100 * (F.col("b.fun") / BIT_KM) * WINDOW_KM / (SCORE_REF * taste_scale(taste, mix))
     start = -F.col("b.back") * 200
@@ -93,7 +110,9 @@ def hot_spots(slices: DataFrame, taste: float = 0.5) -> DataFrame:
     runs = d.where("on").withColumn("run", F.col("i") - F.row_number().over(w)).groupBy("road", "run").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b")).where("b - a >= 2")
     o = Window.partitionBy("road").orderBy("a")
     new = F.when(F.col("a") - F.lag("b").over(o) <= 1, 0).otherwise(1)
-    return runs.withColumn("new", new).withColumn("spot", F.sum("new").over(o)).groupBy("road", "spot").agg((F.min("a") * 200).alias("from_m"), (F.max("b") * 200).alias("to_m")).drop("spot")
+    return runs.withColumn("new", new).withColumn("spot", F.sum("new").over(o)).groupBy("road", "spot").agg(
+        (F.min("a") * 200).alias("from_m"), (F.max("b") * 200).alias("to_m")
+    ).drop("spot")
 
 
 def top_roads(scores: DataFrame, most: int, by: str = "score", order: str = "road") -> DataFrame:
@@ -123,7 +142,7 @@ def class_stretches(slices: DataFrame) -> DataFrame:
     v = v.withColumns({"relief": F.max("ele").over(frame) - F.min("ele").over(frame), **{f"run_{n}": F.sum(F.col(c).cast("double")).over(so_far) for n, c in of.items()}})
     # the last row's sums stand for ends beyond it, so one lead is enough
     ends = F.struct(*(F.col(f"run_{n}").alias(n) for n in of))
-    v = v.withColumn("end", F.coalesce(F.lead(ends, most - 1).over(w), F.last(ends).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    v = v.withColumn("end", F.coalesce(F.lead(ends, most - 1).over(w), F.last(ends).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     v = v.withColumns({n: F.col("end")[n] - F.col(f"run_{n}") + F.col(c) for n, c in of.items()})
     climb, rolling = terrain_parts(F.col("relief"), F.col("turns"), F.col("width") * SLICE_KM)
     fits = F.col("i") + F.col("width") <= F.col("nb")
@@ -175,7 +194,9 @@ def agreement(scores: DataFrame, ratings: DataFrame) -> DataFrame:
     no, yes = F.when(F.col("rating") < 0, 1).otherwise(0), F.when(F.col("rating") > 0, 1).otherwise(0)
     level = e.groupBy("ord", "linear").agg(F.sum(no).alias("no"), F.sum(yes).alias("yes"))
     below = Window.partitionBy("ord").orderBy("linear").rowsBetween(Window.unboundedPreceding, -1)
-    return level.withColumn("below", F.coalesce(F.sum("no").over(below), F.lit(0))).groupBy("ord").agg(F.sum(F.col("yes") * F.col("below")).alias("agree"), F.sum("yes").alias("yays"), F.sum("no").alias("nays"))
+    return level.withColumn("below", F.coalesce(F.sum("no").over(below), F.lit(0))).groupBy("ord").agg(
+        F.sum(F.col("yes") * F.col("below")).alias("agree"), F.sum("yes").alias("yays"), F.sum("no").alias("nays")
+    )
 
 
 def learn_taste(slices: DataFrame, ratings: DataFrame) -> DataFrame:

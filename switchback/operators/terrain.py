@@ -40,6 +40,8 @@ def elevation(points: DataFrame, terrain: DataFrame) -> DataFrame:
     needed = four.groupBy("x", "y").agg(F.collect_set("cell").alias("cells"))
     tiles = needed.join(terrain.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "metres"), ["x", "y"], "left")
     metres = F.coalesce("metres", F.raise_error(F.concat_ws("/", F.lit("no terrain tile"), "x", "y")).cast("array<float>"))
-    cells = tiles.withColumn("metres", metres).select("x", "y", F.explode(F.transform("cells", lambda c: F.struct(c.alias("cell"), F.get("metres", c).alias("z")))).alias("c")).select("x", "y", "c.*")
+    cells = tiles.withColumn("metres", metres).select(
+        "x", "y", F.explode(F.transform("cells", lambda c: F.struct(c.alias("cell"), F.get("metres", c).alias("z")))).alias("c")
+    ).select("x", "y", "c.*")
     met = four.join(cells, ["x", "y", "cell"]).withColumn("part", F.col("z").cast("double") * F.col("weight"))
     return met.groupBy(*keys, "lon", "lat").agg(F.sum("part").alias("ele"))

@@ -34,12 +34,18 @@ def tile_elements(elements: DataFrame, tiles: DataFrame, pad: float = PAD_DEG) -
     row = lambda i: F.split_part("tile", F.lit("_"), F.lit(i)).cast("int")
     around = tile_boxes(tiles, pad).withColumn("dy", F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1)))))
     order = ((F.col("dy") + 1) * 3 + F.col("dx") + 1).cast("long")
-    from_ = around.select(F.col("tile").alias("area"), "box", order.alias("rank"), F.concat_ws("_", (row(1) + F.col("dy")).cast("string"), (row(2) + F.col("dx")).cast("string")).alias("tile"))
+    from_ = around.select(
+        F.col("tile").alias("area"), "box", order.alias("rank"),
+        F.concat_ws("_", (row(1) + F.col("dy")).cast("string"), (row(2) + F.col("dx")).cast("string")).alias("tile")
+    )
     found = elements.join(tiles.select("tile"), "tile", "left_semi").join(from_, "tile").where(meets(F.struct("type", "geometry", "lat", "lon"), F.col("box")))
     body = F.struct(*(c for c in elements.columns if c not in ("tile", "ord", "type", "id", "tags")))
     keyed = found.select("area", "type", "id", (F.col("rank") * (1 << 40) + F.col("ord")).alias("ord"), body.alias("body"), F.map_entries("tags").alias("tags"))
     one = sets.latest(keyed, ["area", "type", "id"])
-    return one.select("area", (F.dense_rank().over(Window.partitionBy("area").orderBy("ord")) - 1).cast("long").alias("ord"), "type", "id", "body.*", F.map_from_entries("tags").alias("tags"))
+    return one.select(
+        "area", (F.dense_rank().over(Window.partitionBy("area").orderBy("ord")) - 1).cast("long").alias("ord"), "type", "id", "body.*",
+        F.map_from_entries("tags").alias("tags")
+    )
 
 
 def cells_of(boxes: DataFrame, degrees: float = 0.5) -> DataFrame:
@@ -48,7 +54,10 @@ def cells_of(boxes: DataFrame, degrees: float = 0.5) -> DataFrame:
     b = boxes.withColumns({"rows": count("s", "n"), "cols": count("w", "e")})
     b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)))
     at = lambda lo, hi, k, of: F.col(f"box.{lo}") + (F.col(f"box.{hi}") - F.col(f"box.{lo}")) * k / F.col(of)
-    box = F.struct(at("s", "n", F.col("i"), "rows").alias("s"), at("w", "e", F.col("j"), "cols").alias("w"), at("s", "n", F.col("i") + 1, "rows").alias("n"), at("w", "e", F.col("j") + 1, "cols").alias("e"))
+    box = F.struct(
+        at("s", "n", F.col("i"), "rows").alias("s"), at("w", "e", F.col("j"), "cols").alias("w"), at("s", "n", F.col("i") + 1, "rows").alias("n"),
+        at("w", "e", F.col("j") + 1, "cols").alias("e")
+    )
     return b.select(*boxes.columns, "i", "j", box.alias("cell_box"))
 
 
@@ -96,7 +105,10 @@ def bit_entries(roads: DataFrame, bits: DataFrame) -> DataFrame:
     """What a list of best bits shows of roads (area, pos, id, name, road_text, from, to, len, hairpins, ele_max, pass, coords, score) with a bit (area, id, bit_score, from_m, to_m)."""
     of = lambda f, c: F.round(f(F.transform("coords", lambda p: p[c])), 4)
     box = F.struct(of(F.array_min, "lon").alias("w"), of(F.array_min, "lat").alias("s"), of(F.array_max, "lon").alias("e"), of(F.array_max, "lat").alias("n"))
-    return roads.join(bits, ["area", "id"]).select("id", F.col("area").alias("tile"), "pos", "name", "road_text", "from", "to", "len", "hairpins", "ele_max", F.col("pass.name").alias("pass_name"), box.alias("bb"), "score", "bit_score", "from_m", "to_m")
+    return roads.join(bits, ["area", "id"]).select(
+        "id", F.col("area").alias("tile"), "pos", "name", "road_text", "from", "to", "len", "hairpins", "ele_max",
+        F.col("pass.name").alias("pass_name"), box.alias("bb"), "score", "bit_score", "from_m", "to_m"
+    )
 
 
 def top_bits(entries: DataFrame, most: int = BITS_KEPT) -> DataFrame:
@@ -108,7 +120,10 @@ def rebuilt_bits(roads: DataFrame, taste: float = 0.5, most: int = BITS_KEPT) ->
     """The list of best bits of roads as tiles hold them (area, pos, id, name, road_text, ref, pass, warn, coords, slices, ...), scored anew."""
     keyed = roads.withColumn("road", F.concat_ws("/", "area", "id"))
     facts = keyed.select("road", F.col("pass.name").alias("pass_name"), F.lit(True).alias("has_ref"), "ref", "name", "road_text", F.col("warn.narrow").alias("narrow"))
-    bits = stretches.best_bits(build.road_slices(keyed), facts, taste).select(F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), F.split_part("road", F.lit("/"), F.lit(2)).alias("id"), "bit_score", "from_m", "to_m")
+    bits = stretches.best_bits(build.road_slices(keyed), facts, taste).select(
+        F.split_part("road", F.lit("/"), F.lit(1)).alias("area"), F.split_part("road", F.lit("/"), F.lit(2)).alias("id"), "bit_score", "from_m",
+        "to_m"
+    )
     return top_bits(bit_entries(roads, bits), most)
 
 

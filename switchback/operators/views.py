@@ -33,7 +33,10 @@ def interpolate(lines: DataFrame, places: DataFrame, values: list[str]) -> DataF
 def directed(roads: DataFrame, reversed_: Column) -> DataFrame:
     """roads (coords, from, to, climb, descent) as seen in a direction: reversed swaps towns, climb and descent, and turns coords round."""
     turn = lambda a, b: F.when(reversed_, F.col(b)).otherwise(F.col(a)).alias(a)
-    new = {"from": turn("from", "to"), "to": turn("to", "from"), "climb": turn("climb", "descent"), "descent": turn("descent", "climb"), "coords": F.when(reversed_, F.reverse("coords")).otherwise(F.col("coords")).alias("coords")}
+    new = {
+        "from": turn("from", "to"), "to": turn("to", "from"), "climb": turn("climb", "descent"), "descent": turn("descent", "climb"),
+        "coords": F.when(reversed_, F.reverse("coords")).otherwise(F.col("coords")).alias("coords")
+    }
     return roads.select(*(new.get(c, F.col(c)) for c in roads.columns))
 
 
@@ -45,12 +48,20 @@ def smooth_path(coords: DataFrame, spacing: float = 2.0) -> DataFrame:
     w = Window.partitionBy("road").orderBy("j")
     c = coords.withColumn("kx", LON_M * F.cos(F.radians(F.first("lat").over(w))))
     c = c.select("road", "j", "ele", "lon", "lat", "kx", (F.col("lon") * F.col("kx")).alias("x1"), (F.col("lat") * LAT_M).alias("y1"))
-    c = c.withColumns({f"{a}{n}": (F.lag if k < 0 else F.lead)(f"{a}1", abs(k)).over(w) for a in "xy" for n, k in (("0", -1), ("2", 1), ("3", 2))} | {"ele2": F.lead("ele").over(w)})
+    c = c.withColumns(
+        {f"{a}{n}": (F.lag if k < 0 else F.lead)(f"{a}1", abs(k)).over(w) for a in "xy" for n, k in (("0", -1), ("2", 1), ("3", 2))} | {"ele2": F.lead("ele").over(w)}
+    )
     last = c.where("x2 IS NULL").select("road", F.col("j"), F.lit(0).alias("s"), "lon", "lat", F.col("ele").cast("double").alias("ele"))
-    c = c.where("x2 IS NOT NULL").withColumns({f"{a}0": F.coalesce(f"{a}0", 2 * F.col(f"{a}1") - F.col(f"{a}2")) for a in "xy"} | {f"{a}3": F.coalesce(f"{a}3", 2 * F.col(f"{a}2") - F.col(f"{a}1")) for a in "xy"})
+    c = c.where("x2 IS NOT NULL").withColumns(
+        {f"{a}0": F.coalesce(f"{a}0", 2 * F.col(f"{a}1") - F.col(f"{a}2")) for a in "xy"} | {f"{a}3": F.coalesce(f"{a}3", 2 * F.col(f"{a}2") - F.col(f"{a}1")) for a in "xy"}
+    )
     gap = lambda m, n: F.greatest(F.hypot(F.col(f"x{n}") - F.col(f"x{m}"), F.col(f"y{n}") - F.col(f"y{m}")), F.lit(1e-6))
-    c = c.withColumns({"t1": F.sqrt(gap(0, 1)), "steps": F.greatest(F.lit(1), F.ceil(gap(1, 2) / spacing)).cast("int")}).withColumn("t2", F.col("t1") + F.sqrt(gap(1, 2))).withColumn("t3", F.col("t2") + F.sqrt(gap(2, 3)))
-    c = c.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).withColumn("u", F.col("s") / F.col("steps")).withColumn("t", F.col("t1") + (F.col("t2") - F.col("t1")) * F.col("u"))
+    c = c.withColumns(
+        {"t1": F.sqrt(gap(0, 1)), "steps": F.greatest(F.lit(1), F.ceil(gap(1, 2) / spacing)).cast("int")}
+    ).withColumn("t2", F.col("t1") + F.sqrt(gap(1, 2))).withColumn("t3", F.col("t2") + F.sqrt(gap(2, 3)))
+    c = c.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).withColumn("u", F.col("s") / F.col("steps")).withColumn(
+        "t", F.col("t1") + (F.col("t2") - F.col("t1")) * F.col("u")
+    )
     zero = F.lit(0.0)
 
     def between(a: Column, b: Column, lo: Column, hi: Column) -> Column:
@@ -61,7 +72,10 @@ def smooth_path(coords: DataFrame, spacing: float = 2.0) -> DataFrame:
         first, middle, third = between(p[0], p[1], zero, t1), between(p[1], p[2], t1, t2), between(p[2], p[3], t2, t3)
         return between(between(first, middle, zero, t2), between(middle, third, t1, t3), t1, t2)
 
-    line = c.select("road", "j", "s", (curve("x") / F.col("kx")).alias("lon"), (curve("y") / LAT_M).alias("lat"), (F.col("ele") + (F.col("ele2") - F.col("ele")) * F.col("u")).alias("ele"))
+    line = c.select(
+        "road", "j", "s", (curve("x") / F.col("kx")).alias("lon"), (curve("y") / LAT_M).alias("lat"),
+        (F.col("ele") + (F.col("ele2") - F.col("ele")) * F.col("u")).alias("ele")
+    )
     return line.unionByName(last).withColumn("k", F.row_number().over(Window.partitionBy("road").orderBy("j", "s")) - 1).drop("j", "s")
 
 
@@ -78,7 +92,9 @@ def grades(line: DataFrame, places: DataFrame, reach: float = 150.0) -> DataFram
     total = line.groupBy("road").agg(F.max("x").alias("total"))
     p = places.join(total, "road").withColumn("e", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumnRenamed("x", "d")
     p = p.withColumn("x", F.greatest(F.lit(0.0), F.least("total", F.col("d") + F.col("e") * reach)))
-    got = interpolate(line, p, ["ele"]).groupBy("road", "d").agg(*(F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{n}") for e, n in ((-1, "0"), (1, "1")) for c in ("x", "ele")))
+    got = interpolate(line, p, ["ele"]).groupBy("road", "d").agg(
+        *(F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{n}") for e, n in ((-1, "0"), (1, "1")) for c in ("x", "ele"))
+    )
     return got.select("road", F.col("d").alias("x"), F.coalesce(F.try_divide(F.col("ele1") - F.col("ele0"), F.col("x1") - F.col("x0")), F.lit(0.0)).alias("grade"))
 
 
@@ -87,9 +103,16 @@ def profile_bands(line: DataFrame) -> DataFrame:
     total = line.groupBy("road").agg(F.max("x").alias("total"))
     size = F.greatest(F.lit(200.0), F.least(F.lit(1000.0), F.col("total") / 60))
     b = total.withColumn("n", F.greatest(F.lit(2), js_round(F.col("total") / size)).cast("int")).withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    b = b.select("road", "band", (F.col("total") * F.col("band") / F.col("n")).alias("from_m"), (F.col("total") * (F.col("band") + 1) / F.col("n")).alias("to_m"), "total", (F.col("total") / F.col("n")).alias("w"))
-    ends = b.withColumn("e", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("x", F.when(F.col("e") == 0, F.greatest(F.lit(0.0), F.col("from_m") - F.col("w"))).otherwise(F.least("total", F.col("to_m") + F.col("w"))))
-    got = interpolate(line, ends, ["ele"]).groupBy("road", "band", "from_m", "to_m").agg(*(F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("x", "ele")))
+    b = b.select(
+        "road", "band", (F.col("total") * F.col("band") / F.col("n")).alias("from_m"),
+        (F.col("total") * (F.col("band") + 1) / F.col("n")).alias("to_m"), "total", (F.col("total") / F.col("n")).alias("w")
+    )
+    ends = b.withColumn("e", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "x", F.when(F.col("e") == 0, F.greatest(F.lit(0.0), F.col("from_m") - F.col("w"))).otherwise(F.least("total", F.col("to_m") + F.col("w")))
+    )
+    got = interpolate(line, ends, ["ele"]).groupBy("road", "band", "from_m", "to_m").agg(
+        *(F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("x", "ele"))
+    )
     grade = F.coalesce(F.try_divide(F.col("ele1") - F.col("ele0"), F.col("x1") - F.col("x0")), F.lit(0.0))
     return got.select("road", "band", "from_m", "to_m", grade.alias("grade"), grade_colour(grade).alias("colour"))
 

@@ -23,7 +23,11 @@ EARTH = "6371008.8::DOUBLE"
 def _nodes(df: DataFrame, tags: dict) -> DataFrame:
     """Elements of nodes (ord, id, lat, lon) with tags from columns; null values are left out."""
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(v) if isinstance(v, str) else v).alias("v")) for k, v in tags.items()))
-    return df.select(F.lit("a").alias("area"), "ord", F.lit("node").alias("type"), "id", F.lit(None).cast("array<long>").alias("nodes"), F.lit(None).cast("array<struct<lat: double, lon: double>>").alias("geometry"), "lat", "lon", F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull())).alias("tags"))
+    return df.select(
+        F.lit("a").alias("area"), "ord", F.lit("node").alias("type"), "id", F.lit(None).cast("array<long>").alias("nodes"),
+        F.lit(None).cast("array<struct<lat: double, lon: double>>").alias("geometry"), "lat", "lon",
+        F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull())).alias("tags")
+    )
 
 
 # ---------------------------------------------------------------- the build
@@ -38,7 +42,10 @@ FROM p WHERE p_size % 4 <> 0 AND p_partkey * 7 % 20011 IN (SELECT node FROM n)""
 )
 def road_passes(spark, sf_dir):
     """Named passes on the nodes of ways, and the numbers in their tags."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS ord", "p_partkey * 7 % 20011 AS id", "46.0D AS lat", "7.0D AS lon", "CASE WHEN p_size % 4 != 0 THEN p_name END AS name", f"{PASS_TEXT} AS ele")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey AS ord", "p_partkey * 7 % 20011 AS id", "46.0D AS lat", "7.0D AS lon", "CASE WHEN p_size % 4 != 0 THEN p_name END AS name",
+        f"{PASS_TEXT} AS ele"
+    )
     ways = view(spark, sf_dir, WAYS).select(F.transform(F.array("n0", "n1"), lambda n: F.concat_ws("/", F.lit("a"), n.cast("string"))).alias("nodes"))
     got = build.road_passes(_nodes(p, {"mountain_pass": "yes", "name": F.col("name"), "ele": F.col("ele")}), ways)
     return got.select("pass_id", "name", build.pass_metres(F.col("ele")).alias("metres"), build.whole_metres(F.col("ele")).alias("whole"))
@@ -83,7 +90,10 @@ def terrain_at_points(spark, sf_dir):
     """Elevation between the four cells around each point, of tiles made by a rule."""
     p = view(spark, sf_dir, POINTS).select("point_id", "lon", "lat")
     edge = lambda c: F.shiftright(F.floor(c), 8)
-    at = p.agg(F.min(edge(geo.pixel_x(F.col("lon")))).alias("x0"), F.max(edge(geo.pixel_x(F.col("lon"))) + 1).alias("x1"), F.min(edge(geo.pixel_y(F.col("lat")))).alias("y0"), F.max(edge(geo.pixel_y(F.col("lat"))) + 1).alias("y1"))
+    at = p.agg(
+        F.min(edge(geo.pixel_x(F.col("lon")))).alias("x0"), F.max(edge(geo.pixel_x(F.col("lon"))) + 1).alias("x1"),
+        F.min(edge(geo.pixel_y(F.col("lat")))).alias("y0"), F.max(edge(geo.pixel_y(F.col("lat"))) + 1).alias("y1")
+    )
     tile = at.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("x", F.explode(F.sequence("y0", "y1")).alias("y"))
     cells = F.expr("transform(sequence(0, 65535), c -> cast(((x * 256 + c % 256) * 7 + (y * 256 + c div 256) * 13) % 1000 AS float))")
     return rounded(elevation(p, tile.withColumn("metres", cells)).select("point_id", "ele"), 3)
@@ -110,7 +120,9 @@ SELECT road, round(least(9, open / 0.5 * 9), 6)::DOUBLE AS v, round(greatest(0,
 )
 def slice_views(spark, sf_dir):
     """How open the ground falls away around a slice's centre, and how deep beside it."""
-    a = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS road", "0L AS k", "CASE WHEN event_id % 5 = 0 THEN 'side' ELSE 'ring' END AS what", "value * 10 AS ele")
+    a = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "user_id AS road", "0L AS k", "CASE WHEN event_id % 5 = 0 THEN 'side' ELSE 'ring' END AS what", "value * 10 AS ele"
+    )
     one = a.select("road", "k").distinct()
     return rounded(build.views(one.withColumn("i", F.lit(0)), one.withColumn("ele", F.lit(900.0)), a).select("road", "v", "p"))
 
@@ -124,7 +136,9 @@ SELECT road, name, m::DOUBLE AS metres FROM s WHERE name IS NOT NULL QUALIFY row
 )
 def weighted_names(spark, sf_dir):
     """The name with most metres of each road, the one seen first on ties."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey AS road", f"{NAME_SQL} AS name", "l_orderkey * 10 + l_linenumber AS j", "cast(floor(l_quantity / 25) AS double) AS metres")
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_suppkey AS road", f"{NAME_SQL} AS name", "l_orderkey * 10 + l_linenumber AS j", "cast(floor(l_quantity / 25) AS double) AS metres"
+    )
     return build.weighted_mode(l, "name")
 
 
@@ -134,20 +148,27 @@ bool_or(l_orderkey % 997 = 0) AS toll, arg_min('c' || l_partkey, l_orderkey * 10
 )
 def road_warnings(spark, sf_dir):
     """Narrow and tunnel shares, tolls and the first closure along each road."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey AS road", "l_orderkey * 10 + l_linenumber AS j", "l_quantity AS metres", "20000D AS length", "l_partkey % 5 = 0 AS narrow", "l_partkey % 7 = 0 AS tunnel", "l_orderkey % 997 = 0 AS toll", "CASE WHEN l_partkey % 11 = 0 THEN concat('c', l_partkey) END AS closed")
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_suppkey AS road", "l_orderkey * 10 + l_linenumber AS j", "l_quantity AS metres", "20000D AS length", "l_partkey % 5 = 0 AS narrow",
+        "l_partkey % 7 = 0 AS tunnel", "l_orderkey % 997 = 0 AS toll", "CASE WHEN l_partkey % 11 = 0 THEN concat('c', l_partkey) END AS closed"
+    )
     return rounded(build.warnings(l))
 
 
 def _lines(spark, sf_dir) -> DataFrame:
     """(road, points): each point with those of the next hundred ids of its label, in order; coordinates to five places."""
     p = view(spark, sf_dir, POINTS).select("point_id", "label", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), (F.col("point_id") % 997 * 3.0).alias("ele"))
-    return p.groupBy(F.concat_ws("-", "label", F.floor(F.col("point_id") / 100)).alias("road")).agg(F.array_sort(F.collect_list(F.struct("point_id", "lon", "lat", "ele"))).alias("l")).select("road", F.transform("l", lambda e: e.dropFields("point_id")).alias("coords"))
+    return p.groupBy(F.concat_ws("-", "label", F.floor(F.col("point_id") / 100)).alias("road")).agg(
+        F.array_sort(F.collect_list(F.struct("point_id", "lon", "lat", "ele"))).alias("l")
+    ).select("road", F.transform("l", lambda e: e.dropFields("point_id")).alias("coords"))
 
 
 LINES_SQL = f"lp AS (SELECT label || '-' || (point_id // 100) AS road, point_id, round(lon, 5) AS lon, round(lat, 5) AS lat, (point_id % 997 * 3)::DOUBLE AS ele, row_number() OVER (PARTITION BY label, point_id // 100 ORDER BY point_id) - 1 AS j, count(*) OVER (PARTITION BY label, point_id // 100) AS n FROM ({POINTS}))"
 
 
-@query(f"WITH {LINES_SQL} SELECT road, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n, round((1.5 + 2.25 + 0.5 + 0.25) / (max(n) / 10), 6)::DOUBLE AS in_bends, arg_max(point_id, (ele, -j)) % 997 * 3.0::DOUBLE AS top FROM lp GROUP BY road")
+@query(
+    f"WITH {LINES_SQL} SELECT road, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n, round((1.5 + 2.25 + 0.5 + 0.25) / (max(n) / 10), 6)::DOUBLE AS in_bends, arg_max(point_id, (ele, -j)) % 997 * 3.0::DOUBLE AS top FROM lp GROUP BY road"
+)
 def road_boxes(spark, sf_dir):
     """The box, the share of bends and the highest vertex of each line."""
     r = _lines(spark, sf_dir).withColumns({"bends": F.array(*map(F.lit, (1.5, 2.25, 0.5, 0.25))), "len": F.size("coords") * 100})
@@ -162,7 +183,12 @@ def uphill_first(spark, sf_dir):
     """Lines that fall more than they climb, turned round with their towns and slices."""
     at = lambda i: F.element_at("coords", i).ele
     r = _lines(spark, sf_dir).withColumns({"climb": at(-1), "descent": at(1), "town0": F.lit("A"), "town1": F.lit("B"), "slices": F.sequence(F.lit(0), F.size("coords") - 1)})
-    return rounded(build.uphill(r).select("road", "turned", "climb", "descent", F.get("coords", F.lit(0)).lon.alias("lon"), F.col("town0").alias("town"), F.get("slices", F.lit(0)).alias("slice")))
+    return rounded(
+        build.uphill(r).select(
+            "road", "turned", "climb", "descent", F.get("coords", F.lit(0)).lon.alias("lon"), F.col("town0").alias("town"),
+            F.get("slices", F.lit(0)).alias("slice")
+        )
+    )
 
 
 AT_SQL = "{a} AS (SELECT o_orderkey AS way, o_custkey AS road, o_orderkey % 2 = 1 AS reversed, 7 + o_orderkey * 37 % 1000 / 1000.0::DOUBLE AS lon, 46 + o_orderkey * 91 % 1000 / 1000.0::DOUBLE AS lat FROM orders)"
@@ -210,7 +236,9 @@ SELECT q.way AS id, coalesce((SELECT arg_min(v.way, v.d) FROM v WHERE v.road = q
 )
 def way_owners(spark, sf_dir):
     """The vertex that owns each of some places along a road, by distance."""
-    v = spark.sql(EVENT_LINE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("road", "way", "cast(10 * k + way % 7 AS double) AS d")
+    v = spark.sql(
+        EVENT_LINE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")
+    ).selectExpr("road", "way", "cast(10 * k + way % 7 AS double) AS d")
     return build.owners(v, v.select("road", (F.col("d") + 4).alias("d"), F.col("way").alias("id"))).select("id", "way")
 
 
@@ -243,7 +271,11 @@ def built_roads(spark, sf_dir):
     points = line.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", lat.alias("lat"), lon.alias("lon")))).alias("l"))
     tags = F.create_map(F.lit("name"), F.concat(F.lit("Road "), "id"), F.lit("ref"), F.concat(F.lit("D "), F.col("id") % 7))
     none = F.lit(None).cast("double")
-    elements = points.select(F.lit("a").alias("area"), F.col("id").alias("ord"), F.lit("way").alias("type"), "id", F.transform("l", lambda e: F.col("id") * 100_000 + e.i).alias("nodes"), F.transform("l", lambda e: e.dropFields("i")).alias("geometry"), none.alias("lat"), none.alias("lon"), tags.alias("tags"))
+    elements = points.select(
+        F.lit("a").alias("area"), F.col("id").alias("ord"), F.lit("way").alias("type"), "id",
+        F.transform("l", lambda e: F.col("id") * 100_000 + e.i).alias("nodes"), F.transform("l", lambda e: e.dropFields("i")).alias("geometry"),
+        none.alias("lat"), none.alias("lon"), tags.alias("tags")
+    )
     tile = spark.range(2120, 2145).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(1435), F.lit(1465))).alias("y"))
     hills = F.expr("transform(sequence(0, 65535), c -> cast(900 + 300 * sin((x * 256 + c % 256) / 40) + 250 * cos((y * 256 + c div 256) / 55) AS float))")
     found = build.find_roads(elements, tile.withColumn("metres", hills), 200)
@@ -280,8 +312,13 @@ SELECT DISTINCT road FROM r JOIN t ON t.w <= r.e + px AND t.e >= r.w - px AND t.
 def ride_boxes(spark, sf_dir):
     """Roads whose padded box meets that of a ride."""
     p = view(spark, sf_dir, POINTS)
-    roads = p.select(F.col("point_id").alias("road"), F.struct(F.col("lon").alias("w"), F.col("lat").alias("s"), (F.col("lon") + 0.01).alias("e"), (F.col("lat") + 0.01).alias("n")).alias("bb"))
-    return spatial.near_ride_boxes(roads, p.where("label < 4").select(F.floor(F.col("point_id") / 2).alias("ride"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))).select("road")
+    roads = p.select(
+        F.col("point_id").alias("road"),
+        F.struct(F.col("lon").alias("w"), F.col("lat").alias("s"), (F.col("lon") + 0.01).alias("e"), (F.col("lat") + 0.01).alias("n")).alias("bb")
+    )
+    return spatial.near_ride_boxes(
+        roads, p.where("label < 4").select(F.floor(F.col("point_id") / 2).alias("ride"), F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    ).select("road")
 
 
 # ---------------------------------------------------------------- tiles
@@ -302,7 +339,11 @@ def tile_elements(spark, sf_dir):
     p = view(spark, sf_dir, POINTS)
     line = F.array(F.struct("lat", "lon"), F.struct((F.col("lat") + 0.1).alias("lat"), "lon"))
     way = F.col("point_id") % 3 == 0
-    e = p.select(sets.tile_key(F.col("lon"), F.col("lat")).alias("tile"), F.col("point_id").alias("ord"), F.when(way, "way").otherwise("node").alias("type"), (F.col("point_id") % 300).alias("id"), F.when(way, line).alias("geometry"), F.when(~way, F.col("lat")).alias("lat"), F.when(~way, F.col("lon")).alias("lon"), F.create_map(F.lit("taken"), F.col("point_id").cast("string")).alias("tags"))
+    e = p.select(
+        sets.tile_key(F.col("lon"), F.col("lat")).alias("tile"), F.col("point_id").alias("ord"), F.when(way, "way").otherwise("node").alias("type"),
+        (F.col("point_id") % 300).alias("id"), F.when(way, line).alias("geometry"), F.when(~way, F.col("lat")).alias("lat"),
+        F.when(~way, F.col("lon")).alias("lon"), F.create_map(F.lit("taken"), F.col("point_id").cast("string")).alias("tags")
+    )
     got = tiles.tile_elements(e, e.select("tile").distinct())
     return got.select("area", "type", "id", F.col("tags")["taken"].cast("long").alias("taken"), "ord")
 
@@ -324,10 +365,14 @@ SELECT bi, bj, i0 * 0.25::DOUBLE AS south, (j1 + 1) * 0.25::DOUBLE AS east, (i1
 def scan_pieces(spark, sf_dir):
     """The squares that points lie in, grouped into pieces to fetch."""
     p = view(spark, sf_dir, POINTS).select(geo.cell(F.col("lat"), 0.25).alias("i"), geo.cell(F.col("lon"), 0.25).alias("j")).distinct()
-    return rounded(tiles.pieces(p).select("bi", "bj", F.col("box.s").alias("south"), F.col("box.e").alias("east"), F.size("keys").alias("squares"), F.get("keys", F.lit(0)).alias("first_key")))
+    return rounded(
+        tiles.pieces(p).select("bi", "bj", F.col("box.s").alias("south"), F.col("box.e").alias("east"), F.size("keys").alias("squares"), F.get("keys", F.lit(0)).alias("first_key"))
+    )
 
 
-@query(f"WITH a AS ({AREAS}) SELECT area_ord::BIGINT AS area_ord, i, j FROM a, range(170, 200) y(i), range(20, 40) x(j) WHERE i BETWEEN floor(s / 0.25::DOUBLE) AND floor(n / 0.25::DOUBLE) AND j BETWEEN floor(w / 0.25::DOUBLE) AND floor(e / 0.25::DOUBLE)")
+@query(
+    f"WITH a AS ({AREAS}) SELECT area_ord::BIGINT AS area_ord, i, j FROM a, range(170, 200) y(i), range(20, 40) x(j) WHERE i BETWEEN floor(s / 0.25::DOUBLE) AND floor(n / 0.25::DOUBLE) AND j BETWEEN floor(w / 0.25::DOUBLE) AND floor(e / 0.25::DOUBLE)"
+)
 def wanted_squares(spark, sf_dir):
     a = view(spark, sf_dir, AREAS).select("area_ord", F.struct("s", "w", "n", "e").alias("box"))
     return rounded(tiles.wanted_squares(a).select("area_ord", "i", "j"))
@@ -336,7 +381,10 @@ def wanted_squares(spark, sf_dir):
 @query(f"WITH {LINES_SQL} SELECT DISTINCT road, floor(lat / 0.25::DOUBLE)::BIGINT || '_' || floor(lon / 0.25::DOUBLE)::BIGINT AS square FROM lp")
 def filed_elements(spark, sf_dir):
     """Lines under every square that they touch, and lines to flat numbers and back."""
-    e = _lines(spark, sf_dir).select("road", F.lit("way").alias("type"), F.transform("coords", lambda c: F.struct(c.lat.alias("lat"), c.lon.alias("lon"))).alias("geometry"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    e = _lines(spark, sf_dir).select(
+        "road", F.lit("way").alias("type"), F.transform("coords", lambda c: F.struct(c.lat.alias("lat"), c.lon.alias("lon"))).alias("geometry"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon")
+    )
     e = e.withColumn("geometry", texts.line_of(texts.flat_line(F.col("geometry"))))
     return tiles.filed(e).select("road", "square")
 
@@ -357,7 +405,9 @@ def tile_output(spark, sf_dir):
     return rounded(tiles.tile_output(_tile_roads(spark, sf_dir), most=60).select("area", "road", "pos"))
 
 
-@query(f"WITH {TILED_SQL} SELECT road AS id, area AS tile, round(w, 4) AS w, round(north, 4) AS n, pass_name, score, first_id * 7 % 101 AS bit_score FROM own, (SELECT 'P' AS pass_name) WHERE pos <= 60 ORDER BY bit_score DESC, score DESC, area, pos LIMIT 25")
+@query(
+    f"WITH {TILED_SQL} SELECT road AS id, area AS tile, round(w, 4) AS w, round(north, 4) AS n, pass_name, score, first_id * 7 % 101 AS bit_score FROM own, (SELECT 'P' AS pass_name) WHERE pos <= 60 ORDER BY bit_score DESC, score DESC, area, pos LIMIT 25"
+)
 def tile_bits(spark, sf_dir):
     """The best bits of all tiles."""
     r = tiles.tile_output(_tile_roads(spark, sf_dir), most=60)
@@ -405,9 +455,17 @@ def _point_elements(spark, sf_dir):
     p = view(spark, sf_dir, POINTS)
     way = F.col("point_id") % 2 == 1
     line = F.array(F.struct("lat", "lon"), F.struct((F.col("lat") + 0.1).alias("lat"), "lon"))
-    tags = {"highway": F.when(way, F.get(F.array(*map(F.lit, ("primary", "track", "trunk", "unclassified"))), (F.col("point_id") % 7).cast("int"))), "place": F.when(F.col("point_id") % 5 == 0, "city").when(F.col("point_id") % 5 == 1, "hamlet"), "tourism": F.when(F.col("point_id") % 11 == 0, "viewpoint")}
+    tags = {
+        "highway": F.when(way, F.get(F.array(*map(F.lit, ("primary", "track", "trunk", "unclassified"))), (F.col("point_id") % 7).cast("int"))),
+        "place": F.when(F.col("point_id") % 5 == 0, "city").when(F.col("point_id") % 5 == 1, "hamlet"),
+        "tourism": F.when(F.col("point_id") % 11 == 0, "viewpoint")
+    }
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in tags.items()))
-    return p.select(F.col("point_id").alias("id"), F.when(way, "way").otherwise("node").alias("type"), F.when(way, line).alias("geometry"), F.when(~way, F.col("lat")).alias("lat"), F.when(~way, F.col("lon")).alias("lon"), F.map_from_entries(F.filter(pairs, lambda x: x.v.isNotNull())).alias("tags"))
+    return p.select(
+        F.col("point_id").alias("id"), F.when(way, "way").otherwise("node").alias("type"), F.when(way, line).alias("geometry"),
+        F.when(~way, F.col("lat")).alias("lat"), F.when(~way, F.col("lon")).alias("lon"),
+        F.map_from_entries(F.filter(pairs, lambda x: x.v.isNotNull())).alias("tags")
+    )
 
 # ---------------------------------------------------------------- the list
 
@@ -415,8 +473,14 @@ ROADS = """SELECT c_custkey AS ord, 'r' || c_custkey AS id, c_name AS name, CASE
   c_custkey * 37 % 101 AS score, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 53 % 101 END AS bit, c_custkey * 11 % 89 AS scenery, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS in_bends, c_nationkey AS hairpins, c_custkey % 1500 AS climb, c_custkey * 3 % 2800 AS ele_max, c_custkey * 17 % 30000 AS len FROM customer"""
 MARKS = "SELECT 'r' || doc_id AS id, quality = 1 AS fav, toxic = 1 AS ridden, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS rating FROM labels"
 #: Each sort key with a mode and words of its own.
-LISTS = (("score", "all", ""), ("bit", "passes", ""), ("scenery", "fav", "1"), ("in_bends", "ridden", ""), ("hairpins", "unridden", "TOWN"), ("climb", "rated", ""), ("ele_max", "all", " col "), ("len", "all", "auto"))
-MODE_SQL = {"all": "true", "passes": "pass_name IS NOT NULL", "fav": "id IN (SELECT id FROM k WHERE fav)", "ridden": "id IN (SELECT id FROM k WHERE ridden)", "unridden": "id NOT IN (SELECT id FROM k WHERE ridden)", "rated": "id IN (SELECT id FROM k WHERE rating <> 0)"}
+LISTS = (
+    ("score", "all", ""), ("bit", "passes", ""), ("scenery", "fav", "1"), ("in_bends", "ridden", ""), ("hairpins", "unridden", "TOWN"),
+    ("climb", "rated", ""), ("ele_max", "all", " col "), ("len", "all", "auto")
+)
+MODE_SQL = {
+    "all": "true", "passes": "pass_name IS NOT NULL", "fav": "id IN (SELECT id FROM k WHERE fav)", "ridden": "id IN (SELECT id FROM k WHERE ridden)",
+    "unridden": "id NOT IN (SELECT id FROM k WHERE ridden)", "rated": "id IN (SELECT id FROM k WHERE rating <> 0)"
+}
 
 
 def _has(text: str, fields: tuple[str, ...]) -> str:
@@ -432,7 +496,9 @@ def _marks(spark, sf_dir) -> DataFrame:
 
 
 LIST_SQL = " UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{sort}' AS list, id, coalesce({sort}, 0)::DOUBLE AS value FROM r WHERE {MODE_SQL[show]} AND {_has(words, ('name', 'road_text', chr(34) + 'from' + chr(34), chr(34) + 'to' + chr(34), 'pass_name'))} ORDER BY value DESC, ord LIMIT 300)" for sort, show, words in LISTS
+    f"SELECT * FROM (SELECT '{sort}' AS list, id, coalesce({sort}, 0)::DOUBLE AS value FROM r WHERE {MODE_SQL[show]} AND {
+        _has(words, ('name', 'road_text', chr(34) + 'from' + chr(34), chr(34) + 'to' + chr(34), 'pass_name'))
+    } ORDER BY value DESC, ord LIMIT 300)" for sort, show, words in LISTS
 )
 
 
@@ -472,7 +538,10 @@ SELECT id, bit::BIGINT AS bit, stub = 1 AS stub FROM u ORDER BY bit DESC, stub,
 def list_with_stubs(spark, sf_dir):
     """Favourites by their best bit, with stubs of those that are not loaded."""
     loaded = _roads(spark, sf_dir).where("ord % 3 != 1")
-    entries = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 1").selectExpr("concat('r', c_custkey) AS id", "c_custkey AS ord", "c_name AS name", "c_custkey * 29 % 103 AS bit", *(f"cast(NULL AS string) AS `{c}`" for c in ("road_text", "from", "to", "pass_name")))
+    entries = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 1").selectExpr(
+        "concat('r', c_custkey) AS id", "c_custkey AS ord", "c_name AS name", "c_custkey * 29 % 103 AS bit",
+        *(f"cast(NULL AS string) AS `{c}`" for c in ("road_text", "from", "to", "pass_name"))
+    )
     return rounded(listing.road_list(loaded, "bit", "", "fav", _marks(spark, sf_dir), entries).select("id", "bit", "stub"))
 
 
@@ -480,27 +549,55 @@ def list_with_stubs(spark, sf_dir):
 SELECT point_id, z AS zoom, score >= 55 AS glow, s <= 46.1::DOUBLE AND n >= 45.9::DOUBLE AND w <= 7.2::DOUBLE AND e >= 7 AS in_view FROM r, (VALUES (7), (8), (9)) v(z) WHERE score >= CASE z WHEN 7 THEN 45 WHEN 8 THEN 30 ELSE 0 END AND point_id <> 17""")
 def drawn_roads(spark, sf_dir):
     """What a map draws at three zooms, and what of it is in view."""
-    p = view(spark, sf_dir, POINTS).select(F.col("point_id").alias("id"), (F.col("point_id") % 101).alias("score"), F.struct(F.col("lat").alias("s"), F.col("lon").alias("w"), (F.col("lat") + 0.05).alias("n"), (F.col("lon") + 0.05).alias("e")).alias("bb"))
+    p = view(spark, sf_dir, POINTS).select(
+        F.col("point_id").alias("id"), (F.col("point_id") % 101).alias("score"),
+        F.struct(F.col("lat").alias("s"), F.col("lon").alias("w"), (F.col("lat") + 0.05).alias("n"), (F.col("lon") + 0.05).alias("e")).alias("bb")
+    )
     out = None
     for zoom in (7, 8, 9):
-        one = listing.drawn(p, float(zoom), 17).select(F.col("id").alias("point_id"), F.lit(zoom).alias("zoom"), "glow", listing.boxes_meet(F.col("bb"), F.lit(45.9), F.lit(7.0), F.lit(46.1), F.lit(7.2)).alias("in_view"))
+        one = listing.drawn(p, float(zoom), 17).select(
+            F.col("id").alias("point_id"), F.lit(zoom).alias("zoom"), "glow",
+            listing.boxes_meet(F.col("bb"), F.lit(45.9), F.lit(7.0), F.lit(46.1), F.lit(7.2)).alias("in_view")
+        )
         out = one if out is None else out.unionAll(one)
     return rounded(out)
 
 
-@query(f"WITH q AS (SELECT point_id, round(lon, 1) AS lon, round(lat, 1) AS lat FROM ({POINTS})) SELECT min(point_id) AS ord, lon, lat FROM q WHERE lat BETWEEN 45.9::DOUBLE AND 46.1::DOUBLE AND lon BETWEEN 6.9::DOUBLE AND 7.2::DOUBLE GROUP BY lon, lat")
+@query(
+    f"WITH q AS (SELECT point_id, round(lon, 1) AS lon, round(lat, 1) AS lat FROM ({POINTS})) SELECT min(point_id) AS ord, lon, lat FROM q WHERE lat BETWEEN 45.9::DOUBLE AND 46.1::DOUBLE AND lon BETWEEN 6.9::DOUBLE AND 7.2::DOUBLE GROUP BY lon, lat"
+)
 def passes_in_view(spark, sf_dir):
     """The first pass at each place in a box."""
     p = view(spark, sf_dir, POINTS).select(F.col("point_id").alias("ord"), F.round("lon", 1).alias("lon"), F.round("lat", 1).alias("lat"))
     return listing.passes_in(sets.distinct_passes(p), 45.9, 6.9, 46.1, 7.2).select("ord", "lon", "lat")
 
 
-@query(f"SELECT label::BIGINT AS pointer, max(point_id % 37) AS score, min(point_id) FILTER (point_id % 37 = m) AS ord FROM (SELECT *, max(point_id % 37) OVER (PARTITION BY label) AS m FROM ({POINTS})) GROUP BY label")
+@query(
+    f"SELECT label::BIGINT AS pointer, max(point_id % 37) AS score, min(point_id) FILTER (point_id % 37 = m) AS ord FROM (SELECT *, max(point_id % 37) OVER (PARTITION BY label) AS m FROM ({POINTS})) GROUP BY label"
+)
 def top_features(spark, sf_dir):
     p = view(spark, sf_dir, POINTS).select(F.col("label").alias("pointer"), F.col("point_id").alias("ord"), (F.col("point_id") % 37).alias("score"))
     return rounded(listing.top_feature(p, ["pointer"]))
 
 
+@query(
+    f"""WITH q AS (SELECT label, point_id, floor(lon * 8)::INT / 8 AS lon, floor(lat * 8)::INT / 8 AS lat FROM ({POINTS})),
+l AS (SELECT label, string_agg('[' || lon::DOUBLE || ',' || lat::DOUBLE || ']', ',' ORDER BY point_id) AS c, min(lat)::DOUBLE AS s, min(lon)::DOUBLE AS w, max(lat)::DOUBLE AS n, max(lon)::DOUBLE AS e FROM q GROUP BY label)
+SELECT label::BIGINT AS label, '{{"type":"Feature","properties":{{"name":"Ride ' || label || '"}},"geometry":{{"type":"LineString","coordinates":[' || c || ']}}}}' AS ride,
+  '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || c || ']}}}}' AS hot, s, w, n, e, CASE WHEN label % 2 = 0 THEN 'r' || label END AS road FROM l"""
+)
+def ride_features(spark, sf_dir):
+    """Rides and stretches as GeoJSON, the boxes of their points, and the roads that links to them name."""
+    p = view(spark, sf_dir, POINTS).select("label", "point_id", (F.floor(F.col("lon") * 8) / 8).alias("lon"), (F.floor(F.col("lat") * 8) / 8).alias("lat"))
+    lines = p.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("point_id", "lon", "lat"))).alias("points"))
+    link = F.when(F.col("label") % 2 == 0, F.concat(F.lit("#scan=46.000,7.000,30&road=r"), "label")).otherwise("#scan=46.000,7.000,30")
+    box = texts.box_of(F.col("points"))
+    return lines.select(
+        F.col("label").cast("long").alias("label"), tracks.ride_feature(F.concat(F.lit("Ride "), "label"), F.col("points")).alias("ride"),
+        tracks.hot_feature(F.col("points")).alias("hot"), *(box[c].alias(c) for c in "swne"), texts.linked_road(link).alias("road"),
+    )
+
+
 PLACE_SQL = "SELECT c_nationkey AS query, c_custkey AS ord, CASE WHEN c_custkey % 6 = 0 THEN 'highway' WHEN c_custkey % 6 < 5 THEN 'place' END AS osm_key, CASE c_custkey % 11 WHEN 1 THEN 'hamlet' WHEN 2 THEN 'suburb' WHEN 3 THEN 'village' WHEN 4 THEN 'isolated' END AS osm_value FROM customer"
 
 
@@ -584,7 +681,10 @@ def bend_lines(spark, sf_dir):
     """The lines of a road's bends, class by class, joined where they meet. A vertex' number stands for its place."""
     line = sampling.bend_classes(view(spark, sf_dir, PATH)).select("road", "k", F.col("k").cast("double").alias("lon"), F.lit(0.0).alias("lat"), "cls")
     p = F.col("points.lon")
-    return views.bend_lines(line).select("road", F.col("cls").cast("long").alias("cls"), F.array_min(p).cast("long").alias("a"), F.array_max(p).cast("long").alias("b"), F.size(p).cast("long").alias("points"))
+    return views.bend_lines(line).select(
+        "road", F.col("cls").cast("long").alias("cls"), F.array_min(p).cast("long").alias("a"), F.array_max(p).cast("long").alias("b"),
+        F.size(p).cast("long").alias("points")
+    )
 
 
 @query(
@@ -595,10 +695,16 @@ def stretch_lines(spark, sf_dir):
     """Stretches of each line, with ends between its vertices; values stand for its longitudes."""
     e = spark.sql(EVENT_LINE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     line = e.select("road", (F.col("k") * 10.0).alias("x"), F.col("value").alias("lon"), F.lit(46.0).alias("lat"))
-    parts = e.select("road").distinct().select("road", F.inline(F.array(*(F.struct(F.lit(a).alias("from_m"), F.lit(b).alias("to_m")) for a, b in ((15.0, 30.0), (40.0, 47.0), (33.0, 1000.0))))))
+    parts = e.select("road").distinct().select(
+        "road",
+        F.inline(F.array(*(F.struct(F.lit(a).alias("from_m"), F.lit(b).alias("to_m")) for a, b in ((15.0, 30.0), (40.0, 47.0), (33.0, 1000.0)))))
+    )
     p = F.col("points")
     got = views.stretch_lines(line, parts)
-    return got.select("road", "from_m", "to_m", F.round(F.get(p, F.lit(0)).lon, 6).alias("first"), F.round(F.element_at(p, -1).lon, 6).alias("last"), F.size(p).cast("long").alias("points"))
+    return got.select(
+        "road", "from_m", "to_m", F.round(F.get(p, F.lit(0)).lon, 6).alias("first"), F.round(F.element_at(p, -1).lon, 6).alias("last"),
+        F.size(p).cast("long").alias("points")
+    )
 
 
 @query(
@@ -622,7 +728,10 @@ FROM p WHERE p_size % 4 <> 0 AND p_partkey * 7 % 20011 IN (SELECT node FROM n) A
 )
 def area_passes(spark, sf_dir):
     """The passes of an area's box: a build's second result."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS ord", "p_partkey * 7 % 20011 AS id", "45 + p_partkey % 31 / 10D AS lat", "6 + p_partkey % 37 / 10D AS lon", "CASE WHEN p_size % 4 != 0 THEN p_name END AS name", f"{PASS_TEXT} AS ele")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey AS ord", "p_partkey * 7 % 20011 AS id", "45 + p_partkey % 31 / 10D AS lat", "6 + p_partkey % 37 / 10D AS lon",
+        "CASE WHEN p_size % 4 != 0 THEN p_name END AS name", f"{PASS_TEXT} AS ele"
+    )
     ways = view(spark, sf_dir, WAYS).select(F.transform(F.array("n0", "n1"), lambda n: F.concat_ws("/", F.lit("a"), n.cast("string"))).alias("nodes"))
     boxes = spark.createDataFrame([("a", 45.5, 6.4, 47.3, 8.8)], "area string, s double, w double, n double, e double")
     found = build.road_passes(_nodes(p, {"mountain_pass": "yes", "name": F.col("name"), "ele": F.col("ele")}), ways)
@@ -649,7 +758,9 @@ def stops_along(spark, sf_dir):
     """The first twelve stops along each road."""
 
     p = view(spark, sf_dir, POINTS)
-    line = p.select(F.col("label").alias("road"), (F.row_number().over(Window.partitionBy("label").orderBy("point_id")) - 1).alias("k"), "lon", "lat").withColumn("x", F.col("k") * 100.0)
+    line = p.select(
+        F.col("label").alias("road"), (F.row_number().over(Window.partitionBy("label").orderBy("point_id")) - 1).alias("k"), "lon", "lat"
+    ).withColumn("x", F.col("k") * 100.0)
     return rounded(views.stops_by_km(line, p.select(((F.col("label") + 1) % 10).alias("road"), "point_id", (F.col("lon") + 0.01).alias("p_lon"), F.col("lat").alias("p_lat"))))
 
 
@@ -685,10 +796,16 @@ FROM (SELECT o_orderkey, (o_orderkey % 5000)::DOUBLE AS d FROM orders)"""
 )
 def places_in_view(spark, sf_dir):
     """Stored distances as distances in view, forwards and reversed."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", "cast(o_orderkey % 5000 AS double) AS d", "o_orderkey % 2 = 1 AS back", "'A' AS `from`", "'B' AS `to`", "1 AS climb", "2 AS descent", "array(1, 2) AS coords")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey AS id", "cast(o_orderkey % 5000 AS double) AS d", "o_orderkey % 2 = 1 AS back", "'A' AS `from`", "'B' AS `to`", "1 AS climb",
+        "2 AS descent", "array(1, 2) AS coords"
+    )
     o = views.directed(o, F.col("back"))
     six, eight = F.lit(6400.0), F.lit(8000.0)
-    return o.select("id", views.to_view(F.col("d"), six, eight, F.col("back")).alias("at_m"), views.span_in_view(F.col("d"), F.col("d") + 1000, six, eight, F.col("back")).from_m.alias("from_m"), F.col("from").alias("town"))
+    return o.select(
+        "id", views.to_view(F.col("d"), six, eight, F.col("back")).alias("at_m"),
+        views.span_in_view(F.col("d"), F.col("d") + 1000, six, eight, F.col("back")).from_m.alias("from_m"), F.col("from").alias("town")
+    )
 
 
 # ---------------------------------------------------------------- texts
@@ -716,14 +833,19 @@ SELECT id, round(lat - km / 111.32::DOUBLE, 6) AS south, round(lon + km / (111.3
 )
 def road_texts(spark, sf_dir):
     """Boxes, keys, limits, labels, routes, steps and links."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "40 + p_size / 7D AS lat", "p_partkey % 90 / 8D AS lon", "p_size * 2 AS km", "p_partkey % 101 / 100D AS taste", "p_size % 3 AS a", "p_partkey % 3 AS b", "p_partkey % 2 AS c")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey AS id", "40 + p_size / 7D AS lat", "p_partkey % 90 / 8D AS lon", "p_size * 2 AS km", "p_partkey % 101 / 100D AS taste",
+        "p_size % 3 AS a", "p_partkey % 3 AS b", "p_partkey % 2 AS c"
+    )
     c = F.col
     box = texts.scan_box(c("lat"), c("lon"), c("km"))
     link = texts.link(F.lit("r1"), F.when(c("a") == 1, "t:46_7").when(c("a") == 2, "46.000,7.000,30"))
     out = p.withColumns({"box": box, "link": link})
     return rounded(out.select(
         "id", F.col("box.s").alias("south"), F.col("box.e").alias("east"), texts.grown_box(F.col("box"), 0.25).n.alias("grown"), texts.scan_key(c("lat"), c("lon"), c("km")).alias("key"), texts.scan_roads(c("km")).alias("roads"), texts.taste_label(c("taste")).alias("label"),
-        texts.describe_mix(c("a"), c("b"), c("c")).alias("mix"), texts.route(F.when(c("b") < 2, "A").otherwise(""), F.when(c("b") == 0, "B")).alias("route"), texts.nice_step(c("km") * 10, F.lit(3)).alias("step"), "link", texts.linked_scan(F.col("link")).lat.alias("scan_lat"), texts.kilometres(c("km") * 100).alias("kms"), texts.point_text(c("lon"), c("lat")).alias("point"),
+        texts.describe_mix(c("a"), c("b"), c("c")).alias("mix"), texts.route(
+            F.when(c("b") < 2, "A").otherwise(""), F.when(c("b") == 0, "B")
+        ).alias("route"), texts.nice_step(c("km") * 10, F.lit(3)).alias("step"), "link", texts.linked_scan(F.col("link")).lat.alias("scan_lat"), texts.kilometres(c("km") * 100).alias("kms"), texts.point_text(c("lon"), c("lat")).alias("point"),
     ))
 
 
@@ -734,9 +856,14 @@ SELECT 'a' || area_ord AS key, count(point_id) AS roads FROM c LEFT JOIN ({POINT
 def merged_areas(spark, sf_dir):
     """Saved scans after a complete one of the key a7 comes in that covers some of them."""
     a = view(spark, sf_dir, AREAS).select(F.concat(F.lit("a"), F.col("area_ord")).alias("key"), "area_ord", F.lit(0).alias("missing"), F.struct("s", "w", "n", "e").alias("box"))
-    p = view(spark, sf_dir, POINTS).select(F.concat(F.lit("a"), F.col("point_id") % 25).alias("key"), F.col("point_id").alias("road_id"), F.col("point_id").alias("ord"), "kind", "label")
+    p = view(spark, sf_dir, POINTS).select(
+        F.concat(F.lit("a"), F.col("point_id") % 25).alias("key"), F.col("point_id").alias("road_id"), F.col("point_id").alias("ord"), "kind", "label"
+    )
     incoming = {"key": "a7", "area_ord": 99, "missing": 0, "box": (45.55, 6.55, 45.95, 7.0)}
-    areas, roads = sets.merge_areas(a, p.select("key", "road_id", "ord", F.col("kind").alias("name")), incoming, p.where("label = 3").select("road_id", "ord", F.col("kind").alias("name")))
+    areas, roads = sets.merge_areas(
+        a, p.select("key", "road_id", "ord", F.col("kind").alias("name")), incoming,
+        p.where("label = 3").select("road_id", "ord", F.col("kind").alias("name"))
+    )
     return areas.select("key").join(roads.groupBy("key").agg(F.count("*").alias("roads")), "key", "left").select("key", F.coalesce("roads", F.lit(0)).cast("long").alias("roads"))
 
 
@@ -763,7 +890,9 @@ SELECT key, road_id, name, row_number() OVER (PARTITION BY key ORDER BY late DES
 def merged_scans(spark, sf_dir):
     """Roads of the areas that are left after all scans came in, in the areas' order."""
     _, roads, _ = _scans(spark, sf_dir)
-    return roads.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rank", "pos"))).select("key", "road_id", "name", F.col("place").cast("long").alias("place"))
+    return roads.withColumn(
+        "place", F.row_number().over(Window.partitionBy("key").orderBy("rank", "pos"))
+    ).select("key", "road_id", "name", F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -775,7 +904,10 @@ def merged_passes(spark, sf_dir):
     """The areas that are left, with how many passes they have, and the last of these by name."""
     areas, _, passes = _scans(spark, sf_dir)
     counted = passes.groupBy("key").agg(F.count("*").alias("passes"), F.max("name").alias("last_name"))
-    return areas.join(counted, "key", "left").select("key", F.col("ord").cast("long").alias("ord"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("last_name", F.lit("")).alias("last_name"))
+    return areas.join(counted, "key", "left").select(
+        "key", F.col("ord").cast("long").alias("ord"), F.coalesce("passes", F.lit(0)).alias("passes"),
+        F.coalesce("last_name", F.lit("")).alias("last_name")
+    )
 
 
 @query(

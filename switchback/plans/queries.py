@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, scoring, tags
-from ..operators import chains, sampling, sets, spatial, stretches
+from ..operators import build, chains, listing, sampling, sets, spatial, stretches
 from ..sources import elements, terrain, tracks
 from ..storage import stored
 from . import adapters
@@ -29,7 +29,12 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint", "tinyint", "smallint") else F.col(c) for c, kind in df.dtypes))
+    return df.select(
+        *(
+            F.round(c, digits).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint", "tinyint", "smallint") else F.col(c) for c,
+            kind in df.dtypes
+        )
+    )
 
 
 S_VALUES = f"""
@@ -115,7 +120,11 @@ m AS (SELECT b.road, b.k, {RADIUS_SQL} AS r4 FROM p b JOIN p a ON a.road = b.roa
 c AS (SELECT p.road, p.k, CASE WHEN r < 30 THEN 4 WHEN r < 60 THEN 3 WHEN r < 100 THEN 2 WHEN r < 175 THEN 1 ELSE 0 END AS cls FROM p LEFT JOIN (SELECT n.road, n.k, CASE WHEN r4 IS NULL THEN r2 ELSE greatest(r2, 0.7::DOUBLE * r4) END AS r FROM n LEFT JOIN m USING (road, k)) q USING (road, k))"""
 
 
-@query(f"WITH {CLASSES_SQL} SELECT road, count(*)::BIGINT AS samples, " + ", ".join(f"round(count(*) FILTER (cls = {k}) * 0.01::DOUBLE, 6) AS km{k}" for k in range(1, 5)) + " FROM c GROUP BY road")
+@query(
+    f"WITH {CLASSES_SQL} SELECT road, count(*)::BIGINT AS samples, " + ", ".join(
+        f"round(count(*) FILTER (cls = {k}) * 0.01::DOUBLE, 6) AS km{k}" for k in range(1, 5)
+    ) + " FROM c GROUP BY road"
+)
 def bend_km(spark, sf_dir):
     return rounded(sampling.bend_km(sampling.bend_classes(view(spark, sf_dir, PATH))))
 
@@ -240,7 +249,10 @@ SELECT q.road, q.k, round(CASE WHEN NOT q.off THEN q.ele WHEN ea.ele IS NOT NULL
 FROM q LEFT JOIN e ea ON ea.road = q.road AND ea.k = q.a LEFT JOIN e eb ON eb.road = q.road AND eb.k = q.b"""
 )
 def ground_fill(spark, sf_dir):
-    e = spark.sql("SELECT user_id AS road, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value AS ele, event_id % 3 = 0 AS off FROM {events}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    e = spark.sql(
+        "SELECT user_id AS road, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value AS ele, event_id % 3 = 0 AS off FROM {events}",
+        events=spark.read.parquet(f"{sf_dir}/events.parquet")
+    )
     return rounded(sampling.filled_ground(e).select("road", "k", "ele"))
 
 
@@ -255,7 +267,9 @@ def places_of(points: DataFrame) -> DataFrame:
     return points.select(F.col("point_id").alias("place_id"), (F.col("lon") + 0.004).alias("p_lon"), (F.col("lat") + 0.003).alias("p_lat"), "kind")
 
 
-@query(f"WITH q AS ({POINTS}), {PLACES_SQL} SELECT DISTINCT a.point_id FROM q a JOIN pl b ON true WHERE {DIST_SQL} < CASE b.kind WHEN 'city' THEN 1800 WHEN 'town' THEN 800 ELSE 350 END")
+@query(
+    f"WITH q AS ({POINTS}), {PLACES_SQL} SELECT DISTINCT a.point_id FROM q a JOIN pl b ON true WHERE {DIST_SQL} < CASE b.kind WHEN 'city' THEN 1800 WHEN 'town' THEN 800 ELSE 350 END"
+)
 def near_places(spark, sf_dir):
     """Points in the surroundings of a place."""
     p = view(spark, sf_dir, POINTS)
@@ -312,13 +326,20 @@ def tag_rules(spark, sf_dir):
     pairs = F.array(*(F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names), F.struct(F.lit("motor_vehicle:conditional").alias("k"), F.col("conditional").alias("v")))
     m = t.select("id", F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull())).alias("t"))
     m_ = F.col("t")
-    return m.select("id", tags.rideable(m_).alias("rideable"), tags.is_tunnel(m_).alias("tunnel"), tags.off_ground(m_).alias("off"), tags.is_narrow(m_).alias("narrow"), tags.urban(m_).alias("urban"), tags.road_key(m_).alias("key"), tags.closure(m_).alias("closed"))
+    return m.select(
+        "id", tags.rideable(m_).alias("rideable"), tags.is_tunnel(m_).alias("tunnel"), tags.off_ground(m_).alias("off"),
+        tags.is_narrow(m_).alias("narrow"), tags.urban(m_).alias("urban"), tags.road_key(m_).alias("key"), tags.closure(m_).alias("closed")
+    )
 
 
-@query("SELECT l_partkey AS id, min(l_orderkey * 10 + l_linenumber)::BIGINT AS ord, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem GROUP BY l_partkey")
+@query(
+    "SELECT l_partkey AS id, min(l_orderkey * 10 + l_linenumber)::BIGINT AS ord, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS price FROM lineitem GROUP BY l_partkey"
+)
 def element_dedupe(spark, sf_dir):
     """The later element of equal ids, at the place of the first."""
-    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_extendedprice").alias("price"))
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_extendedprice").alias("price")
+    )
     return sets.latest(e, ["id"])
 
 
@@ -337,13 +358,20 @@ def collected_roads(spark, sf_dir):
     """Roads of tiles and scans, those under later complete scans hidden."""
     q, areas = view(spark, sf_dir, POINTS), _areas(spark, sf_dir)
     tiles = q.select((F.col("point_id") % 300).alias("road_id"), F.lit(0).cast("long").alias("ord"), F.lit("tile").alias("name"), "lon", "lat")
-    ours = q.select((F.col("point_id") % 25).cast("int").alias("area_ord"), ((F.col("point_id") * 7 + F.col("point_id") % 25) % 350).alias("road_id"), F.col("point_id").alias("ord"), F.concat(F.lit("area"), F.col("point_id") % 25).alias("name"), "lon", "lat")
+    ours = q.select(
+        (F.col("point_id") % 25).cast("int").alias("area_ord"), ((F.col("point_id") * 7 + F.col("point_id") % 25) % 350).alias("road_id"),
+        F.col("point_id").alias("ord"), F.concat(F.lit("area"), F.col("point_id") % 25).alias("name"), "lon", "lat"
+    )
     return rounded(sets.collect_roads(tiles, areas, ours))
 
 
-@query("SELECT o_orderkey AS key, o_custkey % 4 AS v, epoch_ms(o_orderdate)::BIGINT AS date FROM orders WHERE o_custkey % 4 = 3 AND 883612800000 - epoch_ms(o_orderdate) < 90::BIGINT * 86400000 ORDER BY date DESC, key LIMIT 160")
+@query(
+    "SELECT o_orderkey AS key, o_custkey % 4 AS v, epoch_ms(o_orderdate)::BIGINT AS date FROM orders WHERE o_custkey % 4 = 3 AND 883612800000 - epoch_ms(o_orderdate) < 90::BIGINT * 86400000 ORDER BY date DESC, key LIMIT 160"
+)
 def retained_squares(spark, sf_dir):
-    meta = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 4).alias("v"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("date"))
+    meta = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("key"), (F.col("o_custkey") % 4).alias("v"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("date")
+    )
     return sets.retained(meta, 3, 883612800000)
 
 
@@ -393,7 +421,9 @@ def chained_ways(spark, sf_dir):
     return got.join(size, "road").select("way", "road", "ways")
 
 
-@query(f"WITH q AS ({POINTS}) SELECT point_id, unnest(range(floor(lon - 0.15)::BIGINT, floor(lon + 0.15)::BIGINT + 1)) AS tile_x, y AS tile_y FROM (SELECT *, unnest(range(floor(lat - 0.15)::BIGINT, floor(lat + 0.15)::BIGINT + 1)) AS y FROM q)")
+@query(
+    f"WITH q AS ({POINTS}) SELECT point_id, unnest(range(floor(lon - 0.15)::BIGINT, floor(lon + 0.15)::BIGINT + 1)) AS tile_x, y AS tile_y FROM (SELECT *, unnest(range(floor(lat - 0.15)::BIGINT, floor(lat + 0.15)::BIGINT + 1)) AS y FROM q)"
+)
 def halo_tiles(spark, sf_dir):
     return sets.with_halo(view(spark, sf_dir, POINTS)).select("point_id", "tile_x", "tile_y")
 
@@ -401,14 +431,24 @@ def halo_tiles(spark, sf_dir):
 GPX_SQL = f"WITH q AS ({POINTS}), o AS (SELECT label, point_id, round(lon, 6) AS lon, round(lat, 6) AS lat, row_number() OVER (PARTITION BY label ORDER BY point_id) AS n FROM q)"
 
 
-@query(f"{GPX_SQL} SELECT 'Ride <' || label || '> & co' AS name, count(*)::BIGINT AS points, round(sum(round(lon, 5)), 4) AS lons, round(sum(round(lat, 5) * n), 3) AS lats, 'ride_' || label || '_co.gpx' AS file FROM o GROUP BY label")
+@query(
+    f"{GPX_SQL} SELECT 'Ride <' || label || '> & co' AS name, count(*)::BIGINT AS points, round(sum(round(lon, 5)), 4) AS lons, round(sum(round(lat, 5) * n), 3) AS lats, 'ride_' || label || '_co.gpx' AS file FROM o GROUP BY label"
+)
 def gpx_round_trip(spark, sf_dir):
     """Points written as GPX tracks and parsed again; all are far apart, so none is thinned."""
-    p = view(spark, sf_dir, POINTS).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))), lambda x: F.struct(x.lon.alias("lon"), x.lat.alias("lat"), F.lit(500.0).alias("ele"))).alias("points"))
+    p = view(spark, sf_dir, POINTS).groupBy("label").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))),
+            lambda x: F.struct(x.lon.alias("lon"), x.lat.alias("lat"), F.lit(500.0).alias("ele"))
+        ).alias("points")
+    )
     name = F.concat(F.lit("Ride <"), F.col("label"), F.lit("> & co"))
     files = p.select(F.concat(F.lit("/in/"), tracks.gpx_file_name(name)).alias("file"), tracks.to_gpx(name, F.col("points")).alias("content"))
     got = tracks.parse_gpx(files, 20.0)
-    sums = F.aggregate("points", F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(1).alias("n")), lambda a, x: F.struct((a.lon + x.lon).alias("lon"), (a.lat + x.lat * a.n).alias("lat"), (a.n + 1).alias("n")))
+    sums = F.aggregate(
+        "points", F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(1).alias("n")), lambda a,
+        x: F.struct((a.lon + x.lon).alias("lon"), (a.lat + x.lat * a.n).alias("lat"), (a.n + 1).alias("n"))
+    )
     got = got.select("name", F.size("points").cast("long").alias("points"), sums.alias("s"), F.regexp_replace("file", "^.*/", "").alias("file"))
     return got.select("name", "points", F.round("s.lon", 4).alias("lons"), F.round("s.lat", 3).alias("lats"), "file")
 
@@ -416,11 +456,16 @@ def gpx_round_trip(spark, sf_dir):
 @query(f"{GPX_SQL} SELECT label::BIGINT AS road, count(*)::BIGINT AS points, 50::BIGINT AS score, round(sum(lon), 4) AS lons, round(sum(lat * n), 3) AS lats FROM o GROUP BY label")
 def geojson_lines(spark, sf_dir):
     """Roads as GeoJSON lines, read back: all coordinates, in their order."""
-    p = view(spark, sf_dir, POINTS).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))).alias("points"))
+    p = view(spark, sf_dir, POINTS).groupBy("label").agg(
+        F.array_sort(F.collect_list(F.struct("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")))).alias("points")
+    )
     j = p.select(tracks.line_feature(F.col("label"), F.lit(50), F.col("points")).alias("j"))
     back = j.withColumn("f", F.from_json("j", "type string, properties struct<id: long, score: int>, geometry struct<type: string, coordinates: array<array<double>>>"))
     c = back.where("f.type = 'Feature' AND f.geometry.type = 'LineString'").select("f.properties.*", F.posexplode("f.geometry.coordinates").alias("n", "c"))
-    return c.groupBy(F.col("id").alias("road")).agg(F.count("*").alias("points"), F.max("score").cast("long").alias("score"), F.round(F.sum(F.get("c", F.lit(0))), 4).alias("lons"), F.round(F.sum(F.get("c", F.lit(1)) * (F.col("n") + 1)), 3).alias("lats"))
+    return c.groupBy(F.col("id").alias("road")).agg(
+        F.count("*").alias("points"), F.max("score").cast("long").alias("score"), F.round(F.sum(F.get("c", F.lit(0))), 4).alias("lons"),
+        F.round(F.sum(F.get("c", F.lit(1)) * (F.col("n") + 1)), 3).alias("lats")
+    )
 
 
 @query(
@@ -435,11 +480,15 @@ def geojson_points(spark, sf_dir):
     line = F.array(F.struct(lon.alias("lon"), lat.alias("lat")), F.struct(F.lit(7.75).alias("lon"), F.lit(46.5).alias("lat")))
     return p.select(
         F.col("p_partkey").alias("id"), tracks.pass_feature(F.col("p_name"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")), lon, lat).alias("pass"),
-        tracks.stop_feature(F.col("p_size"), F.lit("coffee"), F.lit("Café"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), lon, lat).alias("stop"), tracks.run_feature(F.col("p_size") % 5, line).alias("run"),
+        tracks.stop_feature(
+            F.col("p_size"), F.lit("coffee"), F.lit("Café"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), lon, lat
+        ).alias("stop"), tracks.run_feature(F.col("p_size") % 5, line).alias("run"),
     )
 
 
-@query("SELECT p_partkey AS id, round(greatest((p_partkey % 256 * 256 + p_size * 4 + (p_partkey * 3 % 256) / 256 - 32768)::FLOAT, 0)::DOUBLE, 4) AS metres, round((p_size * 0.3 + 2 * p_size * 0.7) * 0.75 + (3 * p_size * 0.3 + 5 * p_size * 0.7) * 0.25, 6)::DOUBLE AS between FROM part")
+@query(
+    "SELECT p_partkey AS id, round(greatest((p_partkey % 256 * 256 + p_size * 4 + (p_partkey * 3 % 256) / 256 - 32768)::FLOAT, 0)::DOUBLE, 4) AS metres, round((p_size * 0.3 + 2 * p_size * 0.7) * 0.75 + (3 * p_size * 0.3 + 5 * p_size * 0.7) * 0.25, 6)::DOUBLE AS between FROM part"
+)
 def terrain_values(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     metres = terrain.sea_level(geo.terrarium_m(F.col("p_partkey") % 256, F.col("p_size") * 4, F.col("p_partkey") * 3 % 256).cast("double"))
@@ -447,11 +496,19 @@ def terrain_values(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), F.round(metres, 4).alias("metres"), F.round(geo.bilinear(s, 2 * s, 3 * s, 5 * s, F.lit(0.7), F.lit(0.25)), 6).alias("between"))
 
 
-@query(f"WITH q AS ({POINTS}) SELECT point_id, round((lon + 180) / 360 * 1048576 - 0.5, 4) AS px, round((1 - asinh(tan(radians(lat))) / pi()) / 2 * 1048576 - 0.5, 4) AS py, round(2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(46 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(46)) * pow(sin(radians(7 - lon) / 2), 2))), 4) AS metres, round((degrees(atan2(sin(radians(7 - lon)) * cos(radians(46)), cos(radians(lat)) * sin(radians(46)) - sin(radians(lat)) * cos(radians(46)) * cos(radians(7 - lon)))) + 360) % 360, 4) AS bearing FROM q")
+@query(
+    f"WITH q AS ({POINTS}) SELECT point_id, round((lon + 180) / 360 * 1048576 - 0.5, 4) AS px, round((1 - asinh(tan(radians(lat))) / pi()) / 2 * 1048576 - 0.5, 4) AS py, round(2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(46 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(46)) * pow(sin(radians(7 - lon) / 2), 2))), 4) AS metres, round((degrees(atan2(sin(radians(7 - lon)) * cos(radians(46)), cos(radians(lat)) * sin(radians(46)) - sin(radians(lat)) * cos(radians(46)) * cos(radians(7 - lon)))) + 360) % 360, 4) AS bearing FROM q"
+)
 def map_geometry(spark, sf_dir):
     p, lon, lat = view(spark, sf_dir, POINTS), F.col("lon"), F.col("lat")
     seven, north = F.lit(7.0), F.lit(46.0)
-    return rounded(p.select("point_id", geo.pixel_x(lon).alias("px"), geo.pixel_y(lat).alias("py"), geo.haversine_m(lon, lat, seven, north).alias("metres"), geo.bearing_deg(lon, lat, seven, north).alias("bearing")), 4)
+    return rounded(
+        p.select(
+            "point_id", geo.pixel_x(lon).alias("px"), geo.pixel_y(lat).alias("py"), geo.haversine_m(lon, lat, seven, north).alias("metres"),
+            geo.bearing_deg(lon, lat, seven, north).alias("bearing")
+        ),
+        4
+    )
 
 
 @query("""WITH RECURSIVE t AS (SELECT o_orderkey AS id, concat_ws(',', (o_orderkey % 90)::VARCHAR, '46.5', '7.25', (o_custkey % 80)::VARCHAR) AS s FROM orders),
@@ -463,9 +520,14 @@ def road_ids(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.conv(F.substring(rid, 2, 20), 36, 10).cast("long").alias("hash"))
 
 
-@query(f"WITH q AS (SELECT point_id AS ord, 'stop' || label AS name, lon / 100 AS lon, lat / 100 AS lat FROM ({POINTS})) SELECT a.ord, a.name FROM q a WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.name = a.name AND b.ord < a.ord AND abs(a.lat - b.lat) < 0.001 AND abs(a.lon - b.lon) < 0.0013)")
+@query(
+    f"WITH q AS (SELECT point_id AS ord, 'stop' || label AS name, lon / 100 AS lon, lat / 100 AS lat FROM ({POINTS})) SELECT a.ord, a.name FROM q a WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.name = a.name AND b.ord < a.ord AND abs(a.lat - b.lat) < 0.001 AND abs(a.lon - b.lon) < 0.0013)"
+)
 def distinct_stops(spark, sf_dir):
-    stops = view(spark, sf_dir, POINTS).select(F.col("point_id").alias("ord"), F.concat(F.lit("stop"), F.col("label")).alias("name"), (F.col("lon") / 100).alias("lon"), (F.col("lat") / 100).alias("lat"))
+    stops = view(spark, sf_dir, POINTS).select(
+        F.col("point_id").alias("ord"), F.concat(F.lit("stop"), F.col("label")).alias("name"), (F.col("lon") / 100).alias("lon"),
+        (F.col("lat") / 100).alias("lat")
+    )
     return sets.without_near_namesakes(stops).select("ord", "name")
 
 
@@ -477,18 +539,29 @@ def weather(spark, sf_dir):
     return rounded(e.select(F.col("event_id").alias("id"), tags.feels_like(F.col("value") / 10).alias("feels"), tags.weather_of(F.col("event_id") % 100).alias("words")))
 
 
-@query("WITH a AS (SELECT doc_id AS id, quality AS r FROM labels), b AS (SELECT doc_id AS id, toxic AS r FROM labels WHERE doc_id % 2 = 0) SELECT id, coalesce(b.r, a.r)::BIGINT AS rating FROM a FULL JOIN b USING (id) WHERE a.r IS DISTINCT FROM b.r")
+@query(
+    "WITH a AS (SELECT doc_id AS id, quality AS r FROM labels), b AS (SELECT doc_id AS id, toxic AS r FROM labels WHERE doc_id % 2 = 0) SELECT id, coalesce(b.r, a.r)::BIGINT AS rating FROM a FULL JOIN b USING (id) WHERE a.r IS DISTINCT FROM b.r"
+)
 def toggled_ratings(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rounded(sets.toggled(l.select(F.col("doc_id").alias("id"), F.col("quality").alias("rating")), l.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("toxic").alias("rating"))))
+    return rounded(
+        sets.toggled(
+            l.select(F.col("doc_id").alias("id"), F.col("quality").alias("rating")),
+            l.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("toxic").alias("rating"))
+        )
+    )
 
 
-@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS score FROM customer WHERE (contains(lower(c_name), '12') OR contains(lower(c_mktsegment), 'auto')) ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey LIMIT 300")
+@query(
+    "SELECT c_custkey AS id, c_name AS name, c_acctbal AS score FROM customer WHERE (contains(lower(c_name), '12') OR contains(lower(c_mktsegment), 'auto')) ORDER BY coalesce(c_acctbal, 0) DESC, c_custkey LIMIT 300"
+)
 def road_list(spark, sf_dir):
     """The first 300 roads whose texts hold what is searched, by a score."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    found = c.where(F.contains(F.lower("c_name"), F.lit("12")) | F.contains(F.lower("c_mktsegment"), F.lit("auto")))
-    return stretches.top_roads(found.withColumn("key", F.coalesce("c_acctbal", F.lit(0.0))), 300, "key", "c_custkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    found = c.where(listing.found_in("12", [F.col("c_name")]) | listing.found_in(" AUTO", [F.col("c_mktsegment")]))
+    return stretches.top_roads(found.withColumn("key", F.coalesce("c_acctbal", F.lit(0.0))), 300, "key", "c_custkey").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score")
+    )
 
 
 @query("SELECT s_nationkey AS tile, count(*)::BIGINT AS roads, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS ids FROM supplier GROUP BY s_nationkey")
@@ -504,10 +577,16 @@ SELECT road, round(share, 6) AS share, CASE WHEN road % 5 = 0 THEN 'Pass' WHEN s
 )
 def road_titles(spark, sf_dir):
     """The name with most metres, its share, and the title and subtitle from them."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("road"), F.when(F.col("l_partkey") % 3 == 0, "Col").when(F.col("l_partkey") % 3 == 1, "Rue").alias("name"), F.col("l_quantity").alias("m"))
-    by = l.groupBy("road", "name").agg(F.sum("m").alias("m"))
-    best = by.groupBy("road").agg(F.sum("m").alias("total"), F.max(F.when(F.col("name").isNotNull(), F.struct("m", (-F.ascii("name")).alias("back"), "name"))).alias("b"))
-    r = best.select("road", F.col("b.name").alias("name"), (F.col("b.m") / F.col("total")).alias("share"), F.when(F.col("road") % 5 == 0, "Pass").alias("pass_name"), F.when(F.col("road") % 2 == 1, "D 1").alias("ref"))
+    part = F.col("l_partkey") % 3
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_suppkey").alias("road"), part.alias("j"), F.when(part == 0, "Col").when(part == 1, "Rue").alias("name"),
+        F.col("l_quantity").cast("double").alias("metres")
+    )
+    total = l.groupBy("road").agg(F.sum("metres").alias("total"))
+    r = build.weighted_mode(l, "name").join(total, "road").select(
+        "road", "name", (F.col("metres") / F.col("total")).alias("share"), F.when(F.col("road") % 5 == 0, "Pass").alias("pass_name"),
+        F.when(F.col("road") % 2 == 1, "D 1").alias("ref")
+    )
     r = r.withColumn("title", tags.title(F.col("pass_name"), F.col("name"), F.col("share"), F.col("ref")))
     return r.select("road", F.round("share", 6).alias("share"), "title", tags.subtitle(F.col("title"), F.col("name"), F.col("share"), F.col("ref")).alias("sub"))
 
@@ -525,7 +604,10 @@ def _likes(spark, sf_dir) -> DataFrame:
     """A rider's likes and dislikes, from labels, on the roads of their ids."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     roads = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
-    return sets.first_of(labels.select((F.col("doc_id") % roads + 1).alias("road"), F.col("doc_id").alias("ord"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("rating")), ["road"]).select("road", "rating")
+    return sets.first_of(
+        labels.select((F.col("doc_id") % roads + 1).alias("road"), F.col("doc_id").alias("ord"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("rating")),
+        ["road"]
+    ).select("road", "rating")
 
 
 @query(

@@ -29,7 +29,9 @@ def requested(elements: DataFrame, s: float, w: float, n: float, e: float) -> Da
     inside = lambda p: p.lat.between(s, n) & p.lon.between(w, e)
     t = lambda k: F.try_element_at("tags", F.lit(k))
     way = (F.col("type") == "way") & t("highway").isin(*HIGHWAYS) & F.exists("geometry", inside)
-    node = (F.col("type") == "node") & F.col("lat").between(s, n) & F.col("lon").between(w, e) & (F.coalesce(t("mountain_pass") == "yes", F.lit(False)) | F.coalesce(t("tourism") == "viewpoint", F.lit(False)) | F.coalesce(t("place").isin(*PLACES), F.lit(False)))
+    node = (F.col("type") == "node") & F.col("lat").between(s, n) & F.col("lon").between(w, e) & (
+        F.coalesce(t("mountain_pass") == "yes", F.lit(False)) | F.coalesce(t("tourism") == "viewpoint", F.lit(False)) | F.coalesce(t("place").isin(*PLACES), F.lit(False))
+    )
     return elements.where(F.coalesce(way, F.lit(False)) | F.coalesce(node, F.lit(False)))
 
 
@@ -45,7 +47,9 @@ def classified(elements: DataFrame) -> DataFrame:
     has = lambda k: F.coalesce(F.map_contains_key("tags", k), F.lit(False))
     way = F.col("type") == "way"
     good = (F.size("nodes") >= 2) & F.col("geometry").isNotNull() & rideable(F.coalesce("tags", F.create_map().cast("map<string, string>")))
-    kind = F.when(way, F.when(good, "way")).when(has("mountain_pass"), "pass").when(has("place") & tag(F.col("tags"), "name").isNotNull(), "place").when(tag(F.col("tags"), "tourism") == "viewpoint", "viewpoint")
+    kind = F.when(way, F.when(good, "way")).when(has("mountain_pass"), "pass").when(
+        has("place") & tag(F.col("tags"), "name").isNotNull(), "place"
+    ).when(tag(F.col("tags"), "tourism") == "viewpoint", "viewpoint")
     return elements.withColumn("kind", kind)
 
 

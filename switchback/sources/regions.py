@@ -27,7 +27,12 @@ def lay_out(elements: DataFrame, path: str, files: int) -> None:
     rows. An element without a place is kept, in the first file; no request for a box holds it. An empty table gives no boxes.
     """
     side = lambda end, axis, one: F.coalesce(end(F.transform("geometry", lambda p: p[axis])), F.col(one))
-    placed = elements.withColumns({"s": side(F.array_min, "lat", "lat"), "w": side(F.array_min, "lon", "lon"), "n": side(F.array_max, "lat", "lat"), "e": side(F.array_max, "lon", "lon"), "class": class_of(elements)})
+    placed = elements.withColumns(
+        {
+            "s": side(F.array_min, "lat", "lat"), "w": side(F.array_min, "lon", "lon"), "n": side(F.array_max, "lat", "lat"),
+            "e": side(F.array_max, "lon", "lon"), "class": class_of(elements)
+        }
+    )
     order = curve((F.col("w") + F.col("e")) / 2, (F.col("s") + F.col("n")) / 2)
     ranged = placed.withColumn("order_", order).repartitionByRange(files, "order_").sortWithinPartitions("order_").drop("order_")
     ranged.write.mode("overwrite").parquet(f"{path}/elements")

@@ -19,8 +19,14 @@ def parse_gpx(files: DataFrame, least_m: float = 20.0) -> DataFrame:
     routes = F.coalesce(F.flatten(F.transform("g.rte", lambda r: F.coalesce(r.rtept, F.array()))), F.array())
     route_at, track_at = F.locate("<rtept", F.col("content")), F.locate("<trkpt", F.col("content"))
     flat = F.when((route_at > 0) & (route_at < track_at), F.concat(routes, tracks)).otherwise(F.concat(tracks, routes))
-    points = F.filter(F.transform(flat, lambda p: F.struct(p._lon.try_cast("double").alias("lon"), p._lat.try_cast("double").alias("lat"))), lambda p: p.lon.isNotNull() & p.lat.isNotNull() & ~F.isnan(p.lon) & ~F.isnan(p.lat) & (F.abs(p.lon) < float("inf")) & (F.abs(p.lat) < float("inf")))
-    name = F.coalesce(F.nullif(F.get("g.trk", F.lit(0)).getField("name"), F.lit("")), F.nullif(F.col("g.metadata.name"), F.lit("")), F.nullif(F.get("g.rte", F.lit(0)).getField("name"), F.lit("")), F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"(?i)\.gpx$", ""))
+    points = F.filter(
+        F.transform(flat, lambda p: F.struct(p._lon.try_cast("double").alias("lon"), p._lat.try_cast("double").alias("lat"))),
+        lambda p: p.lon.isNotNull() & p.lat.isNotNull() & ~F.isnan(p.lon) & ~F.isnan(p.lat) & (F.abs(p.lon) < float("inf")) & (F.abs(p.lat) < float("inf"))
+    )
+    name = F.coalesce(
+        F.nullif(F.get("g.trk", F.lit(0)).getField("name"), F.lit("")), F.nullif(F.col("g.metadata.name"), F.lit("")),
+        F.nullif(F.get("g.rte", F.lit(0)).getField("name"), F.lit("")), F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"(?i)\.gpx$", "")
+    )
     return g.select("file", name.alias("name"), F.when(F.size(points) >= 2, thinned(points, least_m)).alias("points"))
 
 
@@ -31,7 +37,9 @@ def import_errors(files: DataFrame) -> DataFrame:
     read = parse_gpx(files.where(ending)).select("file", "points")
     whole = F.from_xml(F.col("content"), "_corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     broken = F.col("content").isNull() | whole["_corrupt"].isNotNull()
-    why = F.when(~ending, F.concat(name, F.lit(" isn't a .gpx file"))).when(broken, F.concat(name, F.lit(" isn't a valid GPX file"))).when(F.col("points").isNull(), F.concat(name, F.lit(" has no track points")))
+    why = F.when(~ending, F.concat(name, F.lit(" isn't a .gpx file"))).when(broken, F.concat(name, F.lit(" isn't a valid GPX file"))).when(
+        F.col("points").isNull(), F.concat(name, F.lit(" has no track points"))
+    )
     return files.join(read, "file", "left").select("file", why.alias("error")).where("error IS NOT NULL")
 
 
@@ -55,7 +63,10 @@ def to_gpx(name: Column, points: Column) -> Column:
     """A track of points (lon, lat, ele) as GPX text."""
     number = lambda x: F.call_function("format_number", x.cast("double"), F.lit("0.##########"))
     one = lambda p: F.concat(F.lit('<trkpt lat="'), number(p.lat), F.lit('" lon="'), number(p.lon), F.lit('"><ele>'), number(p.ele), F.lit("</ele></trkpt>"))
-    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><trk><name>'), escaped(name), F.lit("</name><trkseg>"), F.array_join(F.transform(points, one), ""), F.lit("</trkseg></trk></gpx>"))
+    return F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1"><trk><name>'), escaped(name), F.lit("</name><trkseg>"),
+        F.array_join(F.transform(points, one), ""), F.lit("</trkseg></trk></gpx>")
+    )
 
 
 def gpx_file_name(name: Column) -> Column:
@@ -64,7 +75,12 @@ def gpx_file_name(name: Column) -> Column:
 
 def _feature(kind: str, coordinates: Column, **properties: Column) -> Column:
     """A GeoJSON feature; null properties are left out."""
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*(v.alias(n) for n, v in properties.items())).alias("properties"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+    return F.to_json(
+        F.struct(
+            F.lit("Feature").alias("type"), F.struct(*(v.alias(n) for n, v in properties.items())).alias("properties"),
+            F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")
+        )
+    )
 
 
 def _pairs(points: Column) -> Column:

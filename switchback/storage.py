@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -21,8 +24,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(base)
-    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if inner := getattr(_scopes, "inner", None):
+        inner[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,15 +41,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A place in the order of the paths given out, for drop_since()."""
-    return len(_made)
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """stored() of what make returns, after which all other tables that it has written are deleted. Scopes are a thread's own, and may lie within one another.
+
+    Spark deletes the shuffle files of finished steps when its driver collects garbage, which is asked for here, as a step may leave as much as its input.
+    """
+    path = shared_dir(spark, name)
+    if not hasattr(_scopes, "inner"):
+        _scopes.inner = []
+    _scopes.inner.append([])
+    try:
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+        del df
+    finally:
+        for one in _scopes.inner.pop():
+            delete(spark, one)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
-def drop_since(spark: SparkSession, place: int) -> None:
-    """Delete what has been written under paths given out since then, once no DataFrame that is still to be read needs it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _made[place:]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    del _made[place:]
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table, once no DataFrame that is still to be read needs it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

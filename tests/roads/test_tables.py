@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,13 +88,36 @@ def test_list_arguments(spark):
     assert [r.key for r in listing.areas_in_order(areas).collect()] == ["y", "x", "z"] and [r.key for r in listing.areas_in_order(areas, True).collect()] == ["z", "x", "y"]
 
 
-def test_tables_of_a_session_can_be_dropped(spark):
-    place = storage.mark()
-    path = storage.shared_dir(spark, "gone")
-    spark.range(3).write.parquet(path)
-    storage.drop_since(spark, place)
+def test_a_step_leaves_its_result_and_nothing_of_other_threads_goes(spark):
+    made, other = [], []
+
+    def step():
+        made.append(storage.shared_dir(spark, "inner"))
+        spark.range(3).write.parquet(made[0])
+        thread = threading.Thread(target=lambda: other.append(storage.stored(spark.range(5), "other")))
+        thread.start()
+        thread.join()
+        deeper = storage.kept(spark, "deeper", lambda: storage.stored(spark.range(2), "deepest"))
+        return storage.stored(spark.read.parquet(made[0]).union(deeper), "last")
+
+    got = storage.kept(spark, "result", step)
+    assert got.count() == 5 and other[0].count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made[0])
+
+
+def test_a_step_that_fails_leaves_nothing(spark):
+    made = []
+
+    def step():
+        made.append(storage.shared_dir(spark, "inner"))
+        spark.range(3).write.parquet(made[0])
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        storage.kept(spark, "result", step)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        spark.read.parquet(path)
+        spark.read.parquet(made[0])
 
 
 def test_greedy_pairs_match_plain_loops(spark):
