@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import small_batches, written
+from .shared import kept, small_batches, written
 from .textnp import cut_words, mixed, text_blocks
 
 #: Fragments of the global order end before shingles of these document frequencies.
@@ -101,12 +101,13 @@ def _labelled(docs: DataFrame, width: int, percent: int, every_link: bool) -> tu
     rows = written(docs.mapInArrow(_sets(width, ""), SETS), "sets")
     classes = rows.where("n > 0").groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    ordered = _candidates(docs, classes, width, percent)
+    spark = docs.sparkSession
+    ordered = kept(spark, "ordered", lambda: _candidates(docs, classes, width, percent))
     parts = written(ordered.select("rep", "n", F.expr(_fragments()).alias("parts")), "fragments")
-    labels = components(_links(ordered, parts, percent))
+    labels = kept(spark, "labels", lambda: components(_links(ordered, parts, percent)))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     if every_link:
-        named = named.join(_numbers(parts, labels, percent), "rep", "left")
+        named = named.join(kept(spark, "numbers", lambda: _numbers(parts, labels, percent)), "rep", "left")
     named = written(named, "classes")
     least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
     return rows, written(named.join(least, "component").drop("rep"), "classes")
@@ -188,7 +189,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, width: int, percent: int) -
     one = full.select("rep", "n", F.explode("part").alias("h"))
     shared = written(one.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     ordered = one.join(shared, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shingles"))
-    return written(ordered.where(f"100 * size(shingles) >= {percent} * n").select("rep", "n", (F.col("n") - F.size("shingles")).alias("own"), "shingles"), "ordered")
+    return ordered.where(f"100 * size(shingles) >= {percent} * n").select("rep", "n", (F.col("n") - F.size("shingles")).alias("own"), "shingles")
 
 
 def _links(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

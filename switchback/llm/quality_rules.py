@@ -143,7 +143,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt:
     """For each row of docs: doc_id, the counts, base_failed, kept and failed_rules.
 
     Null and empty texts have no words and fail the base rules; repeated rows are judged alike; empty tables give no rows, and without labels
-    the base rules alone decide. Columns of docs other than doc_id, text and lang are left alone.
+    the base rules alone decide. A value equal to its cutoff passes. Texts of any length are counted whole. Columns of docs other than doc_id, text and lang are left alone.
     """
     rows, cutoffs = fitted(docs, labels, risk, doubt)
     return judged(rows, cutoffs).select("doc_id", *COUNTS, base_failed().alias("base_failed"), "kept", F.array_join("failed_rules", ",").alias("failed_rules"))

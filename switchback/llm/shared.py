@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import kept, shared_dir
 from ..storage import stored as written
 
-__all__ = ["let", "shared_dir", "small_batches", "written"]
+__all__ = ["kept", "let", "shared_dir", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -263,7 +263,7 @@ def link_tools(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     call, result), call_id, status, errors (sorted, comma-joined), n_missing (dependencies that are no calls), ready, depth, cyclic and line. Within a conversation, the
     order by ready, depth, turn, part has every call after the results it needs and every result after its call, and moves nothing else; cyclic calls have no such order.
     status: linked; unanswered, a call without result; duplicate, a call whose id an earlier one has; orphan, a result without call; repeated, a result after the
-    first; plain. line has its keys sorted, no spaces, no null fields, and each number in one form by its exact value. errors name the keyword's kind (type, option, small, large, short, long,
+    first; plain. line has its keys sorted, no spaces, no null fields, and each number in one form: by its exact value up to 38 digits, beyond that by the nearest double. Texts may be of any length. errors name the keyword's kind (type, option, small, large, short, long,
     pattern, few, many, missing, unexpected) and the place. Rows with a null conv_id are one conversation. An item with a null id links with nothing;
     repeated rows are duplicates and repeats; an empty table gives no rows.
 
