@@ -408,7 +408,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, most_words: int = 32768) -> D
                 ids = [np.frombuffer(x, "<u4") for x in c.buffers(texts)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([c.decode(x.tolist()) for x in ids], pa.string())],
+                    ["doc_id", "ids", "decoded"]
+                )
 
     return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -418,4 +421,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coded = encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

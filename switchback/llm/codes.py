@@ -162,7 +162,10 @@ def encode(vectors: DataFrame, books: Codebooks) -> DataFrame:
             codes = np.stack([c for c, _ in found], axis=1).astype(np.uint8)
             error = sum(e.astype(object) for _, e in found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("label"), pa.array([c.tobytes().hex() for c in codes], pa.string()), pa.array([int(e) if e < 1 << 63 else None for e in error], pa.int64())], ["vec_id", "label", "code", "error"]
+                [
+                    batch.column("vec_id"), batch.column("label"), pa.array([c.tobytes().hex() for c in codes], pa.string()),
+                    pa.array([int(e) if e < 1 << 63 else None for e in error], pa.int64())
+                ], ["vec_id", "label", "code", "error"]
             )
 
     return kept.mapInArrow(run, shape)
@@ -175,7 +178,10 @@ def compressed(vectors: DataFrame, **options) -> DataFrame:
     """
     books = train(vectors, **options)
     if books is None:
-        return vectors.limit(0).select("vec_id", "label", F.lit("").alias("code"), *(F.lit(0).cast("long").alias(c) for c in ("error", "label_error")), F.lit("").alias("codebooks_sha256"))
+        return vectors.limit(0).select(
+            "vec_id", "label", F.lit("").alias("code"), *(F.lit(0).cast("long").alias(c) for c in ("error", "label_error")),
+            F.lit("").alias("codebooks_sha256")
+        )
     coded = written(encode(vectors, books), "codes")
     sums = coded.groupBy(F.col("label").alias("of")).agg(F.when(F.count("error") == F.count("*"), F.try_sum("error")).alias("label_error"))
     return coded.join(sums, coded.label.eqNullSafe(sums.of), "left").select("vec_id", "label", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))

@@ -73,7 +73,10 @@ def compile_lexicon(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
         first.append(len(labels))
     out_first = np.concatenate([[0], np.cumsum([len(ids) for _, ids in entries])]).astype("<i4")
     head = MAGIC + struct.pack("<5i", len(order), len(labels), len(entries), int(out_first[-1]), root.number)
-    parts = [np.array(first, "<i4"), np.array(targets, "<i4"), np.array(skips, "<i4"), out_first, np.array([i for _, ids in entries for i in ids], "<u4"), np.array(labels, np.uint8), np.array([s.final for s in order], np.uint8)]
+    parts = [
+        np.array(first, "<i4"), np.array(targets, "<i4"), np.array(skips, "<i4"), out_first, np.array([i for _, ids in entries for i in ids], "<u4"),
+        np.array(labels, np.uint8), np.array([s.final for s in order], np.uint8)
+    ]
     return head + b"".join(p.tobytes() for p in parts)
 
 

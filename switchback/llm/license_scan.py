@@ -32,7 +32,13 @@ def _pieces(w: Column, pattern: Column) -> Column:
     ahead = F.concat(F.lit("(?=("), pattern, F.lit(r"(?= |\z)))"))
     cuts = F.split(w, ahead, F.lit(-1))
     both = F.struct(cuts.alias("cuts"), F.regexp_extract_all(w, ahead, F.lit(1)).alias("found"))
-    return let(both, lambda b: F.transform(b.cuts, lambda c, i: F.struct(word_count(c).alias("words"), F.coalesce(word_count(F.get(b.found, i - F.size(b.cuts) + F.size(b.found))), F.lit(0)).alias("n"))))
+    return let(
+        both,
+        lambda b: F.transform(
+            b.cuts, lambda c,
+            i: F.struct(word_count(c).alias("words"), F.coalesce(word_count(F.get(b.found, i - F.size(b.cuts) + F.size(b.found))), F.lit(0)).alias("n"))
+        )
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -54,16 +60,26 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = F.lit(f"(?=({any_of(listed_keywords)}))")
 
     def found(w: Column) -> Column:
-        gated = lambda g: F.transform(F.filter(listed, lambda r: F.array_contains(g, r.keyword)), lambda r: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), _pieces(w, r.pattern).alias("pieces")))
+        gated = lambda g: F.transform(
+            F.filter(listed, lambda r: F.array_contains(g, r.keyword)),
+            lambda r: F.struct(r.rule.alias("rule"), r.priority.alias("priority"), r.label.alias("label"), _pieces(w, r.pattern).alias("pieces"))
+        )
         hits = lambda g: F.filter(gated(g), lambda s: F.exists(s.pieces, lambda p: p.n > 0))
         # one search for the longest keyword at each place; those that begin it stand there too
-        gates = let(F.array_distinct(F.regexp_extract_all(w, seen, F.lit(1))), lambda f: F.when(F.size(f) > 0, let(F.filter(keywords, lambda k: F.exists(f, lambda x: F.startswith(x, k))), hits)))
+        gates = let(
+            F.array_distinct(F.regexp_extract_all(w, seen, F.lit(1))),
+            lambda f: F.when(F.size(f) > 0, let(F.filter(keywords, lambda k: F.exists(f, lambda x: F.startswith(x, k))), hits))
+        )
         return F.struct(word_count(w).cast("long").alias("n_words"), gates.alias("found"))
 
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), let(spaced_words(F.col("text").cast("string")), found).alias("f"))
     narrow = written(d.select("row", "doc_id", "f.*"), "found")
 
-    none = narrow.where("coalesce(size(found), 0) <= 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), *(F.lit(None).cast("long").alias(c) for c in ("first_word", "last_word")), *(F.lit("").alias(c) for c in ("base_labels", "labels")), F.lit(0.0).alias("score"), F.array().cast("array<struct<start: long, n_words: long, label: string, priority: int>>").alias("detections"))
+    none = narrow.where("coalesce(size(found), 0) <= 0").select(
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), *(F.lit(None).cast("long").alias(c) for c in ("first_word", "last_word")),
+        *(F.lit("").alias(c) for c in ("base_labels", "labels")), F.lit(0.0).alias("score"),
+        F.array().cast("array<struct<start: long, n_words: long, label: string, priority: int>>").alias("detections")
+    )
     some = narrow.where("size(found) > 0").repartition("row").select("row", "doc_id", "n_words", F.inline("found"))
     places = some.select("row", "doc_id", "n_words", "rule", "priority", "label", F.posexplode("pieces").alias("at", "piece"))
     before = Window.partitionBy("row", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)

@@ -54,7 +54,9 @@ def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.
     kept = let(gone, lambda g: F.when(F.size(g) > 0, F.filter("lines", lambda x: ~has_text(x) | ~F.array_contains(g, F.xxhash64(x)))).otherwise(F.col("lines")))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(kept)
     split = joined.withColumn("lines", lines_of(F.col("text"))).withColumn("kept", kept)
-    out = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    out = [
+        F.col(f"row.`{c}`").alias(c) if c != "text" else F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")
+    ]
     if not counts:
         return split.select(*out)
     return split.select(*out, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))

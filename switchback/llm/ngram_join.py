@@ -91,7 +91,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, every
     number = ["n_links"] if every_link else []
     of = of.select("lo", "hi", F.col("n").alias("m"), "copies", "component_id", *number)
     back = (rows.lo == of.lo) & (rows.hi == of.hi) & (rows.n == of.m)
-    return rows.join(of, back, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in number))
+    return rows.join(of, back, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in number)
+    )
 
 
 def _labelled(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame]:
@@ -127,11 +130,23 @@ def _numbers(parts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("component", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 4096))).alias("salts"))
     salted = members.join(written(sizes, "sizes"), ["component", "level"]).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
     blocks = salted.groupBy("component", "level", "salt").agg(F.collect_list(F.struct("rep", "n", "parts")).alias("m"))
-    blocks = written(blocks.select("component", "level", "salt", F.transform("m", lambda m: m.rep).alias("reps"), F.transform("m", lambda m: m.n).alias("ns"), F.transform("m", lambda m: m.parts).alias("parts")), "blocks")
-    x = blocks.select("component", F.col("level").alias("x_level"), F.col("salt").alias("x_salt"), *(F.col(c).alias(f"x_{c}") for c in ("reps", "ns", "parts")), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+    blocks = written(
+        blocks.select(
+            "component", "level", "salt", F.transform("m", lambda m: m.rep).alias("reps"), F.transform("m", lambda m: m.n).alias("ns"),
+            F.transform("m", lambda m: m.parts).alias("parts")
+        ),
+        "blocks"
+    )
+    x = blocks.select(
+        "component", F.col("level").alias("x_level"), F.col("salt").alias("x_salt"), *(F.col(c).alias(f"x_{c}") for c in ("reps", "ns", "parts")),
+        F.explode(F.array("level", F.col("level") + 1)).alias("level")
+    )
     y = blocks.select("component", "level", "salt", *(F.col(c).alias(f"y_{c}") for c in ("reps", "ns", "parts")))
     met = x.join(y, ["component", "level"]).where("level > x_level OR salt >= x_salt")
-    met = met.select((F.col("level") == F.col("x_level")).alias("same"), (F.col("salt") == F.col("x_salt")).alias("own"), *(f"{s}_{c}" for s in "xy" for c in ("reps", "ns", "parts")))
+    met = met.select(
+        (F.col("level") == F.col("x_level")).alias("same"), (F.col("salt") == F.col("x_salt")).alias("own"),
+        *(f"{s}_{c}" for s in "xy" for c in ("reps", "ns", "parts"))
+    )
 
     def sparse(cell: pa.ListScalar) -> list[tuple[np.ndarray, np.ndarray]]:
         """(shingles, members) of each fragment."""
@@ -198,7 +213,10 @@ def _links(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     parts = written(parts.select("rep", F.posexplode("parts").alias("fragment", "part")).where("size(part) > 0"), "fragments")
     probe = f"n - (({p} * n + 99) div 100) + 1"
     index = f"n - (({2 * p} * n + {99 + p}) div {100 + p}) + 1"
-    places = classes.select("rep", "n", "own", F.expr(f"transform(slice(shingles, 1, cast(greatest(0, {probe} - own) as int)), (s, i) -> struct(s.h AS h, own + i AS pos, own + i < {index} AS early))").alias("s"))
+    places = classes.select(
+        "rep", "n", "own",
+        F.expr(f"transform(slice(shingles, 1, cast(greatest(0, {probe} - own) as int)), (s, i) -> struct(s.h AS h, own + i AS pos, own + i < {index} AS early))").alias("s")
+    )
     places = written(places.select("rep", "n", "own", F.inline("s")), "postings")
 
     def may(x: str, y: str) -> str:
@@ -211,7 +229,10 @@ def _links(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     def linked(met: DataFrame) -> DataFrame:
         """Of the pairs of columns x_ and y_, overlaps counted by fragment, then summed per pair; the one of smaller rep is a."""
         low = F.col("x_rep") < F.col("y_rep")
-        pairs = met.select(F.least("x_rep", "y_rep").alias("a"), F.when(low, F.col("x_n")).otherwise(F.col("y_n")).alias("na"), F.greatest("x_rep", "y_rep").alias("b"), F.when(low, F.col("y_n")).otherwise(F.col("x_n")).alias("nb"))
+        pairs = met.select(
+            F.least("x_rep", "y_rep").alias("a"), F.when(low, F.col("x_n")).otherwise(F.col("y_n")).alias("na"),
+            F.greatest("x_rep", "y_rep").alias("b"), F.when(low, F.col("y_n")).otherwise(F.col("x_n")).alias("nb")
+        )
         pairs = written(pairs.distinct(), "pairs")
         one = pairs.join(parts.withColumnsRenamed({"rep": "b", "part": "part_b"}), "b")
         two = one.join(parts.withColumnsRenamed({"rep": "a", "part": "part_a"}), ["a", "fragment"])

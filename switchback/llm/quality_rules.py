@@ -53,7 +53,13 @@ def _count(column: pa.Array) -> dict[str, np.ndarray]:
         repeated = np.zeros(len(of), bool)
         for k in range(3):
             repeated[first + k] = True
-        for c, x in zip(COUNTS, (n, total(FIRST_OF_POINT[data] * inside), total(SYMBOLS[data]), n_lines, n_lines - np.bincount(line_of[at], minlength=len(n)), np.bincount(of[repeated], minlength=len(n)), total(CAPITALS[data]))):
+        for c, x in zip(
+            COUNTS,
+            (
+                n, total(FIRST_OF_POINT[data] * inside), total(SYMBOLS[data]), n_lines, n_lines - np.bincount(line_of[at], minlength=len(n)),
+                np.bincount(of[repeated], minlength=len(n)), total(CAPITALS[data])
+            )
+        ):
             found[c].append(x.astype(np.int64))
     return {c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in found.items()}
 
@@ -133,7 +139,10 @@ def fitted(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float
     a stratum of its own, named by the empty string.
     """
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("stratum"), counts(F.col("text")).alias("c")).select("doc_id", "stratum", "c.*"), "counts")
+    rows = written(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("stratum"), counts(F.col("text")).alias("c")).select("doc_id", "stratum", "c.*"),
+        "counts"
+    )
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).where("quality = 1")
     cutoffs = written(choose_cutoffs(rows.where(~base_failed()).join(good.select("doc_id"), "doc_id"), risk, doubt), "cutoffs")
     return rows, cutoffs

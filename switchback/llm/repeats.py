@@ -188,7 +188,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number
         number += 1
         ids, known, sizes, texts = (np.concatenate([h[i] for h in held]) for i in range(4))
-        row = {"pack": number - 1, "size": len(texts), "ids": ids.tobytes(), "known": known.tobytes(), "ends": np.cumsum(sizes).tobytes(), "texts": zstandard.compress(texts.tobytes(), 3)}
+        row = {
+            "pack": number - 1, "size": len(texts), "ids": ids.tobytes(), "known": known.tobytes(), "ends": np.cumsum(sizes).tobytes(),
+            "texts": zstandard.compress(texts.tobytes(), 3)
+        }
         return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()})
 
     for batch in batches:
@@ -298,7 +301,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             pack.index(buckets, hot)
             for bucket, part in pack.by_bucket():
                 at = pack.sample[part]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "pack": [pack.number], "n": pa.array([len(at)], pa.int32()), "data": [_zip(pack.trigger[at], pack.spelling[at], pack.least[part])]})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array([bucket], pa.int32()), "pack": [pack.number], "n": pa.array([len(at)], pa.int32()),
+                        "data": [_zip(pack.trigger[at], pack.spelling[at], pack.least[part])]
+                    }
+                )
 
     answer = "pack long, bucket int, n int, bits binary"
     entries = packs.mapInArrow(phrases, "bucket int, pack long, n int, data binary")
@@ -319,7 +327,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             edges = np.flatnonzero(_new(bucket)) if len(bucket) else []
             for a, b in zip(edges, [*edges[1:], len(bucket)]):
                 texts = pack.data[_ranges(start[a:b], count[a:b] + WIDTH - 1)].tobytes()
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[a])], pa.int32()), "pack": [pack.number], "n": pa.array([b - a], pa.int32()), "data": [_zip(count[a:b].astype(np.int32), first[a:b])], "texts": [zstandard.compress(texts, 1)]})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array([int(bucket[a])], pa.int32()), "pack": [pack.number], "n": pa.array([b - a], pa.int32()),
+                        "data": [_zip(count[a:b].astype(np.int32), first[a:b])], "texts": [zstandard.compress(texts, 1)]
+                    }
+                )
 
     judged = packs.join(gathered(known, "known_phrases"), "pack", "left")
     asked = judged.mapInArrow(strings, "bucket int, pack long, n int, data binary, texts binary")
@@ -347,7 +360,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "kept", "spans"],
                 )
 
-    return judged.join(gathered(repeated, "known_strings"), "pack", "left").mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, length: long>>")
+    return judged.join(gathered(repeated, "known_strings"), "pack", "left").mapInArrow(
+        cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, length: long>>"
+    )
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,10 @@ from .shared import let, written
 
 CALLS = "array<struct<id: string, name: string, arguments: variant, after: array<string>>>"
 #: What a schema may say of a value, and what is only said about it.
-CHECKED = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems", "maxItems", "items", "properties", "required", "additionalProperties"}
+CHECKED = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems",
+    "maxItems", "items", "properties", "required", "additionalProperties"
+}
 REMARKS = {"title", "description", "default", "examples", "deprecated", "format", "$schema", "$id", "$comment"}
 NODES = (
     "tool string, path string, inner boolean, kinds array<string>, options array<string>, least double, most double, over double, under double, shortest long, longest long,"
@@ -47,7 +50,11 @@ def _number(token: Column) -> Column:
     size = lambda x: F.length(x)
     bare = F.regexp_replace(token, "^-", "")
     mantissa = F.regexp_extract(bare, "^[0-9.]*", 0)
-    parts = F.struct(F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"), F.when(F.contains(mantissa, F.lit(".")), F.split_part(mantissa, F.lit("."), F.lit(2))).otherwise("").alias("rest"), F.coalesce(F.regexp_extract(bare, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("e"))
+    parts = F.struct(
+        F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"),
+        F.when(F.contains(mantissa, F.lit(".")), F.split_part(mantissa, F.lit("."), F.lit(2))).otherwise("").alias("rest"),
+        F.coalesce(F.regexp_extract(bare, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("e")
+    )
 
     def shaped(p: Column) -> Column:
         all_digits = F.concat(p.whole, p.rest)
@@ -57,7 +64,10 @@ def _number(token: Column) -> Column:
     def form(x: Column) -> Column:
         d, n, k = x.d, x.n, size(x.d)
         plain = F.when(n >= k, F.rpad(d, n, "0")).otherwise(F.concat(F.substring(d, F.lit(1), n), F.lit("."), F.substring(d, n + 1, k)))
-        wide = F.concat(F.substring(d, F.lit(1), F.lit(1)), F.when(k > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), k))).otherwise(""), F.when(n > 0, "e+").otherwise("e-"), F.abs(n - 1).cast("string"))
+        wide = F.concat(
+            F.substring(d, F.lit(1), F.lit(1)), F.when(k > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), k))).otherwise(""),
+            F.when(n > 0, "e+").otherwise("e-"), F.abs(n - 1).cast("string")
+        )
         text = F.when((n > 0) & (n <= 21), plain).when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), d)).otherwise(wide)
         return F.when(d == "", "0").otherwise(F.concat(F.when(F.startswith(token, F.lit("-")), "-").otherwise(""), text))
 
@@ -146,7 +156,12 @@ def argument_errors(calls: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
     def opened(level: DataFrame) -> DataFrame:
         met = level.withColumn("kind", F.expr(_kind("v"))).withColumn("plain", F.when(F.col("options").isNotNull(), canonical_text(F.to_json("v"))))
-        return met.withColumns({"fields": F.expr("CASE WHEN kind = 'object' THEN cast(v AS map<string, variant>) END"), "elements": F.expr("CASE WHEN kind = 'array' THEN cast(v AS array<variant>) END")})
+        return met.withColumns(
+            {
+                "fields": F.expr("CASE WHEN kind = 'object' THEN cast(v AS map<string, variant>) END"),
+                "elements": F.expr("CASE WHEN kind = 'array' THEN cast(v AS array<variant>) END")
+            }
+        )
 
     top = calls.select("row", F.col("name").alias("tool"), F.lit("").alias("path"), F.lit("").alias("at"), F.try_parse_json("arguments").alias("v"))
     top = opened(top.join(nodes.where("path = ''").drop("path"), "tool", "left"))
@@ -165,13 +180,33 @@ def argument_errors(calls: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
 def _items(messages: DataFrame) -> DataFrame:
     """A row for each plain message, call and result, as a written table; row is unique."""
-    m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    m = messages.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
+        F.col("text").cast("string").alias("text")
+    )
     m = m.withColumn("body", F.when(F.col("role").isin("assistant", "tool") & F.startswith(F.ltrim("text"), F.lit("{")), F.try_parse_json(canonical_text(F.col("text")))))
-    m = m.withColumns({"calls": F.expr(f"CASE WHEN role = 'assistant' THEN try_variant_get(body, '$.tool_calls', '{CALLS}') END"), "answers": F.expr("CASE WHEN role = 'tool' THEN try_variant_get(body, '$.tool_call_id', 'string') END")})
+    m = m.withColumns(
+        {
+            "calls": F.expr(f"CASE WHEN role = 'assistant' THEN try_variant_get(body, '$.tool_calls', '{CALLS}') END"),
+            "answers": F.expr("CASE WHEN role = 'tool' THEN try_variant_get(body, '$.tool_call_id', 'string') END")
+        }
+    )
     base = ["conv_id", "turn", "role"]
     no = {"name": F.lit(None).cast("string"), "arguments": F.lit(None).cast("variant"), "after": F.lit(None).cast("array<string>")}
-    calls = m.where("size(calls) > 0").select(*base, F.posexplode("calls").alias("part", "c")).select(*base, F.col("part").cast("long").alias("part"), F.lit("call").alias("kind_of"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.expr("CASE WHEN c.arguments IS NOT NULL AND schema_of_variant(c.arguments) = 'STRING' THEN try_parse_json(cast(c.arguments AS string)) ELSE c.arguments END").alias("arguments"), F.col("c.after").alias("after"), F.lit(None).cast("variant").alias("content"), F.lit(None).cast("string").alias("text"))
-    rest = m.where("coalesce(size(calls), 0) <= 0").select(*base, F.lit(0).cast("long").alias("part"), F.when(F.col("answers").isNotNull(), "result").otherwise("message").alias("kind_of"), F.col("answers").alias("call_id"), *(c.alias(n) for n, c in no.items()), F.expr("CASE WHEN answers IS NOT NULL THEN try_variant_get(body, '$.content', 'variant') END").alias("content"), F.expr("CASE WHEN answers IS NULL THEN text END").alias("text"))
+    calls = m.where("size(calls) > 0").select(*base, F.posexplode("calls").alias("part", "c")).select(
+        *base, F.col("part").cast("long").alias("part"), F.lit("call").alias("kind_of"), F.col("c.id").alias("call_id"),
+        F.col("c.name").alias("name"),
+        F.expr(
+            "CASE WHEN c.arguments IS NOT NULL AND schema_of_variant(c.arguments) = 'STRING' THEN try_parse_json(cast(c.arguments AS string)) ELSE c.arguments END"
+        ).alias("arguments"),
+        F.col("c.after").alias("after"), F.lit(None).cast("variant").alias("content"), F.lit(None).cast("string").alias("text")
+    )
+    rest = m.where("coalesce(size(calls), 0) <= 0").select(
+        *base, F.lit(0).cast("long").alias("part"), F.when(F.col("answers").isNotNull(), "result").otherwise("message").alias("kind_of"),
+        F.col("answers").alias("call_id"), *(c.alias(n) for n, c in no.items()),
+        F.expr("CASE WHEN answers IS NOT NULL THEN try_variant_get(body, '$.content', 'variant') END").alias("content"),
+        F.expr("CASE WHEN answers IS NULL THEN text END").alias("text")
+    )
     both = calls.unionByName(rest)
     call = F.to_json(F.struct("arguments", F.col("call_id").alias("id"), F.lit("call").alias("kind"), "name", "role", "turn"))
     result = F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("result").alias("kind"), "role", "turn"))
@@ -192,15 +227,25 @@ def _moved(items: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     their places are placed, round by round, until none is: what is left is in or behind a ring, keeps its place, and is marked cyclic. So rounds grow only with the
     longest chain of calls that each need several others.
     """
-    first = items.alias("i").join(keys.alias("k"), F.col("i.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("i.call_id") == F.col("k.call_id"))).where("i.kind = 'call' AND i.row = k.call_row AND size(i.after) > 0")
+    first = items.alias("i").join(
+        keys.alias("k"), F.col("i.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("i.call_id") == F.col("k.call_id"))
+    ).where("i.kind = 'call' AND i.row = k.call_row AND size(i.after) > 0")
     wanted = written(first.select("i.conv_id", "i.row", "i.turn", F.explode(F.array_distinct("i.after")).alias("dep")), "wanted")
-    found = wanted.alias("w").join(keys.alias("k"), F.col("w.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("w.dep") == F.col("k.call_id")) & F.col("k.call_row").isNotNull(), "left")
-    found = written(found.select("w.conv_id", "w.row", "w.turn", F.col("k.call_row").alias("d"), F.col("k.call_turn").alias("d_turn"), F.col("k.result_turn").alias("r_turn")), "dependencies")
+    found = wanted.alias("w").join(
+        keys.alias("k"), F.col("w.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("w.dep") == F.col("k.call_id")) & F.col("k.call_row").isNotNull(),
+        "left"
+    )
+    found = written(
+        found.select("w.conv_id", "w.row", "w.turn", F.col("k.call_row").alias("d"), F.col("k.call_turn").alias("d_turn"), F.col("k.result_turn").alias("r_turn")),
+        "dependencies"
+    )
     missing = written(found.where("d IS NULL").groupBy(F.col("row").alias("call_row")).agg(F.count("*").alias("n_missing")), "missing")
     edges = found.where("d IS NOT NULL")
     late = edges.where("greatest(d_turn, r_turn) >= turn").select(F.col("conv_id").alias("c")).distinct()
     edges = edges.join(written(late, "late"), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    step = F.expr("CASE WHEN r_turn IS NULL THEN struct(turn AS t, 1L AS k, 0L AS c) WHEN r_turn >= turn THEN struct(r_turn AS t, 2L AS k, 1L AS c) ELSE struct(turn AS t, 2L AS k, 0L AS c) END")
+    step = F.expr(
+        "CASE WHEN r_turn IS NULL THEN struct(turn AS t, 1L AS k, 0L AS c) WHEN r_turn >= turn THEN struct(r_turn AS t, 2L AS k, 1L AS c) ELSE struct(turn AS t, 2L AS k, 0L AS c) END"
+    )
     edges = written(edges.select("row", "d", "turn", "d_turn", step.alias("f")), "edges")
     none = edges.sparkSession.range(0).select(F.col("id").alias("call_row"), F.col("id").alias("ready"), F.col("id").alias("depth"), F.lit(False).alias("cyclic"))
     if edges.isEmpty():
@@ -221,7 +266,10 @@ def _moved(items: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     span, n = 1, chain.count()
     while True:
         ahead = chain.select(F.col("row").alias("to"), F.col("to").alias("next"), F.col("f").alias("g"))
-        jumped = chain.join(ahead, "to", "left").select("row", F.coalesce("next", "to").alias("to"), F.when(F.col("g").isNull(), F.col("f")).otherwise(F.expr(after("f", "g"))).alias("f"), F.col("g").isNotNull().alias("moving"))
+        jumped = chain.join(ahead, "to", "left").select(
+            "row", F.coalesce("next", "to").alias("to"), F.when(F.col("g").isNull(), F.col("f")).otherwise(F.expr(after("f", "g"))).alias("f"),
+            F.col("g").isNotNull().alias("moving")
+        )
         jumped, span = written(jumped, "chains"), 2 * span
         chain = jumped.drop("moving")
         if span > 2 * n or jumped.where("moving").isEmpty():
@@ -229,12 +277,16 @@ def _moved(items: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     still = jumped.where("moving").select("row")  # after so many rounds, on or behind a ring of such calls
     chain = written(chain.join(still, "row", "left_anti"), "chains")
     roots = chain.select(F.col("row").alias("d"), "to", F.col("f").alias("g"))
-    several = several.join(roots, "d", "left").select("row", F.coalesce("to", "d").alias("d"), F.when(F.col("g").isNull(), F.col("f")).otherwise(F.expr(after("f", "g"))).alias("f"), "needs")
+    several = several.join(roots, "d", "left").select(
+        "row", F.coalesce("to", "d").alias("d"), F.when(F.col("g").isNull(), F.col("f")).otherwise(F.expr(after("f", "g"))).alias("f"), "needs"
+    )
     several = written(several, "several")
     starts = edges.select(F.col("d").alias("node"), F.col("d_turn").alias("ready")).distinct().join(wide.select(F.col("row").alias("node")), "node", "left_anti")
     placed = written(starts.withColumn("depth", F.lit(0).cast("long")), "placed")
     while True:
-        new = several.join(placed, F.col("d") == F.col("node")).groupBy("row").agg(F.max(F.expr(put("f"))).alias("x"), F.count("*").alias("n"), F.first("needs").alias("needs")).where("n = needs")
+        new = several.join(placed, F.col("d") == F.col("node")).groupBy("row").agg(
+            F.max(F.expr(put("f"))).alias("x"), F.count("*").alias("n"), F.first("needs").alias("needs")
+        ).where("n = needs")
         new = written(new.select(F.col("row").alias("node"), "x.*").join(placed.select("node"), "node", "left_anti"), "placed")
         if new.isEmpty():
             break
@@ -243,7 +295,10 @@ def _moved(items: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_placed = placed.withColumnRenamed("node", "row").join(wide.select("row"), "row", "left_semi").union(by_chain)
     now = turns.join(all_placed, "row", "left").where("ready IS NULL OR ready != turn OR depth != 0")
     cyclic = F.col("ready").isNull()
-    return written(now.select(F.col("row").alias("call_row"), F.coalesce("ready", "turn").alias("ready"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), cyclic.alias("cyclic")), "moved"), missing
+    return written(
+        now.select(F.col("row").alias("call_row"), F.coalesce("ready", "turn").alias("ready"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), cyclic.alias("cyclic")),
+        "moved"
+    ), missing
 
 
 def _answered() -> str:
@@ -272,12 +327,26 @@ def link_tools(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     items = _items(messages)
     errors = argument_errors(items.where("kind = 'call'").select("row", "name", "arguments"), tools)
     place = F.struct("turn", "part", "row")
-    keys = items.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.when(F.col("kind") == "call", place)).alias("c"), F.min(F.when(F.col("kind") == "result", place)).alias("r"))
-    keys = written(keys.select("conv_id", "call_id", F.col("c.row").alias("call_row"), F.col("c.turn").alias("call_turn"), F.col("r.row").alias("result_row"), F.col("r.turn").alias("result_turn")), "keys")
+    keys = items.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
+        F.min(F.when(F.col("kind") == "call", place)).alias("c"), F.min(F.when(F.col("kind") == "result", place)).alias("r")
+    )
+    keys = written(
+        keys.select(
+            "conv_id", "call_id", F.col("c.row").alias("call_row"), F.col("c.turn").alias("call_turn"), F.col("r.row").alias("result_row"),
+            F.col("r.turn").alias("result_turn")
+        ),
+        "keys"
+    )
     moved, missing = _moved(items, keys)
-    named = items.drop("after", "name", "arguments").join(written(errors, "errors"), "row", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))).join(keys.withColumnRenamed("conv_id", "c2").withColumnRenamed("call_id", "i2"), F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("call_id") == F.col("i2")), "left")
+    named = items.drop("after", "name", "arguments").join(written(errors, "errors"), "row", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))).join(
+        keys.withColumnRenamed("conv_id", "c2").withColumnRenamed("call_id", "i2"),
+        F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("call_id") == F.col("i2")), "left"
+    )
     call, result, own = F.col("kind") == "call", F.col("kind") == "result", F.col("row")
-    status = F.when(call, F.when(F.coalesce(own != F.col("call_row"), F.lit(False)), "duplicate").when(F.col("call_row").isNull() | F.col("result_row").isNull(), "unanswered").otherwise("linked"))
+    status = F.when(
+        call,
+        F.when(F.coalesce(own != F.col("call_row"), F.lit(False)), "duplicate").when(F.col("call_row").isNull() | F.col("result_row").isNull(), "unanswered").otherwise("linked")
+    )
     status = status.when(result, F.when(F.col("call_row").isNull(), "orphan").when(own != F.col("result_row"), "repeated").otherwise("linked")).otherwise("plain")
     named = named.withColumn("status", status).withColumn("of", F.when(F.col("status") != "duplicate", F.col("call_row")))
     if moved.isEmpty():
@@ -288,7 +357,10 @@ def link_tools(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         placed = placed.withColumn("n_missing", F.lit(0).cast("long"))
     else:
         placed = placed.join(missing.withColumnRenamed("call_row", "row"), "row", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
-    calls_place = F.struct(F.coalesce("ready", F.when(F.col("of").isNotNull(), F.col("call_turn")), "turn").alias("ready"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+    calls_place = F.struct(
+        F.coalesce("ready", F.when(F.col("of").isNotNull(), F.col("call_turn")), "turn").alias("ready"),
+        F.coalesce("depth", F.lit(0).cast("long")).alias("depth")
+    )
     placed = placed.withColumn("at", calls_place).drop("ready", "depth").select("*", "at.*").withColumn("r_turn", F.when(result & F.col("of").isNotNull(), F.col("turn")))
     return placed.withColumn("last", F.expr(_answered())).select(
         "conv_id", "turn", "part", "role", "kind", "call_id", "status", F.array_join("errors", ",").alias("errors"), "n_missing", F.col("last.ready").alias("ready"), F.col("last.depth").alias("depth"),
@@ -297,7 +369,12 @@ def link_tools(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
 
 #: The tool that plain conversations are read as calls of.
-REPLY = {"reply": {"type": "object", "properties": {"question": {"type": "string", "maxLength": 300}, "turn": {"type": "integer"}}, "required": ["question", "turn"], "additionalProperties": False}}
+REPLY = {
+    "reply": {
+        "type": "object", "properties": {"question": {"type": "string", "maxLength": 300}, "turn": {"type": "integer"}},
+        "required": ["question", "turn"], "additionalProperties": False
+    }
+}
 
 
 def as_tool_dialogs(conversations: DataFrame) -> DataFrame:
@@ -308,7 +385,9 @@ def as_tool_dialogs(conversations: DataFrame) -> DataFrame:
     call_id = lambda back: F.concat_ws("-", "conv_id", F.col("turn") - back)
     after = F.when(F.col("conv_id") % 5 == 0, F.array(call_id(-2))).when(F.col("turn") >= 2, F.array(call_id(2))).otherwise(F.array().cast("array<string>"))
     call = F.struct(call_id(0).alias("id"), F.lit("reply").alias("name"), F.struct(F.col("text").alias("question"), "turn").alias("arguments"), after.alias("after"))
-    text = F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(F.col("role") == "assistant", F.to_json(F.struct(call_id(1).alias("tool_call_id"), F.col("text").alias("content")))).otherwise(F.col("text"))
+    text = F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(
+        F.col("role") == "assistant", F.to_json(F.struct(call_id(1).alias("tool_call_id"), F.col("text").alias("content")))
+    ).otherwise(F.col("text"))
     role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
     return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
 

@@ -51,7 +51,13 @@ def _blocks(most: int, index: bool):
             width = 2 if most_value < 1 << 15 else 4 if most_value < 1 << 31 else 8
             posts = np.argsort(x.T, axis=1, kind="stable").astype(np.uint16).tobytes() if index else b""
             number += 1
-            return pa.RecordBatch.from_pydict({"block": pa.array([number - 1], pa.int64()), "dims": pa.array([dims], pa.int32()), "width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "nulls": [nulls.tobytes()], "rows": [np.array([r for r, _, _ in held], np.int64).tobytes()], "vectors": [x.astype(f"i{width}").tobytes()], "postings": [posts]})
+            return pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([number - 1], pa.int64()), "dims": pa.array([dims], pa.int32()), "width": pa.array([width], pa.int32()),
+                    "ids": [ids.tobytes()], "nulls": [nulls.tobytes()], "rows": [np.array([r for r, _, _ in held], np.int64).tobytes()],
+                    "vectors": [x.astype(f"i{width}").tobytes()], "postings": [posts]
+                }
+            )
 
         for batch in batches:
             for r in zip(batch.column("row").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist()):
@@ -154,7 +160,10 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
                     at = segments.top(q, k, places.get(row, -1))
                     scores = segments.x[at] @ q
                     best = at[np.lexsort((numbers["rows"][at], numbers["ids"][at], nulls[at], -scores))[:k]]
-                    hits += [(row, None if no_id else query_id, None if none else i, s) for i, none, s in zip(numbers["ids"][best].tolist(), nulls[best].tolist(), (segments.x[best] @ q).tolist())]
+                    hits += [
+                        (row, None if no_id else query_id, None if none else i, s) for i, none,
+                        s in zip(numbers["ids"][best].tolist(), nulls[best].tolist(), (segments.x[best] @ q).tolist())
+                    ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*hits) if hits else ((),) * 4)], ["query_row", "query_id", "vec_id", "score"])
 
     hits = index.join(asked, "part").drop("part").mapInArrow(run, HITS)

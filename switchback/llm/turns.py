@@ -185,31 +185,61 @@ class Repair:
         self.rows = placed_turns(turns)
         visible = F.rtrim("text", F.lit(SPACES))
         firsts = self.rows.groupBy("conv_id", "role", F.sha2("text", 256)).agg(F.min("place").alias("place")).select("place", F.lit(True).alias("first"))
-        marked = self.rows.select("place", "conv_id", "n", F.substring("role", 1, 1).alias("initial"), (F.length(visible) == 0).alias("blank"), F.substring(visible, -1, 1).isin(".", "!", "?").alias("ends"))
+        marked = self.rows.select(
+            "place", "conv_id", "n", F.substring("role", 1, 1).alias("initial"), (F.length(visible) == 0).alias("blank"),
+            F.substring(visible, -1, 1).isin(".", "!", "?").alias("ends")
+        )
         marked = marked.join(firsts, "place", "left")
         new = ~F.col("blank") & F.col("first").isNotNull()
         role = 3 * F.when(F.col("initial") == "s", 0).when(F.col("initial") == "u", 1).when(F.col("initial") == "a", 2).otherwise(3)
         letter = lambda fault: F.substring(F.lit(LETTERS), role + fault + 1, F.lit(1))
         # further rows that are equal in all are duplicates, or blank
-        letters = F.concat(F.when(new, F.when(F.col("ends"), letter(F.lit(0))).otherwise(letter(F.lit(1)))).otherwise(letter(F.lit(2))), F.repeat(letter(F.lit(2)), (F.col("n") - 1).cast("int")))
-        self.marks = written(marked.select("place", "conv_id", "n", "blank", (~F.col("blank")).cast("long").alias("said"), new.alias("new"), (new & ~F.col("ends")).alias("truncated"), letters.alias("letters")), "marks")
+        letters = F.concat(
+            F.when(new, F.when(F.col("ends"), letter(F.lit(0))).otherwise(letter(F.lit(1)))).otherwise(letter(F.lit(2))),
+            F.repeat(letter(F.lit(2)), (F.col("n") - 1).cast("int"))
+        )
+        self.marks = written(
+            marked.select(
+                "place", "conv_id", "n", "blank", (~F.col("blank")).cast("long").alias("said"), new.alias("new"),
+                (new & ~F.col("ends")).alias("truncated"), letters.alias("letters")
+            ),
+            "marks"
+        )
         stretches = self.marks.groupBy("conv_id", F.shiftright("place", STRETCH)).agg(F.min("place").alias("at"), _in_order("place", "letters").alias("found"))
-        stretches = written(stretches.select("conv_id", "at", F.array_join(F.col("found.letters"), "").alias("letters"), F.transform("found", lambda x: F.struct(x.place.alias("place"), F.length(x.letters).alias("n"), F.substring(x.letters, 1, 1).isin("a", "b", "c").alias("system"))).alias("turns")), "stretches")
+        stretches = written(
+            stretches.select(
+                "conv_id", "at", F.array_join(F.col("found.letters"), "").alias("letters"),
+                F.transform(
+                    "found",
+                    lambda x: F.struct(x.place.alias("place"), F.length(x.letters).alias("n"), F.substring(x.letters, 1, 1).isin("a", "b", "c").alias("system"))
+                ).alias("turns")
+            ),
+            "stretches"
+        )
         listed = stretches.select("conv_id", "at", _transfer("letters").alias("transfer")).groupBy("conv_id").agg(_in_order("at", "transfer").alias("found"))
         self.whole = written(listed.select("conv_id", F.col("found.at").alias("ats"), _ends(F.col("found.transfer")).alias("end")).select("conv_id", "ats", "end.*"), "ends")
-        ends = self.whole.select(F.posexplode(F.arrays_zip("ats", "ends")).alias("i", "x"), F.size("ats").alias("of")).select(F.col("x.ats").alias("at"), F.col("x.ends").alias("end"), (F.col("i") == 0).alias("first"), (F.col("i") == F.col("of") - 1).alias("last"))
+        ends = self.whole.select(F.posexplode(F.arrays_zip("ats", "ends")).alias("i", "x"), F.size("ats").alias("of")).select(
+            F.col("x.ats").alias("at"), F.col("x.ends").alias("end"), (F.col("i") == 0).alias("first"), (F.col("i") == F.col("of") - 1).alias("last")
+        )
         solved = stretches.join(ends, "at").select("conv_id", "at", "turns", _solve("letters", "end", "first", "last").alias("found"))
         solved = written(solved.select("conv_id", "at", "turns", "found.*"), "solved")
-        starts = solved.groupBy("conv_id").agg(_in_order("at", "roles").alias("found")).select(F.explode(F.arrays_zip(F.col("found.at").alias("at"), _starts(F.col("found.roles")).alias("role"))).alias("x"))
+        starts = solved.groupBy("conv_id").agg(_in_order("at", "roles").alias("found")).select(
+            F.explode(F.arrays_zip(F.col("found.at").alias("at"), _starts(F.col("found.roles")).alias("role"))).alias("x")
+        )
         starts = starts.select(F.col("x.at").alias("at"), F.col("x.role").alias("before"))
-        self.stretches = written(solved.join(starts, "at").select("conv_id", "at", "turns", F.col("before").cast("int").alias("before"), F.get("audits", F.col("before").cast("int")).alias("audit")), "edits")
+        self.stretches = written(
+            solved.join(starts, "at").select("conv_id", "at", "turns", F.col("before").cast("int").alias("before"), F.get("audits", F.col("before").cast("int")).alias("audit")),
+            "edits"
+        )
 
     def summary(self) -> DataFrame:
         """conv_id, gaps, blank, duplicate, truncated, illegal, cost (longs) and audit of every conversation."""
         turns = self.rows.groupBy("conv_id").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long").alias("gaps"))
         count = lambda x, name: F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(name)
         n, blank, new = F.col("n"), F.col("blank"), F.col("new")
-        faults = self.marks.groupBy("conv_id").agg(count(F.when(blank, n), "blank"), count(F.when(~blank, n - new.cast("long")), "duplicate"), count(F.col("truncated"), "truncated"))
+        faults = self.marks.groupBy("conv_id").agg(
+            count(F.when(blank, n), "blank"), count(F.when(~blank, n - new.cast("long")), "duplicate"), count(F.col("truncated"), "truncated")
+        )
         audits = self.stretches.groupBy("conv_id").agg(F.array_join(_in_order("at", "audit")["audit"], "").alias("audit"))
         parts = [turns, faults, self.whole.select("conv_id", "illegal", "cost"), audits]
         joined = parts[0]
@@ -278,7 +308,10 @@ def damaged(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fault.alias("fault")).where("fault != 0")
     role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
     text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+    return rows.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")
+    ).drop("copy")
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +320,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repair = Repair(damaged(turns))
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     every = turns.select("conv_id").distinct().unionByName(repair.summary(), allowMissingColumns=True).unionByName(digests(repair.turns()), allowMissingColumns=True)
-    found = every.groupBy("conv_id").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in numbers), F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.max("repaired_sha256").alias("sha"))
+    found = every.groupBy("conv_id").agg(
+        *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in numbers), F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.max("repaired_sha256").alias("sha")
+    )
     return found.select("conv_id", *numbers, "audit", F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 

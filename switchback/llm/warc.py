@@ -43,7 +43,11 @@ def safe_url(url: Column) -> Column:
 
 def _record(url: str | None, page_id: int | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Payload-Digest: sha256:{digest}"
+    ]
     if url is not None:
         head.append(f"WARC-Target-URI: {url}")
     if refers_to is not None:
@@ -69,7 +73,11 @@ def parse_record(data: bytes) -> dict:
     response = fields["WARC-Type"] == "response"
     if response and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']}: its payload does not have its digest")
-    return {"url": fields.get("WARC-Target-URI"), "page_id": page(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "payload": payload if response else None, "payload_bytes": size, "payload_digest": digest, "refers_to": None if response else page(fields["WARC-Refers-To"])}
+    return {
+        "url": fields.get("WARC-Target-URI"), "page_id": page(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"],
+        "payload": payload if response else None, "payload_bytes": size, "payload_digest": digest,
+        "refers_to": None if response else page(fields["WARC-Refers-To"])
+    }
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -86,7 +94,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     responses. Rows without page_id are revisits where their payload has a smallest page_id, else responses. Each task writes its own files of about most_bytes, under
     names that no other attempt has, so a lost attempt's file is in no index. Returns the index entries (key, page_id, file, offset, length), as a written table.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), safe_url(F.col("url").cast("string")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    p = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), safe_url(F.col("url").cast("string")).alias("url"),
+        F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")
+    )
     p = p.withColumns({"digest": F.sha2("payload", 256), "key": url_key(F.col("url"))})
     large = written(p.where(F.length("payload") >= LEAST_SHARED).select("digest", "page_id", "url"), "digests")
     first = written(large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n"), "payloads")
@@ -230,7 +241,9 @@ def read_captures(wanted: DataFrame, shards: list[tuple], index: str, archives:
                     f.close()
                 yield _batch(rows, RECORDS)
 
-    return wanted.select("key", F.col("page_id").cast("long").alias("page_id")).distinct().repartitionByRange(tasks or wanted.sparkSession.sparkContext.defaultParallelism, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, RECORDS)
+    return wanted.select("key", F.col("page_id").cast("long").alias("page_id")).distinct().repartitionByRange(
+        tasks or wanted.sparkSession.sparkContext.defaultParallelism, "key", "page_id"
+    ).sortWithinPartitions("key", "page_id").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

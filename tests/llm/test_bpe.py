@@ -10,7 +10,10 @@ from switchback.llm.bpe import Coder, build_lexicon, encode_decode, frequent_wor
 from switchback.llm.lexicon import Lexicon, compile_lexicon
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-PARTS = ["the", "Hello", " ", "  ", "\n", "\n\n", "\t", "\r\n", "it's", "'ll", "é", "日本", "１２", "½", "x²", " ", " ", "\u0085", "\x1c", "\x1f", "​", "🙂", "<|endoftext|>", "<|endof", "12345", "###", "a_b", "Ⅷ", "क्षि", "\x00", "ß", "　", "﻿", "|", "'", "don", "t", "-", "ﬁ", "'S"]
+PARTS = [
+    "the", "Hello", " ", "  ", "\n", "\n\n", "\t", "\r\n", "it's", "'ll", "é", "日本", "１２", "½", "x²", " ", " ", "\u0085", "\x1c", "\x1f", "​", "🙂",
+    "<|endoftext|>", "<|endof", "12345", "###", "a_b", "Ⅷ", "क्षि", "\x00", "ß", "　", "﻿", "|", "'", "don", "t", "-", "ﬁ", "'S"
+]
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +91,10 @@ def test_query_matches_the_library(spark, reference):
         assert got[r.doc_id] == (len(ids), sha(",".join(map(str, ids))), sha(reference.decode(ids, skip_special_tokens=False)))
 
 
-RUNS = [" " * 1_000_000, " " * 5_000_000, "\t" * 1_000_000, "\n" * 1_000_001 + "x", " \n" * 500_000 + "end", "a" + " " * 700_001 + "<|endoftext|>" + " " * 9 + "b", "one\n\n  two\r\n\r\n three  four \n"]
+RUNS = [
+    " " * 1_000_000, " " * 5_000_000, "\t" * 1_000_000, "\n" * 1_000_001 + "x", " \n" * 500_000 + "end",
+    "a" + " " * 700_001 + "<|endoftext|>" + " " * 9 + "b", "one\n\n  two\r\n\r\n three  four \n"
+]
 
 
 def test_long_runs_of_white_space_through_spark(spark, reference):

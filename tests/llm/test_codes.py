@@ -77,7 +77,10 @@ def test_ties_repeats_and_fewer_vectors_than_entries(spark):
 
 
 def test_odd_vectors(spark):
-    rows = [(1, None, 1), (2, [1.0, None], 1), (3, [float("nan")], 1), (4, [float("inf"), 0.0], 2), (5, [], 2), (6, [0.25, -0.3, 7.0, 1.0, 2.0], None), (7, [1e9] * 4, None), (8, [-1e9, 3.5, 1e17, 2.0], 3), (9, [1.7e308], 3)]
+    rows = [
+        (1, None, 1), (2, [1.0, None], 1), (3, [float("nan")], 1), (4, [float("inf"), 0.0], 2), (5, [], 2), (6, [0.25, -0.3, 7.0, 1.0, 2.0], None),
+        (7, [1e9] * 4, None), (8, [-1e9, 3.5, 1e17, 2.0], 3), (9, [1.7e308], 3)
+    ]
     assert run(spark, rows) == brute(rows)
     assert run(spark, rows, entries=2, rounds=2) == brute(rows, entries=2, rounds=2)
     assert run(spark, [(5, [], 2)]) == brute([(5, [], 2)])

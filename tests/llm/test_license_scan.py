@@ -26,7 +26,10 @@ def brute(text):
     base = [h for h in places if h[2] == 0]
     starts = [i for _, phrase in BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     assert sorted(starts) == sorted(h[0] for h in base)
-    return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({h[4] for h in base})), ",".join(sorted({h[4] for h in left})), max((SURE[h[2]] for h in left), default=0.0))
+    return (
+        len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({h[4] for h in base})),
+        ",".join(sorted({h[4] for h in left})), max((SURE[h[2]] for h in left), default=0.0)
+    )
 
 
 def run(spark, texts):
@@ -47,11 +50,20 @@ def test_rules_are_hundreds_and_gated():
 
 def test_matches_brute_force(spark):
     rng = random.Random(3)
-    parts = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "under the mit license", "cc by nc", "CC BY-NC-SA 4.0", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "SPDX-License-Identifier: MIT", "apache license version 2", "apache license version 20", "Copyright (c) 2020", "BSD 3-Clause", "lesser general public license v2.1", "mit", "é", "word", "\n", "under the", "2", "GPLv3", "see the LICENSE file for details", "Creative Commons Attribution-ShareAlike 4.0", "public domain", "Neither the name of the group nor the names of its contributors may be used"]
+    parts = [
+        "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "under the mit license", "cc by nc", "CC BY-NC-SA 4.0",
+        "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.",
+        "SPDX-License-Identifier: MIT", "apache license version 2", "apache license version 20", "Copyright (c) 2020", "BSD 3-Clause",
+        "lesser general public license v2.1", "mit", "é", "word", "\n", "under the", "2", "GPLv3", "see the LICENSE file for details",
+        "Creative Commons Attribution-ShareAlike 4.0", "public domain", "Neither the name of the group nor the names of its contributors may be used"
+    ]
     texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
     texts += [f"{x}{end}" for x in ("under the mit license", "MIT License", "cc by nc") for end in ("\x85", "\u2028", "\u2029", "\r\n", "\x85\n", " \u2028", "\u2029 x")]
     notice = "neither the name of {} nor the names of its contributors may be used"
-    texts += [notice.format("a " + notice.format("b")), "neither the name of a neither the name of b nor the names of its contributors may be used", notice.format("neither the name of neither the name of c"), "apache license version 2 apache license version 2 0"]
+    texts += [
+        notice.format("a " + notice.format("b")), "neither the name of a neither the name of b nor the names of its contributors may be used",
+        notice.format("neither the name of neither the name of c"), "apache license version 2 apache license version 2 0"
+    ]
     texts += [None, "", " .\n", "MIT", "under the MIT license", "Kelvin K under the MİT license", "cc by nc cc by nc cc by nc", "\U0001f600 cc by nc \U0001f600"]
     assert run(spark, texts) == [brute(t) for t in texts]
 

@@ -29,7 +29,14 @@ def table(spark, rows):
 def test_matches_brute_force(spark):
     rng = random.Random(2)
     hosts = ["a", "a", "a", "b", None, "", "c"]
-    rows = [(rng.choice(hosts), rng.choice([None, "", "\n\n", "menu\nmenu", "x"]) if rng.random() < 0.1 else "\n".join(rng.choice(["menu", "foot ", f"own {rng.random()}", "", " \t", f"word {rng.randrange(9)}", "é"]) for _ in range(rng.randrange(1, 9)))) for _ in range(400)]
+    rows = [
+        (
+            rng.choice(hosts),
+            rng.choice([None, "", "\n\n", "menu\nmenu", "x"]) if rng.random() < 0.1 else "\n".join(
+                rng.choice(["menu", "foot ", f"own {rng.random()}", "", " \t", f"word {rng.randrange(9)}", "é"]) for _ in range(rng.randrange(1, 9))
+            )
+        ) for _ in range(400)
+    ]
     rows += [("one", "menu\nmenu")] * 3 + [("tie", "t")] * 10 + [("tie", "u")] * 10
     for ratio, least in ((0.05, 10), (0.5, 3), (0.2, 10)):
         got = without_boilerplate(table(spark, rows), ratio=ratio, least_pages=least)

@@ -58,7 +58,10 @@ def test_chain_of_links_is_one_component(spark):
 
 def test_edge_texts(spark):
     long = " ".join(f"v{i % 7919}" for i in range(30000))
-    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one TWO"), (6, "one\x0btwo three"), (7, long), (8, long + " end"), (9, "É x y z"), (10, "é x y z"), (4, "One two")]
+    rows = [
+        (1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one TWO"), (6, "one\x0btwo three"), (7, long), (8, long + " end"), (9, "É x y z"),
+        (10, "é x y z"), (4, "One two")
+    ]
     assert run(spark, rows) == brute(rows, 4, 85)
 
 
@@ -111,11 +114,18 @@ def test_many_short_texts_that_share_one_phrase(spark):
 def test_one_of_each_keeps_different_texts_and_any_columns(spark):
     names = ["kept_id", "row", "id", "lo", "hi", "n", "rep", "component", "h"]
     near = [f"w{i}" for i in range(60)]
-    rows = [(7, "one text of five words"), (7, "another text with six words here"), (7, "one text of five words"), (8, "ONE text of five words"), (9, " ".join(near)), (10, " ".join([*near[:-1], "x"])), (None, "one text of five words"), (None, "lone words without an id stand"), (11, None), (11, ""), (12, " \n")]
+    rows = [
+        (7, "one text of five words"), (7, "another text with six words here"), (7, "one text of five words"), (8, "ONE text of five words"),
+        (9, " ".join(near)), (10, " ".join([*near[:-1], "x"])), (None, "one text of five words"), (None, "lone words without an id stand"),
+        (11, None), (11, ""), (12, " \n")
+    ]
     df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     got = one_of_each(df)
     assert got.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(7, "one text of five words"), (7, "another text with six words here"), (9, " ".join(near)), (None, "lone words without an id stand"), (11, None), (11, ""), (12, " \n")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(7, "one text of five words"), (7, "another text with six words here"), (9, " ".join(near)), (None, "lone words without an id stand"), (11, None), (11, ""), (12, " \n")],
+        key=str
+    )
 
 
 def test_query_matches_brute_force(spark):

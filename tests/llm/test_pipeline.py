@@ -53,7 +53,10 @@ def test_stages_match_brute_force(spark, tmp_path):
 
 
 def test_odd_rows_pass_all_stages(spark, tmp_path):
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "a b c " * 90, "en", "s", 1), (3, "", "en", "s", 0), (4, "word " * 60, "en", None, 2), (4, "word " * 60, "en", None, 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(1, None, None, None, None), (None, "a b c " * 90, "en", "s", 1), (3, "", "en", "s", 0), (4, "word " * 60, "en", None, 2), (4, "word " * 60, "en", None, 2)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0

@@ -47,7 +47,12 @@ def test_cutoffs_hold_the_risk(spark):
 
 def test_rows_of_all_kinds(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
-    docs = spark.createDataFrame([(i, good + f" n{i}", "en", "k") for i in range(3000)] + [(3000, bad, "en", "k"), (3001, bad, None, "k"), (3002, None, "en", "k"), (None, "a b " * 100, "en", "k"), (3000, bad, "en", "k")], "doc_id long, text string, lang string, kept string")
+    docs = spark.createDataFrame(
+        [(i, good + f" n{i}", "en", "k") for i in range(3000)] + [
+            (3000, bad, "en", "k"), (3001, bad, None, "k"), (3002, None, "en", "k"), (None, "a b " * 100, "en", "k"), (3000, bad, "en", "k")
+        ],
+        "doc_id long, text string, lang string, kept string"
+    )
     labels = spark.createDataFrame([(i, 1, 0) for i in range(2900)] + [(5, 0, 0), (None, 1, 0), (3000, None, 0), (3000, 1, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
     assert all(got[i].kept for i in range(3000))

@@ -100,7 +100,9 @@ def local(rows, made):
         for b in sorted(set(bucket.tolist())):
             k = np.flatnonzero(bucket == b)
             texts = b"".join(p.data[s : s + c + 49].tobytes() for s, c in zip(start[k], count[k]))
-            asked.setdefault(b, []).append({"bucket": b, "pack": p.number, "n": len(k), "data": repeats._zip(count[k].astype(np.int32), first[k]), "texts": repeats.zstandard.compress(texts)})
+            asked.setdefault(b, []).append(
+                {"bucket": b, "pack": p.number, "n": len(k), "data": repeats._zip(count[k].astype(np.int32), first[k]), "texts": repeats.zstandard.compress(texts)}
+            )
     for _, e in sorted(asked.items()):
         for r in repeats._suffixes(pa.Table.from_pylist(e)).to_pylist():
             said.setdefault(r["pack"], []).append(np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n"]].astype(bool))

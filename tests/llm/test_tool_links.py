@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from switchback.llm.tool_links import OP8_SQL, canonical, canonical_text, link_tools, op8_tool_links, schema_nodes
 
 TOOLS = {
-    "add": {"properties": {"a": {"type": "integer"}, "b": {"type": "number"}, "how": {"type": "string", "enum": ["fast", "slow"], "maxLength": 4}}, "required": ["a", "b"], "additionalProperties": False},
+    "add": {
+        "properties": {"a": {"type": "integer"}, "b": {"type": "number"}, "how": {"type": "string", "enum": ["fast", "slow"], "maxLength": 4}},
+        "required": ["a", "b"], "additionalProperties": False
+    },
     "free": {"properties": {}},
 }
 KIND = "conv_id long, turn long, role string, text string, id string, row long"
@@ -26,7 +29,10 @@ def run(spark, rows):
 def test_links_validation_and_canonical_lines(spark):
     rows = [
         (1, 0, "system", "hello {"),
-        (1, 1, "assistant", {"tool_calls": [call("x", b=2.5, a=1), call("y", a="1", c=3), call("z", name="none"), call("w", name="free", z={"b": 1, "a": [1, {"d": 1, "c": "é\n"}]}, how=None)]}),
+        (
+            1, 1, "assistant",
+            {"tool_calls": [call("x", b=2.5, a=1), call("y", a="1", c=3), call("z", name="none"), call("w", name="free", z={"b": 1, "a": [1, {"d": 1, "c": "é\n"}]}, how=None)]}
+        ),
         (1, 2, "tool", {"tool_call_id": "y", "content": {"q": 1, "p": "2"}}),
         (1, 3, "tool", {"tool_call_id": "x", "content": "12"}),
         (1, 4, "tool", {"tool_call_id": "x", "content": "again"}),
@@ -104,7 +110,11 @@ KEYWORDS = {
     "n": {"type": "number", "minimum": 5, "exclusiveMaximum": 9.5},
     "e": {"enum": [1, 2, "x", None, {"b": 1.50, "a": [True]}]},
     "s": {"type": ["string", "null"], "minLength": 2, "pattern": "^[a-c]+$"},
-    "o": {"type": "object", "properties": {"z": {"type": "string"}, "deep": {"type": "array", "items": {"type": "array", "items": {"type": "integer"}}}}, "required": ["z"], "additionalProperties": False},
+    "o": {
+        "type": "object",
+        "properties": {"z": {"type": "string"}, "deep": {"type": "array", "items": {"type": "array", "items": {"type": "integer"}}}},
+        "required": ["z"], "additionalProperties": False
+    },
     "l": {"type": "array", "items": {"const": 3}, "minItems": 1, "maxItems": 2, "description": "no more than two"},
     "no": False,
 }
@@ -117,12 +127,17 @@ KEYWORDS = {
         ({"n": 4.99}, "small:n"), ({"n": 9.5}, "large:n"), ({"n": "7"}, "type:n"), ({"n": 1e1}, "large:n"),
         ({"e": 7}, "option:e"), ({"e": {"a": [True], "b": 1.5}}, ""), ({"e": None}, ""), ({"e": "1"}, "option:e"),
         ({"s": None}, ""), ({"s": "x"}, "pattern:s,short:s"), ({"s": 3}, "type:s"),
-        ({"o": {"z": 3}}, "type:o.z"), ({"o": {"y": 1}}, "missing:o.z,unexpected:o.y"), ({"o": {"z": "", "deep": [[1], ["2", 3.5], 4]}}, "type:o.deep[1][0],type:o.deep[1][1],type:o.deep[2]"),
+        ({"o": {"z": 3}}, "type:o.z"), ({"o": {"y": 1}}, "missing:o.z,unexpected:o.y"), (
+            {"o": {"z": "", "deep": [[1], ["2", 3.5], 4]}}, "type:o.deep[1][0],type:o.deep[1][1],type:o.deep[2]"
+        ),
         ({"l": []}, "few:l"), ({"l": [3, 4, 3]}, "many:l,option:l[1]"), ({"no": 1}, "type:no"), ({"unheard": 1}, ""),
     ],
 )
 def test_schema_keywords(spark, arguments, errors):
-    df = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "t", "arguments": arguments}]}))], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(
+        [(1, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "t", "arguments": arguments}]}))],
+        "conv_id long, turn long, role string, text string"
+    )
     assert [r.errors for r in link_tools(df, {"t": {"type": "object", "properties": KEYWORDS}, **{f"other{i}": {} for i in range(1500)}}).collect()] == [errors]
 
 
@@ -133,9 +148,17 @@ def test_unknown_keywords_are_refused():
 
 
 def test_equal_numbers_have_one_text(spark):
-    same = {"1": ["1", "1.0", "1e0", "10E-1", "0.1e1"], "0": ["0", "-0", "0.0", "-0e5"], "1.5": ["1.5", "1.50", "15e-1"], "1e+21": ["1e21", "1000000000000000000000", "1000000000000000000000.0"], "-1e-7": ["-1e-7", "-0.0000001", "-0.10e-6"], "0.000001": ["1e-6", "0.0000010"], "123456789012345678901": ["123456789012345678901"], "9007199254740993": ["9007199254740993", "9007199254740993.0", "9.007199254740993e15"]}
+    same = {
+        "1": ["1", "1.0", "1e0", "10E-1", "0.1e1"], "0": ["0", "-0", "0.0", "-0e5"], "1.5": ["1.5", "1.50", "15e-1"],
+        "1e+21": ["1e21", "1000000000000000000000", "1000000000000000000000.0"], "-1e-7": ["-1e-7", "-0.0000001", "-0.10e-6"],
+        "0.000001": ["1e-6", "0.0000010"], "123456789012345678901": ["123456789012345678901"],
+        "9007199254740993": ["9007199254740993", "9007199254740993.0", "9.007199254740993e15"]
+    }
     rows = [(w, x) for w, xs in same.items() for x in xs]
-    got = spark.createDataFrame(rows, "want string, x string").select("want", canonical_text(F.col("x")).alias("got"), canonical_text(F.concat(F.lit('{"a\\\\":['), "x", F.lit(',"1.0 \\" 2e5 \\u001F"]}'))).alias("inside")).collect()
+    got = spark.createDataFrame(rows, "want string, x string").select(
+        "want", canonical_text(F.col("x")).alias("got"),
+        canonical_text(F.concat(F.lit('{"a\\\\":['), "x", F.lit(',"1.0 \\" 2e5 \\u001F"]}'))).alias("inside")
+    ).collect()
     assert all(r.got == r.want and r.inside == '{"a\\\\":[' + r.want + ',"1.0 \\" 2e5 \\u001f"]}' for r in got)
     assert [canonical(x) for x in (1.0, 1e21, -1e-7, 1.50, 10**20, 0.0, 1e-6, 12e3)] == ["1", "1e+21", "-1e-7", "1.5", "100000000000000000000", "0", "0.000001", "12000"]
     rows = [(1, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "free", "arguments": {"x": %s, "y": "1e0"}}]}' % x) for x in same["1"] + ["1.00"]]
@@ -167,7 +190,12 @@ def test_places_match_brute_force(spark):
     rng, rows, want = random.Random(6), [], {}
     for conv in range(60):
         n = rng.randrange(1, 14)
-        calls = {f"c{i}": (rng.randrange(6), [f"c{rng.randrange(n + 1)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))] if conv % 3 else [f"c{j}" for j in rng.sample(range(i), min(i, rng.choice((0, 1, 2))))]) for i in range(n)}
+        calls = {
+            f"c{i}": (
+                rng.randrange(6),
+                [f"c{rng.randrange(n + 1)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))] if conv % 3 else [f"c{j}" for j in rng.sample(range(i), min(i, rng.choice((0, 1, 2))))]
+            ) for i in range(n)
+        }
         results = {i: rng.randrange(8) for i in calls if rng.random() < 0.7}
         rows += [(conv, turn, "assistant", {"tool_calls": [call(i, "free", after=deps)]}) for i, (turn, deps) in calls.items()]
         rows += [(conv, turn, "tool", {"tool_call_id": i, "content": 1}) for i, turn in results.items()]
@@ -177,7 +205,10 @@ def test_places_match_brute_force(spark):
 
 
 def test_long_chain_and_ring(spark):
-    ring = [(1, 0, "assistant", {"tool_calls": [call(f"r{i}", "free", after=[f"r{(i + 1) % 1000}"]) for i in range(1000)]}), (1, 0, "assistant", {"tool_calls": [call("behind", "free", after=["r5"]), call("alone", "free", after=["alone"])]})]
+    ring = [
+        (1, 0, "assistant", {"tool_calls": [call(f"r{i}", "free", after=[f"r{(i + 1) % 1000}"]) for i in range(1000)]}),
+        (1, 0, "assistant", {"tool_calls": [call("behind", "free", after=["r5"]), call("alone", "free", after=["alone"])]})
+    ]
     chain = [(2, 0, "assistant", {"tool_calls": [call(f"k{i}", "free", after=[f"k{i + 1}"] if i < 999 else []) for i in range(1000)]})]
     got = run(spark, ring + chain)
     assert all(r.cyclic for r in got if r.conv_id == 1)

@@ -51,7 +51,10 @@ def test_matches_brute_force(spark, block):
 
 
 def test_edge_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, None), (200, [1.0, None]), (300, [float("nan"), 1.0]), (400, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5]), (8, [3e4, 1.0])]
+    rows = [
+        (0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, None), (200, [1.0, None]), (300, [float("nan"), 1.0]), (400, [float("inf"), 1.0]), (None, [1.0, 1.0]),
+        (7, [-1.0, 0.5]), (8, [3e4, 1.0])
+    ]
     assert run(spark, rows) == brute(rows)
     top = 2**63 - 1
     rows += [(top, [1.0, 1.0]), (top, [1.0, 1.0]), (None, [1.0, 1.0]), (-top - 1, [1.0, 1.0])]

@@ -77,7 +77,12 @@ def brute(rows, every):
 
 def odd_rows(rng, convs, turns):
     texts = ["Yes.", "no", "", " \t", "So? ", "What!\n", None, "A. ", "x" * 40 + ".", "x" * 40 + "!"]
-    return [(rng.choice([*range(convs), None]), rng.choice([*range(turns), None]), rng.choice(["user", "assistant", "system", "tool", "", None, "agent"]), rng.choice(texts)) for _ in range(convs * turns)]
+    return [
+        (
+            rng.choice([*range(convs), None]), rng.choice([*range(turns), None]),
+            rng.choice(["user", "assistant", "system", "tool", "", None, "agent"]), rng.choice(texts)
+        ) for _ in range(convs * turns)
+    ]
 
 
 def run(spark, tmp_path, rows):
@@ -96,7 +101,10 @@ def test_query_matches_all_ways(spark):
 def test_odd_rows_match_all_ways(spark, tmp_path, monkeypatch, stretch):
     monkeypatch.setattr(module, "STRETCH", stretch)
     rng = random.Random(5)
-    rows = odd_rows(rng, 12, 9) + [(77, 1, "user", None), (78, None, None, None), (79, 0, "system", "Be kind."), (79, 2**40, "user", "Hi."), (80, 1, "user", "long " * 200_000 + ".")]
+    rows = odd_rows(rng, 12, 9) + [
+        (77, 1, "user", None), (78, None, None, None), (79, 0, "system", "Be kind."), (79, 2**40, "user", "Hi."),
+        (80, 1, "user", "long " * 200_000 + ".")
+    ]
     rows += [(81, 5, "user", "Same.")] * 30
     assert run(spark, tmp_path, rows) == brute(harmed(rows), rows)
 

@@ -24,11 +24,17 @@ def expected(rows):
 
 
 def test_round_trip(spark):
-    rows = [(5, "http://a.example.com/x", BIG), (3, "http://b.example.com:8080/?q=1#f", BIG), (3, "http://b.example.com:8080/?q=1#f", BIG), (9, None, BIG), (None, "http://c.example.org", BIG), (1, "HTTP://user@Q.Example.COM/É é\r\nX: y", "short"), (2, "", "short"), (4, "no scheme", None), (6, "http://a.example.com/x", ""), (7, "u", "é" * 50), (8, "u", "é" * 49)]
+    rows = [
+        (5, "http://a.example.com/x", BIG), (3, "http://b.example.com:8080/?q=1#f", BIG), (3, "http://b.example.com:8080/?q=1#f", BIG),
+        (9, None, BIG), (None, "http://c.example.org", BIG), (1, "HTTP://user@Q.Example.COM/É é\r\nX: y", "short"), (2, "", "short"),
+        (4, "no scheme", None), (6, "http://a.example.com/x", ""), (7, "u", "é" * 50), (8, "u", "é" * 49)
+    ]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string")
     got = round_trip(df).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
-    assert {(r.page_id, bytes(r.payload).decode()) for r in got if r.record_type == "response"} == {(3, BIG), (1, "short"), (2, "short"), (4, ""), (6, ""), (7, "é" * 50), (8, "é" * 49)}
+    assert {(r.page_id, bytes(r.payload).decode()) for r in got if r.record_type == "response"} == {
+        (3, BIG), (1, "short"), (2, "short"), (4, ""), (6, ""), (7, "é" * 50), (8, "é" * 49)
+    }
     assert round_trip(df.limit(0)).collect() == []
 
 
