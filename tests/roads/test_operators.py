@@ -27,7 +27,14 @@ def test_a_road_of_sweepers(spark):
     assert r.start == 0 and r.scenery == 1 and r.hairpins == 1
 
 
-@pytest.mark.parametrize(("n", "u", "road", "want"), [(30, 0, {"ref": "D 17"}, 53), (24, 0, {"ref": "D 17"}, None), (30, 20, {"ref": "D 17"}, None), (30, 0, {"ref": None}, None), (30, 0, {"ref": None, "pass_name": "Col"}, 53), (30, 0, {"ref": "D 17", "narrow": 20}, None), (30, 0, {"has_ref": False, "name": "D 17"}, 53), (30, 0, {"has_ref": False, "road_text": "D 17"}, 53), (30, 0, {"has_ref": False, "name": "Rue"}, None)])
+@pytest.mark.parametrize(
+    ("n", "u", "road", "want"),
+    [
+        (30, 0, {"ref": "D 17"}, 53), (24, 0, {"ref": "D 17"}, None), (30, 20, {"ref": "D 17"}, None), (30, 0, {"ref": None}, None),
+        (30, 0, {"ref": None, "pass_name": "Col"}, 53), (30, 0, {"ref": "D 17", "narrow": 20}, None), (30, 0, {"has_ref": False, "name": "D 17"}, 53),
+        (30, 0, {"has_ref": False, "road_text": "D 17"}, 53), (30, 0, {"has_ref": False, "name": "Rue"}, None)
+    ]
+)
 def test_best_bit_conditions(spark, n, u, road, want):
     full = {"road": "a", "pass_name": None, "has_ref": True, "ref": None, "name": None, "road_text": None, "narrow": None} | road
     roads = spark.createDataFrame([tuple(full.values())], "road string, pass_name string, has_ref boolean, ref string, name string, road_text string, narrow int")
@@ -113,7 +120,11 @@ WAY = "way long, nodes array<long>, key string, dx0 double, dy0 double, dx1 doub
 
 
 def test_ways_join_and_rings_are_cut(spark):
-    rows = [(1, [10, 11, 12], "A", -1.0, 0.0, 1.0, 0.0), (2, [14, 13, 12], "B", 1.0, 0.0, -1.0, 0.0), (3, [14, 15], None, 0.0, 0.0, 0.0, 0.0), (7, [20, 21], None, 0.0, 0.0, 0.0, 0.0), (5, [21, 22], None, 0.0, 0.0, 0.0, 0.0), (6, [22, 20], None, 0.0, 0.0, 0.0, 0.0), (8, [30, 30], "L", 0.0, 0.0, 0.0, 0.0)]
+    rows = [
+        (1, [10, 11, 12], "A", -1.0, 0.0, 1.0, 0.0), (2, [14, 13, 12], "B", 1.0, 0.0, -1.0, 0.0), (3, [14, 15], None, 0.0, 0.0, 0.0, 0.0),
+        (7, [20, 21], None, 0.0, 0.0, 0.0, 0.0), (5, [21, 22], None, 0.0, 0.0, 0.0, 0.0), (6, [22, 20], None, 0.0, 0.0, 0.0, 0.0),
+        (8, [30, 30], "L", 0.0, 0.0, 0.0, 0.0)
+    ]
     ways = spark.createDataFrame(rows, WAY)
     got = sorted(map(tuple, chains.chained(ways.select("way"), chains.pairs(ways)).collect()))
     assert got == [(1, 1, 0, False), (2, 1, 1, True), (3, 1, 2, False), (5, 5, 0, False), (6, 5, 1, False), (7, 5, 2, False), (8, 8, 0, False)]
@@ -133,7 +144,13 @@ def ride(spark, lat, offset, axis, n=201):
     return spatial.ridden_roads(coords, track).first().ridden
 
 
-@pytest.mark.parametrize(("lat", "offset", "axis", "n", "want"), [(46.0, 0, "lat", 201, True), (46.0, 11, "lon", 201, True), (46.0, -34, "lat", 201, True), (46.0, 40, "lat", 201, False), (46.0, 0, "lat", 60, False), (80.0, 34, "lat", 201, True), (80.0, 34, "lon", 201, True)])
+@pytest.mark.parametrize(
+    ("lat", "offset", "axis", "n", "want"),
+    [
+        (46.0, 0, "lat", 201, True), (46.0, 11, "lon", 201, True), (46.0, -34, "lat", 201, True), (46.0, 40, "lat", 201, False),
+        (46.0, 0, "lat", 60, False), (80.0, 34, "lat", 201, True), (80.0, 34, "lon", 201, True)
+    ]
+)
 def test_rides(spark, lat, offset, axis, n, want):
     assert ride(spark, lat, offset, axis, n) is want
 
@@ -160,7 +177,10 @@ def test_areas_merge(spark):
 def test_unknown_coverage_hides_nothing(spark):
     tiles = spark.createDataFrame([("base", 0, "t", 7.0, 46.0)], "road_id string, ord long, name string, lon double, lat double")
     area = spark.createDataFrame([(0, False, (45.0, 6.0, 47.0, 8.0))], f"area_ord int, complete boolean, box {BOX}")
-    own = spark.createDataFrame([(0, "legacy", 0, "a", 7.0, 46.0), (0, "base", 1, "other", 7.0, 46.0)], "area_ord int, road_id string, ord long, name string, lon double, lat double")
+    own = spark.createDataFrame(
+        [(0, "legacy", 0, "a", 7.0, 46.0), (0, "base", 1, "other", 7.0, 46.0)],
+        "area_ord int, road_id string, ord long, name string, lon double, lat double"
+    )
     assert sorted((r.road_id, r.name) for r in sets.collect_roads(tiles, area, own).collect()) == [("base", "t"), ("legacy", "a")]
     assert sorted((r.road_id, r.name) for r in sets.collect_roads(tiles, area.withColumn("complete", F.lit(True)), own).collect()) == [("base", "other"), ("legacy", "a")]
 
@@ -203,14 +223,20 @@ def test_png_kinds_and_terrain_files(spark, tmp_path):
 
 def test_gpx(spark):
     pt = '<trkpt lat="46.0" lon="{}"><ele>1</ele></trkpt>'
-    texts = [("a/Ride.GPX", "<gpx><trk><trkseg>" + "".join(pt.format(7 + 0.00007 * k) for k in range(10)) + "</trkseg></trk></gpx>"), ("b.gpx", "<gpx><trk><name>N</name><trkseg>" + pt.format(7) + "</trkseg></trk></gpx>"), ("c.gpx", "no xml"), ("d.gpx", '<gpx><rte><name>R</name><rtept lat="1" lon="2"/><rtept lat="1" lon="x"/><rtept lat="2" lon="2"/></rte></gpx>')]
+    texts = [
+        ("a/Ride.GPX", "<gpx><trk><trkseg>" + "".join(pt.format(7 + 0.00007 * k) for k in range(10)) + "</trkseg></trk></gpx>"),
+        ("b.gpx", "<gpx><trk><name>N</name><trkseg>" + pt.format(7) + "</trkseg></trk></gpx>"), ("c.gpx", "no xml"),
+        ("d.gpx", '<gpx><rte><name>R</name><rtept lat="1" lon="2"/><rtept lat="1" lon="x"/><rtept lat="2" lon="2"/></rte></gpx>')
+    ]
     got = {r.file: r for r in tracks.parse_gpx(spark.createDataFrame(texts, "file string, content string")).collect()}
     assert got["a/Ride.GPX"].name == "Ride" and [round((p.lon - 7) / 0.00007) for p in got["a/Ride.GPX"].points] == [0, 4, 8]
     assert got["b.gpx"].points is None and got["c.gpx"].points is None and got["d.gpx"].name == "R" and len(got["d.gpx"].points) == 2
 
 
 def test_elements_and_tiles(spark, tmp_path):
-    (tmp_path / "46_7.json").write_text('[{"type":"way","id":1,"nodes":[1,2],"geometry":[{"lat":1,"lon":2},{"lat":1,"lon":3}],"tags":{"highway":"primary"}},{"type":"way","id":2,"nodes":[1],"tags":{}},{"type":"node","id":3,"tags":{"mountain_pass":"yes","place":"village","name":"x"}},{"type":"node","id":4,"tags":{"place":"town"}},{"type":"node","id":5,"tags":{"tourism":"viewpoint"}}]')
+    (tmp_path / "46_7.json").write_text(
+        '[{"type":"way","id":1,"nodes":[1,2],"geometry":[{"lat":1,"lon":2},{"lat":1,"lon":3}],"tags":{"highway":"primary"}},{"type":"way","id":2,"nodes":[1],"tags":{}},{"type":"node","id":3,"tags":{"mountain_pass":"yes","place":"village","name":"x"}},{"type":"node","id":4,"tags":{"place":"town"}},{"type":"node","id":5,"tags":{"tourism":"viewpoint"}}]'
+    )
     e = elements.read_elements(spark, str(tmp_path), ["46_7"])
     assert [r.kind for r in elements.classified(e).orderBy("id").collect()] == ["way", None, "pass", None, "viewpoint"]
     with pytest.raises(FileNotFoundError):
@@ -221,13 +247,20 @@ def test_elements_and_tiles(spark, tmp_path):
 
 
 def test_access_rules(spark):
-    cases = [({"access": "no"}, False), ({"motorcycle": "yes", "access": "no"}, True), ({"motorcycle": "", "access": "no"}, True), ({"vehicle": "private; no"}, False), ({"vehicle": "private;yes"}, True), ({"surface": "gravel"}, False), ({"junction": "circular"}, False), ({}, True)]
+    cases = [
+        ({"access": "no"}, False), ({"motorcycle": "yes", "access": "no"}, True), ({"motorcycle": "", "access": "no"}, True),
+        ({"vehicle": "private; no"}, False), ({"vehicle": "private;yes"}, True), ({"surface": "gravel"}, False), ({"junction": "circular"}, False),
+        ({}, True)
+    ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t map<string, string>")
     assert [r.x for r in df.select("i", tags.rideable(F.col("t")).alias("x")).orderBy("i").collect()] == [w for _, w in cases]
 
 
 def test_stream_of_points(spark, tmp_path):
-    pts = spark.createDataFrame([("2024-01-01 00:10:00", 7.0001, 46.0), ("2024-01-01 00:20:00", 7.0002, 46.0), ("2024-01-01 05:00:00", 8.0, 46.0)], "t string, lon double, lat double").selectExpr("to_timestamp(t) AS ts", "lon", "lat")
+    pts = spark.createDataFrame(
+        [("2024-01-01 00:10:00", 7.0001, 46.0), ("2024-01-01 00:20:00", 7.0002, 46.0), ("2024-01-01 05:00:00", 8.0, 46.0)],
+        "t string, lon double, lat double"
+    ).selectExpr("to_timestamp(t) AS ts", "lon", "lat")
     pts.write.parquet(str(tmp_path / "in"))
     cells = ridden_cells(spark.readStream.schema(pts.schema).parquet(str(tmp_path / "in")))
     append_to(cells, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()

@@ -101,7 +101,11 @@ def test_terrain_opens_only_tiles_that_points_need(spark, tmp_path, monkeypatch)
 
 
 def test_a_key_that_is_there_makes_its_kind(spark):
-    rows = [("node", 1, None, None, 46.0, 7.0, {"mountain_pass": "", "place": "town", "name": "A"}), ("node", 2, None, None, 46.0, 7.0, {"place": "", "name": "B"}), ("node", 3, None, None, 46.0, 7.0, {"place": "town", "name": ""}), ("node", 4, None, None, 46.0, 7.0, None)]
+    rows = [
+        ("node", 1, None, None, 46.0, 7.0, {"mountain_pass": "", "place": "town", "name": "A"}),
+        ("node", 2, None, None, 46.0, 7.0, {"place": "", "name": "B"}), ("node", 3, None, None, 46.0, 7.0, {"place": "town", "name": ""}),
+        ("node", 4, None, None, 46.0, 7.0, None)
+    ]
     got = {r.id: r.kind for r in elements.classified(spark.createDataFrame(rows, elements.ELEMENT)).collect()}
     assert got == {1: "pass", 2: "place", 3: None, 4: None}
 
@@ -109,7 +113,10 @@ def test_a_key_that_is_there_makes_its_kind(spark):
 def merged_by_loop(scans, roads, passes):
     areas = []
     for ord_, key, missing, box in sorted(scans):
-        mine = {"key": key, "ord": ord_, "missing": missing, "box": box, "roads": {r[1]: r for r in sorted(roads, key=lambda r: r[2]) if r[0] == ord_}, "passes": {r[1:3]: r for r in sorted(passes, key=lambda r: r[3]) if r[0] == ord_}}
+        mine = {
+            "key": key, "ord": ord_, "missing": missing, "box": box, "roads": {r[1]: r for r in sorted(roads, key=lambda r: r[2]) if r[0] == ord_},
+            "passes": {r[1:3]: r for r in sorted(passes, key=lambda r: r[3]) if r[0] == ord_}
+        }
         before = next((a for a in areas if a["key"] == key), None)
         if missing != 0 and before:
             for kind in ("roads", "passes"):

@@ -46,7 +46,10 @@ def test_gpx_files(spark, tmp_path):
     far = [(7.0, 46.0), (7.01, 46.0), (7.0101, 46.0), (7.02, 46.0)]
     route = f"<rte><name>Way</name>{points('rtept', (8.0, 46.0), (8.01, 46.0))}</rte>"
     track = f"<trk><trkseg>{points('trkpt', *far)}</trkseg></trk>"
-    for name, text in {"A.GPX": gpx(route, track), "b.gpx": gpx(track.replace("<trkseg>", "<name>Ride</name><trkseg>")), "c.gpx": "<gpx", "d.txt": "x", "e.gpx": gpx(f"<trk><trkseg>{points('trkpt', (7.0, 46.0))}</trkseg></trk>"), "f.gpx": gpx(track, route)}.items():
+    for name, text in {
+        "A.GPX": gpx(route, track), "b.gpx": gpx(track.replace("<trkseg>", "<name>Ride</name><trkseg>")), "c.gpx": "<gpx", "d.txt": "x",
+        "e.gpx": gpx(f"<trk><trkseg>{points('trkpt', (7.0, 46.0))}</trkseg></trk>"), "f.gpx": gpx(track, route)
+    }.items():
         (tmp_path / name).write_text(text)
     files = keyed.read_gpx_files(spark, str(tmp_path))
     got = {r.file.rsplit("/", 1)[1]: r for r in tracks.parse_gpx(files).collect()}
@@ -154,12 +157,18 @@ def test_greedy_pairs_match_plain_loops(spark):
 
 
 def test_written_elements_and_rebuilt_bits(spark, tmp_path):
-    e = spark.createDataFrame([("46_7", 0, "node", 1, 46.1, {"a": "1"}), ("46_7", 5, "node", 1, 46.2, {"a": "2"}), ("46_8", 1, "node", 1, 46.3, None)], "tile string, ord long, type string, id long, lat double, tags map<string, string>")
+    e = spark.createDataFrame(
+        [("46_7", 0, "node", 1, 46.1, {"a": "1"}), ("46_7", 5, "node", 1, 46.2, {"a": "2"}), ("46_8", 1, "node", 1, 46.3, None)],
+        "tile string, ord long, type string, id long, lat double, tags map<string, string>"
+    )
     elements.write_elements(e, str(tmp_path / "e"))
     assert sorted((r.tile, r.lat, r.tags) for r in spark.read.parquet(str(tmp_path / "e")).collect()) == [("46_7", 46.2, {"a": "2"}), ("46_8", 46.3, None)]
     slice_ = (20, 0, 0, 0, 0, 0, 0, 0, 0, 0)
     coords = [(7.0, 46.0, 500.0), (7.08, 46.0, 1000.0)]
-    roads = [("46_7", i + 1, f"r{i}", "Road", None, ref, None, None, 6000, 0, 1000, None, (0,), coords, [slice_] * n, 34) for i, (ref, n) in enumerate((("D 17", 30), (None, 30), ("D 18", 24)))]
+    roads = [
+        ("46_7", i + 1, f"r{i}", "Road", None, ref, None, None, 6000, 0, 1000, None, (0,), coords, [slice_] * n, 34) for i,
+        (ref, n) in enumerate((("D 17", 30), (None, 30), ("D 18", 24)))
+    ]
     schema = "area string, pos long, id string, name string, road_text string, ref string, `from` string, `to` string, len long, hairpins int, ele_max int, pass struct<name: string>, warn struct<narrow: int>, coords array<struct<lon: double, lat: double, ele: double>>, slices array<struct<c1: int, c2: int, c3: int, c4: int, h: int, r: int, v: int, p: int, u: int, x: int>>, score int"
     got = tiles.rebuilt_bits(spark.createDataFrame(roads, schema)).collect()
     assert [(r.id, r.bit_score, r.bb.e) for r in got] == [("r0", 53, 7.08)]

@@ -11,7 +11,9 @@ FIELDS = ("name", "road_text", "from", "to", "pass_name")
 def test_search_by_index_equals_the_scan(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcé DE") for _ in range(rng.randrange(1, 12)))
-    rows = [(f"r{i}", *(rng.choice([None, "", word(), word() + " " + word()]) for _ in FIELDS)) for i in range(400)] + [("all", "The quick brown fox jumps", None, None, None, None)]
+    rows = [
+        (f"r{i}", *(rng.choice([None, "", word(), word() + " " + word()]) for _ in FIELDS)) for i in range(400)
+    ] + [("all", "The quick brown fox jumps", None, None, None, None)]
     roads = spark.createDataFrame(rows, ["id", *FIELDS]).cache()
     index = listing.text_index(roads).cache()
     assert index.count() == index.distinct().count()
@@ -62,7 +64,9 @@ def test_index_that_follows_changes_equals_one_built_anew(spark, tmp_path):
             tiles.follow(spark.readStream.schema(schema).parquet(source), at, str(tmp_path / "checkpoint"), most=7).awaitTermination()
     last = {t: max(v for x, v in versions if x == t) for t, _ in versions}
     want = {f"t{t}": versions[t, v] for t, v in last.items()}
-    assert {(r.tile, r.version, r.roads, r.ids) for r in tiles.index_of(spark, at).collect()} == {(f"t{t}", v, len(versions[t, v]), ",".join(r[3] for r in versions[t, v])) for t, v in last.items()}
+    assert {(r.tile, r.version, r.roads, r.ids) for r in tiles.index_of(spark, at).collect()} == {
+        (f"t{t}", v, len(versions[t, v]), ",".join(r[3] for r in versions[t, v])) for t, v in last.items()
+    }
     best = sorted((r for rows in want.values() for r in rows if r[5] is not None), key=lambda r: (-r[5], -r[4], r[0], r[2]))[:7]
     assert [r.id for r in tiles.bits_of(spark, at, 7).collect()] == [r[3] for r in best]
     some = sorted(want)[:2]
@@ -78,7 +82,13 @@ def test_index_that_follows_changes_equals_one_built_anew(spark, tmp_path):
 
 def test_all_settings_at_once_equal_one_by_one(spark):
     rng = random.Random(9)
-    rows = [(road, i, rng.randrange(9), rng.randrange(7), rng.randrange(5), rng.randrange(4), rng.randrange(2), rng.randrange(3), rng.random(), rng.random(), rng.choice([0.0, 0.6]), rng.randrange(2), 500.0 + rng.randrange(2000), 46.0) for road, n in enumerate((1, 5, 74, 75, 76, 200)) for i in range(n)]
+    rows = [
+        (
+            road, i, rng.randrange(9), rng.randrange(7), rng.randrange(5), rng.randrange(4), rng.randrange(2), rng.randrange(3), rng.random(),
+            rng.random(), rng.choice([0.0, 0.6]), rng.randrange(2), 500.0 + rng.randrange(2000), 46.0
+        ) for road,
+        n in enumerate((1, 5, 74, 75, 76, 200)) for i in range(n)
+    ]
     slices = spark.createDataFrame(rows, "road long, i long, c1 int, c2 int, c3 int, c4 int, h int, r int, v double, p double, u double, x int, ele double, lat double")
     settings = [stretches.SETTINGS[k] for k in (0, 13, 148, 200, 296)]
     got = {r.road: r.linear for r in stretches.setting_scores(slices, settings).collect()}
