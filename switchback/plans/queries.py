@@ -633,7 +633,32 @@ def taste_agreement(spark, sf_dir):
     return stretches.agreement(scores, likes).join(best, "ord").select(F.col("ord").cast("long").alias("ord"), "agree", "best")
 
 
-@query()
+#: All settings: eleven tastes between the knots, and the 27 mixes of each. Windows run for each taste; mixes differ in how a stretch's gains are added.
+GRID_SQL = """tt AS (SELECT k, k / 10.0::DOUBLE AS t, 0.2::DOUBLE * k AS bonus, unnest([{'c': 1, 's': 1.6, 'm': 1.0, 'h': 0.6}, {'c': 2, 's': 1.4, 'm': 1.3, 'h': 1.0}, {'c': 3, 's': 1.0, 'm': 1.6, 'h': 1.7}, {'c': 4, 's': 0.6, 'm': 2.0, 'h': 2.4}]) AS x FROM range(11) r(k)),
+tw AS (SELECT k, t, bonus, x.c AS c, CASE WHEN t <= 0.5 THEN x.s::DOUBLE + (x.m::DOUBLE - x.s::DOUBLE) * t * 2 ELSE x.m::DOUBLE + (x.h::DOUBLE - x.m::DOUBLE) * (t - 0.5) * 2 END AS w FROM tt),
+ta AS (SELECT k, t, bonus, max(w) FILTER (c = 1) AS w1, max(w) FILTER (c = 2) AS w2, max(w) FILTER (c = 3) AS w3, max(w) FILTER (c = 4) AS w4 FROM tw GROUP BY k, t, bonus),
+mx AS (SELECT j, 0.5::DOUBLE + j // 9 * 0.5::DOUBLE AS mt, 0.5::DOUBLE + j // 3 % 3 * 0.5::DOUBLE AS ms, 0.5::DOUBLE + j % 3 * 0.5::DOUBLE AS mh FROM range(27) r(j))"""
+
+
+@query(
+    f"""WITH {S_VALUES}, {LIKES_SQL}, {GRID_SQL}, vt AS (SELECT v0.road, v0.i, v0.nb, k, (c1 * 0.01::DOUBLE * w1 + c2 * 0.01::DOUBLE * w2 + c3 * 0.01::DOUBLE * w3 + c4 * 0.01::DOUBLE * w4) * (1 - 0.7::DOUBLE * u) AS b, pins, scen, r, ele
+  FROM v0 JOIN lab ON lab.road = v0.road CROSS JOIN ta),
+de AS MATERIALIZED (SELECT *, avg(b * (1 + 0.5::DOUBLE * scen) / 0.2::DOUBLE) OVER (PARTITION BY road, k ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS dens FROM vt),
+fr AS MATERIALIZED (SELECT road, i, nb, k, least(nb, 75) AS w, sum(b) OVER f AS bends, sum(pins) OVER f AS pins, sum(scen) OVER f AS views, sum(r) OVER f AS turns, max(ele) OVER f - min(ele) OVER f AS relief, avg(dens) OVER f AS mean FROM de
+  WINDOW f AS (PARTITION BY road, k ORDER BY i ROWS BETWEEN CURRENT ROW AND 74 FOLLOWING)),
+gn AS (SELECT road, i, k, w, bends, mean, 0.5::DOUBLE * greatest(least(relief, 1500) / 1500, least(1, turns / (w * 0.2::DOUBLE) / 1.5::DOUBLE) * 0.6::DOUBLE) AS gt, 0.5::DOUBLE * views / w AS gs,
+  0.2::DOUBLE * k * CASE WHEN least(pins, 60) <= 20 THEN least(pins, 60) / 40 ELSE 0.5::DOUBLE * sqrt(least(pins, 60) / 20) END AS gh FROM fr WHERE i + w <= nb),
+be AS MATERIALIZED (SELECT road, k, j, arg_max({{'w': w, 'mean': mean}}, {{'f': round(bends * (1 + mt * gt + ms * gs + mh * gh), 9), 'b': -i}}) AS x, max(round(bends * (1 + mt * gt + ms * gs + mh * gh), 9)) AS fun FROM gn CROSS JOIN mx GROUP BY road, k, j),
+go AS (SELECT be.road, be.k, be.j, count(*) FILTER (round(de.dens, 9) >= round(0.5::DOUBLE * be.x.mean, 9)) * 0.2::DOUBLE AS km FROM be JOIN de ON de.road = be.road AND de.k = be.k GROUP BY be.road, be.k, be.j),
+li AS MATERIALIZED (SELECT be.road, be.k, be.j, round(100 * be.fun / (be.x.w * 0.2::DOUBLE) * 15 * sqrt(least(go.km, 30) / 15)
+    / (32.2::DOUBLE * (3 * w1 + 3 * w2 + 2.5::DOUBLE * w3 + 1.5::DOUBLE * w4) * (1 + mt * 0.35::DOUBLE + ms * 0.3::DOUBLE + mh * bonus * 0.5::DOUBLE) / ((3 + 3.9::DOUBLE + 4 + 3) * 2.15::DOUBLE)), 9) AS linear
+  FROM be JOIN go ON go.road = be.road AND go.k = be.k AND go.j = be.j JOIN ta ON ta.k = be.k JOIN mx ON mx.j = be.j),
+ag AS (SELECT a.k, a.j, count(*) FILTER (a.linear > b.linear) AS agree FROM li a JOIN lab x ON x.road = a.road AND x.rating > 0 JOIN li b ON b.k = a.k AND b.j = a.j JOIN lab y ON y.road = b.road AND y.rating < 0 GROUP BY a.k, a.j),
+nn AS (SELECT count(DISTINCT li.road) FILTER (rating > 0) AS yays, count(DISTINCT li.road) FILTER (rating < 0) AS nays FROM li JOIN lab ON lab.road = li.road)
+"""
+    + """SELECT round(t, 1) AS taste, mt AS terrain, ms AS scenery, mh AS hairpins, agree, yays * nays AS pairs, yays, nays FROM ag JOIN ta ON ta.k = ag.k JOIN mx ON mx.j = ag.j, nn WHERE yays >= 2 AND nays >= 2
+ORDER BY round(agree - 0.01::DOUBLE * (abs(t - 0.5) + abs(mt - 1) + abs(ms - 1) + abs(mh - 1)), 9) DESC, ag.k * 27 + ag.j LIMIT 1"""
+)
 def learned_taste(spark, sf_dir):
     """The taste that a rider's ratings show."""
     return stretches.learn_taste(view(spark, sf_dir, SLICES), _likes(spark, sf_dir))
