@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from switchback.operators import chains, listing, stretches
+from switchback.operators import chains, listing, sampling, stretches
 from switchback.streaming import tiles
 
 FIELDS = ("name", "road_text", "from", "to", "pass_name")
@@ -95,3 +95,20 @@ def test_all_settings_at_once_equal_one_by_one(spark):
     for k, (taste, mix) in enumerate(settings):
         for r in stretches.score_roads(slices, taste, mix).collect():
             assert abs(got[r.road][k] - r.linear) < 1e-6
+
+
+def test_long_chords_are_split_by_all_tasks(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for road, n in enumerate((1, 2, 3, 400, 900)):
+        x = y = 0.0
+        for k in range(n):
+            rows.append((road, k, x, y))
+            x, y = x + rng.uniform(-5, 10), y + rng.uniform(-8, 8)
+    rows += [(9, k, 1.0, 2.0) for k in range(50)]
+    samples = spark.createDataFrame(rows, "road long, k int, x double, y double").repartition(6)
+    want = sorted(map(tuple, sampling.simplified(samples).collect()))
+    for most in (1, 40):
+        monkeypatch.setattr(sampling, "UNDER_CHORD", most)
+        assert sorted(map(tuple, sampling.simplified(samples).collect())) == want
+    assert len(want) > 300 and {r[0] for r in want} == {0, 1, 2, 3, 4, 9}
