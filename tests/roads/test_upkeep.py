@@ -112,3 +112,22 @@ def test_long_chords_are_split_by_all_tasks(spark, monkeypatch):
         monkeypatch.setattr(sampling, "UNDER_CHORD", most)
         assert sorted(map(tuple, sampling.simplified(samples).collect())) == want
     assert len(want) > 300 and {r[0] for r in want} == {0, 1, 2, 3, 4, 9}
+
+
+def test_pieces_of_a_road_are_smoothed_as_the_whole(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for road, n in enumerate((3, 24, 25, 60, 700, 1000)):
+        ele = 500.0
+        for k in range(n):
+            ele += rng.choice([0.0, 1.0, -1.0, 9.0, -9.0, 60.0, -60.0])
+            rows.append((road, k, ele))
+    # steps that keep two courses apart as long as they go on, so that carries need rounds
+    rows += [(7, k, 1e5 if k // 8 % 2 else -1e5) for k in range(600)]
+    profile = spark.createDataFrame(rows, "road long, k int, ele double").repartition(5)
+    want = {(r.road, r.k): r.ele for r in sampling.smooth_elevation(profile).collect()}
+    assert len(want) == len(rows)
+    for piece in (64, 100):
+        monkeypatch.setattr(sampling, "PIECE", piece)
+        got = {(r.road, r.k): r.ele for r in sampling.smooth_elevation(profile).collect()}
+        assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in want) < 1e-9
