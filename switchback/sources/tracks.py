@@ -44,12 +44,12 @@ def import_errors(files: DataFrame) -> DataFrame:
 
 
 def thinned(points: Column, least_m: float) -> Column:
-    """The first point, and each at least least_m from the last one kept."""
+    """The first point, and each at least least_m from the last one kept; all, if that is 0."""
     from ..functions.geo import RIDE_DEG_M, planar_m
 
     far = lambda a, b: planar_m(a.lon, a.lat, b.lon, b.lat, RIDE_DEG_M) >= least_m
     start = F.array().cast("array<struct<lon: double, lat: double>>")
-    kept = F.aggregate(points, start, lambda out, p: F.when(F.size(out) == 0, F.array(p)).when(far(F.element_at(out, -1), p), F.concat(out, F.array(p))).otherwise(out))
+    kept = points if least_m <= 0 else F.aggregate(points, start, lambda out, p: F.when(F.size(out) == 0, F.array(p)).when(far(F.element_at(out, -1), p), F.concat(out, F.array(p))).otherwise(out))
     return F.transform(kept, lambda p: F.struct(F.round(p.lon, 5).alias("lon"), F.round(p.lat, 5).alias("lat")))
 
 
