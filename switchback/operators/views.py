@@ -162,7 +162,7 @@ def stops_near(coords: DataFrame, pois: DataFrame, most_m: float = 200.0, sample
 
     step = F.greatest(F.lit(1), F.ceil(F.col("n") / samples))
     some = coords.where((F.col("j") % step == 0) | (F.col("j") == F.col("n") - 1))
-    near = grid_join(some, pois, 0.02).where(F.col("metres") <= most_m).select("road", "point_id").distinct()
+    near = grid_join(some, pois, 0.02, most_m).where(F.col("metres") <= most_m).select("road", "point_id").distinct()
     w = Window.partitionBy("road").orderBy("point_id")
     return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
 
