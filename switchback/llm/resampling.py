@@ -20,6 +20,8 @@ FINE = 20
 FOLDS = 3
 #: A bucket is evidence where the lower bound, WIDE standard errors down, of the log of its toxic over its clean share of documents is above LEAST.
 WIDE, LEAST = 1.5, 1.5
+#: More labelled documents than this are found by 64 * WORDS bits first.
+MANY, WORDS = 200_000, 1 << 20
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -34,21 +36,19 @@ def _features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[
 
 
 def count_features(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(bucket, raw, target): how often each of the 2 ** BITS buckets occurs in all texts, and in those of the doc_ids of target, which is broadcast and must be of bounded size."""
+    """(bucket, raw, target): how often each of the 2 ** BITS buckets occurs in the texts of docs, and in those of target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            hit = batch.column("hit").to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in text_blocks(batch.column("text")):
-                bucket, of = _features(data, offsets)
-                sums[0] += np.bincount(bucket, minlength=1 << BITS)
-                sums[1] += np.bincount(bucket[hit[i:j][of]], minlength=1 << BITS)
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "target"])
+            for _, _, data, offsets in text_blocks(batch.column("text")):
+                sums += np.bincount(_features(data, offsets)[0], minlength=1 << BITS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "n"])
 
-    hits = docs.join(F.broadcast(target.select("doc_id", F.lit(True).alias("hit"))), "doc_id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    return hits.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    found = [df.select("text").mapInArrow(run, "bucket long, n long").withColumn("raw", F.lit(raw)) for df, raw in ((docs, True), (target, False))]
+    sums = [F.sum(F.when(F.col("raw") == raw, F.col("n")).otherwise(0)).alias(name) for raw, name in ((True, "raw"), (False, "target"))]
+    return found[0].unionByName(found[1]).groupBy("bucket").agg(*sums)
 
 
 def log_ratios(counted: DataFrame) -> np.ndarray:
@@ -59,20 +59,33 @@ def log_ratios(counted: DataFrame) -> np.ndarray:
     return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
 
 
-def _marked(labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, toxic, fold) of documents with a toxic label and of clean ones, of each kind the first `most` by a hash of doc_id."""
-    toxic = labels.where("doc_id IS NOT NULL AND toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    kinds = [d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.lit(i).alias("toxic")) for i, d in enumerate((_clean(labels), toxic))]
-    return written(kinds[0].union(kinds[1]).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "marked")
-
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, fold) of all rows of docs that are labelled clean (toxic 0) or toxic (1), as a written table.
 
-def toxic_evidence(docs: DataFrame, marked: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    Where the labels are too many for each task to hold, texts are dealt by doc_id; those without a label mostly stay where they are, as a bit for each hash of a label's doc_id tells.
+    """
+    toxic = labels.where("doc_id IS NOT NULL AND toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    kinds = [d.select("doc_id", F.lit(i).alias("toxic")) for i, d in enumerate((_clean(labels), toxic))]
+    marked = written(kinds[0].union(kinds[1]).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "marked")
+    texts = docs.select("doc_id", "text")
+    if marked.count() > MANY:
+        place = F.pmod(F.xxhash64(F.lit("bit"), "doc_id"), F.lit(64 * WORDS))
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+        words = marked.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit(place)).alias("bits"))
+        words = words.unionByName(docs.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        bits = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w.bits).alias("bits"))
+        word = F.get("bits", F.shiftright(place, 6).cast("int"))
+        texts = texts.crossJoin(F.broadcast(written(bits, "bits"))).where(word.bitwiseAND(bit(place)) != 0).drop("bits")
+    return written(texts.join(marked, "doc_id"), "labelled")
+
+
+def toxic_evidence(labelled: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, bounds) of a model without each fold, and of their mean: the buckets of evidence and their lower bounds. Only those reach the driver.
 
     The mean serves rows that no model has seen: its scores lie as those of one model on the fold that it has not seen, by which cutoffs are set; a model of all
     folds would have more buckets, and higher scores.
 
-    marked: doc_id, toxic (0 or 1), fold; it is broadcast and must be of bounded size.
+    labelled: text, toxic (0 or 1), fold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +103,7 @@ def toxic_evidence(docs: DataFrame, marked: DataFrame) -> list[tuple[np.ndarray,
                 part = at[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), g)), pa.array(sums[g][part].astype(np.int64))], ["bucket", "g", "n"])
 
-    found = docs.join(F.broadcast(marked), "doc_id").select("text", "toxic", "fold").mapInArrow(run, "bucket long, g long, n long")
+    found = labelled.select("text", "toxic", "fold").mapInArrow(run, "bucket long, g long, n long")
     counted = written(found.groupBy("bucket").agg(*(F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(2 * FOLDS))), "evidence")
     of = counted.where(F.col("bucket") == 1 << FINE).first()
     models = []
@@ -166,15 +179,6 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def weights(docs: DataFrame, labels: DataFrame, most_target: int = 20_000) -> np.ndarray:
-    """Fit both models: the raw one to all rows of docs, the target one to those whose labels all have quality 1 and toxic 0, of which the most_target first by a hash of doc_id count."""
-    small_batches(docs.sparkSession)
-    clean = _clean(labels)
-    target = written(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_target), "target")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return log_ratios(count_features(docs, target))
-
-
 def _clean(labels: DataFrame) -> DataFrame:
     """(doc_id) of labelled documents with quality 1 and toxic 0 in all their labels; a null label is neither."""
     return labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
@@ -182,7 +186,7 @@ def _clean(labels: DataFrame) -> DataFrame:
     ).where("clean").select("doc_id")
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_clean: float = 0.995, seed: int = 1, most_target: int = 20_000) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_clean: float = 0.995, seed: int = 1) -> DataFrame:
     """Draw the k rows of docs with the largest sum of log importance weight and Gumbel noise, a sample without replacement by weight, from those not rejected.
 
     docs: doc_id, text; labels: doc_id, quality, toxic; other columns are left alone. Returns doc_id, log_weight, gumbel_key and kept for each row; ties with the k-th
@@ -192,10 +196,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_clea
 
     A sum over a text drowns a few toxic words, and noise drowns the weight of a short text. So two cutoffs without noise reject rows first, each as tight as
     leaves the share keep_clean of the labelled clean documents: one on the evidence of toxicity (if any label is toxic), one on the mean log ratio (if any
-    has quality 0). The model of toxicity is fitted to at most most_target documents of either kind; its cutoff comes from labels that the model scored had not
+    has quality 0). All models are fitted to all labelled documents; the cutoff of toxicity comes from labels that the model scored had not
     seen. With k, fewer rows are kept where fewer are not rejected.
     """
-    keys, least, _, cuts = _keys(docs, labels, k, keep_clean, seed, most_target)
+    keys, least, _, cuts = _keys(docs, labels, k, keep_clean, seed)
     return keys.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), ((F.col("key") >= F.lit(least)) & _allowed(F.col("mean"), F.col("toxic"), cuts)).alias("kept"))
 
 
@@ -203,16 +207,17 @@ def _allowed(mean: Column, toxic: Column, cuts: tuple[float, float]) -> Column:
     return (mean >= F.lit(cuts[0])) & (toxic <= F.lit(cuts[1]))
 
 
-def _keys(docs: DataFrame, labels: DataFrame, k: int | None, keep_clean: float, seed: int, most_target: int):
+def _keys(docs: DataFrame, labels: DataFrame, k: int | None, keep_clean: float, seed: int):
     """(doc_id, log_weight, mean, toxic, key) of all rows as a written table, the least key of the sample, both models, and the least mean and most evidence allowed."""
-    ratios = weights(docs, labels, most_target)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = _labelled(docs, labels)
+    ratios = log_ratios(count_features(docs, labelled.where("toxic = 0")))
     low, most = -np.inf, np.inf
     evidence = [(np.zeros(0, np.int64), np.zeros(0, np.float32))]
     if not labels.where("doc_id IS NOT NULL AND toxic = 1").isEmpty():
-        marked = _marked(labels, most_target)
-        evidence = toxic_evidence(docs, marked)
-        unseen = docs.join(F.broadcast(marked.where("toxic = 0")), "doc_id").select(scores(F.col("text"), ratios, evidence, F.col("fold")).alias("s"))
+        evidence = toxic_evidence(labelled)
+        unseen = labelled.where("toxic = 0").select(scores(F.col("text"), ratios, evidence, F.col("fold")).alias("s"))
         unseen = written(unseen.select(F.col("s.toxic").alias("key")), "unseen")
         found = kth_largest(unseen, int((1 - keep_clean) * unseen.count()) + 1)
         most = np.inf if found is None else found
@@ -233,9 +238,9 @@ def _keys(docs: DataFrame, labels: DataFrame, k: int | None, keep_clean: float,
     return keys, least, (ratios, evidence), (low, most)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_clean: float = 0.995, seed: int = 1, most_target: int = 20_000) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_clean: float = 0.995, seed: int = 1) -> DataFrame:
     """The rows of docs that resample() keeps, with all their columns; texts are weighed again where they lie, not shuffled."""
-    _, least, models, cuts = _keys(docs, labels, k, keep_clean, seed, most_target)
+    _, least, models, cuts = _keys(docs, labels, k, keep_clean, seed)
     s = scores(F.col("text"), models[0], models[1][-1:])
     return docs.where((gumbel_key(s["log_weight"], F.col("doc_id").cast("long"), seed) >= F.lit(least)) & _allowed(s["mean"], s["toxic"], cuts))
 

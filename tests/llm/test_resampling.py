@@ -136,3 +136,17 @@ def test_query_matches_brute_force(spark):
         if min(map(abs, gaps)) >= 1e-5 and got[i].kept != (min(gaps) >= 0):
             wrong.append(i)
     assert not wrong and near < 10 and 0 < sum(not r.kept for r in got.values()) < len(docs)
+
+
+def test_all_labels_count(spark, monkeypatch):
+    # more clean documents than any bound of old, each with a word of its own: where all rows are target, no bucket is likelier there
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert resample(docs, labels).agg(F.max(F.abs("log_weight"))).first()[0] == 0
+    # labels found by bits first
+    some = labels.where("doc_id % 3 = 0").withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    plain = {tuple(r) for r in resample(docs, some).collect()}
+    monkeypatch.setattr("switchback.llm.resampling.MANY", 10)
+    monkeypatch.setattr("switchback.llm.resampling.WORDS", 64)
+    assert {tuple(r) for r in resample(docs, some).collect()} == plain
+    assert len({r[1] for r in plain}) > 1
