@@ -76,9 +76,11 @@ def overlapping(left: DataFrame, right: DataFrame, condition: str = "true", side
     meets nothing.
     """
     numbered = stored(left.withColumn("row_", F.monotonically_increasing_id()), "boxes")
-    at = in_cells(numbered, "w", "s", "e", "n", side)
-    to = in_cells(right, "r_w", "r_s", "r_e", "r_n", side).withColumnsRenamed({"cell": "r_cell", "own": "r_own"})
-    meets = (F.col("cell") == F.col("r_cell")) & (F.col("own") | F.col("r_own")) & F.expr(f"w <= r_e AND e >= r_w AND s <= r_n AND n >= r_s AND ({condition})")
+    # one of the two cells is a box's own; that is part of the key, or all boxes would be tried on each other in the coarsest cells
+    own, other = F.array(F.lit("own"), F.lit("other")), F.array(F.lit("own"))
+    at = in_cells(numbered, "w", "s", "e", "n", side).withColumn("as", F.when(F.col("own"), "own").otherwise("other"))
+    to = in_cells(right, "r_w", "r_s", "r_e", "r_n", side).withColumn("r_as", F.explode(F.when(F.col("own"), own).otherwise(other))).withColumnsRenamed({"cell": "r_cell"}).drop("own")
+    meets = (F.col("cell") == F.col("r_cell")) & (F.col("as") == F.col("r_as")) & F.expr(f"w <= r_e AND e >= r_w AND s <= r_n AND n >= r_s AND ({condition})")
     return at.join(to, meets, "left_semi").dropDuplicates(["row_"]).select(*left.columns)
 
 
