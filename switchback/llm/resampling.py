@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ FINE = 20
 FOLDS = 3
 #: A bucket is evidence where the lower bound, WIDE standard errors down, of the log of its toxic over its clean share of documents is above LEAST.
 WIDE, LEAST = 1.5, 1.5
-#: More labelled documents than this are found by 64 * WORDS bits first.
-MANY, WORDS = 200_000, 1 << 20
+#: More labelled documents than this are found by bits first, some 16 a document, at most 64 * WORDS; as many or fewer are broadcast.
+MANY, WORDS = 4096, 1 << 20
+#: Buckets whose counts go through the shuffle in one row.
+BLOCK = 4096
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +65,33 @@ def log_ratios(counted: DataFrame) -> np.ndarray:
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic, fold) of all rows of docs that are labelled clean (toxic 0) or toxic (1), as a written table.
 
-    Where the labels are too many for each task to hold, texts are dealt by doc_id; those without a label mostly stay where they are, as a bit for each hash of a label's doc_id tells.
+    Beyond MANY labels, texts are dealt by doc_id; those without a label mostly stay where they are, as a bit for each hash of a label's doc_id tells.
     """
     toxic = labels.where("doc_id IS NOT NULL AND toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     kinds = [d.select("doc_id", F.lit(i).alias("toxic")) for i, d in enumerate((_clean(labels), toxic))]
     marked = written(kinds[0].union(kinds[1]).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "marked")
-    texts = docs.select("doc_id", "text")
-    if marked.count() > MANY:
-        place = F.pmod(F.xxhash64(F.lit("bit"), "doc_id"), F.lit(64 * WORDS))
-        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-        words = marked.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit(place)).alias("bits"))
-        words = words.unionByName(docs.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        bits = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w.bits).alias("bits"))
-        word = F.get("bits", F.shiftright(place, 6).cast("int"))
-        texts = texts.crossJoin(F.broadcast(written(bits, "bits"))).where(word.bitwiseAND(bit(place)) != 0).drop("bits")
-    return written(texts.join(marked, "doc_id"), "labelled")
+    texts, n = docs.select("doc_id", "text"), marked.count()
+    if n <= MANY:
+        return written(texts.join(F.broadcast(marked), "doc_id"), "labelled")
+    size = min(WORDS, 1 << (n // 4).bit_length())
+    place = F.pmod(F.xxhash64(F.lit("bit"), "doc_id"), F.lit(64 * size))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = marked.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit(place)).alias("bits"))
+    words = words.unionByName(docs.sparkSession.range(size).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bits = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w.bits).alias("bits"))
+    word = F.get("bits", F.shiftright(place, 6).cast("int"))
+    texts = texts.crossJoin(F.broadcast(written(bits, "bits"))).where(word.bitwiseAND(bit(place)) != 0).drop("bits")
+    return written(texts.join(marked.hint("shuffle_hash"), "doc_id"), "labelled")  # texts are not sorted
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Mostly small counts, of 2 * FOLDS groups, compressed with their low bytes apart from the high ones."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(2 * FOLDS, -1)
 
 
 def toxic_evidence(labelled: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -97,14 +112,24 @@ def toxic_evidence(labelled: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
                 held = np.unique(of.astype(np.int64) << FINE | bucket)
                 np.add.at(sums, (group[i:j][held >> FINE], held & (1 << FINE) - 1), 1)
                 np.add.at(sums, (group[i:j], 1 << FINE), 1)
-        for g in range(2 * FOLDS):
-            at = np.flatnonzero(sums[g])
-            for k in range(0, len(at), 1 << 16):
-                part = at[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), g)), pa.array(sums[g][part].astype(np.int64))], ["bucket", "g", "n"])
-
-    found = labelled.select("text", "toxic", "fold").mapInArrow(run, "bucket long, g long, n long")
-    counted = written(found.groupBy("bucket").agg(*(F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(2 * FOLDS))), "evidence")
+        for block, part in enumerate(np.split(sums, range(BLOCK, 1 << FINE | 1, BLOCK), axis=1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(part)])], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                part = _unpacked(counts)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+        for block, part in sums.items():
+            at = np.flatnonzero(part.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(at + block * BLOCK), *(pa.array(n[at]) for n in part)], ["bucket", *names])
+
+    # a task holds most buckets of even a small share of the texts, so counts by bucket as rows of their own would be more than the texts
+    names = [f"g{g}" for g in range(2 * FOLDS)]
+    found = labelled.select("text", "toxic", "fold").mapInArrow(run, "block long, counts binary").repartition("block")
+    counted = written(found.mapInArrow(add, ", ".join(["bucket long", *(f"{n} long" for n in names)])), "evidence")
     of = counted.where(F.col("bucket") == 1 << FINE).first()
     models = []
     for out in range(FOLDS):

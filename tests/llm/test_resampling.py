@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from switchback.llm.resampling import kth_largest, op4_quality_classifier, resample, sampled
+from switchback.llm.resampling import _labelled, _packed, _unpacked, kth_largest, op4_quality_classifier, resample, sampled, toxic_evidence
 
 SF = "/root/testdata/sf0.1"
 
@@ -150,3 +150,33 @@ def test_all_labels_count(spark, monkeypatch):
     monkeypatch.setattr("switchback.llm.resampling.WORDS", 64)
     assert {tuple(r) for r in resample(docs, some).collect()} == plain
     assert len({r[1] for r in plain}) > 1
+
+
+def shuffled_mb(spark):
+    """What all stages so far have written to shuffles."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_shuffles_hold_labelled_texts_and_little_more(spark):
+    # labels beyond a broadcast, a tenth of the rows; all texts are some 26 MB, of words that occur once or so
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.sha2(F.concat_ws(".", F.col("id"), F.when(k % 2 == 0, k)), 224).substr(1, 8)))
+    docs = spark.range(0, 48_000, 1, 24).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.where("doc_id % 10 = 0").select("doc_id", F.lit(1).alias("quality"), F.expr("cast(doc_id % 20 = 0 AS int)").alias("toxic"))
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled_mb(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labelled = _labelled(docs, labels)
+        assert labelled.count() == 4800
+        middle = shuffled_mb(spark)
+        toxic_evidence(labelled)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert middle - before < 5 and shuffled_mb(spark) - middle < 5, (middle - before, shuffled_mb(spark) - middle)
+
+
+def test_counts_are_packed_whole():
+    counts = np.zeros((6, 4096), np.int32)
+    counts[2, 7], counts[5, 4095], counts[0, 0] = 1, 2**31 - 1, 70_000
+    assert (_unpacked(_packed(counts)) == counts).all() and (_unpacked(_packed(counts[:, :1])) == counts[:, :1]).all()
