@@ -58,11 +58,12 @@ def road_ways(elements: DataFrame) -> DataFrame:
 def road_passes(elements: DataFrame, ways: DataFrame) -> DataFrame:
     """(area, pass_id, name, ele, lon, lat) of named passes that are a node of some way (nodes: area/id); pass_id is the element's ord, ele its tag."""
     named = classified(elements).where("kind = 'pass'").withColumn("name", tags.tag(F.col("tags"), "name")).where("name IS NOT NULL")
-    nodes = ways.select(F.explode("nodes").alias("node")).distinct()
     p = named.select(
         "area", F.col("ord").alias("pass_id"), "name", tags.tag(F.col("tags"), "ele").alias("ele"), "lon", "lat",
         F.concat_ws("/", "area", F.col("id").cast("string")).alias("node")
     )
+    # of all ways' nodes only those of passes go on
+    nodes = ways.select(F.explode("nodes").alias("node")).join(p.select("node"), "node", "left_semi").distinct()
     return p.join(nodes, "node", "left_semi").drop("node")
 
 
@@ -91,16 +92,23 @@ def whole_metres(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([-+]?\d+)", 1).try_cast("long")
 
 
-def chain_vertices(chain: DataFrame, ways: DataFrame) -> DataFrame:
+#: Vertices that one task has of the lines of chains, but for what one road holds.
+VERTICES = 500_000
+
+
+def chain_vertices(chain: DataFrame, ways: DataFrame, parts: int | None = None) -> DataFrame:
     """(road, i, way, lon, lat, x, y, d, cos0): the line of each chain (way, road, pos, reversed), in metres on the plane at its mean latitude.
 
     Ways after the first go without their first vertex, which is shared; chains of fewer than three vertices are no roads; a vertex within a centimetre of the one before is left out.
+    With parts, whole geometries are dealt to so many tasks by road, and give their vertices there. The mean is taken in order, so the same chain has the same line each time.
     """
     line = F.when(F.col("reversed"), F.reverse("geometry")).otherwise(F.col("geometry"))
-    v = chain.join(ways.select("way", "geometry"), "way").select("road", "pos", "way", F.posexplode(line).alias("j", "p")).where("pos = 0 OR j > 0")
-    w, whole = Window.partitionBy("road").orderBy("i"), Window.partitionBy("road")
+    g = chain.join(ways.select("way", "geometry"), "way").select("road", "pos", "way", line.alias("line"))
+    v = (g.repartition(parts, "road") if parts else g).select("road", "pos", "way", F.posexplode("line").alias("j", "p")).where("pos = 0 OR j > 0")
+    w, o = Window.partitionBy("road").orderBy("i"), Window.partitionBy("road").orderBy("pos", "j")
+    whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     v = v.select(
-        "road", "way", "p.lon", "p.lat", (F.row_number().over(Window.partitionBy("road").orderBy("pos", "j")) - 1).alias("i"),
+        "road", "way", "p.lon", "p.lat", (F.row_number().over(o) - 1).alias("i"),
         F.avg("p.lat").over(whole).alias("lat0"), F.count("*").over(whole).alias("n")
     ).where("n >= 3")
     v = v.withColumn("cos0", F.cos(F.radians("lat0"))).withColumns({"x": F.radians("lon") * EARTH_M * F.col("cos0"), "y": F.radians("lat") * EARTH_M})
@@ -125,9 +133,9 @@ def candidates(samples: DataFrame, most: int | None = None, least_m: float = LEA
 
     km are those of samples before the last; ties go to the earlier chain and section. road is the section's own key from here on.
     """
-    cut = samples.join(sampling.sections(samples), "road").where("k >= a AND k < b")
-    km = {f"km{c}": F.count_if(F.col("cls") == c) * (sampling.STEP_M / 1000) for c in range(1, 5)}
-    s = cut.groupBy("road", "a", "b").agg(*(v.alias(n) for n, v in km.items())).withColumn("length", (F.col("b") - F.col("a")) * sampling.STEP_M)
+    # b lies behind all of a section's bends, but where the road ends with one
+    km = {f"km{c}": F.count_if((F.col("cls") == c) & (F.col("k") < F.col("end"))) * (sampling.STEP_M / 1000) for c in range(1, 5)}
+    s = sampling.sections(samples, counts=km).where("a < b").withColumn("length", (F.col("b") - F.col("a")) * sampling.STEP_M)
     s = s.withColumn("curvy", sum((F.col(f"km{c}") * BALANCED[c - 1] for c in range(1, 5)), F.lit(0.0)))
     s = s.where(
         (F.col("length") >= least_m) & (F.col("curvy") >= least_curvy_km) & (F.col("curvy") / (F.col("length") / 1000) >= least_density)
@@ -266,12 +274,17 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     that a road needs and terrain lacks is an error. Elevation is rounded to whole metres in coords, slices to whole digits. Elements without roads give no rows.
     """
     found = stored(classified(elements).where("kind IS NOT NULL"), "elements")
-    ways = stored(road_ways(found), "ways")
-    passes = road_passes(found, ways)
-    chain = chained(ways.select("way"), stored(pairs(ways.select("way", "nodes", "key", "dx0", "dy0", "dx1", "dy1")), "links"))
-    vertices = stored(chain_vertices(chain, ways), "vertices")
+    others = stored(found.where("kind != 'way'"), "others")
+    ways = road_ways(found)
+    passes = stored(road_passes(others, ways), "passes")
+    chain = stored(chained(ways.select("way"), stored(pairs(ways.select("way", "nodes", "key", "dx0", "dy0", "dx1", "dy1")), "links")), "chains")
+    # candidates come of all chains in one stage, which writes nothing else; vertices and samples are kept of their chains only
+    size = ways.agg(F.coalesce(F.sum(F.size("geometry")), F.lit(0))).first()[0]
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // VERTICES))
+    cand = stored(candidates(sampling.bend_classes(sampling.resample(chain_vertices(chain, ways, parts))), round(1.6 * most)), "candidates")
+    picked = stored(chain.join(cand.select(F.col("chain").alias("road")), "road", "left_semi"), "picked")
+    vertices = stored(chain_vertices(picked, ways), "vertices")
     samples = stored(sampling.bend_classes(sampling.resample(vertices)), "samples")
-    cand = stored(candidates(samples, round(1.6 * most)), "candidates")
     planes = vertices.groupBy("road").agg(F.first("cos0").alias("cos0"))
     owned = vertices.select(F.col("road").alias("chain"), F.col("i").alias("owner"), "way").join(ways.select("way", "facts.off", "facts.urban"), "way").drop("way")
     cut = samples.withColumnRenamed("road", "chain").join(cand.select("chain", "road", "a", "b"), "chain").where("k BETWEEN a AND b").join(planes.withColumnRenamed("road", "chain"), "chain").join(owned, ["chain", "owner"])
@@ -290,13 +303,13 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     climb = sampling.climbs(profile)
     pins = stored(sampling.hairpins(sampling.turning(s)), "hairpins")
     counts = slice_counts(s, pins, sampling.crests_and_dips(profile))
-    place_tags = found.where("kind = 'place'").select(
+    place_tags = others.where("kind = 'place'").select(
         "area", F.col("ord").alias("place_id"), tags.tag(F.col("tags"), "name").alias("name"), tags.tag(F.col("tags"), "place").alias("kind"),
         F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")
     )
     at_centres = middles.withColumns({"point_id": F.struct("road", "i"), "area": F.split_part("road", F.lit("/"), F.lit(1))})
     in_place = spatial.near_places(at_centres, place_tags).select("point_id.*", F.lit(True).alias("in_place"))
-    lookouts = found.where("kind = 'viewpoint'").select("area", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    lookouts = others.where("kind = 'viewpoint'").select("area", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     seen = spatial.near_points(at_centres, lookouts, VIEWPOINT_M).select("point_id.*", F.lit(1).alias("x"))
     table = counts.join(views(middles, profile, heights), ["road", "i"], "left").join(in_place, ["road", "i"], "left").join(seen, ["road", "i"], "left")
     whole = lambda c: F.greatest(F.lit(0), F.least(F.lit(35), js_round(c))).cast("int")

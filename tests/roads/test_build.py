@@ -102,6 +102,27 @@ def test_a_mountain_of_one_road(spark, terrain):
         assert abs(c.ele - ground(c.lon, c.lat)) < 45  # smoothed over the wiggles
 
 
+def test_lines_are_kept_of_roads_with_candidates_only(spark, terrain, monkeypatch):
+    kept, write = {}, build.stored
+    monkeypatch.setattr(build, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    straight = [way(20 + n, 200 + n, list(range(9000 + 500 * n, 9400 + 500 * n)), [(LON + 0.001 * n, LAT + k * 0.0001) for k in range(400)], name="Straight") for n in range(5)]
+    build.find_roads(spark.createDataFrame([*mountain()[1], *straight], ELEMENT), terrain)
+    of = lambda name: {r.road for r in kept[name].select("road").distinct().collect()}
+    assert of("vertices") == of("samples") == {r.chain for r in kept["candidates"].collect()} == {"a/000000000000"}
+    assert "ways" not in kept  # no second copy of all geometries
+
+
+def test_candidates_are_sections_with_the_bends_before_their_end(spark):
+    at = {5: 1, 6: 2, 405: 4, 900: 3, 909: 1}
+    rows = [(f"a/{n}", k, at.get(k, 0)) for n, last in ((1, 909), (2, 950)) for k in range(last + 1)] + [("a/3", 0, 4)]
+    samples = spark.createDataFrame(rows, "road string, k long, cls int")
+    got = {(r.chain, r.a, r.b, *(round(r[f"km{c}"], 6) for c in range(1, 5)), r.length) for r in build.candidates(samples, None, 0, 0, 0).collect()}
+    assert got == {
+        ("a/1", 0, 420, 0.01, 0.01, 0, 0.01, 4200.0), ("a/1", 885, 909, 0, 0, 0.01, 0, 240.0),
+        ("a/2", 0, 420, 0.01, 0.01, 0, 0.01, 4200.0), ("a/2", 885, 924, 0.01, 0, 0.01, 0, 390.0)
+    }
+
+
 def test_what_is_no_road(spark, terrain):
     elements = spark.createDataFrame([r for r in mountain()[1] if r[1] in (3, 4, 8)], ELEMENT)
     assert build.find_roads(elements, terrain).collect() == []
