@@ -57,6 +57,17 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text.replace("{e}", "element_at"), **used)
 
 
+#: Slices that one task has, but for what one road holds.
+SLICE_ROWS = 500_000
+
+
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SLICES of all line items. These are dealt by road before anything is made of them, to as many tasks as their number asks for; all windows of a road then find it in one task."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = max(spark.sparkContext.defaultParallelism, -(-l.count() // SLICE_ROWS))
+    return spark.sql(SLICES, lineitem=l.repartition(parts, "l_suppkey"))
+
+
 def check_sql(text: str) -> str:
     """The same view for the check's engine."""
     text = text.replace("{e}", "list_extract")
