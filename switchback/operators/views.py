@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RIDE_DEG_M, haversine_m
 from ..functions.scoring import js_round
+from ..storage import stored
 
 # Metres a degree of latitude and of longitude at the equator on the smoothed line's plane, and grades between colours.
 LAT_M, LON_M = 110540.0, RIDE_DEG_M
@@ -127,27 +128,49 @@ def profile_points(line: DataFrame, n: int = 120) -> DataFrame:
     return interpolate(line, total.select("road", "i", (F.col("total") * F.col("i") / (n - 1)).alias("x")), ["ele"])
 
 
-#: Vertices of a piece of a line, whose box stands for them until it is clear that one of them may be nearest.
-PIECE = 64
+#: Vertices of a cell that a point may meet one by one, and how often a road's box may be cut in four along either axis for that.
+CROWD, CUTS = 16, 8
 
 
 def nearest_metres(line: DataFrame, points: DataFrame, every: int = 4) -> DataFrame:
     """points (road, point_id, p_lon, p_lat) with x: the metres along of the nearest of every fourth vertex, by squared degrees, the first of equals.
 
-    A point first meets the boxes of its road's pieces; only pieces that may be nearer than the farthest corner of the best one open, so it meets few vertices but the nearest.
+    However a road winds, its box is cut in four along either axis until the fullest cell holds at most CROWD vertices. A point meets the boxes of what lies in cells, and keeps those
+    that may be nearer than the farthest corner of the best one; only in the last of them does it meet vertices. Of points, and of vertices, at one spot one is looked at.
     """
-    some = line.where(F.col("k") % every == 0).withColumn("piece", F.floor(F.col("k") / (every * PIECE)))
-    boxes = some.groupBy("road", "piece").agg(*(f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    some, each = line.where(F.col("k") % every == 0), ["road", "p_lon", "p_lat"]
+    finite = lambda *names: F.coalesce(F.expr(" AND ".join(f"{c} BETWEEN -1e6D AND 1e6D" for c in names)), F.lit(False))
+    spots = some.where(finite("lon", "lat")).groupBy("road", "lon", "lat").agg(F.min(F.struct("k", "x")).alias("v"))
+    ends = {f"{c}_{n}": (f, c) for c in ("lon", "lat") for f, n in ((F.min, "lo"), (F.max, "hi"))}
+    whole = spots.groupBy("road").agg(*(f(c).alias(n) for n, (f, c) in ends.items()))
+    part = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"{c}_lo")), F.lit(0.0))
+    fine = [F.least(F.lit(4**CUTS - 1), F.floor(part(c) * 4**CUTS)).cast("long").alias(f"fine_{x}") for x, c in (("x", "lon"), ("y", "lat"))]
+    placed = stored(spots.join(whole, "road").select("road", "lon", "lat", "v", *fine), "spots")
+    roads = placed.select("road").distinct()
     reach = lambda c: F.greatest(F.abs(F.col(f"p_{c}") - F.col(f"{c}_lo")), F.abs(F.col(f"p_{c}") - F.col(f"{c}_hi")))
     off = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}_lo") - F.col(f"p_{c}"), F.col(f"p_{c}") - F.col(f"{c}_hi"))
-    farthest = F.pow(reach("lon"), 2) + F.pow(reach("lat"), 2)
-    least = F.pow(off("lon"), 2) + F.pow(off("lat"), 2)
-    near = points.join(boxes, "road").withColumns({"farthest": farthest, "least": least})
-    best = F.min("farthest").over(Window.partitionBy("road", "point_id"))
-    opened = near.withColumn("best", best).where(F.col("least") <= F.col("best") * (1 + 1e-9)).select("road", "piece", "point_id", "p_lon", "p_lat")
-    met = opened.join(some, ["road", "piece"])
+    farthest, least = (F.pow(f("lon"), 2) + F.pow(f("lat"), 2) for f in (reach, off))
+    asked = points.where(finite("p_lon", "p_lat")).select(*each).distinct().withColumns({"cell_x": F.lit(0).cast("long"), "cell_y": F.lit(0).cast("long")})
+    # small tables, but long work: dealt by point, to tasks that gather its cells without another exchange
+    dealt = lambda df: df.repartition(int(line.sparkSession.conf.get("spark.sql.shuffle.partitions")), *each)
+    for cuts in range(1, CUTS + 1):
+        shift = 2 * (CUTS - cuts)
+        at = {f"{n}_{x}": F.shiftright(f"fine_{x}", k) for n, k in (("cell", shift + 2), ("in", shift)) for x in "xy"}
+        boxes = stored(placed.withColumns(at).groupBy("road", *at).agg(*(f(c).alias(n) for n, (f, c) in ends.items()), F.count("*").alias("crowd")), "boxes")
+        near = dealt(asked).join(boxes, ["road", "cell_x", "cell_y"]).select(*each, "in_x", "in_y", least.alias("least"), farthest.alias("farthest"))
+        best = near.groupBy(*each).agg(F.min("farthest").alias("best"), F.collect_list(F.struct("in_x", "in_y", "least")).alias("cells"))
+        left = best.select(*each, "best", F.explode("cells").alias("at")).where(F.col("at.least") <= F.col("best") * (1 + 1e-9))
+        asked = stored(left.select(*each, F.col("at.in_x").alias("cell_x"), F.col("at.in_y").alias("cell_y")), "near")
+        if boxes.agg(F.coalesce(F.max("crowd"), F.lit(0))).first()[0] <= CROWD:
+            break
     q = F.pow(F.col("lon") - F.col("p_lon"), 2) + F.pow(F.col("lat") - F.col("p_lat"), 2)
-    return met.groupBy("road", "point_id").agg(F.min(F.struct(q.alias("q"), "k", "x")).alias("b")).select("road", "point_id", "b.x")
+    opened = placed.select("road", "lon", "lat", "v", *(F.shiftright(f"fine_{x}", shift).alias(f"cell_{x}") for x in "xy"))
+    found = dealt(asked).join(opened, ["road", "cell_x", "cell_y"]).groupBy(*each).agg(F.min(F.struct(q.isNull().alias("none"), q.alias("q"), "v.k", "v.x")).alias("b"))
+    # points that are nowhere, and those of roads that are, are as near to all vertices as numbers tell
+    lost = points.where(~finite("p_lon", "p_lat")).unionByName(points.where(finite("p_lon", "p_lat")).join(roads, "road", "left_anti").select(*points.columns))
+    nowhere = lost.join(some, "road").select("road", "point_id", F.struct(q.isNull().alias("none"), q.alias("q"), "k", "x").alias("b"))
+    both = points.join(found, each).select("road", "point_id", "b").unionByName(nowhere)
+    return both.groupBy("road", "point_id").agg(F.min("b").alias("b")).select("road", "point_id", "b.x")
 
 
 def stops_by_km(line: DataFrame, stops: DataFrame, most: int = 12) -> DataFrame:
