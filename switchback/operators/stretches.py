@@ -154,9 +154,12 @@ def class_stretches(slices: DataFrame) -> DataFrame:
 def setting_scores(slices: DataFrame, settings: list[tuple[float, Mix]]) -> DataFrame:
     """(road, linear array<double>): each road's linear score at every setting (taste, mix), in their order.
 
-    A road's stretches meet all settings as a product of matrices, STARTS at a time; the first of equal stretches counts, and values are compared to nine decimals.
+    A road's stretches meet all settings as a product of matrices, STARTS at a time; the first of equal stretches counts, and values are compared to nine decimals. What depends on the taste
+    alone is worked out once a taste: bends, and densities, which are sorted once and not held against each setting's limit. Only the best of a setting's values is rounded.
     """
-    weights = np.array([taste_weights(t)[0] for t, _ in settings]).T
+    tastes = list(dict.fromkeys(t for t, _ in settings))
+    of = np.array([tastes.index(t) for t, _ in settings])
+    weights = np.array([taste_weights(t)[0] for t in tastes]).T
     mixes = np.array([[m.terrain, m.scenery, m.hairpins * taste_weights(t)[1]] for t, m in settings]).T
     scales = np.array([taste_scale(t, m) for t, m in settings])
     classes = lambda table, name: np.stack([table.column(f"{name}{k}").to_numpy() for k in range(1, 5)], axis=1)
@@ -164,19 +167,26 @@ def setting_scores(slices: DataFrame, settings: list[tuple[float, Mix]]) -> Data
     def score(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
         starts = table.filter(pc.is_valid(table.column("s1")))
-        best, at = np.full(len(settings), -np.inf), np.zeros(len(settings), np.int64)
+        best, at, each = np.full(len(settings), -np.inf), np.zeros(len(settings), np.int64), np.arange(len(settings))
         for a in range(0, len(starts), STARTS):
             some = starts.slice(a, STARTS)
-            gains = np.stack([some.column(c).to_numpy() for c in ("terrain", "scene", "pins")], axis=1)
-            fun = np.round((classes(some, "s") @ weights) * (1 + gains @ mixes), 9)
-            first = fun.argmax(axis=0)
-            top = fun[first, np.arange(len(settings))]
+            gains = np.stack([some.column(c).to_numpy() for c in ("terrain", "scene", "pins")], axis=0)
+            fun = mixes.T @ gains
+            fun += 1
+            fun *= (classes(some, "s") @ weights).T[of]
+            top = np.round(fun.max(axis=1), 9)
+            # the first that is within the last decimal of the top mostly has its rounded value; where not, all of the row are rounded
+            first = (fun >= top[:, None] - 1e-9).argmax(axis=1)
+            for row in np.flatnonzero(np.round(fun[each, first], 9) != top):
+                first[row] = (np.round(fun[row], 9) == top[row]).argmax()
             at, best = np.where(top > best, first + a, at), np.maximum(best, top)
         means, width = classes(starts, "m")[at], starts.column("width").to_numpy()[at]
-        least = np.round(0.5 * (means * weights.T).sum(axis=1), 9)
+        least = np.round(0.5 * (means * weights.T[of]).sum(axis=1), 9)
         good = np.zeros(len(settings))
         for a in range(0, len(table), STARTS):
-            good += (np.round(classes(table.slice(a, STARTS), "d") @ weights, 9) >= least).sum(axis=0)
+            dens = np.sort(np.round((classes(table.slice(a, STARTS), "d") @ weights).T, 9), axis=1)
+            for t in range(len(tastes)):
+                good[of == t] += dens.shape[1] - np.searchsorted(dens[t], least[of == t])
         linear = 100 * best / (width * SLICE_KM) * WINDOW_KM * np.sqrt(np.minimum(good * SLICE_KM, GOOD_KM_CAP) / WINDOW_KM) / (SCORE_REF * scales)
         return pa.table({"road": table.column("road")[:1], "linear": [np.round(linear, 9)]})
 
