@@ -73,9 +73,9 @@ def passes_within(passes: DataFrame, boxes: DataFrame) -> DataFrame:
     return inside.select("area", F.col("pass_id").alias("ord"), "name", whole_metres(F.col("ele")).alias("ele"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
-def find_areas(elements: DataFrame, terrain: DataFrame, boxes: DataFrame, most: int = 400) -> tuple[DataFrame, DataFrame]:
+def find_areas(elements: DataFrame, terrain: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(roads, passes) of areas: find_roads(), and passes_within() their boxes (area, s, w, n, e). An area without roads has no passes either."""
-    roads = find_roads(elements, terrain, most)
+    roads = find_roads(elements, terrain)
     found = stored(classified(elements).where("kind IN ('way', 'pass')"), "elements")
     passes = road_passes(found, road_ways(found))
     return roads, passes_within(passes, boxes).join(roads.select("area").distinct(), "area", "left_semi")
@@ -267,8 +267,20 @@ def scored(roads: DataFrame, taste: float = 0.5, mix: stretches.Mix = stretches.
     return stretches.score_roads(road_slices(roads), taste, mix)
 
 
-def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> DataFrame:
-    """The best roads of each area of map elements, described, scored and ranked (place from 1): at most ``most`` each.
+def ranked(scores: DataFrame) -> DataFrame:
+    """(area, section, score, place) of scores (area, section, score, curvy): place from 1 in each area, by score, curvy to nine decimals, and section.
+
+    A road's place is its place among those of its score, behind all of higher ones, so no area is sorted as a whole.
+    """
+    sums = scores.groupBy("area", "score").agg(F.count("*").alias("n"))
+    higher = F.coalesce(F.sum("n").over(Window.partitionBy("area").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    equal = F.row_number().over(Window.partitionBy("area", "score").orderBy(F.desc(F.round("curvy", 9)), "section"))
+    places = scores.withColumn("equal", equal).join(sums.select("area", "score", higher.alias("higher")), ["area", "score"])
+    return places.select("area", "section", "score", (F.col("higher") + F.col("equal")).alias("place"))
+
+
+def find_roads(elements: DataFrame, terrain: DataFrame) -> DataFrame:
+    """The roads of each area of map elements, described, scored and ranked (place from 1): all sections that are long, curvy and dense enough.
 
     elements: area, ord and the columns of sources.elements.ELEMENT, distinct by type and id; terrain: x, y, metres, tiles as read_terrain() gives them. A tile
     that a road needs and terrain lacks is an error. Elevation is rounded to whole metres in coords, slices to whole digits. Elements without roads give no rows.
@@ -281,7 +293,7 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
     # candidates come of all chains in one stage, which writes nothing else; vertices and samples are kept of their chains only
     size = ways.agg(F.coalesce(F.sum(F.size("geometry")), F.lit(0))).first()[0]
     parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // VERTICES))
-    cand = stored(candidates(sampling.bend_classes(sampling.resample(chain_vertices(chain, ways, parts))), round(1.6 * most)), "candidates")
+    cand = stored(candidates(sampling.bend_classes(sampling.resample(chain_vertices(chain, ways, parts)))), "candidates")
     picked = stored(chain.join(cand.select(F.col("chain").alias("road")), "road", "left_semi"), "picked")
     vertices = stored(chain_vertices(picked, ways), "vertices")
     samples = stored(sampling.bend_classes(sampling.resample(vertices)), "samples")
@@ -362,8 +374,8 @@ def find_roads(elements: DataFrame, terrain: DataFrame, most: int = 400) -> Data
         "ele_min", "ele_max", F.round(F.col("grade") * 100, 1).alias("max_grade"), "pass", F.struct("narrow", "tunnel", "toll", "closed").alias("warn"), "coords", "slices",
     ), "roads")
     scores = scored(described.drop("road").withColumnRenamed("section", "road")).select(F.col("road").alias("section"), "score")
-    place = F.row_number().over(Window.partitionBy("area").orderBy(F.desc("score"), F.desc(F.round("curvy", 9)), "section"))
-    return described.join(scores, "section").withColumn("place", place).where(F.col("place") <= most).drop("section", "road")
+    places = ranked(described.select("area", "section", "curvy").join(scores, "section"))
+    return described.join(places.drop("area"), "section").drop("section", "road")
 
 
 def _outline(cand: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -278,7 +278,7 @@ def built_roads(spark, sf_dir):
     )
     tile = spark.range(2120, 2145).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(1435), F.lit(1465))).alias("y"))
     hills = F.expr("transform(sequence(0, 65535), c -> cast(900 + 300 * sin((x * 256 + c % 256) / 40) + 250 * cos((y * 256 + c div 256) / 55) AS float))")
-    found = build.find_roads(elements, tile.withColumn("metres", hills), 200)
+    found = build.find_roads(elements, tile.withColumn("metres", hills))
     return rounded(found.select("place", "name", "len", "score", "hairpins", "climb", F.size("slices").alias("slices")))
 
 

@@ -102,6 +102,23 @@ def test_a_mountain_of_one_road(spark, terrain):
         assert abs(c.ele - ground(c.lon, c.lat)) < 45  # smoothed over the wiggles
 
 
+def test_every_section_is_described_and_ranked(spark, terrain):
+    # 645 roads through a town, and one with fewer bends that is more fun than any of them
+    line, n = wiggle(290), 645
+    roads = [way(k, 10_000 + k, [k * 1000 + i for i in range(290)], line, name=f"Town {k}", maxspeed="FR:urban") for k in range(n)]
+    best = way(n, 20_000, [n * 1000 + i for i in range(270)], line[:270], name="Best")
+    got = {r.name: r for r in build.find_roads(spark.createDataFrame([*roads, best], ELEMENT), terrain).select("name", "place", "score", "len").collect()}
+    assert len(got) == n + 1 and got["Best"].place == 1
+    assert got["Best"].score > got["Town 0"].score and got["Best"].len < got["Town 0"].len
+    assert [got[f"Town {k}"].place for k in range(n)] == list(range(2, n + 2))  # equal ones in order
+
+
+def test_places_by_score_curvy_and_section(spark):
+    rows = [("a", "s1", 50, 1.0), ("a", "s2", 60, 0.5), ("a", "s3", 50, 2.0), ("a", "s0", 50, 1.0 + 1e-12), ("b", "s9", 1, 1.0)]
+    got = build.ranked(spark.createDataFrame(rows, "area string, section string, score long, curvy double")).collect()
+    assert {(r.area, r.section): r.place for r in got} == {("a", "s2"): 1, ("a", "s3"): 2, ("a", "s0"): 3, ("a", "s1"): 4, ("b", "s9"): 1}
+
+
 def test_lines_are_kept_of_roads_with_candidates_only(spark, terrain, monkeypatch):
     kept, write = {}, build.stored
     monkeypatch.setattr(build, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
