@@ -97,26 +97,32 @@ VERTICES = 500_000
 
 
 def chain_vertices(chain: DataFrame, ways: DataFrame, parts: int | None = None) -> DataFrame:
-    """(road, i, way, lon, lat, x, y, d, cos0): the line of each chain (way, road, pos, reversed), in metres on the plane at its mean latitude.
+    """(road, i, way, lon, lat, x, y, d, cos0): the line of each chain (way, road, pos, reversed), in metres on the plane at its mean latitude; other columns of ways come with their vertices.
 
     Ways after the first go without their first vertex, which is shared; chains of fewer than three vertices are no roads; a vertex within a centimetre of the one before is left out.
     With parts, whole geometries are dealt to so many tasks by road, and give their vertices there. The mean is taken in order, so the same chain has the same line each time.
     """
     line = F.when(F.col("reversed"), F.reverse("geometry")).otherwise(F.col("geometry"))
-    g = chain.join(ways.select("way", "geometry"), "way").select("road", "pos", "way", line.alias("line"))
-    v = (g.repartition(parts, "road") if parts else g).select("road", "pos", "way", F.posexplode("line").alias("j", "p")).where("pos = 0 OR j > 0")
+    rest = [c for c in ways.columns if c not in ("way", "geometry")]
+    g = chain.join(ways, "way").select("road", "pos", "way", *rest, line.alias("line"))
+    v = (g.repartition(parts, "road") if parts else g).select("road", "pos", "way", *rest, F.posexplode("line").alias("j", "p")).where("pos = 0 OR j > 0")
     w, o = Window.partitionBy("road").orderBy("i"), Window.partitionBy("road").orderBy("pos", "j")
     whole = o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     v = v.select(
-        "road", "way", "p.lon", "p.lat", (F.row_number().over(o) - 1).alias("i"),
+        "road", "way", *rest, "p.lon", "p.lat", (F.row_number().over(o) - 1).alias("i"),
         F.avg("p.lat").over(whole).alias("lat0"), F.count("*").over(whole).alias("n")
     ).where("n >= 3")
-    v = v.withColumn("cos0", F.cos(F.radians("lat0"))).withColumns({"x": F.radians("lon") * EARTH_M * F.col("cos0"), "y": F.radians("lat") * EARTH_M})
+    v = on_plane(v.withColumn("cos0", F.cos(F.radians("lat0"))))
     gap = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    kept = v.withColumn("gap", gap).where("gap IS NULL OR gap > 0.01").select("road", "i", "way", "lon", "lat", "x", "y", "cos0")
+    kept = v.withColumn("gap", gap).where("gap IS NULL OR gap > 0.01").select("road", "i", "way", *rest, "lon", "lat", "x", "y", "cos0")
     return sampling.distances(kept)
 
 
+def on_plane(points: DataFrame) -> DataFrame:
+    """points (lon, lat, cos0) with x and y, metres on the plane at the latitude whose cosine is cos0."""
+    return points.withColumns({"x": F.radians("lon") * EARTH_M * F.col("cos0"), "y": F.radians("lat") * EARTH_M})
+
+
 def owners(vertices: DataFrame, places: DataFrame) -> DataFrame:
     """places (road, d, ...) with way: that of the first vertex (road, d, way) at or behind d, else of the last. One sort of both sides, no join by distance."""
     rest = [c for c in places.columns if c not in ("road", "d")]
@@ -167,14 +173,19 @@ def slice_counts(samples: DataFrame, pins: DataFrame, turns: DataFrame) -> DataF
     return out.withColumns({"h": F.coalesce("h", F.lit(0)), "r": F.coalesce("r", F.lit(0))})
 
 
-def centres(samples: DataFrame) -> DataFrame:
-    """(road, i, k, lon, lat, hx, hy) of the sample at the middle of each slice that has one, with the unit direction there."""
-    w = Window.partitionBy("road").orderBy("k")
+def headed(samples: DataFrame, by: tuple[str, ...] = ("road",)) -> DataFrame:
+    """Adds hx and hy, the unit direction at the sample in the middle of each slice that has one; null at the others."""
+    w = Window.partitionBy(*by).orderBy("k")
     before, after = lambda c: F.coalesce(F.lag(c).over(w), F.col(c)), lambda c: F.coalesce(F.lead(c).over(w), F.col(c))
-    s = samples.withColumns({"hx": after("x") - before("x"), "hy": after("y") - before("y")}).where(F.col("k") % PER_SLICE == PER_SLICE // 2)
-    s = s.withColumn("i", F.floor(F.col("k") / PER_SLICE)).where(F.col("i") < F.greatest(F.lit(1), F.ceil((F.col("n") - 1) / PER_SLICE)))
+    s = samples.withColumns({"hx": after("x") - before("x"), "hy": after("y") - before("y")})
+    middle = (F.col("k") % PER_SLICE == PER_SLICE // 2) & (F.floor(F.col("k") / PER_SLICE) < F.greatest(F.lit(1), F.ceil((F.col("n") - 1) / PER_SLICE)))
     size = F.greatest(F.hypot("hx", "hy"), F.when(F.hypot("hx", "hy") == 0, 1.0).otherwise(0.0))
-    return s.select("road", "i", "k", "lon", "lat", (F.col("hx") / size).alias("hx"), (F.col("hy") / size).alias("hy"))
+    return s.withColumns({c: F.when(middle, F.col(c) / size) for c in ("hx", "hy")})
+
+
+def centres(samples: DataFrame) -> DataFrame:
+    """(road, i, k, lon, lat, hx, hy) of the samples that headed() has given a direction."""
+    return samples.where("hx IS NOT NULL").select("road", F.floor(F.col("k") / PER_SLICE).alias("i"), "k", "lon", "lat", "hx", "hy")
 
 
 def surroundings(middles: DataFrame) -> DataFrame:
@@ -293,27 +304,27 @@ def find_roads(elements: DataFrame, terrain: DataFrame) -> DataFrame:
     # candidates come of all chains in one stage, which writes nothing else; vertices and samples are kept of their chains only
     size = ways.agg(F.coalesce(F.sum(F.size("geometry")), F.lit(0))).first()[0]
     parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // VERTICES))
-    cand = stored(candidates(sampling.bend_classes(sampling.resample(chain_vertices(chain, ways, parts)))), "candidates")
+    lines = ways.select("way", "geometry", "facts.off", "facts.urban")
+    cand = stored(candidates(sampling.bend_classes(sampling.resample(chain_vertices(chain, lines.select("way", "geometry"), parts)))), "candidates")
     picked = stored(chain.join(cand.select(F.col("chain").alias("road")), "road", "left_semi"), "picked")
-    vertices = stored(chain_vertices(picked, ways), "vertices")
-    samples = stored(sampling.bend_classes(sampling.resample(vertices)), "samples")
-    planes = vertices.groupBy("road").agg(F.first("cos0").alias("cos0"))
-    owned = vertices.select(F.col("road").alias("chain"), F.col("i").alias("owner"), "way").join(ways.select("way", "facts.off", "facts.urban"), "way").drop("way")
-    cut = samples.withColumnRenamed("road", "chain").join(cand.select("chain", "road", "a", "b"), "chain").where("k BETWEEN a AND b").join(planes.withColumnRenamed("road", "chain"), "chain").join(owned, ["chain", "owner"])
-    s = cut.select(
-        "road", (F.col("k") - F.col("a")).alias("k"), (F.col("b") - F.col("a") + 1).alias("n"), "x", "y",
-        F.degrees(F.col("x") / (EARTH_M * F.col("cos0"))).alias("lon"), F.degrees(F.col("y") / EARTH_M).alias("lat"), "cls", "off", "urban"
-    )
-    s = stored(s, "sections")
+    vertices = on_plane(stored(chain_vertices(picked, lines, parts).drop("x", "y", "d"), "vertices"))
+    # all that takes a window over a section's samples is found where they are made: they lie by chain, and a section is part of one
+    samples = sampling.bend_classes(sampling.resample(vertices, carry=("cos0", "off", "urban"))).join(cand.select(F.col("chain").alias("road"), F.col("road").alias("section"), "a", "b"), "road")
+    samples = samples.where("k BETWEEN a AND b").withColumns({"k": F.col("k") - F.col("a"), "n": F.col("b") - F.col("a") + 1})
+    samples = headed(sampling.hairpin_steps(sampling.turning(samples, by=("road", "section")), by=("road", "section")), ("road", "section"))
+    samples = stored(samples.drop("owner", "a", "b", "turned"), "samples")
+    s = samples.drop("road").withColumnRenamed("section", "road").withColumns({"lon": F.degrees(F.col("x") / (EARTH_M * F.col("cos0"))), "lat": F.degrees(F.col("y") / EARTH_M)})
 
     middles = stored(centres(s), "centres")
-    pass_points = passes.select(F.col("area").alias("road"), F.col("pass_id").alias("k"), F.lit("pass").alias("what"), F.lit(0).alias("j"), "lon", "lat")
-    points = s.select("road", "k", F.lit("road").alias("what"), F.lit(0).alias("j"), "lon", "lat").unionByName(surroundings(middles)).unionByName(pass_points)
-    heights = stored(elevation(points, terrain), "heights")
-    raw = s.select("road", "k", "off").join(heights.where("what = 'road'").select("road", "k", "ele"), ["road", "k"])
-    profile = stored(sampling.smooth_elevation(sampling.filled_ground(raw)), "profile")
+    pass_points = passes.select(F.col("area").alias("road"), F.col("pass_id").alias("k"), F.lit("pass").alias("what"), "lon", "lat")
+    points = surroundings(middles).drop("j").unionByName(pass_points).withColumn("off", F.lit(None).cast("boolean"))
+    points = s.select("road", "k", F.lit("road").alias("what"), "lon", "lat", "off").unionByName(points)
+    heights = stored(elevation(points, terrain).drop("lon", "lat"), "heights")
+    raw = heights.where("what = 'road'").select("road", "k", "off", "ele")
+    # dealt once for all that goes through a road's profile
+    profile = stored(sampling.smooth_elevation(sampling.filled_ground(raw)), "profile").repartition("road")
     climb = sampling.climbs(profile)
-    pins = stored(sampling.hairpins(sampling.turning(s)), "hairpins")
+    pins = stored(sampling.taken_hairpins(s), "hairpins")
     counts = slice_counts(s, pins, sampling.crests_and_dips(profile))
     place_tags = others.where("kind = 'place'").select(
         "area", F.col("ord").alias("place_id"), tags.tag(F.col("tags"), "name").alias("name"), tags.tag(F.col("tags"), "place").alias("kind"),
@@ -323,7 +334,7 @@ def find_roads(elements: DataFrame, terrain: DataFrame) -> DataFrame:
     in_place = spatial.near_places(at_centres, place_tags).select("point_id.*", F.lit(True).alias("in_place"))
     lookouts = others.where("kind = 'viewpoint'").select("area", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     seen = spatial.near_points(at_centres, lookouts, VIEWPOINT_M).select("point_id.*", F.lit(1).alias("x"))
-    table = counts.join(views(middles, profile, heights), ["road", "i"], "left").join(in_place, ["road", "i"], "left").join(seen, ["road", "i"], "left")
+    table = counts.join(views(middles, profile.where(F.col("k") % PER_SLICE == PER_SLICE // 2), heights.where("what IN ('ring', 'side')")), ["road", "i"], "left").join(in_place, ["road", "i"], "left").join(seen, ["road", "i"], "left")
     whole = lambda c: F.greatest(F.lit(0), F.least(F.lit(35), js_round(c))).cast("int")
     fields = {f"c{c}": F.col(f"c{c}") for c in range(1, 5)} | {
         "h": F.col("h"), "r": F.col("r"), "v": F.coalesce("v", F.lit(0.0)), "p": F.coalesce("p", F.lit(0.0)),
@@ -336,11 +347,7 @@ def find_roads(elements: DataFrame, terrain: DataFrame) -> DataFrame:
     outline = stored(_outline(cand, vertices), "outline")
     parts = stored(_parts(outline, cand, vertices, ways), "parts")
     name, ref = weighted_mode(parts, "name"), weighted_mode(parts, "ref")
-    line = _with_elevation(outline, cand, profile)
-    coords = line.groupBy("road").agg(
-        F.array_sort(F.collect_list(F.struct("d", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), js_round(F.col("ele")).cast("double").alias("ele")))).alias("l")
-    )
-    coords = coords.select("road", F.transform("l", lambda p: p.dropFields("d")).alias("coords"))
+    coords = _with_elevation(outline, cand, profile)
     ends = stored(outline.groupBy("road").agg(F.min(F.struct("d", "lon", "lat")).alias("p0"), F.max(F.struct("d", "lon", "lat")).alias("p1")), "ends")
     at_ends = ends.select(
         F.col("road"), F.explode(F.array(*(F.struct(F.lit(e).alias("end"), f"p{e}.lon", f"p{e}.lat") for e in (0, 1)))).alias("p")
@@ -382,19 +389,17 @@ def _outline(cand: DataFrame, vertices: DataFrame) -> DataFrame:
     """(road, chain, d, lon, lat): the ends of each section and the chain's vertices between them, simplified to two metres."""
     c = cand.select("chain", "road", (F.col("a") * sampling.STEP_M).alias("d0"), (F.col("b") * sampling.STEP_M).alias("d1"))
     w = Window.partitionBy("road").orderBy("i")
-    seg = vertices.withColumns({"dp": F.lag("d").over(w), "lonp": F.lag("lon").over(w), "latp": F.lag("lat").over(w)}).withColumnRenamed("road", "chain")
-    met = seg.join(c, "chain")
-    inside = met.where("d > d0 AND d < d1").select("road", "chain", "d", "lon", "lat", "cos0")
-    at = lambda c, end: F.col(f"{c}p") + (F.col(c) - F.col(f"{c}p")) * (F.col(end) - F.col("dp")) / (F.col("d") - F.col("dp"))
-    ends = [
-        met.where(f"dp IS NOT NULL AND dp <= {e} AND ({e} < d)").select(
-            "road", "chain", F.col(e).alias("d"), at("lon", e).alias("lon"), at("lat", e).alias("lat"), "cos0"
-        ) for e in ("d0", "d1")
-    ]
-    out = inside.unionByName(ends[0]).unionByName(ends[1])
-    out = out.withColumns({"k": F.row_number().over(Window.partitionBy("road").orderBy("d")) - 1, "x": F.radians("lon") * EARTH_M * F.col("cos0"), "y": F.radians("lat") * EARTH_M})
+    seg = sampling.distances(vertices).withColumns({"dp": F.lag("d").over(w), "lonp": F.lag("lon").over(w), "latp": F.lag("lat").over(w)}).withColumnRenamed("road", "chain")
+    met = seg.select("chain", "d", "lon", "lat", "cos0", "dp", "lonp", "latp").join(c, "chain")
+    at = lambda c, end: (F.col(f"{c}p") + (F.col(c) - F.col(f"{c}p")) * (F.col(end) - F.col("dp")) / (F.col("d") - F.col("dp"))).alias(c)
+    own = F.when(F.expr("d > d0 AND d < d1"), F.struct("d", "lon", "lat"))
+    ends = [F.when(F.expr(f"dp IS NOT NULL AND dp <= {e} AND {e} < d"), F.struct(F.col(e).alias("d"), at("lon", e), at("lat", e))) for e in ("d0", "d1")]
+    out = met.select("chain", "road", "cos0", F.explode(F.array_compact(F.array(own, *ends))).alias("p")).select("road", "chain", "p.*", "cos0")
+    # sections are parts of chains, by which the rows lie already
+    out = out.withColumn("k", F.row_number().over(Window.partitionBy("chain", "road").orderBy("d")) - 1)
     out = stored(out, "outline")
-    return out.join(sampling.simplified(out).withColumnRenamed("at", "k"), ["road", "k"], "left_semi").select("road", "chain", "d", "lon", "lat")
+    kept = sampling.simplified(on_plane(out)).withColumnRenamed("at", "k")
+    return out.join(kept, ["road", "k"], "left_semi").select("road", "chain", "d", "lon", "lat")
 
 
 def _parts(outline: DataFrame, cand: DataFrame, vertices: DataFrame, ways: DataFrame) -> DataFrame:
@@ -402,14 +407,20 @@ def _parts(outline: DataFrame, cand: DataFrame, vertices: DataFrame, ways: DataF
     w = Window.partitionBy("road").orderBy("d")
     p = outline.withColumns({"to": F.lead("d").over(w), "j": F.row_number().over(w)}).where("to IS NOT NULL")
     mid = p.select(F.col("chain").alias("road"), ((F.col("d") + F.col("to")) / 2).alias("d"), F.col("road").alias("section"), "j", (F.col("to") - F.col("d")).alias("metres"))
-    got = owners(vertices, mid).join(ways.select("way", "facts.*"), "way")
+    got = owners(sampling.distances(vertices), mid).join(ways.select("way", "facts.*"), "way")
     return got.drop("road", "d", "way").withColumnRenamed("section", "road").join(cand.select("road", "length"), "road")
 
 
 def _with_elevation(outline: DataFrame, cand: DataFrame, profile: DataFrame) -> DataFrame:
-    """outline with ele, between the smoothed samples around each point."""
-    at = outline.join(cand.select("road", "a", "b"), "road").withColumn("t", F.col("d") / sampling.STEP_M - F.col("a"))
-    at = at.withColumn("k", F.least(F.floor("t"), F.col("b") - F.col("a") - 1))
-    w = Window.partitionBy("road").orderBy("k")
-    pair = profile.withColumn("next", F.lead("ele").over(w)).select("road", "k", F.col("ele").alias("e0"), F.coalesce("next", "ele").alias("e1"))
-    return at.join(pair, ["road", "k"]).select("road", "d", "lon", "lat", (F.col("e0") + (F.col("e1") - F.col("e0")) * (F.col("t") - F.col("k"))).alias("ele"))
+    """(road, coords): outline in order, to five decimals, with ele in whole metres, between the smoothed samples around each point."""
+    lines = outline.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("d", "lon", "lat"))).alias("line"))
+    met = lines.join(sampling.listed(profile, F.col("ele")), "road").join(cand.select("road", "a", "b"), "road")
+    t = lambda p: p.d / sampling.STEP_M - F.col("a")
+    k = lambda p: F.least(F.floor(t(p)), F.col("b") - F.col("a") - 1).cast("int")
+
+    def point(p: Column) -> Column:
+        e0 = F.get("l", k(p)).v
+        e1 = F.coalesce(F.get("l", k(p) + 1).v, e0)
+        return F.struct(F.round(p.lon, 5).alias("lon"), F.round(p.lat, 5).alias("lat"), js_round(e0 + (e1 - e0) * (t(p) - k(p))).cast("double").alias("ele"))
+
+    return met.select("road", F.transform("line", point).alias("coords"))

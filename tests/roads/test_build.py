@@ -154,6 +154,11 @@ def test_elevation_is_exact_on_a_slope_and_needs_its_tiles(spark, terrain):
         elevation(spark.createDataFrame([(1, 100.0, 10.0)], "i long, lon double, lat double"), terrain).collect()
 
 
+def test_points_given_twice_have_the_same_elevation(spark, terrain):
+    twice = spark.createDataFrame([(1, LON + 0.001, LAT + 0.001)] * 2, "i long, lon double, lat double")
+    assert [r.ele for r in elevation(twice, terrain).collect()] == [pytest.approx(ground(LON + 0.001, LAT + 0.001), abs=0.05)] * 2
+
+
 def test_ends_of_a_line(spark):
     line = [Row(46.0, 7.0), Row(46.0, 7.1), Row(46.0, 7.2), Row(46.1, 7.2), Row(46.2, 7.2)]
     df = spark.createDataFrame([(line,), (line[:2],), (line[:1] * 2,)], "g array<struct<lat: double, lon: double>>")
