@@ -307,7 +307,7 @@ def find_roads(elements: DataFrame, terrain: DataFrame) -> DataFrame:
     lines = ways.select("way", "geometry", "facts.off", "facts.urban")
     cand = stored(candidates(sampling.bend_classes(sampling.resample(chain_vertices(chain, lines.select("way", "geometry"), parts)))), "candidates")
     picked = stored(chain.join(cand.select(F.col("chain").alias("road")), "road", "left_semi"), "picked")
-    vertices = on_plane(stored(chain_vertices(picked, lines, parts).drop("x", "y", "d"), "vertices"))
+    vertices = on_plane(stored(chain_vertices(picked, lines, parts).drop("x", "y"), "vertices"))
     # all that takes a window over a section's samples is found where they are made: they lie by chain, and a section is part of one
     samples = sampling.bend_classes(sampling.resample(vertices, carry=("cos0", "off", "urban"))).join(cand.select(F.col("chain").alias("road"), F.col("road").alias("section"), "a", "b"), "road")
     samples = samples.where("k BETWEEN a AND b").withColumns({"k": F.col("k") - F.col("a"), "n": F.col("b") - F.col("a") + 1})
@@ -364,7 +364,8 @@ def find_roads(elements: DataFrame, terrain: DataFrame) -> DataFrame:
         F.struct(F.col("pass_name").alias("name"), F.col("ele").cast("long").alias("ele"), F.round("p_lon", 5).alias("lon"), F.round("p_lat", 5).alias("lat")).alias("pass")
     )
 
-    heads = profile.groupBy("road").agg(js_round(F.min("ele")).cast("long").alias("ele_min"), js_round(F.max("ele")).cast("long").alias("ele_max"))
+    of = lambda f: js_round(f(F.transform("l", lambda e: e.v))).cast("long")
+    heads = sampling.listed(profile, F.col("ele")).select("road", of(F.array_min).alias("ele_min"), of(F.array_max).alias("ele_max"))
     r = cand.join(slices, "road").join(coords, "road").join(climb, "road").join(heads, "road").join(pins.groupBy("road").agg(F.count("*").alias("hairpins")), "road", "left")
     r = r.join(name.withColumnRenamed("metres", "name_m"), "road", "left").join(ref.drop("metres"), "road", "left").join(warnings(parts), "road").join(towns, "road", "left").join(top, "road", "left")
     r = r.withColumns({"climb": F.col("up"), "descent": F.col("down"), "share": F.coalesce(F.col("name_m") / F.col("length"), F.lit(0.0))})
@@ -389,7 +390,7 @@ def _outline(cand: DataFrame, vertices: DataFrame) -> DataFrame:
     """(road, chain, d, lon, lat): the ends of each section and the chain's vertices between them, simplified to two metres."""
     c = cand.select("chain", "road", (F.col("a") * sampling.STEP_M).alias("d0"), (F.col("b") * sampling.STEP_M).alias("d1"))
     w = Window.partitionBy("road").orderBy("i")
-    seg = sampling.distances(vertices).withColumns({"dp": F.lag("d").over(w), "lonp": F.lag("lon").over(w), "latp": F.lag("lat").over(w)}).withColumnRenamed("road", "chain")
+    seg = sampling.distances(vertices.drop("d")).withColumns({"dp": F.lag("d").over(w), "lonp": F.lag("lon").over(w), "latp": F.lag("lat").over(w)}).withColumnRenamed("road", "chain")
     met = seg.select("chain", "d", "lon", "lat", "cos0", "dp", "lonp", "latp").join(c, "chain")
     at = lambda c, end: (F.col(f"{c}p") + (F.col(c) - F.col(f"{c}p")) * (F.col(end) - F.col("dp")) / (F.col("d") - F.col("dp"))).alias(c)
     own = F.when(F.expr("d > d0 AND d < d1"), F.struct("d", "lon", "lat"))
@@ -407,7 +408,7 @@ def _parts(outline: DataFrame, cand: DataFrame, vertices: DataFrame, ways: DataF
     w = Window.partitionBy("road").orderBy("d")
     p = outline.withColumns({"to": F.lead("d").over(w), "j": F.row_number().over(w)}).where("to IS NOT NULL")
     mid = p.select(F.col("chain").alias("road"), ((F.col("d") + F.col("to")) / 2).alias("d"), F.col("road").alias("section"), "j", (F.col("to") - F.col("d")).alias("metres"))
-    got = owners(sampling.distances(vertices), mid).join(ways.select("way", "facts.*"), "way")
+    got = owners(vertices, mid).join(ways.select("way", "facts.*"), "way")
     return got.drop("road", "d", "way").withColumnRenamed("section", "road").join(cand.select("road", "length"), "road")
 
 
